@@ -52,16 +52,18 @@ def with_event_ids(events: DataFrame, order: list[str], granularity: str = "hour
     Rows are ranked inside a time bucket and offset by the size of all earlier
     buckets, so no window runs over the whole table in one task.
     """
-    bucketed = events.withColumn("_b", F.date_trunc(granularity, F.col(order[0])))
+    # Rows without a time sort first, as nulls do.
+    bucket = F.coalesce(F.date_trunc(granularity, F.col(order[0])), F.lit("0001-01-01").cast("timestamp"))
+    bucketed = events.withColumn("_b", bucket)
     sizes = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     inside = Window.partitionBy("_b").orderBy(*order)
     return (
         bucketed.withColumn("_r", F.row_number().over(inside) - 1)
-        .join(offsets, F.col("_b").eqNullSafe(offsets["_b"]))
+        .join(offsets, "_b")
         .withColumn("row_id", F.col("_off") + F.col("_r"))
-        .drop("_b", "_n", "_r", "_off")
+        .drop("_b", "_r", "_off")
     )
 
 
