@@ -601,9 +601,9 @@ def oracle_sql() -> dict[str, str]:
     add("SIM6", ",".join([_EV, _IDS, _SIG, _REM, _DEPS, _CHAIN, _OUT, _fold(_EDGE_ROWS, -1, 1, True)]), """SELECT q.incident_id,
       ROUND(GREATEST(-0.05::DOUBLE, LEAST(0.05::DOUBLE, 0.05::DOUBLE * AVG(COALESCE(f.w * pow(0.5::DOUBLE, GREATEST(0, q.signal_us - f.last_us) / 1000000.0::DOUBLE / 604800.0::DOUBLE), 0)))), 4) AS boost
       FROM fast d JOIN sig q USING (incident_id) LEFT JOIN fold f ON f.key = d.kind || '>' || d.effect_kind GROUP BY 1""")
-    add("SIM7", _EV_PAIRS, f"SELECT query_id, p.incident_id, ROUND({_plain('graph')}, 4) AS score {_QC}")
+    add("SIM7", _EV_PAIRS, f"SELECT query_id, p.incident_id, ROUND({_plain('graph')} + 1e-9::DOUBLE, 4) AS score {_QC}")
     add("SIM8", _EV_PAIRS, f"""SELECT query_id, p.incident_id, COALESCE(q.service = c.service, FALSE) AS same_service,
-      ROUND({_plain('graph')} + CASE WHEN q.service = c.service THEN 0.2 ELSE 0.0 END::DOUBLE, 4) AS score {_QC}""")
+      ROUND({_plain('graph')} + CASE WHEN q.service = c.service THEN 0.2 ELSE 0.0 END::DOUBLE + 1e-9::DOUBLE, 4) AS score {_QC}""")
     prio = """CASE WHEN starts_with(t, 'deploy') OR starts_with(t, 'cross_service_error') THEN 4 WHEN contains(t, 'high') OR starts_with(t, 'trace_touches_self') THEN 3
       WHEN starts_with(t, 'metric') THEN 2 ELSE 1 END"""
     add("SIM9", _EV_PAIRS + f""",
@@ -620,8 +620,8 @@ def oracle_sql() -> dict[str, str]:
       QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY (rank <> 2), rank) <= 3""")
     add("SIM11", _VEC, "SELECT query_id, arg_max(idx, list_dot_product(x, q)) AS predicted FROM qs CROSS JOIN pats GROUP BY 1")
 
-    add("TOP1", _EV_FOUND, "SELECT query_id, rank, incident_id, ROUND(score, 4) AS score FROM found5")
-    add("TOP1.deep", _EV_EPI + "," + _found(10), "SELECT query_id, rank, incident_id, ROUND(score, 4) AS score FROM found10")
+    add("TOP1", _EV_FOUND, "SELECT query_id, rank, incident_id, ROUND(score + 1e-9::DOUBLE, 4) AS score FROM found5")
+    add("TOP1.deep", _EV_EPI + "," + _found(10), "SELECT query_id, rank, incident_id, ROUND(score + 1e-9::DOUBLE, 4) AS score FROM found10")
     add("TOP2", _EV_EPI + "," + _found(5, "c.signal_event_id % 3"), "SELECT query_id, rank, incident_id, family FROM found5")
     add("TOP3", _EV_CHAIN, """SELECT incident_id, event_id, prio FROM (SELECT w.incident_id, w.event_id, w.us,
         CASE WHEN w.event_id IN (SELECT f.event_id FROM fast f WHERE f.incident_id = w.incident_id) THEN 0
@@ -703,12 +703,17 @@ def oracle_sql() -> dict[str, str]:
     add("CTX1", _EV_FOUND + "," + _DECOY, "SELECT query_id, ROUND(first_score, 4) AS first_score, decoy FROM dec")
     add("CTX2", _EV_FOUND + "," + _DECOY, "SELECT query_id, incident_id, ROUND(CASE WHEN decoy THEN LEAST(score, 0.45::DOUBLE) ELSE score END, 4) AS similarity FROM found5 JOIN dec USING (query_id)")
     add("CTX3", _EV_FOUND, """SELECT q.incident_id, ROUND(GREATEST(0.0::DOUBLE, LEAST(1.0::DOUBLE, 0.5::DOUBLE * COALESCE(f.score, 0) + 0.25::DOUBLE * COALESCE(b.edge, 0)
-      + 0.25::DOUBLE * 0.2::DOUBLE + 0.05::DOUBLE)), 4) AS confidence FROM sig q LEFT JOIN found5 f ON f.query_id = q.incident_id AND f.rank = 1
+      + 0.25::DOUBLE * 0.2::DOUBLE + 0.05::DOUBLE)) + 1e-9::DOUBLE, 4) AS confidence FROM sig q LEFT JOIN found5 f ON f.query_id = q.incident_id AND f.rank = 1
       LEFT JOIN (SELECT incident_id, MAX(ROUND(score, 4)) AS edge FROM fast GROUP BY 1) b ON b.incident_id = q.incident_id""")
     add("CTX5", _EV_FOUND, """SELECT q.incident_id, 'Incident ' || q.incident_id || ' on ' || COALESCE(q.own_name, q.trigger_) || ': ' || COALESCE(b.n, 0) || ' causal edges detected. Most similar to '
       || COALESCE(f.incident_id, 'no prior match') || '. Recommended: no remediation suggested on ?. Confidence: 25%.' AS line
       FROM sig q LEFT JOIN found5 f ON f.query_id = q.incident_id AND f.rank = 1 LEFT JOIN (SELECT incident_id, COUNT(*) AS n FROM fast GROUP BY 1) b ON b.incident_id = q.incident_id""")
 
+    q["STR1"], q["STR2"], q["STR3"], q["STR5"], q["STR6"] = q["SRC1"], q["JOI4"], q["TPL2.logs"], q["AGG4"], q["G7"]
+    add("STR4", _EV_REM, "SELECT r.incident_id, r.event_id, r.action, r.outcome FROM rem r JOIN sig q USING (incident_id) WHERE r.event_id > q.signal_event_id AND r.us >= q.signal_us AND r.us - q.signal_us <= 604800000000")
+    add("STR8", _EV + """, rng AS (SELECT MIN(us) AS lo, MAX(us) AS hi FROM ev),
+      pt AS (SELECT event_id, us, CASE WHEN event_id % 50 = 0 THEN 2 ELSE LEAST(CAST(floor((us - lo) * 3.0::DOUBLE / (hi - lo + 1)) AS INT), 2) END AS part FROM ev CROSS JOIN rng)""",
+        "SELECT event_id, part = 2 AND us < (SELECT MAX(us) FROM pt WHERE part < 2) - 60000000 AS late FROM pt")
     add("STR7", _EV, "SELECT sec, COUNT(*) AS n_events FROM ev GROUP BY 1")
 
     add("EVA1", _EV_FOUND + "," + _SCORED, "SELECT incident_id, hits, in_top_k, ROUND(precision_at_k, 4) AS precision_at_k FROM msc")

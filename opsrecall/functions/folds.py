@@ -53,10 +53,11 @@ _COLS = ["key", "first_us", "last_us", "a", "b", "fl", "ce"]
 
 
 def clipped_fold(rows: DataFrame, lo: float, hi: float, half_life_s: float | None = None,
-                 partitions: int | None = None) -> DataFrame:
+                 partitions: int | None = None, start: DataFrame | None = None) -> DataFrame:
     """(key, weight, last_us, n_stretches) from ``rows(key, us, seq, delta)``.
 
-    Starts at 0, applies the rows of a key in order of (us, seq).
+    Applies the rows of a key in order of (us, seq), from 0 or from the weight that
+    ``start(key, weight, last_us)`` has for it. Only keys with rows are returned.
     """
     spread = ["key", "us", "seq"]
     ranged = rows.repartitionByRange(partitions, *spread) if partitions else rows.repartitionByRange(*spread)
@@ -67,7 +68,6 @@ def clipped_fold(rows: DataFrame, lo: float, hi: float, half_life_s: float | Non
     )
     # One row per key and partition: at most as many as there are partitions.
     ordered = F.array_sort(F.collect_list(F.struct("first_us", "last_us", "a", "b", "fl", "ce")))
-    start = F.struct(F.lit(0.0).alias("w"), F.lit(None).cast("bigint").alias("t"))
 
     def join_on(acc, s):
         gap = F.greatest(F.lit(0.0), (s["first_us"] - F.coalesce(acc["t"], s["first_us"])) / 1e6)
@@ -75,6 +75,13 @@ def clipped_fold(rows: DataFrame, lo: float, hi: float, half_life_s: float | Non
         w = F.least(s["ce"], F.greatest(s["fl"], s["a"] * acc["w"] * f + s["b"]))
         return F.struct(w.alias("w"), F.greatest(acc["t"], s["last_us"]).alias("t"))
 
-    return parts.groupBy("key").agg(ordered.alias("s")).select(
-        "key", F.aggregate("s", start, join_on).alias("f"), F.size("s").alias("n_stretches"),
+    lists = parts.groupBy("key").agg(ordered.alias("s"))
+    if start is None:
+        lists = lists.withColumn("w0", F.lit(0.0)).withColumn("t0", F.lit(None).cast("bigint"))
+    else:
+        before = start.select("key", F.col("weight").alias("w0"), F.col("last_us").alias("t0"))
+        lists = lists.join(before, "key", "left").fillna(0.0, ["w0"])
+    begin = F.struct(F.col("w0").alias("w"), F.col("t0").alias("t"))
+    return lists.select(
+        "key", F.aggregate("s", begin, join_on).alias("f"), F.size("s").alias("n_stretches"),
     ).select("key", F.col("f.w").alias("weight"), F.col("f.t").alias("last_us"), "n_stretches")

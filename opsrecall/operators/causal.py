@@ -95,8 +95,8 @@ def candidate_causes(sigs: DataFrame, events: DataFrame, ids: DataFrame, before_
         "event_id", "us", "sec", "kind", S.event_service().alias("svc"),
         cause_evidence(F.col("kind"), F.col("level"), F.col("name"), F.col("value")).alias("share"),
         graph_kind().alias("label"))
-    e = with_identity(e, ids, "svc", "cause_id").groupBy("us", "sec", "kind", "share", "cause_id").agg(
-        F.min("event_id").alias("event_id"), F.min_by("label", "event_id").alias("label"))
+    e = cut(with_identity(e, ids, "svc", "cause_id").groupBy("us", "sec", "kind", "share", "cause_id").agg(
+        F.min("event_id").alias("event_id"), F.min_by("label", "event_id").alias("label")))
     keep = sigs.select("incident_id", "signal_us", "signal_sec")
     return interval_join(keep, e, "event_id", before_s, after_s).where("us < signal_us").select(
         "incident_id", "event_id", "us", "kind", "share", "cause_id", "label")

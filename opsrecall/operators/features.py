@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from opsrecall.functions import scalars as S
 from opsrecall.operators.identity import with_identity
 from opsrecall.operators.windows import interval_join
+from opsrecall.session import cut
 
 # Classes of facts.
 ROLE, PLAIN, SELF_ONLY, SYMPTOM, KIND, INVOLVED, LABEL, FLAG = "r", "p", "s", "y", "k", "v", "g", "f"
@@ -126,8 +127,8 @@ def event_facts(events: DataFrame, ids: DataFrame, mention_re: str = S.MENTION_R
         F.explode(_own_facts()).alias("fact"), "identity_id",
     ).select("us", "sec", "signal_id", F.col("fact.cls").alias("cls"), F.col("fact.item").alias("item"),
              F.when(F.col("fact.cls").isin(ROLE, INVOLVED, LABEL), F.col("identity_id")).alias("identity_id"))
-    return own.unionByName(inner).groupBy("sec", "cls", "item", "identity_id", "signal_id").agg(
-        F.min("us").alias("min_us"), F.max("us").alias("max_us"), F.count(F.lit(1)).alias("n"))
+    return cut(own.unionByName(inner).groupBy("sec", "cls", "item", "identity_id", "signal_id").agg(
+        F.min("us").alias("min_us"), F.max("us").alias("max_us"), F.count(F.lit(1)).alias("n")))
 
 
 def _hit_buckets(edges: list[tuple[str, float | None, float | None, bool, bool]]) -> Column:

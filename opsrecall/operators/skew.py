@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# A key counts as hot when it holds more rows than one task should take AND
-# more than 1/MAX_HOT_KEYS of the table, so there are never more than
-# MAX_HOT_KEYS hot keys however large the table grows.
+# A key is hot when it holds more rows than one task should take. Only the
+# MAX_HOT_KEYS largest ones are salted, so the list of them always fits a
+# broadcast; any further ones are left to adaptive skew handling.
 MAX_HOT_KEYS = 1024
 ROWS_PER_TASK = 2_000_000
 
 
 def hot_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """(keys..., splits): at most MAX_HOT_KEYS rows, so broadcasting is safe."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    share = counts.agg(F.coalesce(F.sum("n"), F.lit(0)) / MAX_HOT_KEYS).scalar()
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows_per_task)
     return (
-        counts.where((F.col("n") > rows_per_task) & (F.col("n") > share))
+        counts.orderBy(F.desc("n"), *keys).limit(MAX_HOT_KEYS)
         .select(*keys, F.ceil(F.col("n") / rows_per_task).cast("int").alias("splits"))
     )
 
@@ -30,7 +29,8 @@ def salted_join(
 ) -> DataFrame:
     """Inner equi-join; rows of a hot key in ``big`` are spread over salts.
 
-    ``spread_by`` is a column of ``big`` with many values. Rows of ``small``
+    ``big`` is read twice, once to count its keys, so pass a table rather than a
+    long computation. ``spread_by`` is a column of ``big`` with many values. Rows of ``small``
     are repeated once per salt of their key, and only for hot keys.
     """
     hot = F.broadcast(hot_keys(big, keys, rows_per_task))
