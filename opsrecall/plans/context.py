@@ -170,24 +170,25 @@ def pattern_boost(memory: Memory, edge_weights: DataFrame) -> DataFrame:
         similarity.relationship_boost(F.avg(value)).alias("boost"))
 
 
-def find_matches(memory: Memory, k: int, as_of: bool, exhaustive: bool = False, feedback: bool = True) -> DataFrame:
+def find_matches(memory: Memory, k: int, as_of: bool, lsh: tuple[int, int] | None = None, feedback: bool = True) -> DataFrame:
     """Ranked matches of every incident. With ``feedback`` the first three matches,
     graded by the incident's remediations, adjust pair scores in a second search."""
     past = similarity.past_view(memory.episodes)
     boost = pattern_boost(memory, learning.edge_weights(memory.edge_outcomes))
     queries = cut(similarity.query_view(memory.episodes).join(boost, "incident_id", "left").fillna(0.0, ["boost"]))
-    found = similarity.find_similar(queries, past, k, as_of, exhaustive)
+    found = similarity.find_similar(queries, past, k, as_of, lsh=lsh)
     if not feedback or as_of:
         # A pair's grade is known only after the query's own remediation, so an
         # answer given at signal time cannot use it.
         return similarity.with_rationale(found, queries, past)
     weights = cut(learning.pair_weights(learning.pair_updates(found, memory.graded)))
-    again = similarity.find_similar(queries, past, k, as_of, exhaustive, weights)
+    again = similarity.find_similar(queries, past, k, as_of, weights, lsh)
     return similarity.with_rationale(again, queries, past)
 
 
-def context(memory: Memory, mode: str = "fast", as_of: bool = True, exhaustive: bool = False) -> DataFrame:
-    """One row per signal.
+def context(memory: Memory, mode: str = "fast", as_of: bool = True, lsh: tuple[int, int] | None = None,
+            matches: DataFrame | None = None) -> DataFrame:
+    """One row per signal. ``matches`` may be given when they are already known.
 
     ``as_of`` lets a signal see only incidents closed before it; without it every
     closed incident of the log is visible, later ones included.
@@ -199,7 +200,8 @@ def context(memory: Memory, mode: str = "fast", as_of: bool = True, exhaustive:
         "incident_id", "signal_us", "trigger", "own_id", "service", "affected_name", F.col(steps).alias("steps"), "symptoms", "latency_over")
     base = identity.resolve_at(base, identity.renames(memory.events), "affected_name", "signal_us", "at_service")
 
-    matches = cut(find_matches(memory, k, as_of, exhaustive))
+    if matches is None:
+        matches = cut(find_matches(memory, k, as_of, lsh))
     decoy = looks_like_decoy(matches)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "incident_id", "score", "rationale"))), lambda m: F.struct(
         m["incident_id"].alias("incident_id"), m["score"].alias("score"), m["rationale"].alias("rationale")))

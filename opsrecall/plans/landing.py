@@ -108,7 +108,7 @@ class Landing:
 
     @cached_property
     def context(self) -> DataFrame:
-        return cut(context.context(self.memory))
+        return cut(context.context(self.memory, matches=self.matches))
 
     @cached_property
     def shapes(self) -> DataFrame:
