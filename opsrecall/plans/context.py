@@ -170,7 +170,7 @@ def pattern_boost(memory: Memory, edge_weights: DataFrame) -> DataFrame:
         similarity.relationship_boost(F.avg(value)).alias("boost"))
 
 
-def find_matches(memory: Memory, k: int, as_of: bool, lsh: tuple[int, int] | None = None, feedback: bool = True) -> DataFrame:
+def find_matches(memory: Memory, k: int, as_of: bool, lsh: tuple[int, int] | None = (64, 2), feedback: bool = True) -> DataFrame:
     """Ranked matches of every incident. With ``feedback`` the first three matches,
     graded by the incident's remediations, adjust pair scores in a second search."""
     past = similarity.past_view(memory.episodes)
@@ -186,7 +186,7 @@ def find_matches(memory: Memory, k: int, as_of: bool, lsh: tuple[int, int] | Non
     return similarity.with_rationale(again, queries, past)
 
 
-def context(memory: Memory, mode: str = "fast", as_of: bool = True, lsh: tuple[int, int] | None = None,
+def context(memory: Memory, mode: str = "fast", as_of: bool = True, lsh: tuple[int, int] | None = (64, 2),
             matches: DataFrame | None = None) -> DataFrame:
     """One row per signal. ``matches`` may be given when they are already known.
 

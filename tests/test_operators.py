@@ -182,7 +182,7 @@ def test_find_similar_equals_brute_force(land, as_of, weighted):
     ids = sorted(r["incident_id"] for r in rows if r["closed_us"] is not None)
     weights = {tuple(sorted((ids[i], ids[i + 2]))): (-0.2 if i % 2 else 0.2) for i in range(0, len(ids) - 2)} if weighted else {}
     w = land.spark.createDataFrame([(a, b, v) for (a, b), v in weights.items()], "a string, b string, w double") if weighted else None
-    found = similarity.find_similar(similarity.query_view(eps), similarity.past_view(eps), 5, as_of, pair_weights=w)
+    found = similarity.find_similar(similarity.query_view(eps), similarity.past_view(eps), 5, as_of, w, lsh=None)
     got: dict = {}
     for r in sorted(found.collect(), key=lambda r: r["rank"]):
         got.setdefault(r["query_id"], []).append(round(r["score"], 6))
@@ -192,7 +192,7 @@ def test_find_similar_equals_brute_force(land, as_of, weighted):
 
 def test_copies_collapse_without_losing_results(land):
     """Many incidents with equal features: the first k by closing time are returned."""
-    one = land.episodes.where("closed_us IS NOT NULL").limit(1)
+    one = land.episodes.where("closed_us IS NOT NULL AND service IS NOT NULL").limit(1)
     copies = one.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(200)))).withColumn(
         "incident_id", F.concat(F.lit("C-"), F.lpad(F.col("n").cast("string"), 4, "0"))).withColumn(
         "closed_us", F.col("n").cast("bigint")).withColumn("signal_us", F.col("n").cast("bigint") - 1).drop("n")
