@@ -16,8 +16,8 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 STAGES = ["events", "ids", "sigs", "deps", "nbrs", "features", "causes", "chains", "graded", "edge_outcomes", "memory", "matches"]
-QUERIES = ["SRC4", "FIL3", "FIL4", "SCL14", "JOI1", "JOI2", "JOI6", "JOI12", "G7", "CAU5", "TPL2.logs", "TPL2", "TOP3", "TOP5",
-           "AGG4", "AGG7", "AGG10", "AGG11", "SIM4", "SIM11", "REP2", "REP7", "REP9", "STR7"]
+QUERIES = ["SRC4", "FIL3", "FIL4", "SCL14", "JOI1", "JOI2", "JOI6", "JOI12", "G7", "CAU5", "TPL2.logs", "TOP3", "TOP5",
+           "AGG4", "AGG10", "AGG11", "SIM11", "REP2", "REP7", "REP9", "STR7"]
 
 
 def main() -> None:
