@@ -28,6 +28,8 @@ BAND = 1.6
 SMALL = 16
 # Rows of one side of a comparison in a large group.
 SIDE = 1024
+# Bits of the filter on the ids of texts to verify: 2 MB.
+SLOT_BITS = 24
 # Sketch entries a task gathers before it sends them on.
 FLUSH = 1 << 21
 
@@ -205,13 +207,31 @@ def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _slots(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter with one hash over the column ``slot``: bits, in bytes. Its size is fixed."""
+    words = ids.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toPandas()
+    full = np.zeros(1 << (SLOT_BITS - 6), np.int64)
+    full[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return full.view(np.uint8)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that are similar, by their whole sets."""
+    """Pairs (a, b) that are similar, by their whole sets.
+
+    Only texts that may be wanted, by a Bloom filter of fixed size on ids, are hashed
+    again and their sets sent on; a filter that is full lets all pass.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << SLOT_BITS))
+    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+    bits = docs.sparkSession.sparkContext.broadcast(_slots(sets.join(wanted, "c", "left_semi").select(slot.alias("slot"))))
+
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
+            at = b.column(0).to_numpy()
+            b = b.filter(pa.array((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
             c, h = [], []
-            for x in shingle_sets(b.column(0), size):
+            for x in shingle_sets(b.column(1), size):
                 if (k := _set_id(x)) not in seen:
                     seen.add(k)
                     c.append(k)
@@ -227,10 +247,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, per
                 keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    first = sets.join(wanted, "c", "left_semi").select(F.col("doc_id").alias("wanted_id")).distinct()
-    texts = docs.join(first, docs["doc_id"].eqNullSafe(first["wanted_id"]), "left_semi").select("text")
-    full = texts.mapInArrow(hashes, "c long, h binary")
+    full = docs.select(slot.alias("slot"), "text").mapInArrow(hashes, "c long, h binary").join(wanted, "c", "left_semi")
     one, two = full.select(F.col("c").alias("a"), F.col("h").alias("ha")), full.select(F.col("c").alias("b"), F.col("h").alias("hb"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long").distinct()
 
