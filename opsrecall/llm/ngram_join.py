@@ -26,6 +26,8 @@ from opsrecall.session import cut
 BAND = 1.6
 # Groups of up to this size are compared pairwise, larger ones against one member first.
 SMALL = 16
+# Members of a large group that all others are compared with first.
+LEADERS = 2
 # Rows of one side of a comparison in a large group.
 SIDE = 1024
 # Bits of the filter on the ids of texts to verify: 2 MB.
@@ -39,8 +41,8 @@ def _set_id(x: np.ndarray) -> int:
 
 
 def bit_sketch(x: np.ndarray) -> bytes:
-    """Parity bits, about four for every element, at least 512: a power of two."""
-    bits = max(512, 1 << (4 * max(len(x), 1) - 1).bit_length())
+    """Parity bits, at least one for every element, at least 512: a power of two."""
+    bits = max(512, 1 << (max(len(x), 1) - 1).bit_length())
     odd = np.bincount((x & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -255,6 +257,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, per
 def _across(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, dests: int) -> DataFrame:
     """Pairs of large groups whose members are not yet in one component, in blocks of rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple[int, int]] = set()
+
         def pairs(rows: list[dict]) -> pa.RecordBatch:
             rows.sort(key=lambda r: (r["n"], r["c"]))
             size = min(len(r["sketch"]) for r in rows)
@@ -273,8 +277,11 @@ def _across(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int,
                     y = y[differ <= most_differing(n[x], n[y], percent)]
                     a.append(np.minimum(c[x], c[y]))
                     b.append(np.maximum(c[x], c[y]))
-            z = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b)]
-            return pa.RecordBatch.from_arrays([pa.array(v) for v in z], ["a", "b"])
+            found = set(zip(np.concatenate(a).tolist(), np.concatenate(b).tolist(), strict=True)) - sent if a else set()
+            if len(sent) > 1 << 20:  # only saves repeats
+                sent.clear()
+            sent.update(found)
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         rows: list[dict] = []
         for b in batches:
@@ -307,7 +314,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     one; a null id takes part by its text and never becomes a component's id unless it
     is alone. Other columns of ``docs`` are not read; an empty table gives no rows.
 
-    Groups of more than ``SMALL`` sets on a key are compared with one member, then every
+    Groups of more than ``SMALL`` sets on a key are compared with ``LEADERS`` members, then every
     pair of members that are in different components by then is compared too, in blocks
     of ``SIDE`` rows, so that a large group costs little and no link is lost. A pair is
     sure to meet as long as one of its sets has more non-empty parts than the sets may
@@ -319,8 +326,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     sets = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     found = cut(_groups(_entries(docs.select("text"), size, percent, dests), percent))
     members = found.where("large").select("key", F.col("a").alias("c"), "n")
-    lead = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("c").alias("h"), "c")).alias("lead")).select("key", F.col("lead.c").alias("l"))
-    star = members.join(lead, "key").where("c <> l").select(F.least("c", "l").alias("a"), F.greatest("c", "l").alias("b"))
+    lead = members.groupBy("key").agg(*(F.min(F.struct(F.xxhash64(F.lit(i), "c").alias("h"), "c", "n")).alias(f"lead{i}") for i in range(LEADERS)))
+    lead = lead.select("key", F.explode(F.array(*(f"lead{i}" for i in range(LEADERS)))).alias("lead")).select("key", F.col("lead.c").alias("l"), F.col("lead.n").alias("m"))
+    star = members.join(lead, "key").where((F.col("c") != F.col("l")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+    star = star.select(F.least("c", "l").alias("a"), F.greatest("c", "l").alias("b"))
     near = found.where("NOT large").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     close = cut(_close(near.union(star).distinct(), sets, percent))
     links = cut(_verified(close, sets, docs, size, percent))
