@@ -28,6 +28,9 @@ BAND = 1.6
 SMALL = 16
 # Members of a large group that all others are compared with first.
 LEADERS = 2
+# After these, each outsider of a large group is compared with its closest others, so that
+# most have joined a component before all that are in different ones are compared.
+CLOSEST = (2, 4)
 # Rows of one side of a comparison in a large group.
 SIDE = 1024
 # Bits of the filter on the ids of texts to verify: 2 MB.
@@ -254,8 +257,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, per
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long").distinct()
 
 
-def _across(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, dests: int) -> DataFrame:
-    """Pairs of large groups whose members are not yet in one component, in blocks of rows."""
+def _across(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, dests: int, closest: int = 0) -> DataFrame:
+    """Pairs of large groups whose members are not yet in one component, in blocks of rows:
+    all that their sketches allow or, of every member outside the block's largest
+    component, those with the ``closest`` sketches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[tuple[int, int]] = set()
 
@@ -266,7 +271,17 @@ def _across(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int,
             n, c, root, side = (np.array([r[k] for r in rows]) for k in ("n", "c", "root", "side"))
             a, b = [], []
             i, j = rows[0]["i"], rows[0]["j"]
-            for x in range(len(rows) - 1):
+            names, counts = np.unique(root, return_counts=True)
+            for x in np.flatnonzero(root != names[counts.argmax()]) if closest else ():
+                first, last = np.searchsorted(n * 100, n[x] * percent), np.searchsorted(n, n[x] * 100 // percent, "right")
+                y = np.arange(first, last)
+                y = y[(root[y] != root[x]) & ((i == j) | (side[y] != side[x]))]
+                differ = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+                near = np.argsort(differ, kind="stable")[:closest]
+                y = y[near[differ[near] <= most_differing(n[x], n[y[near]], percent)]]
+                a.append(np.minimum(c[x], c[y]))
+                b.append(np.maximum(c[x], c[y]))
+            for x in range(0 if closest else len(rows) - 1):
                 last = int(np.searchsorted(n, n[x] * 100 // percent, "right"))
                 y = np.arange(x + 1, last)
                 y = y[root[y] != root[x]]
@@ -314,8 +329,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     one; a null id takes part by its text and never becomes a component's id unless it
     is alone. Other columns of ``docs`` are not read; an empty table gives no rows.
 
-    Groups of more than ``SMALL`` sets on a key are compared with ``LEADERS`` members, then every
-    pair of members that are in different components by then is compared too, in blocks
+    Groups of more than ``SMALL`` sets on a key are compared with ``LEADERS`` members, then
+    outsiders with their closest others, and last every pair of members that are in
+    different components by then, in blocks
     of ``SIDE`` rows, so that a large group costs little and no link is lost. A pair is
     sure to meet as long as one of its sets has more non-empty parts than the sets may
     differ in; the number of parts leaves room for that.
@@ -334,10 +350,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     close = cut(_close(near.union(star).distinct(), sets, percent))
     links = cut(_verified(close, sets, docs, size, percent))
     roots = connected_components(links)
-    more = cut(_across(members, roots, sets, percent, dests).join(close, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
+    for closest in (*CLOSEST, 0):
+        more = cut(_across(members, roots, sets, percent, dests, closest).join(close, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            continue
         links = cut(links.union(_verified(more, sets, docs, size, percent)).distinct())
         roots = connected_components(links)
+        close = close.union(more)
     least = sets.select("c", "doc_id").join(roots, sets["c"] == roots["node"]).groupBy("root").agg(F.min("doc_id").alias("component_id"))
     joined = roots.join(least, "root").select(F.col("node").alias("c"), "component_id")
     alone = sets.select("c", F.col("doc_id").alias("own")).join(joined, "c", "left").select("c", F.coalesce("component_id", "own").alias("component_id"))
