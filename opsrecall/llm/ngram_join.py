@@ -27,10 +27,10 @@ BAND = 1.6
 # Groups of up to this size are compared pairwise, larger ones against one member first.
 SMALL = 16
 # Members of a large group that all others are compared with first.
-LEADERS = 2
+LEADERS = 3
 # After these, each outsider of a large group is compared with its closest others, so that
 # most have joined a component before all that are in different ones are compared.
-CLOSEST = (2, 4)
+CLOSEST = (8,)
 # Rows of one side of a comparison in a large group.
 SIDE = 1024
 # Bits of the filter on the ids of texts to verify: 2 MB.
