@@ -152,7 +152,9 @@ def _vectors(rows: DataFrame, keep: list[str], lookup: Lookup) -> DataFrame:
                 at, place = lookup(h)
                 key, count = np.unique((first + row[at]) * len(lookup.known) + place, return_counts=True)
                 doc = key // max(len(lookup.known), 1)
-                edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else []
+                if not len(doc):
+                    continue
+                edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
                 for lo, hi in zip(edge, [*edge[1:], len(doc)], strict=True):
                     places[doc[lo]] = (key[lo:hi] - doc[lo] * len(lookup.known)).astype(np.int32).tobytes()
                     counts[doc[lo]] = count[lo:hi].astype(np.int32).tobytes()
