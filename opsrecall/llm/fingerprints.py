@@ -122,7 +122,7 @@ def with_next(docs: DataFrame, schema: str, step, id_column: str = "doc_id", tex
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     n = partitions(spark)
     quantiles = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 10 * n).alias("q")).first().q or []
-    splits = [float("-inf"), *sorted({float(q) for q in quantiles}), float("inf")]
+    splits = [float("-inf"), *sorted({float(q) for q in quantiles or [0]}), float("inf")]
     last = len(splits)
 
     def dealt(df: DataFrame) -> DataFrame:

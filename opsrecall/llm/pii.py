@@ -50,7 +50,7 @@ def mod97(iban: Column) -> Column:
 
 
 def _ip_parts(c: Column) -> Column:
-    return F.forall(F.split(c, r"\."), lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (F.coalesce(F.ltrim(F.lit("0"), p).try_cast("int"), F.lit(0)) <= 255))
+    return F.forall(F.split(c, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.ltrim(p, F.lit("0")).try_cast("int"), F.lit(0)) <= 255))
 
 
 @dataclass(frozen=True)

@@ -17,6 +17,8 @@ EXAMPLES = 3000
 TERMS = 1024
 # Rows of an example that a term needs at least to be kept.
 LEAST = 3
+# How significant a term must be: the square of its standard deviations from chance.
+SIGNIFICANT = 16.0
 NEAREST = 25
 BLOCK = 64
 # Votes of the base rate, so that a far neighbour cannot decide alone.
@@ -136,8 +138,8 @@ def _choose_terms(rows: DataFrame, n: dict[int, int]) -> np.ndarray:
     p, q = F.col("p").cast("double"), F.col("q").cast("double")
     np_, nq = float(max(n[1], 1)), float(max(n[0], 1))
     rate = (p + q) / (np_ + nq)
-    chi = (p / np_ - q / nq) * (p / np_ - q / nq) / (rate * (1 - rate) + 1e-9)
-    chosen = counts.where((F.col("p") >= LEAST) & (p / np_ > 2 * q / nq)).orderBy(chi.desc(), "h").limit(TERMS).select("h")
+    chi = (p / np_ - q / nq) * (p / np_ - q / nq) / (rate * (1 - rate) * (1 / np_ + 1 / nq) + 1e-9)
+    chosen = counts.where((F.col("p") >= LEAST) & (p / np_ > 2 * q / nq) & (chi >= SIGNIFICANT)).orderBy(chi.desc(), "h").limit(TERMS).select("h")
     return np.sort(np.array([r.h for r in chosen.collect()], np.int64).astype(U))
 
 
