@@ -554,9 +554,9 @@ def oracle_sql() -> dict[str, str]:
       pr AS (SELECT event_id, span_svc[i] AS a, span_svc[i + 1] AS b, span_dur[i + 1] AS dur, 1 AS call FROM (
           SELECT event_id, span_svc, span_dur, unnest(range(1, len(span_svc))) AS i FROM ev WHERE kind = 'trace')
         UNION ALL SELECT event_id, service, unnest({_MENTIONS}), 0, 0 FROM ev WHERE kind = 'log' AND level = 'error'),
-      nm AS (SELECT COALESCE(i.current_name, a) AS source, COALESCE(j.current_name, b) AS target, dur, call FROM pr LEFT JOIN ids i ON i.name = a LEFT JOIN ids j ON j.name = b)""",
+      nm AS (SELECT COALESCE(i.current_name, a) AS source, COALESCE(j.current_name, b) AS target, CAST(ROUND(COALESCE(dur, 0) * 1000) AS BIGINT) AS dur, call FROM pr LEFT JOIN ids i ON i.name = a LEFT JOIN ids j ON j.name = b)""",
         """SELECT source, target, SUM(call) AS call_volume, ROUND((COUNT(*) - SUM(call))::DOUBLE / GREATEST(SUM(call), 1), 4) AS error_rate,
-      ROUND(CASE WHEN SUM(call) > 0 THEN SUM(dur) / SUM(call) ELSE 0 END, 1) AS latency FROM nm WHERE source <> target GROUP BY 1, 2""")
+      ROUND(CASE WHEN SUM(call) > 0 THEN SUM(dur) / (1000 * SUM(call)) ELSE 0 END, 1) AS latency FROM nm WHERE source <> target GROUP BY 1, 2""")
     add("G8", _ALL_PARTS + "," + _WL, "SELECT incident_id, array_to_string(graph, ',') AS graph FROM wf_")
 
     add("CAU1", _EV_SIG + "," + _AFF, "SELECT kind, COUNT(*) AS n, " + ", ".join(

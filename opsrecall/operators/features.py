@@ -188,7 +188,7 @@ def incident_items(sigs: DataFrame, facts: DataFrame, before_s: int = S.WINDOW_B
 
 def _of(prefix: str) -> Column:
     hits = F.filter("items", lambda x: x["item"].startswith(prefix + "|"))
-    return F.array_sort(F.transform(hits, lambda x: F.substring(x["item"], 3, 10_000)))
+    return F.array_sort(F.transform(hits, lambda x: F.substr(x["item"], F.lit(3))))
 
 
 def incident_features(sigs: DataFrame, items: DataFrame) -> DataFrame:
@@ -206,6 +206,6 @@ def incident_features(sigs: DataFrame, items: DataFrame) -> DataFrame:
         F.when(F.size(symptoms) > 0, symptoms).otherwise(F.array(F.lit("unspecified"))).alias("symptoms"),
         _of("k").alias("profile"),
         _of("v").alias("services"),
-        F.transform(labels, lambda x: F.struct(F.substring(x["item"], 3, 10_000).alias("label"), x["n"].alias("n"))).alias("labels"),
+        F.transform(labels, lambda x: F.struct(F.substr(x["item"], F.lit(3)).alias("label"), x["n"].alias("n"))).alias("labels"),
         F.exists("items", lambda x: x["item"] == "f|latency_over").alias("latency_over"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from opsrecall.session import cut
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)``; the root is the least node.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014):
@@ -22,7 +22,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     )
     nodes = e.select(F.col("u").alias("node")).union(e.select("v")).distinct()
     e = e.where("u <> v").distinct()
-    for _ in range(max_rounds):
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
@@ -39,7 +39,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         inner = e.select(F.col("v").alias("u")).join(e.select("u"), "u", "left_semi")
         if two_parents.union(inner).isEmpty():
             break
-    else:
-        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     return nodes.join(e.withColumnRenamed("u", "node"), "node", "left").select(
         "node", F.coalesce("v", "node").alias("root"))

@@ -4,20 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-# A key is hot when it holds more rows than one task should take. Only the
-# MAX_HOT_KEYS largest ones are salted, so the list of them always fits a
-# broadcast; any further ones are left to adaptive skew handling.
-MAX_HOT_KEYS = 1024
+# A key is hot when it holds more rows than one task should take. All hot keys are
+# salted; their list is joined by the plan Spark picks for its size.
 ROWS_PER_TASK = 2_000_000
 
 
 def hot_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """(keys..., splits): at most MAX_HOT_KEYS rows, so broadcasting is safe."""
+    """(keys..., splits) of every hot key: at most the rows of ``df`` over ``rows_per_task``."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > rows_per_task)
-    return (
-        counts.orderBy(F.desc("n"), *keys).limit(MAX_HOT_KEYS)
-        .select(*keys, F.ceil(F.col("n") / rows_per_task).cast("int").alias("splits"))
-    )
+    return counts.select(*keys, F.ceil(F.col("n") / rows_per_task).cast("int").alias("splits"))
 
 
 def salted_join(
@@ -33,7 +28,7 @@ def salted_join(
     long computation. ``spread_by`` is a column of ``big`` with many values. Rows of ``small``
     are repeated once per salt of their key, and only for hot keys.
     """
-    hot = F.broadcast(hot_keys(big, keys, rows_per_task))
+    hot = hot_keys(big, keys, rows_per_task)
     left = big.join(hot, keys, "left").withColumn(
         "_salt",
         F.when(F.col("splits").isNull(), F.lit(0)).otherwise(

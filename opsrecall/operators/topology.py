@@ -61,20 +61,20 @@ def call_graph(events: DataFrame, ids: DataFrame) -> DataFrame:
         .select("event_id", pair)
         .select("event_id", S.blank_to_null(F.col("p.a.svc")).alias("a"),
                 S.blank_to_null(F.col("p.b.svc")).alias("b"),
-                F.coalesce("p.b.dur_ms", F.lit(0.0)).alias("dur"), F.lit(1).alias("call"))
+                F.round(F.coalesce("p.b.dur_ms", F.lit(0.0)) * 1000).cast("long").alias("dur"), F.lit(1).alias("call"))
     )
     errors = (
         events.where((F.col("kind") == "log") & (F.lower("level") == "error")
                      & S.blank_to_null(F.col("service")).isNotNull())
         .select("event_id", F.col("service").alias("a"), F.explode(S.mentions(F.col("msg"))).alias("b"),
-                F.lit(None).cast("double").alias("dur"), F.lit(0).alias("call"))
+                F.lit(None).cast("long").alias("dur"), F.lit(0).alias("call"))
     )
     # Counted per pair of raw names first: renames are looked up on the few pairs left.
     raw = (
         calls.unionByName(errors).where("a IS NOT NULL AND b IS NOT NULL")
         .groupBy("a", "b").agg(
             F.sum("call").alias("calls"), F.sum(1 - F.col("call")).alias("errors"),
-            F.sum(F.coalesce("dur", F.lit(0.0))).alias("dur"))
+            F.sum(F.coalesce("dur", F.lit(0))).alias("dur"))
     )
     named = with_identity(raw, ids, "a", "_i", "source", spread_by="b").drop("_i")
     named = with_identity(named, ids, "b", "_i", "target", spread_by="a").drop("_i")
@@ -84,6 +84,6 @@ def call_graph(events: DataFrame, ids: DataFrame) -> DataFrame:
         .select(
             "source", "target", "call_volume",
             F.round(F.col("errors") / F.greatest("call_volume", F.lit(1)), 4).alias("error_rate"),
-            F.round(F.when(F.col("call_volume") > 0, F.col("dur") / F.col("call_volume")).otherwise(0.0), 1).alias("latency"),
+            F.round(F.when(F.col("call_volume") > 0, F.col("dur") / (1000 * F.col("call_volume"))).otherwise(0.0), 1).alias("latency"),
         )
     )
