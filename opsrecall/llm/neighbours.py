@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from opsrecall.session import cut
 
-DIRECTIONS = 128
+DIRECTIONS = 64
 # Share of the directions in which a vector must collide to be verified, and the width of
 # the last window over the distance of the k-th found; together they set the recall.
 SHARE = 0.5
-REACH = 0.82
-FIRST, GROWTH = 0.05, 1.6
+REACH = 0.9
+FIRST, GROWTH = 0.05, 2.5
 # Vectors, and queries, of one task.
 BLOCK, QUERIES = 8192, 1024
 SEED = 20260101
@@ -35,30 +35,34 @@ class Collisions:
         self.directions = np.random.default_rng(SEED).standard_normal((vectors.shape[1], DIRECTIONS))
         projected = (vectors / self.norms[:, None]) @ self.directions
         self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(projected, self.order.T, axis=0).T.copy()
+        # No projection of a unit vector is longer than its direction; so shifted, the arrays follow each other.
+        self.most = 1.01 * np.sqrt((self.directions * self.directions).sum(axis=0)).max()
+        self.shift = np.arange(DIRECTIONS) * 4 * self.most
+        self.laid = (np.take_along_axis(projected, self.order.T, axis=0).T + self.shift[:, None]).ravel()
 
     def nearest(self, query: np.ndarray, skip: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest found; ties to the smaller id. ``skip`` marks rows left out."""
         n, norm = len(self.vectors), np.sqrt((query * query).sum())
         at = (query / norm) @ self.directions
-        low = np.array([np.searchsorted(s, x) for s, x in zip(self.sorted, at, strict=True)])
+        low = self._ranks(at)
         high = low.copy()
-        hits = np.zeros(n, np.int32)
+        hits = np.zeros(n, np.int64)
         rows, cosines = np.zeros(0, np.int64), np.zeros(0)
         done = skip.copy()
         width = FIRST
         while True:
-            for j in range(DIRECTIONS):
-                a, b = np.searchsorted(self.sorted[j], (at[j] - width, at[j] + width))
-                if a < low[j]:
-                    hits[self.order[j, a:low[j]]] += 1
-                    low[j] = a
-                if b > high[j]:
-                    hits[self.order[j, high[j]:b]] += 1
-                    high[j] = b
+            a = self._ranks(at - width)
+            b = np.maximum(self._ranks(at + width), high)
+            rings = [o[x:y] for o, x, y in zip(self.order, a, low, strict=True)] + [o[x:y] for o, x, y in zip(self.order, high, b, strict=True)]
+            hits += np.bincount(np.concatenate(rings), minlength=n)
+            low, high = np.minimum(a, low), b
             fresh = np.flatnonzero((hits >= SHARE * DIRECTIONS) & ~done)
             if len(fresh):
                 done[fresh] = True
+                # A product in any order finds what can be among the k nearest; equal vectors then get equal cosines.
+                rough = self.vectors[fresh] @ query / (self.norms[fresh] * norm)
+                least = np.partition(np.concatenate([cosines, rough]), -k)[-k] if len(cosines) + len(rough) > k else -np.inf
+                fresh = fresh[rough >= least - 1e-9]
                 own = (self.vectors[fresh] * query).sum(axis=1) / (self.norms[fresh] * norm)
                 rows, cosines = np.concatenate([rows, fresh]), np.concatenate([cosines, own])
                 best = np.lexsort((ids[rows], -cosines))[:k]
@@ -73,6 +77,11 @@ class Collisions:
             else:
                 width *= GROWTH
 
+    def _ranks(self, values: np.ndarray) -> np.ndarray:
+        """For every direction the number of projections below its value: one search in all arrays, laid end to end."""
+        found = np.searchsorted(self.laid, np.clip(values, -self.most, self.most) + self.shift)
+        return found - np.arange(DIRECTIONS) * len(self.vectors)
+
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """(vec_id, v, size) of the vectors that take part: not null, no null or non-finite component, not zero."""
