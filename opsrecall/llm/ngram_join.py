@@ -301,7 +301,7 @@ def _across(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int,
         rows: list[dict] = []
         for b in batches:
             for r in b.to_pylist():
-                if rows and any(r[k] != rows[0][k] for k in ("key", "i", "j")):
+                if rows and any(r[k] != rows[0][k] for k in ("joint", "key", "i", "j")):
                     yield pairs(rows)
                     rows = []
                 rows.append(r)
@@ -309,15 +309,30 @@ def _across(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int,
             yield pairs(rows)
 
     known = members.join(roots, members["c"] == roots["node"], "left").select("key", "c", "n", F.coalesce("root", "c").alias("root"))
-    groups = known.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"))
-    open_ = groups.where("r0 <> r1").select("key", F.ceil(F.col("size") / SIDE).cast("int").alias("sides"))
+    sides = lambda size: F.ceil(size / SIDE).cast("int")
+    open_ = (
+        known.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("c"), "c"))["c"].alias("lead"))
+        .where("r0 <> r1").select("key", "lead", "size", sides(F.col("size")).alias("sides"))
+    )
+    grouped = known.join(open_, "key")
+    # Near copies share many keys, and the same member leads most of these. Groups with the same
+    # leader are laid together where that sends fewer rows, so that a pair meets once.
+    together = grouped.select("lead", "c", "n", "root").distinct()
+    apart = open_.groupBy("lead").agg(F.sum(F.col("size") * F.col("sides")).alias("sent"))
+    joint = (
+        together.groupBy("lead").agg(F.count(F.lit(1)).alias("size")).join(apart, "lead").withColumn("sides", sides(F.col("size")))
+        .where("size * sides <= sent").select("lead", "sides")
+    )
+    met = together.join(joint, "lead").select(F.lit(True).alias("joint"), F.col("lead").alias("key"), "c", "n", "root", "sides").union(
+        grouped.join(joint.select("lead"), "lead", "left_anti").select(F.lit(False).alias("joint"), "key", "c", "n", "root", "sides"))
     rows = (
-        known.join(open_, "key").withColumn("side", F.pmod(F.hash("c"), F.col("sides")))
+        met.withColumn("side", F.pmod(F.hash("c"), F.col("sides")))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-        .select("key", "c", "n", "root", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+        .select("joint", "key", "c", "n", "root", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
         .join(sets.select("c", "sketch"), "c")
     )
-    return rows.repartition(dests, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    block = ["joint", "key", "i", "j"]
+    return rows.repartition(dests, *block).sortWithinPartitions(*block).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -332,7 +347,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     Groups of more than ``SMALL`` sets on a key are compared with ``LEADERS`` members, then
     outsiders with their closest others, and last every pair of members that are in
     different components by then, in blocks
-    of ``SIDE`` rows, so that a large group costs little and no link is lost. A pair is
+    of ``SIDE`` rows, so that a large group costs little and no link is lost. Groups that
+    the same member leads take these steps as one, where that sends fewer rows. A pair is
     sure to meet as long as one of its sets has more non-empty parts than the sets may
     differ in; the number of parts leaves room for that.
     """
