@@ -139,8 +139,9 @@ def _entries(docs: DataFrame, size: int, percent: int, dests: int) -> DataFrame:
 
 
 def _groups(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of small groups that share a key, and the members (key, a) of large ones."""
-    schema = "large boolean, key long, a long, b long, n long"
+    """Pairs (a, b) of small groups that share a key, at size 0, and of large groups the
+    size and every member (key, a), with the least hash of them all as b."""
+    schema = "size long, key long, a long, b long, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, c, n = [], [], []
@@ -170,6 +171,7 @@ def _groups(entries: DataFrame, percent: int) -> DataFrame:
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         count = np.diff(np.r_[start, len(key)])
         group = np.repeat(count, count)
+        lead = np.repeat(np.minimum.reduceat(mix(c.astype(U)), start), count).astype(np.int64)
         large = group > SMALL
         first, second = [], []
         for k in range(1, SMALL):
@@ -184,12 +186,10 @@ def _groups(entries: DataFrame, percent: int) -> DataFrame:
         for s in range(0, len(pairs), step):
             p = pairs[s:s + step]
             zero = np.zeros(len(p), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(zero.astype(bool)), *map(pa.array, (zero, p[:, 0].copy(), p[:, 1].copy(), zero))], ["large", "key", "a", "b", "n"])
-        key, c, n = key[large].astype(np.int64), c[large], n[large]
-        for s in range(0, len(key), step):
-            k = key[s:s + step]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(k), bool)), *map(pa.array, (k, c[s:s + step], np.zeros(len(k), np.int64), n[s:s + step]))], ["large", "key", "a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (zero, zero, p[:, 0].copy(), p[:, 1].copy(), zero)], ["size", "key", "a", "b", "n"])
+        members = [x[large] for x in (group, key.astype(np.int64), c, lead, n)]
+        for s in range(0, len(members[0]), step):
+            yield pa.RecordBatch.from_arrays([pa.array(x[s:s + step]) for x in members], ["size", "key", "a", "b", "n"])
 
     return entries.mapInArrow(run, schema)
 
@@ -257,7 +257,27 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, per
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long").distinct()
 
 
-def _across(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, dests: int, closest: int = 0) -> DataFrame:
+def _sides(size):
+    return F.ceil(size / SIDE).cast("int")
+
+
+def _laid(members: DataFrame) -> DataFrame:
+    """(joint, key, c, n, sides): members of large groups and into how many sides a group is cut.
+
+    Near copies share many keys, and the same member leads most of these. Groups with the
+    same leader are laid together where that sends fewer rows, so that a pair meets once.
+    """
+    together = members.select("lead", "c", "n").distinct()
+    apart = members.groupBy("lead").agg(F.sum(_sides(F.col("size"))).alias("sent"))
+    joint = (
+        together.groupBy("lead").agg(F.count(F.lit(1)).alias("size")).join(apart, "lead").withColumn("sides", _sides(F.col("size")))
+        .where("size * sides <= sent").select("lead", "sides")
+    )
+    return together.join(joint, "lead").select(F.lit(True).alias("joint"), F.col("lead").alias("key"), "c", "n", "sides").union(
+        members.join(joint, "lead", "left_anti").select(F.lit(False), "key", "c", "n", _sides(F.col("size"))))
+
+
+def _across(laid: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, dests: int, closest: int = 0) -> DataFrame:
     """Pairs of large groups whose members are not yet in one component, in blocks of rows:
     all that their sketches allow or, of every member outside the block's largest
     component, those with the ``closest`` sketches."""
@@ -308,25 +328,10 @@ def _across(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int,
         if rows:
             yield pairs(rows)
 
-    known = members.join(roots, members["c"] == roots["node"], "left").select("key", "c", "n", F.coalesce("root", "c").alias("root"))
-    sides = lambda size: F.ceil(size / SIDE).cast("int")
-    open_ = (
-        known.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("c"), "c"))["c"].alias("lead"))
-        .where("r0 <> r1").select("key", "lead", "size", sides(F.col("size")).alias("sides"))
-    )
-    grouped = known.join(open_, "key")
-    # Near copies share many keys, and the same member leads most of these. Groups with the same
-    # leader are laid together where that sends fewer rows, so that a pair meets once.
-    together = grouped.select("lead", "c", "n", "root").distinct()
-    apart = open_.groupBy("lead").agg(F.sum(F.col("size") * F.col("sides")).alias("sent"))
-    joint = (
-        together.groupBy("lead").agg(F.count(F.lit(1)).alias("size")).join(apart, "lead").withColumn("sides", sides(F.col("size")))
-        .where("size * sides <= sent").select("lead", "sides")
-    )
-    met = together.join(joint, "lead").select(F.lit(True).alias("joint"), F.col("lead").alias("key"), "c", "n", "root", "sides").union(
-        grouped.join(joint.select("lead"), "lead", "left_anti").select(F.lit(False).alias("joint"), "key", "c", "n", "root", "sides"))
+    known = laid.join(roots, laid["c"] == roots["node"], "left").select(*laid.columns, F.coalesce("root", "c").alias("root"))
+    open_ = known.groupBy("joint", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("joint", "key")
     rows = (
-        met.withColumn("side", F.pmod(F.hash("c"), F.col("sides")))
+        known.join(open_, ["joint", "key"]).withColumn("side", F.pmod(F.hash("c"), F.col("sides")))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
         .select("joint", "key", "c", "n", "root", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
         .join(sets.select("c", "sketch"), "c")
@@ -357,17 +362,18 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = cut(shingle_rows(docs, size))
     sets = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     found = cut(_groups(_entries(docs.select("text"), size, percent, dests), percent))
-    members = found.where("large").select("key", F.col("a").alias("c"), "n")
+    members = found.where("size > 0").select("size", "key", F.col("a").alias("c"), F.col("b").alias("lead"), "n")
     lead = members.groupBy("key").agg(*(F.min(F.struct(F.xxhash64(F.lit(i), "c").alias("h"), "c", "n")).alias(f"lead{i}") for i in range(LEADERS)))
     lead = lead.select("key", F.explode(F.array(*(f"lead{i}" for i in range(LEADERS)))).alias("lead")).select("key", F.col("lead.c").alias("l"), F.col("lead.n").alias("m"))
-    star = members.join(lead, "key").where((F.col("c") != F.col("l")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+    star = members.select("key", "c", "n").join(lead, "key").where((F.col("c") != F.col("l")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
     star = star.select(F.least("c", "l").alias("a"), F.greatest("c", "l").alias("b"))
-    near = found.where("NOT large").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    near = found.where("size = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     close = cut(_close(near.union(star).distinct(), sets, percent))
     links = cut(_verified(close, sets, docs, size, percent))
     roots = connected_components(links)
+    laid = cut(_laid(members))
     for closest in (*CLOSEST, 0):
-        more = cut(_across(members, roots, sets, percent, dests, closest).join(close, ["a", "b"], "left_anti"))
+        more = cut(_across(laid, roots, sets, percent, dests, closest).join(close, ["a", "b"], "left_anti"))
         if more.isEmpty():
             continue
         links = cut(links.union(_verified(more, sets, docs, size, percent)).distinct())
