@@ -4,7 +4,8 @@ Every shingle is a 64-bit hash. A parity sketch is the XOR of all hashes of a se
 by part: two sets that differ in d shingles differ in at most d parts. At a similarity
 of t the sets differ in at most (|A| + |B|) (1 - t) / (1 + t) shingles, so a band of
 sizes whose sketches have more parts than that must agree on a part (pigeonhole). Sets
-are joined on (band, part, value). A second sketch of single bits then bounds the
+are joined on (band, part, value); empty parts are no keys, so a set with too few others
+is joined on its shingles besides. A second sketch of single bits then bounds the
 difference from below by its Hamming distance, and what remains is verified exactly.
 """
 
@@ -35,6 +36,8 @@ CLOSEST = (8,)
 SIDE = 1024
 # Bits of the filter on the ids of texts to verify: 2 MB.
 SLOT_BITS = 24
+# Tells the keys of single shingles from those of parts.
+SHINGLE = U(0x9FB21C651E98DF25)
 # Sketch entries a task gathers before it sends them on.
 FLUSH = 1 << 21
 
@@ -62,10 +65,14 @@ def most_differing(n, m, percent: int):
 
 def part_keys(x: np.ndarray, percent: int) -> np.ndarray:
     """Keys of the non-empty parts of the sketches of a set, for its own band of sizes and,
-    where a partner may be in it, the next one."""
+    where a partner may be in it, the next one.
+
+    A set with more non-empty parts than it may differ in meets all that are similar. One
+    with fewer has its shingles as keys too: two such sets that are similar share one.
+    """
     n = len(x)
     band = int(math.log(n) / math.log(BAND) + 1e-9)
-    keys = []
+    keys, poor = [], False
     for b in (band, band + 1):
         if b > band and 100 * n < percent * BAND ** b:
             continue
@@ -75,6 +82,9 @@ def part_keys(x: np.ndarray, percent: int) -> np.ndarray:
         np.bitwise_xor.at(value, (((x >> U(32)) * U(parts)) >> U(32)).astype(np.int64), x)
         full = np.flatnonzero(value)
         keys.append(mix(value[full] ^ mix(full.astype(U) + U(b << 40))))
+        poor |= len(full) <= most_differing(n, min(largest, 100 * n // percent), percent)
+    if poor:
+        keys.append(mix(x ^ SHINGLE))
     return np.concatenate(keys)
 
 
@@ -354,8 +364,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     different components by then, in blocks
     of ``SIDE`` rows, so that a large group costs little and no link is lost. Groups that
     the same member leads take these steps as one, where that sends fewer rows. A pair is
-    sure to meet as long as one of its sets has more non-empty parts than the sets may
-    differ in; the number of parts leaves room for that.
+    sure to meet: by a part if one of its sets has more non-empty parts than the sets may
+    differ in, otherwise by a shingle, which both then have among their keys.
     """
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     dests = partitions(docs.sparkSession)

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from opsrecall.llm import chat, fingerprints, mixing, neighbours, packing, pii, queries, suffix_dedup, token_counts, toxicity
 from opsrecall.llm.bpe import Encoder, vocabulary
-from opsrecall.llm.ngram_join import near_duplicates
+from opsrecall.llm.ngram_join import near_duplicates, part_keys
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, n string, h string, c string, size string, row string"
 
@@ -120,6 +120,24 @@ def test_large_groups_of_near_copies_lose_no_link(spark):
     assert collected(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == components(rows)
 
 
+def test_short_sets_share_a_key():
+    rng = np.random.default_rng(6)
+    for small, large, both in ((3, 4, 3), (4, 5, 4), (6, 8, 6), (7, 7, 6), (9, 12, 9), (14, 14, 12), (24, 32, 24)):
+        for _ in range(4000):
+            x = rng.integers(0, 1 << 64, small + large - both, np.uint64)
+            a, b = np.sort(x[:small]), np.sort(np.r_[x[:both], x[small:]])
+            assert np.intersect1d(part_keys(a, 75), part_keys(b, 75)).size, (small, large)
+
+
+def test_short_near_duplicates_match_brute_force(spark):
+    rows = []
+    for i in range(1500):
+        n = (3, 3, 3, 4, 6)[i % 5]
+        words = [f"w{i}x{j}" for j in range(n + 4 + (2 if n == 6 else 1))]
+        rows += [(2 * i, " ".join(words[:n + 4])), (2 * i + 1, " ".join(words))]
+    assert collected(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == components(rows)
+
+
 def test_fingerprints_of_edits(rows, docs, empty):
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
     got = collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.edited_likeness(docs).collect())
