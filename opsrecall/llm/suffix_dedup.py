@@ -283,6 +283,18 @@ def _by_text(sampled: DataFrame, answers: DataFrame, dests: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, text_hash long, place binary, state binary")
 
 
+def _one_each(info: DataFrame) -> DataFrame:
+    """One row for each (id, text_hash): of equal rows, each may speak at other places, so
+    every place has the largest of its states."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            state = [s[0] if len(s) == 1 else np.maximum.reduce([np.frombuffer(x, np.uint8) for x in s]).tobytes() for s in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(state, pa.binary())], ["id", "text_hash", "place", "state"])
+
+    rows = info.groupBy("id", "text_hash").agg(F.max("place").alias("place"), F.collect_set("state").alias("states"))
+    return rows.mapInArrow(run, "id long, text_hash long, place binary, state binary")
+
+
 def _covered(places: np.ndarray, low: int, n: int) -> np.ndarray:
     """Which of the windows that start at 0 .. n - 1 hold one of ``places``."""
     edge = np.zeros(n + 1, np.int64)
@@ -475,8 +487,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     docs = docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
     sampled = cut(_sample(docs, dests, length))
-    info = _by_text(sampled, _answers(sampled.where("dest >= 0"), dests), dests).groupBy("id", "text_hash").agg(F.max(F.struct("state", "place")).alias("s"))
-    info = cut(info.select("id", "text_hash", "s.place", "s.state"))
+    info = cut(_one_each(_by_text(sampled, _answers(sampled.where("dest >= 0"), dests), dests)))
     joined = docs.join(info, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("text_hash")), "left")
     unsure = joined.where(F.col("id").isNotNull() | F.col("place").isNotNull())
     unsure = unsure.where(F.expr("instr(hex(state), '01') > 0 OR instr(hex(state), '03') > 0"))

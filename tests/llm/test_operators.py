@@ -71,6 +71,52 @@ def test_repeats_are_removed_exactly(rows, docs, empty):
     assert suffix_dedup.without_repeats(empty).count() == 0
 
 
+def without_repeats_by_hand(rows):
+    count, data = collections.Counter(), [(i, (t or "").encode()) for i, t, *_ in rows]
+    for _, b in data:
+        count.update(b[s:s + 400] for s in range(len(b) - 399))
+    want = []
+    for i, b in data:
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - 399):
+            if count[b[s:s + 400]] > 1:
+                gone[s:s + 400] = True
+        spans = int((gone[1:] & ~gone[:-1]).sum()) + int(len(b) > 0 and gone[0])
+        kept = bytes(np.frombuffer(b, np.uint8)[~gone])
+        want.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(want, key=str)
+
+
+@pytest.mark.parametrize("doc_id", [5, None])
+def test_repeated_rows_in_several_flushes_speak_for_every_place(spark, monkeypatch, doc_id):
+    monkeypatch.setattr(suffix_dedup, "GATHER_BYTES", 1)  # a flush for each row
+    rng = random.Random(8)
+    same = "".join(sentence(rng, 40) for _ in range(30))
+    parts = [(k, sentence(rng, 30) + same[at:at + 450 + 9 * k] + sentence(rng, 30)) for k, at in enumerate(range(100, len(same) - 700, 500), 10)]
+    rows = [(doc_id, same)] * 3 + parts
+    want = without_repeats_by_hand(rows)
+    answers = suffix_dedup._answers
+
+    class Arriving:
+        """Rows that reach every other destination in the opposite order."""
+
+        def __init__(self, df):
+            self.df = df
+
+        def repartition(self, *by):
+            return self.df.repartition(*by).sortWithinPartitions("dest", F.expr("IF(dest % 2 = 0, flush, -flush)"))
+
+    monkeypatch.setattr(suffix_dedup, "_answers", lambda asked, dests: answers(Arriving(asked), dests))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert collected(suffix_dedup.without_repeats(df).drop("kept")) == want
+
+
+def test_every_place_has_the_largest_state_of_equal_rows(spark):
+    rows = [(1, 7, b"pp", b"\x03\x02"), (1, 7, b"pp", b"\x02\x03"), (None, 7, b"pp", b"\x02\x02"), (None, 7, b"pp", b"\x03\x01"), (2, 7, b"q", b"\x01")]
+    got = suffix_dedup._one_each(spark.createDataFrame(rows, "id long, text_hash long, place binary, state binary").repartition(3)).collect()
+    assert {(r.id, bytes(r.place), bytes(r.state)) for r in got} == {(1, b"pp", b"\x03\x03"), (None, b"pp", b"\x03\x02"), (2, b"q", b"\x01")} and len(got) == 3
+
+
 def test_suffix_sort_is_lexicographic():
     d = np.random.default_rng(1).integers(97, 99, 3000).astype(np.uint8)
     d[1500:2200] = d[100:800]
