@@ -15,24 +15,31 @@ from opsrecall.session import ensure_checkpoint_dir
 
 
 def _keyed(docs: DataFrame, other: DataFrame, keep: str) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``other``, under a name no column of ``docs`` has."""
-    return docs.join(other.select(F.col("doc_id").alias("__id")), docs["doc_id"].eqNullSafe(F.col("__id")), keep)
+    """Rows of ``docs`` whose id and text are in ``other`` (doc_id, text_hash), under names no column of ``docs`` has."""
+    other = other.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    return docs.join(other, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")), keep)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below 0.3. Rows with equal ids go together."""
+    """Documents whose toxicity score is below 0.3. Every row is judged by its own text, whatever its id."""
     scored = toxicity.scores(docs, table(spark, sf_dir, "labels"), lambda c: ~queries.held_out(c))
     return _keyed(docs, scored.where(F.col("score") >= queries.TOXIC), "left_anti")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the least id.
+    """One row of each group of near duplicates: the one with the least id, then the least hash
+    of its text, then the least in its columns; a null id comes last.
 
-    Rows that repeat an id are all kept or all dropped; a null id stays only alone.
+    A text without words is its own group, so all such rows stay. Columns must have an order.
     """
-    groups = near_duplicates(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return _keyed(docs, kept, "left_semi")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    groups = near_duplicates(docs.select(row.alias("row"), "text"), "row", "text")
+    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id.doc_id", "doc_id.text_hash", "n_shingles")
+    kept = first.groupBy("doc_id", "text_hash").agg(F.sum(F.when(F.col("n_shingles") > 0, 1).otherwise(0)).alias("copies"))
+    single = _keyed(docs, kept.where("copies < 2"), "left_semi")
+    copies = _keyed(docs, kept.where("copies > 1"), "left_semi")
+    one = copies.groupBy("doc_id", F.xxhash64("text")).agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    return single.unionByName(one.select("__row.*"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

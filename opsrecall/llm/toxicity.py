@@ -173,7 +173,7 @@ def _weights(places: bytes, counts: bytes, idf: np.ndarray) -> tuple[np.ndarray,
 
 
 def scores(docs: DataFrame, labels: DataFrame, learn_from, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> DataFrame:
-    """(doc_id, score, nearest) for every row of ``docs``.
+    """(doc_id, score, nearest, text_hash) for every row of ``docs``.
 
     ``learn_from`` maps an id column to whether a label may be learned from. Up to
     ``EXAMPLES`` labelled rows of each label choose ``TERMS`` terms and become the
@@ -185,7 +185,8 @@ def scores(docs: DataFrame, labels: DataFrame, learn_from, id_column: str = "doc
     the nearest example. Repeated rows get equal scores; without labels all score 0;
     null ids and labels are not learned from; other columns are not read.
     """
-    docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    text = F.col(text_column)
+    docs = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     known = _training(labels, id_column, label_column, learn_from)
     total = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = {y: min(total.get(y, 0), EXAMPLES) for y in (0, 1)}
@@ -194,8 +195,8 @@ def scores(docs: DataFrame, labels: DataFrame, learn_from, id_column: str = "doc
     lookup = Lookup(chosen) if len(chosen := _choose_terms(examples, n)) else None
     if lookup is None:
         base = total.get(1, 0) / max(1, sum(total.values()))
-        return docs.select("doc_id", F.lit(float(base)).alias("score"), F.lit(0.0).alias("nearest"))
-    rows = cut(_vectors(docs, ["doc_id"], lookup))
+        return docs.select("doc_id", F.lit(float(base)).alias("score"), F.lit(0.0).alias("nearest"), "text_hash")
+    rows = cut(_vectors(docs, ["doc_id", "text_hash"], lookup))
     size = len(lookup.known)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +228,7 @@ def scores(docs: DataFrame, labels: DataFrame, learn_from, id_column: str = "doc
         kept: dict[tuple, tuple[float, float]] = {}
         for b in batches:
             out = []
-            for key in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for key in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if not key[0]:
                     out.append((without, 0.0))
                     continue
@@ -239,6 +240,6 @@ def scores(docs: DataFrame, labels: DataFrame, learn_from, id_column: str = "doc
                         kept.clear()
                     kept[key] = (float(score), float(sim[0]) if len(sim) else 0.0)
                 out.append(kept[key])
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[i] for o in out], pa.float64()) for i in (0, 1))], ["doc_id", "score", "nearest"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[i] for o in out], pa.float64()) for i in (0, 1)), b.column(1)], ["doc_id", "score", "nearest", "text_hash"])
 
-    return rows.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, score double, nearest double")
+    return rows.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, score double, nearest double, text_hash long")
