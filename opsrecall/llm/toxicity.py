@@ -8,17 +8,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from opsrecall.llm.common import BASE, INVERSE, LOWER, U, blocks, mix, powers
+from opsrecall.llm.common import BASE, INVERSE, LOWER, U, blocks, mix, partitions, powers
 from opsrecall.session import cut
 
 # Labelled rows of each label to learn from, the first by hash; a bound, so the index is bounded too.
 EXAMPLES = 3000
-# Terms kept, by how far they tell the labels apart on the examples.
-TERMS = 1024
-# Rows of an example that a term needs at least to be kept.
-LEAST = 3
-# How significant a term must be: the square of its standard deviations from chance.
-SIGNIFICANT = 16.0
+# Terms in more than one in so many examples, up to a number, are columns of a matrix; others have postings.
+COMMON, COLUMNS = 16, 2048
+# Texts that are compared with the examples at once.
+TOGETHER = 64
+# More than rounding adds to a similarity in single precision.
+ROUNDING = 1e-4
 NEAREST = 25
 BLOCK = 64
 # Votes of the base rate, so that a far neighbour cannot decide alone.
@@ -76,37 +76,108 @@ class Lookup:
         return at[hit], place[hit]
 
 
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0] .. starts[0] + sizes[0] - 1, then the same of the next."""
+    return np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+
+
 class BlockMaxIndex:
-    """Examples in blocks, and for every term the largest weight in each block.
+    """Examples in blocks, and for every common term the largest weight in each block.
 
-    A block is opened only while its bound, the query times these maxima, exceeds the
-    similarity of the k-th nearest found so far, so the result is exact.
+    Rare terms are added up from postings. A block's columns of common terms are opened
+    only for texts whose bound, the common terms times these maxima and the rare ones,
+    reaches the similarity of the k-th nearest found so far. Those that can be among the
+    k nearest are then compared again in double precision, so the result is exact and
+    the same for equal texts.
     """
 
-    def __init__(self, vectors: np.ndarray, toxic: np.ndarray, weight: np.ndarray):
-        order = np.lexsort((np.arange(len(vectors)), vectors.argmax(axis=1) if vectors.size else np.zeros(0)))
-        self.vectors, self.toxic, self.weight = vectors[order], toxic[order], weight[order]
-        self.edges = np.arange(0, len(vectors), BLOCK)
-        self.largest = np.maximum.reduceat(self.vectors, self.edges, axis=0) if len(vectors) else np.zeros((0, vectors.shape[1]), np.float32)
+    def __init__(self, vectors, toxic: np.ndarray, weight: np.ndarray, n_terms: int = 0):
+        """``vectors`` is a matrix, or the (edge, places, values) of its rows with ``n_terms`` columns."""
+        if isinstance(vectors, np.ndarray):
+            rows, places = np.nonzero(vectors)
+            n_terms, vectors = vectors.shape[1], (np.r_[0, np.cumsum(np.bincount(rows, minlength=len(vectors)))], places, vectors[rows, places])
+        edge, places, values = vectors
+        size = np.diff(edge)
+        self.n, self.n_terms = len(size), n_terms
+        row = np.repeat(np.arange(self.n), size)
+        first = np.full(self.n, -1)  # examples with the same heaviest term are neighbours
+        by = np.lexsort((places, values, row))
+        first[row[by]] = places[by]
+        order = np.lexsort((np.arange(self.n), first))
+        take = _spans(edge[:-1][order], size[order])
+        self.edge = np.r_[0, np.cumsum(size[order])]
+        self.places, self.values = places[take].astype(np.int32), values[take].astype(np.float32)
+        self.toxic, self.weight = toxic[order], weight[order]
+        self.ready = False
+
+    def __getstate__(self):
+        keep = ("n", "n_terms", "edge", "places", "values", "toxic", "weight")
+        return {k: self.__dict__[k] for k in keep} | {"ready": False}
+
+    def _prepare(self) -> None:
+        """Lays out columns and postings, once in a process."""
+        row = np.repeat(np.arange(self.n), np.diff(self.edge))
+        count = np.bincount(self.places, minlength=self.n_terms)
+        often = np.argsort(-count, kind="stable")[:COLUMNS]
+        often = often[count[often] * COMMON > self.n]
+        self.column = np.full(self.n_terms, -1)
+        self.column[often] = np.arange(len(often))
+        column = self.column[self.places]
+        dense = column >= 0
+        self.matrix = np.zeros((self.n, len(often)), np.float32)
+        self.matrix[row[dense], column[dense]] = self.values[dense]
+        self.heads = np.arange(0, self.n, BLOCK)
+        self.largest = np.maximum.reduceat(self.matrix, self.heads, axis=0)
+        places, row, values = self.places[~dense], row[~dense], self.values[~dense]
+        by = np.argsort(places, kind="stable")
+        self.post_row, self.post_value = row[by].astype(np.int32), values[by]
+        self.post_size = np.bincount(places, minlength=self.n_terms)
+        self.post_edge = np.r_[0, np.cumsum(self.post_size)]
+        self.ready = True
 
     def nearest(self, places: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows and similarities of the k nearest; of equal ones the first in the index."""
-        bound = self.largest[:, places] @ values
-        rows, sims, kth = np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0
-        order = np.argsort(-bound, kind="stable")
-        step = 4
-        for s in range(0, len(order), step):
-            if bound[order[s]] <= 0 or (len(sims) >= k and bound[order[s]] < kth - 1e-6):
-                break
-            for b in order[s:s + step]:
-                here = np.arange(self.edges[b], min(self.edges[b] + BLOCK, len(self.vectors)))
-                rows = np.concatenate([rows, here])
-                sims = np.concatenate([sims, self.vectors[here[0]:here[-1] + 1][:, places] @ values])
-            best = np.lexsort((rows, -sims))[:k]
-            rows, sims = rows[best], sims[best]
-            kth = sims[-1]
-        near = sims > 0
-        return rows[near], sims[near]
+        return self.nearest_of([(places, values)], k)[0]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        if not self.n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        if not self.ready:
+            self._prepare()
+        sims, common = np.zeros((len(queries), self.n), np.float32), np.zeros((len(queries), self.matrix.shape[1]), np.float32)
+        for i, (places, values) in enumerate(queries):
+            column = self.column[places]
+            common[i, column[column >= 0]] = values[column >= 0]
+            places, values = places[column < 0], values[column < 0]
+            size = self.post_size[places]
+            at = _spans(self.post_edge[places], size) if len(places) else np.zeros(0, np.int64)
+            sims[i] = np.bincount(self.post_row[at], self.post_value[at] * np.repeat(values, size), self.n)
+        bound = common @ self.largest.T + np.maximum.reduceat(sims, self.heads, axis=1)
+        opened = np.zeros(bound.shape, bool)
+        best = np.zeros((len(queries), k), np.float32)  # similarities, none of which is negative
+        for j in np.argsort(-bound.sum(axis=0), kind="stable").tolist():
+            here = slice(self.heads[j], self.heads[j] + BLOCK)
+            who = np.flatnonzero(bound[:, j] >= best.min(axis=1) - ROUNDING)
+            if len(who):
+                sims[who, here] += common[who] @ self.matrix[here].T
+                opened[who, j] = True
+                best[who] = np.partition(np.concatenate([best[who], sims[who, here]], axis=1), -k, axis=1)[:, -k:]
+        found = []
+        full = np.zeros(self.n_terms)
+        for i, (places, values) in enumerate(queries):
+            rows = np.flatnonzero((sims[i] >= best[i].min() - ROUNDING) & (sims[i] > 0) & np.repeat(opened[i], BLOCK)[:self.n])
+            if len(rows):
+                full[places] = values
+                size = self.edge[rows + 1] - self.edge[rows]
+                at = _spans(self.edge[rows], size)
+                exact = np.add.reduceat(full[self.places[at]] * self.values[at], np.r_[0, np.cumsum(size)[:-1]])
+                full[places] = 0
+                near = np.lexsort((rows, -exact))[:k]
+                rows, exact = rows[near], exact[near]
+                found.append((rows[exact > 0], exact[exact > 0]))
+            else:
+                found.append((rows, np.zeros(0)))
+        return found
 
 
 def _training(labels: DataFrame, id_column: str, label_column: str, learn_from) -> DataFrame:
@@ -119,69 +190,92 @@ def _sample(labels: DataFrame) -> DataFrame:
     return parts[0].union(parts[1])
 
 
-def _choose_terms(rows: DataFrame, n: dict[int, int]) -> np.ndarray:
-    """Hashes of the terms that tell the labels apart best, by chi-square on documents."""
+def _counted(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of every text its distinct terms, as sorted hashes, and how often each is in it."""
+    done = 0
+    for first, row, h in terms(texts):
+        by = np.lexsort((h, row))
+        row, h = row[by], h[by]
+        new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])][:len(h)])
+        count = np.diff(np.r_[new, len(h)])
+        row, h = row[new] + first, h[new]
+        for _ in range(done, first):
+            yield h[:0], count[:0]
+        done = max(done, first)
+        last = int(row[-1]) + 1 if len(row) else done
+        edge = np.searchsorted(row, np.arange(done, last + 1))
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            yield h[lo:hi], count[lo:hi]
+        done = last
+    for _ in range(done, len(texts)):
+        yield np.zeros(0, U), np.zeros(0, np.int64)
+
+
+def _weights(places: np.ndarray, counts: np.ndarray, idf: np.ndarray, other: float = 0.0) -> np.ndarray:
+    """Weights of a vector of length 1, of which ``other`` is the square that other terms add to the length before."""
+    v = (1 + np.log(counts)) * idf[places]
+    norm = np.sqrt((v * v).sum() + other)
+    return (v / norm if norm else v).astype(np.float32)
+
+
+def _learned(examples: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(y, hashes, counts) of every example, in an order of their own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            y = b.column(0).to_numpy(zero_copy_only=False)
-            for first, row, h in terms(b.column(1)):
-                order = np.lexsort((h, row))
-                row, h = row[order], h[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                known, at = np.unique(h[new], return_inverse=True)
-                toxic = np.bincount(at, y[first + row[new]], len(known)).astype(np.int64)
-                every = np.bincount(at, minlength=len(known))
-                yield pa.RecordBatch.from_arrays([pa.array(known.astype(np.int64)), pa.array(toxic), pa.array(every - toxic)], ["h", "p", "q"])
-
-    counts = rows.select("y", "text").mapInArrow(run, "h long, p long, q long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    p, q = F.col("p").cast("double"), F.col("q").cast("double")
-    np_, nq = float(max(n[1], 1)), float(max(n[0], 1))
-    rate = (p + q) / (np_ + nq)
-    chi = (p / np_ - q / nq) * (p / np_ - q / nq) / (rate * (1 - rate) * (1 / np_ + 1 / nq) + 1e-9)
-    chosen = counts.where((F.col("p") >= LEAST) & (p / np_ > 2 * q / nq) & (chi >= SIGNIFICANT)).orderBy(chi.desc(), "h").limit(TERMS).select("h")
-    return np.sort(np.array([r.h for r in chosen.collect()], np.int64).astype(U))
-
-
-def _vectors(rows: DataFrame, keep: list[str], lookup: Lookup) -> DataFrame:
-    """The columns ``keep``, then the places and counts of the chosen terms in ``text``."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema) + ", places binary, counts binary"
+            found = list(_counted(b.column(1)))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())], ["y", "h", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            places, counts = [b""] * b.num_rows, [b""] * b.num_rows
-            for first, row, h in terms(b.column(len(keep))):
-                at, place = lookup(h)
-                key, count = np.unique((first + row[at]) * len(lookup.known) + place, return_counts=True)
-                doc = key // max(len(lookup.known), 1)
-                if not len(doc):
-                    continue
-                edge = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-                for lo, hi in zip(edge, [*edge[1:], len(doc)], strict=True):
-                    places[doc[lo]] = (key[lo:hi] - doc[lo] * len(lookup.known)).astype(np.int32).tobytes()
-                    counts[doc[lo]] = count[lo:hi].astype(np.int32).tobytes()
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(places, pa.binary()), pa.array(counts, pa.binary())], [*keep, "places", "counts"])
+    rows = examples.select("y", "text").mapInArrow(run, "y int, h binary, n binary").collect()
+    return [(r.y, np.frombuffer(r.h, U), np.frombuffer(r.n, np.int32)) for r in sorted(rows, key=lambda r: (r.y, bytes(r.h), bytes(r.n)))]
 
-    return rows.select(*keep, "text").mapInArrow(run, schema)
 
+def _frequencies(docs: DataFrame, known, dests: int) -> tuple[np.ndarray, int]:
+    """In how many of ``docs`` each known term is, and how many there are. Counts are packed by ranges of terms."""
+    schema = "dest int, docs long, place binary, df binary"
 
-def _weights(places: bytes, counts: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    p = np.frombuffer(places, np.int32)
-    v = (1 + np.log(np.frombuffer(counts, np.int32))) * idf[p]
-    norm = np.sqrt((v * v).sum())
-    return p, (v / norm if norm else v).astype(np.float32)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup, n = known.value, 0
+        df = np.zeros(len(lookup.known), np.int64)
+        for b in batches:
+            n += b.num_rows
+            for h, _ in _counted(b.column(0)):
+                df[lookup(h)[1]] += 1
+        at = np.flatnonzero(df)
+        edge = np.searchsorted(at, np.arange(dests + 1) * len(df) // dests)
+        cut_ = [slice(edge[d], edge[d + 1]) for d in range(dests)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(dests), pa.int32()), pa.array([n] + [0] * (dests - 1), pa.int64()),
+             pa.array([at[c].astype(np.int32).tobytes() for c in cut_], pa.binary()), pa.array([df[at[c]].tobytes() for c in cut_], pa.binary())], ["dest", "docs", "place", "df"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n = np.zeros(len(known.value.known), np.int64), 0
+        for b in batches:
+            for r in b.to_pylist():
+                n += r["docs"]
+                df[np.frombuffer(r["place"], np.int32)] += np.frombuffer(r["df"], np.int64)
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([n], pa.int64()), pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([df[at].tobytes()], pa.binary())], ["dest", "docs", "place", "df"])
+
+    df, n = np.zeros(len(known.value.known), np.int64), 0
+    for r in docs.select("text").mapInArrow(count, schema).repartition(dests, "dest").mapInArrow(add, schema).collect():
+        n += r.docs
+        df[np.frombuffer(r.place, np.int32)] += np.frombuffer(r.df, np.int64)
+    return df, n
 
 
 def scores(docs: DataFrame, labels: DataFrame, learn_from, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> DataFrame:
     """(doc_id, score, nearest, text_hash) for every row of ``docs``.
 
     ``learn_from`` maps an id column to whether a label may be learned from. Up to
-    ``EXAMPLES`` labelled rows of each label choose ``TERMS`` terms and become the
-    index; the inverse document frequency of the terms counts all of ``docs``. A score
-    is the share of toxic votes among the ``NEAREST`` examples by cosine; a vote counts
-    its similarity times the rows of its label that the example stands for, and the
-    base rate has ``PRIOR`` votes. Texts without a chosen term (null and empty ones too)
-    get the toxic share of the examples without one. ``nearest`` is the similarity of
+    ``EXAMPLES`` labelled rows of each label become the index, with all their terms; the
+    inverse document frequency counts all of ``docs``. Every text that shares a term with
+    an example is compared; terms that no example has only add to its length, as if no
+    other text had them. A score is the share of
+    toxic votes among the ``NEAREST`` examples by cosine; a vote counts its similarity
+    times the rows of its label that the example stands for, and the base rate has
+    ``PRIOR`` votes. Texts that share no term with an example (null and empty ones too)
+    get the toxic share of the examples without terms. ``nearest`` is the similarity of
     the nearest example. Repeated rows get equal scores; without labels all score 0;
     null ids and labels are not learned from; other columns are not read.
     """
@@ -189,57 +283,46 @@ def scores(docs: DataFrame, labels: DataFrame, learn_from, id_column: str = "doc
     docs = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     known = _training(labels, id_column, label_column, learn_from)
     total = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = {y: min(total.get(y, 0), EXAMPLES) for y in (0, 1)}
     sample = F.broadcast(cut(_sample(known)))  # at most 2 * EXAMPLES rows of two numbers
-    examples = docs.join(sample, "doc_id").select("y", "text")
-    lookup = Lookup(chosen) if len(chosen := _choose_terms(examples, n)) else None
-    if lookup is None:
-        base = total.get(1, 0) / max(1, sum(total.values()))
+    learned = _learned(docs.join(sample, "doc_id"))
+    base = total.get(1, 0) / max(1, sum(total.values()))
+    vocabulary = np.unique(np.concatenate([np.zeros(0, U), *(h for _, h, _ in learned)]))
+    if not len(vocabulary):
         return docs.select("doc_id", F.lit(float(base)).alias("score"), F.lit(0.0).alias("nearest"), "text_hash")
-    rows = cut(_vectors(docs, ["doc_id", "text_hash"], lookup))
-    size = len(lookup.known)
-
-    def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, count = np.zeros(size, np.int64), 0
-        for b in batches:
-            count += b.num_rows
-            for p in b.column(0).to_pylist():
-                df[np.frombuffer(p, np.int32)] += 1
-        at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), pa.array(np.r_[df[at], count])], ["place", "df"])
-
-    df = {r.place: r.df for r in rows.select("places").mapInArrow(frequency, "place long, df long").groupBy("place").agg(F.sum("df").alias("df")).collect()}
-    idf = np.log1p(df.get(-1, 0) / (1.0 + np.array([df.get(i, 0) for i in range(size)])))
-    learned = _vectors(examples, ["y"], lookup).collect()
-    share = {y: total.get(y, 0) / max(1, sum(r.y == y for r in learned)) for y in (0, 1)}
-    plain = {y: PRIOR * share[y] * (y == 0) + share[y] * sum(1 for r in learned if r.y == y and not r.places) for y in (0, 1)}
+    spread = docs.sparkSession.sparkContext.broadcast
+    lookup = spread(Lookup(vocabulary))
+    df, n_docs = _frequencies(docs, lookup, partitions(docs.sparkSession))
+    idf, rarest = np.log1p(n_docs / (1.0 + df)), float(np.log1p(n_docs / 2.0))
+    share = {y: total.get(y, 0) / max(1, sum(own == y for own, *_ in learned)) for y in (0, 1)}
+    plain = {y: PRIOR * share[y] * (y == 0) + share[y] * sum(1 for own, h, _ in learned if own == y and not len(h)) for y in (0, 1)}
     without = plain[1] / max(plain[0] + plain[1], 1e-9)
-    some = sorted((r for r in learned if r.places), key=lambda r: (r.y, r.places, r.counts))
-    dense = np.zeros((len(some), size), np.float32)
-    for i, r in enumerate(some):
-        p, v = _weights(r.places, r.counts, idf)
-        dense[i, p] = v
-    toxic = np.array([r.y for r in some], bool)
-    index = docs.sparkSession.sparkContext.broadcast(BlockMaxIndex(dense, toxic, np.where(toxic, share[1], share[0])))
-    base = total.get(1, 0) / max(1, sum(total.values()))
+    some = [(y, np.searchsorted(vocabulary, h), c) for y, h, c in learned if len(h)]
+    rows = (np.r_[0, np.cumsum([len(p) for _, p, _ in some])], np.concatenate([p for _, p, _ in some]), np.concatenate([_weights(p, c, idf) for _, p, c in some]))
+    toxic = np.array([y for y, *_ in some], bool)
+    index = spread((BlockMaxIndex(rows, toxic, np.where(toxic, share[1], share[0]), len(vocabulary)), idf))
     prior = PRIOR * sum(total.values()) / max(1, len(learned))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[tuple, tuple[float, float]] = {}
+        find, (near_by, idf) = lookup.value, index.value
         for b in batches:
-            out = []
-            for key in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if not key[0]:
-                    out.append((without, 0.0))
-                    continue
-                if key not in kept:
-                    near, sim = index.value.nearest(*_weights(*key, idf), NEAREST)
-                    votes = sim.astype(float) * index.value.weight[near]
-                    score = (votes[index.value.toxic[near]].sum() + prior * base) / (votes.sum() + prior)
-                    if len(kept) > 100_000:
-                        kept.clear()
-                    kept[key] = (float(score), float(sim[0]) if len(sim) else 0.0)
-                out.append(kept[key])
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[i] for o in out], pa.float64()) for i in (0, 1)), b.column(1)], ["doc_id", "score", "nearest", "text_hash"])
-
-    return rows.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, score double, nearest double, text_hash long")
+            out = np.tile([without, 0.0], (b.num_rows, 1))
+            asked: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+            def answer():
+                for (i, *_), (near, sim) in zip(asked, near_by.nearest_of([q[1:] for q in asked], NEAREST), strict=True):
+                    votes = sim * near_by.weight[near]
+                    out[i] = (votes[near_by.toxic[near]].sum() + prior * base) / (votes.sum() + prior), sim[0] if len(sim) else 0.0
+                asked.clear()
+
+            for i, (h, count) in enumerate(_counted(b.column(2))):
+                at, places = find(h)
+                if len(at):
+                    tf = 1 + np.log(np.delete(count, at))
+                    asked.append((i, places, _weights(places, count[at], idf, rarest * rarest * (tf * tf).sum())))
+                    if len(asked) == TOGETHER:
+                        answer()
+            if asked:
+                answer()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[:, 0]), pa.array(out[:, 1]), b.column(1)], ["doc_id", "score", "nearest", "text_hash"])
+
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, score double, nearest double, text_hash long")

@@ -384,6 +384,27 @@ def test_toxicity_finds_marked_texts(spark):
     assert toxicity.scores(docs.where("1 = 0"), known, lambda c: ~queries.held_out(c)).count() == 0
 
 
+def test_every_term_of_the_examples_counts(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abc") for _ in range(3)) for _ in range(200)]  # no longer words, so words are the terms
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 25))) if i % 11 else None) for i in range(150)]
+    rows += [(200, "rare ab zz"), (201, "rare xx yy"), (202, "lone qq"), (203, "")]
+    labels = [(i, int(i % 3 == 0)) for i in range(0, 150, 2)] + [(200, 1)]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.scores(docs.repartition(3), known, lambda c: F.lit(True)).collect()}
+
+    bags = {i: collections.Counter((t or "").split()) for i, t in rows}
+    df = collections.Counter(w for b in bags.values() for w in b)
+    seen = {w for i, _ in labels for w in bags[i]}
+    idf = {w: np.log1p(len(rows) / (1 + (df[w] if w in seen else 1))) for w in df}
+    unit = {i: {w: (1 + np.log(n)) * idf[w] for w, n in b.items()} for i, b in bags.items()}
+    norm = {i: np.sqrt(sum(x * x for x in v.values())) for i, v in unit.items()}
+    for i in bags:
+        near = max((sum(x * unit[j].get(w, 0) for w, x in unit[i].items()) / (norm[i] * norm[j] or 1) for j, _ in labels), default=0)
+        assert abs(got[i].nearest - near) < 1e-5, i
+    assert got[201].nearest > 0 and got[201].score > got[202].score and got[202].nearest == got[203].nearest == 0
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(2)
     v = np.where(rng.random((500, 40)) < 0.1, rng.random((500, 40)), 0).astype(np.float32)
