@@ -20,7 +20,7 @@ TOGETHER = 64
 # More than rounding adds to a similarity in single precision.
 ROUNDING = 1e-4
 NEAREST = 25
-BLOCK = 64
+BLOCK = 256
 # Votes of the base rate, so that a far neighbour cannot decide alone.
 PRIOR = 0.5
 # Lengths in bytes of the beginnings of a word that are terms besides the word.
@@ -226,8 +226,9 @@ def _learned(examples: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())], ["y", "h", "n"])
 
-    rows = examples.select("y", "text").mapInArrow(run, "y int, h binary, n binary").collect()
-    return [(r.y, np.frombuffer(r.h, U), np.frombuffer(r.n, np.int32)) for r in sorted(rows, key=lambda r: (r.y, bytes(r.h), bytes(r.n)))]
+    y, h, n = examples.select("y", "text").mapInArrow(run, "y int, h binary, n binary").toArrow().columns
+    rows = [(a.as_py(), np.frombuffer(b.as_buffer(), U), np.frombuffer(c.as_buffer(), np.int32)) for a, b, c in zip(y, h, n, strict=True)]
+    return sorted(rows, key=lambda r: (r[0], len(r[1]), int(r[1].sum(dtype=U)), int((mix(r[1]) * r[2].astype(U)).sum(dtype=U))))
 
 
 def _frequencies(docs: DataFrame, known, dests: int) -> tuple[np.ndarray, int]:
@@ -296,11 +297,13 @@ def scores(docs: DataFrame, labels: DataFrame, learn_from, id_column: str = "doc
     share = {y: total.get(y, 0) / max(1, sum(own == y for own, *_ in learned)) for y in (0, 1)}
     plain = {y: PRIOR * share[y] * (y == 0) + share[y] * sum(1 for own, h, _ in learned if own == y and not len(h)) for y in (0, 1)}
     without = plain[1] / max(plain[0] + plain[1], 1e-9)
-    some = [(y, np.searchsorted(vocabulary, h), c) for y, h, c in learned if len(h)]
+    some = [(y, np.searchsorted(vocabulary, h).astype(np.int32), c) for y, h, c in learned if len(h)]
     rows = (np.r_[0, np.cumsum([len(p) for _, p, _ in some])], np.concatenate([p for _, p, _ in some]), np.concatenate([_weights(p, c, idf) for _, p, c in some]))
     toxic = np.array([y for y, *_ in some], bool)
+    del some
     index = spread((BlockMaxIndex(rows, toxic, np.where(toxic, share[1], share[0]), len(vocabulary)), idf))
     prior = PRIOR * sum(total.values()) / max(1, len(learned))
+    del learned, rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, (near_by, idf) = lookup.value, index.value
