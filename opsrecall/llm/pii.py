@@ -129,11 +129,15 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _of_kind(order: int):
+    return lambda s: s["order"] == order
+
+
 def digest(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Counts of the base kinds, a hash of their spans, and all spans, of every row."""
     spans = with_spans(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
     base = F.filter("pii_spans", lambda s: s["order"] < len(BASE))
-    counts = [F.size(F.filter("pii_spans", lambda s, i=i: s["order"] == i)).cast("long").alias(f"n_{k.name}") for i, k in enumerate(BASE)]
+    counts = [F.size(F.filter("pii_spans", _of_kind(i))).cast("long").alias(f"n_{k.name}") for i, k in enumerate(BASE)]
     return spans.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii_spans")).alias("spans"))
 
 
