@@ -94,13 +94,13 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
 def nearest(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows by cosine of every query row.
 
-    ``is_query`` maps the id column to whether a row is a query. Candidates are all rows
-    with another id and as many components; fewer than k are all returned. Null ids are
-    candidates, not queries. Repeated rows are candidates each. Blocks of ``BLOCK``
+    ``is_query`` maps the id column to whether a row is a query. Candidates are all other
+    rows with as many components; fewer than k are all returned. Null ids are candidates,
+    not queries. Repeated rows and ids are queries and candidates each. Blocks of ``BLOCK``
     vectors meet blocks of ``QUERIES`` queries, so no task holds more than one of each
     and a group of equal vectors is spread over blocks; all rows are indexed.
     """
-    rows = usable(vectors, id_column, vector_column)
+    rows = cut(usable(vectors, id_column, vector_column).withColumn("row", F.monotonically_increasing_id()))
     asked = rows.where(is_query(F.col("vec_id")))
     n, q = (x.groupBy("size").agg(F.count(F.lit(1)).alias("n")) for x in (rows, asked))
     grid = cut(n.withColumnRenamed("n", "rows").join(q.withColumnRenamed("n", "asks"), "size").select(
@@ -108,25 +108,27 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_column: str = "vec_id",
     grid = F.broadcast(grid)  # a row for each number of components
 
     def celled(df: DataFrame, own: str, other: str, salt: int) -> DataFrame:
-        mine = F.pmod(F.xxhash64(F.lit(salt), "vec_id", "v"), F.col(own)).cast("int").alias(own + "_no")
-        spread = df.join(grid, df["size"] == grid["grid_size"]).select("vec_id", "v", "size", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other + "_no"))
-        return spread.select("vec_id", "v", "size", "blocks_no", "askers_no")
+        mine = F.pmod(F.xxhash64(F.lit(salt), "row"), F.col(own)).cast("int").alias(own + "_no")
+        spread = df.join(grid, df["size"] == grid["grid_size"]).select("row", "vec_id", "v", "size", mine, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other + "_no"))
+        return spread.select("row", F.coalesce("vec_id", F.lit(0)).alias("vec_id"), F.col("vec_id").isNull().alias("no_id"), "v", "size", "blocks_no", "askers_no")
 
-    data = celled(rows, "blocks", "askers", 1).toDF("vec_id", "v", "size", "block", "asker")
-    asks = celled(asked, "askers", "blocks", 2).toDF("query_id", "query", "query_size", "query_block", "query_asker")
+    data = celled(rows, "blocks", "askers", 1).toDF("row", "vec_id", "no_id", "v", "size", "block", "asker")
+    asks = celled(asked, "askers", "blocks", 2).toDF("query_row", "query_id", "no_query_id", "query", "query_size", "query_block", "query_asker")
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
             index = Collisions(np.stack(left["v"].to_numpy()))
-            ids = left["vec_id"].to_numpy(np.float64, na_value=np.inf)
-            exact = left["vec_id"].tolist()
-            for query, v in zip(right["query_id"].tolist(), right["query"], strict=True):
-                rows_, cosines = index.nearest(np.asarray(v, float), ids == query, ids, k)
-                out += [(int(query), None if pd.isna(exact[i]) else int(exact[i]), float(c)) for i, c in zip(rows_.tolist(), cosines, strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"vec_id": "Int64"})
+            ids, no_id, own = left["vec_id"].to_numpy(np.int64), left["no_id"].to_numpy(bool), left["row"].to_numpy(np.int64)
+            place = np.empty(len(ids), np.int64)
+            place[np.lexsort((ids, no_id))] = np.arange(len(ids))  # ties go to the smaller id, null last
+            for row, query, v in zip(right["query_row"].tolist(), right["query_id"].tolist(), right["query"], strict=True):
+                rows_, cosines = index.nearest(np.asarray(v, float), own == row, place, k)
+                out += [(row, query, None if no_id[i] else int(ids[i]), float(c)) for i, c in zip(rows_.tolist(), cosines, strict=True)]
+        found = pd.DataFrame(out, columns=["query_row", "query_id", "vec_id", "score"])
+        return found.assign(vec_id=pd.array(found["vec_id"].tolist(), dtype="Int64"))
 
     cells = asks.groupBy("query_size", "query_block", "query_asker")
-    found = data.groupBy("size", "block", "asker").cogroup(cells).applyInPandas(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
+    found = data.groupBy("size", "block", "asker").cogroup(cells).applyInPandas(search, "query_row long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
