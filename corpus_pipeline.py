@@ -53,10 +53,10 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, up to 3 times; wordless ones take no room and stay once."""
     taken = mixing.mix(docs).select(
-        F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"),
+        F.col("doc_id").alias("__id"), F.col("row_hash").alias("__hash"), F.col("source").alias("__source"),
         F.when(F.col("size") == 0, 1).otherwise(F.col("taken") / F.greatest("size", F.lit(1))).cast("int").alias("__copies")).distinct()
     keyed = docs.withColumn("__row", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - mixing.HASH_BITS))
-    joined = keyed.join(taken, keyed["doc_id"].eqNullSafe(taken["__id"]) & (F.col("__row") == F.col("__hash")))
+    joined = keyed.join(taken, keyed["doc_id"].eqNullSafe(taken["__id"]) & (F.col("__row") == F.col("__hash")) & keyed["source"].eqNullSafe(taken["__source"]))
     return joined.where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
