@@ -241,6 +241,8 @@ def test_personal_data(spark):
         want = base_spans(t or "")
         assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest(), (i, want, got[i].spans)
         assert set(filter(None, want.split(","))) <= set(got[i].spans.split(","))
+        kinds = collections.Counter(s.split(":")[0] for s in filter(None, want.split(",")))
+        assert {k: got[i][f"n_{k}"] for k in ("email", "ip", "card", "phone")} == {k: kinds[k] for k in ("email", "ip", "card", "phone")}
     assert "iban:4:31" in got[10].spans and "national_id:41:52" in got[10].spans
     assert "local_phone:5:17" in got[12].spans
     masked = {r.doc_id: r.text for r in pii.redact(df).collect()}
@@ -443,6 +445,16 @@ def test_neighbours(spark, monkeypatch):
     assert neighbours.nearest(df.where("1 = 0"), lambda c: c % 50 == 0).count() == 0
 
 
+def test_neighbours_of_large_and_repeated_ids(spark):
+    big = 9007199254741000
+    rows = [(big + k, [1.0, float(k)]) for k in range(4)] + [(50, [1.0, 0.5]), (50, [1.0, 0.5]), (50, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = neighbours.nearest(df, lambda c: c.isin(50, big), 6).collect()
+    assert sorted(r.vec_id for r in got if r.query_id == big) == sorted(i for i, _ in rows if i != big)
+    first = sorted((r.vec_id, round(r.score, 9)) for r in got if r.query_id == 50 and r["rank"] == 1)
+    assert len([r for r in got if r.query_id == 50]) == 18 and first[:2] == [(50, 1.0), (50, 1.0)]
+
+
 def test_pipeline_stages(spark, rows, tmp_path):
     import corpus_pipeline
 

@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from opsrecall.llm import toxicity
+from opsrecall.llm import mixing, toxicity
 from tests.llm.test_operators import sentence
 
 SCHEMA = "doc_id long, text string, source string"
@@ -48,3 +48,11 @@ def test_one_row_of_each_group_of_near_duplicates_stays(spark):
     assert len(with_words) == 4
     assert {(4, a + " other", "x"), (5, c, "y"), (None, d, "x")} <= set(with_words)
     assert [r for r in got if not (r[1] or "").strip()] == sorted(rows[-4:], key=str)
+
+
+def test_equal_rows_of_two_sources_are_mixed_by_source(spark):
+    rows = [(1, "one two three", "a"), (1, "one two three", "b"), (2, "four five six", "a"), (3, "seven", None), (4, None, "b")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = [tuple(r)[:1] + (r.source,) for r in mixing.mix(docs).collect() for _ in range(1 if not r.size else r.taken // r.size)]
+    got = [(r.doc_id, r.source) for r in corpus_pipeline.mix_sources(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
