@@ -1,3 +1,24 @@
-"""DuckDB statements for the operators that SQL can express."""
+"""DuckDB statements for the registered queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op13_hard_negatives": """
+        WITH taken AS (
+            SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+        pairs AS (
+            SELECT a.r AS anchor_row, a.vec_id AS anchor_id, b.r, b.vec_id, a.label = b.label AS same,
+                CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM taken a JOIN taken b ON a.r <> b.r AND len(a.v) = len(b.v)
+            WHERE a.vec_id % 100 = 0),
+        positives AS (
+            SELECT * FROM pairs WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_row ORDER BY score DESC, vec_id NULLS LAST) <= 5)
+        SELECT p.anchor_id, p.vec_id AS positive_id,
+            CAST(row_number() OVER (PARTITION BY p.anchor_row, p.r ORDER BY n.score DESC, n.vec_id NULLS LAST) AS INTEGER) AS rank,
+            n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+        FROM positives p JOIN pairs n ON n.anchor_row = p.anchor_row AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+        QUALIFY row_number() OVER (PARTITION BY p.anchor_row, p.r ORDER BY n.score DESC, n.vec_id NULLS LAST) <= 5
+    """,
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from opsrecall.llm import chat, fingerprints, mixing, neighbours, packing, pii, suffix_dedup, token_counts, toxicity
+from opsrecall.llm import chat, fingerprints, hard_negatives, mixing, neighbours, packing, pii, suffix_dedup, token_counts, toxicity
 from opsrecall.llm.common import table
 from opsrecall.llm.ngram_join import near_duplicates
 
@@ -78,3 +78,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda c: c % 50 == 0)
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def label_of(vec_id: Column, label: Column) -> Column:
+        return F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), lambda c: c % 100 == 0, label_of)

@@ -1,0 +1,69 @@
+"""Hard negatives, resampling and secrets against brute force on small tables with odd rows."""
+
+import collections
+import math
+
+import numpy as np
+import pytest
+
+from opsrecall.llm import hard_negatives
+
+
+def negatives_by_hand(rows):
+    taken = [(i, label, [math.floor(256 * x) for x in v]) for i, v, label in rows if label is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    taken = [(i, (label + 1) % 10 if i is not None and i % 7 == 0 else label, v) for i, label, v in taken]
+    last = lambda i: (i is None, i or 0)
+    out = []
+    for at, (anchor, label, a) in enumerate(taken):
+        if anchor is None or anchor % 100:
+            continue
+        scored = [(-sum(x * y for x, y in zip(a, v, strict=True)), last(i), i, own) for k, (i, own, v) in enumerate(taken) if k != at and len(v) == len(a)]
+        for minus, _, positive, _ in sorted(s for s in scored if s[3] == label)[:5]:
+            fits = sorted((s for s in scored if s[3] != label and 80 * -minus <= 100 * -s[0] <= 100 * -minus), key=lambda s: s[:2])[:5]
+            out += [(anchor, positive, r, i, -minus, -m) for r, (m, _, i, _) in enumerate(fits, 1)]
+    return out
+
+
+def mined(df):
+    return hard_negatives.mine(df, lambda c: c % 100 == 0, lambda i, label: queries_label(i, label))
+
+
+def queries_label(i, label):
+    from pyspark.sql import functions as F
+
+    return F.when(i % 7 == 0, (label + 1) % 10).otherwise(label)
+
+
+@pytest.mark.parametrize("block", [64, 8192])
+def test_hard_negatives(spark, monkeypatch, block):
+    monkeypatch.setattr(hard_negatives, "BLOCK", block)
+    monkeypatch.setattr(hard_negatives, "ANCHORS", 3 if block == 64 else 1024)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(420, 8)).round(2)
+    v[:60] = v[100]  # a frequent vector: many ties
+    v[200:230] = v[200] * 0.9
+    rows = [(i, x.tolist(), int(rng.integers(0, 4))) for i, x in enumerate(v)]
+    rows += [(500, None, 1), (600, v[0].tolist(), None), (700, [float("nan")] * 8, 1), (800, [1.0, None], 1), (900, [1.0, 2.0], 1), (901, [2.0, 1.0], 1), (902, [1.9, 1.0], 2),
+             (None, v[100].tolist(), 2), (100, v[100].tolist(), 1), (100, v[3].tolist(), 2), (1000, [], 1), (1001, [], 1), (1002, [], 3), (1100, [0.0] * 8, 2), (1200, [1e6] * 8, 2), (1201, [3e6] * 8, 3)]
+    df = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "vec_id long, embedding array<double>, label int, score string, row int, size int").repartition(5)
+    got = [tuple(r) for r in mined(df).collect()]
+    assert sorted(got, key=str) == sorted(negatives_by_hand(rows), key=str)
+    assert len(got) > 40 and mined(df.where("1 = 0")).count() == 0
+    assert collections.Counter(r[0] for r in got)[100] > 0
+
+
+def test_the_threshold_stops_before_all_rows_are_read():
+    rng = np.random.default_rng(4)
+    v = (256 * rng.normal(size=(5000, 4))).astype(np.int64)
+    lists = hard_negatives.SortedLists(v)
+    anchor = np.array([900, 0, -5, 3])
+    best, read = hard_negatives.Best(np.arange(5000), 5), []
+
+    def done(rows, scores, threshold):
+        read.append(len(rows))
+        best.feed(rows, scores)
+        return best.closed(threshold)
+
+    lists.read(anchor, done)
+    want = np.lexsort((np.arange(5000), -(v @ anchor)))[:5]
+    assert best.rows.tolist() == want.tolist() and sum(read) < 2500
