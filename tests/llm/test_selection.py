@@ -1,12 +1,18 @@
 """Hard negatives, resampling and secrets against brute force on small tables with odd rows."""
 
 import collections
+import hashlib
 import math
+import random
+import re
+import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from opsrecall.llm import hard_negatives
+from opsrecall.llm import hard_negatives, radix, resampling
+from opsrecall.session import cut
 
 
 def negatives_by_hand(rows):
@@ -29,8 +35,6 @@ def mined(df):
 
 
 def queries_label(i, label):
-    from pyspark.sql import functions as F
-
     return F.when(i % 7 == 0, (label + 1) % 10).otherwise(label)
 
 
@@ -67,3 +71,64 @@ def test_the_threshold_stops_before_all_rows_are_read():
     lists.read(anchor, done)
     want = np.lexsort((np.arange(5000), -(v @ anchor)))[:5]
     assert best.rows.tolist() == want.tolist() and sum(read) < 2500
+
+
+def features_by_hand(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    runs = [" ".join(words[i:i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
+    return words, [zlib.crc32(r.encode()) % 10000 for r in runs]
+
+
+def resampled_by_hand(rows, target):
+    found = [(i, *features_by_hand(t)) for i, t in rows]
+    s, t = collections.Counter(b for *_, f in found for b in f), collections.Counter(b for x in target for b in features_by_hand(x)[1])
+    s_all, t_all = sum(s.values()) + 10000, sum(t.values()) + 10000
+    gain = {b: math.floor(1000 * math.log((t[b] + 1) * s_all / ((s[b] + 1) * t_all))) for b in range(10000)}
+    out = []
+    for i, words, f in found:
+        h = int(hashlib.sha256(f"42:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in f)
+        out.append([i, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, len(words)])
+    fit = sorted((r for r in out if r[5] >= 20), key=lambda r: (-r[3], r[0] is None, r[0] or 0, -r[1]))
+    for k, r in enumerate(fit[:5 * len(fit) // 100], 1):
+        r[4] = k
+    return sorted((tuple(r[:5]) for r in out), key=str)
+
+
+def test_resampling(spark):
+    rng = random.Random(2)
+    word = lambda: rng.choice(["alpha", "Beta", "gamma9", "été", "语言", "x", "the", "OF", "z" * 70, "q" * 64, "w" * 65, "v" * 66, "long" * 60])
+    rows = [(i, rng.choice([" ", "-", "\x00", "\n"]).join(word() for _ in range(rng.randint(15, 60)))) for i in range(300)]
+    rows += [(7, rows[7][1])] * 3 + [(7, rows[8][1])] + [(None, rows[9][1]), (None, "short"), (None, None), (400, ""), (401, None), (402, "?!"), (-5, "y" * 200_000 + " end"), (2 ** 62, rows[3][1]), (-2 ** 62, rows[3][1])]
+    target = [" ".join(word() for _ in range(30)) for _ in range(20)] + [None, ""]
+    df = spark.createDataFrame([(*r, 1, "a", 2) for r in rows], "doc_id long, text string, score int, part string, pos int").repartition(5)
+    goal = spark.createDataFrame([(x, "s") for x in target], "text string, source string")
+    got = sorted((tuple(r) for r in resampling.resample(df, goal).select("doc_id", "n_features", "weight", "score", "rank").collect()), key=str)
+    assert got == resampled_by_hand(rows, target)
+    assert sum(r[4] is not None for r in got) > 10
+    assert resampling.resample(df.where("1 = 0"), goal).count() == 0
+    empty = sorted((tuple(r) for r in resampling.resample(df, goal.where("1 = 0")).collect()), key=str)
+    assert empty == resampled_by_hand(rows, [])
+
+
+def test_places_are_those_of_a_sort(spark, monkeypatch):
+    monkeypatch.setattr(radix, "DIGIT_BITS", 5)
+    rng = random.Random(1)
+    rows = [(rng.choice([0, 0, 0, 5, -2 ** 63, 2 ** 63 - 1, rng.randint(-1000, 1000)]), rng.randint(0, 40), i) for i in range(700)]
+    df = cut(spark.createDataFrame(rows, "a long, b long, c long").repartition(6))
+    placed, n = radix.places(df, ["a", "b"])
+    got = {r.pos: (r.a, r.b) for r in placed.collect()}
+    assert n == 700 and [got[k] for k in range(n)] == sorted(r[:2] for r in rows)
+    same, _ = radix.places(df.withColumn("a", F.lit(3).cast("long")), ["a"])
+    assert sorted(r.pos for r in same.collect()) == list(range(n))
+
+
+def test_checksums_are_those_of_zlib():
+    rng = np.random.default_rng(5)
+    data = rng.integers(0, 256, 40_000).astype(np.uint8)
+    starts = rng.integers(0, 30_000, 500)
+    size = np.r_[rng.integers(1, 90, 490), [63, 64, 65, 66, 67, 1000, 5000, 9999, 1, 2]]
+    got = resampling.checksums(data, starts, size)
+    assert got.tolist() == [zlib.crc32(data[s:s + n]) for s, n in zip(starts, size, strict=True)]
+    both = resampling.shift(got, size[::-1].copy()) ^ got[::-1]
+    assert both.tolist() == [zlib.crc32(data[a:a + n].tobytes() + data[b:b + m].tobytes()) for a, n, b, m in zip(starts, size, starts[::-1], size[::-1], strict=True)]
