@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from opsrecall.llm import chat, fingerprints, hard_negatives, mixing, neighbours, packing, pii, resampling, suffix_dedup, token_counts, toxicity
+from opsrecall.llm import chat, fingerprints, hard_negatives, mixing, neighbours, packing, pii, resampling, secrets, suffix_dedup, token_counts, toxicity
 from opsrecall.llm.common import table
 from opsrecall.llm.ngram_join import near_duplicates
 
@@ -85,6 +85,11 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 @query
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     def label_of(vec_id: Column, label: Column) -> Column:
