@@ -72,7 +72,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda c: ~held_out(c))
     return scored.select(
         "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
-        (F.col("score") >= TOXIC).cast("int").alias("predicted"), "nearest")
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"), "nearest", "evidence")
 
 
 @query

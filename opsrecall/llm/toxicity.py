@@ -24,7 +24,9 @@ BLOCK = 256
 # Votes of the base rate, so that a far neighbour cannot decide alone.
 PRIOR = 0.5
 # Lengths in bytes of the beginnings of a word that are terms besides the word.
-PREFIXES = (4, 5, 6, 8, 10)
+PREFIXES = (4,)
+# Nearest examples shown as evidence.
+SHOWN = 3
 
 LETTER = np.zeros(256, bool)
 LETTER[128:] = True
@@ -91,8 +93,8 @@ class BlockMaxIndex:
     the same for equal texts.
     """
 
-    def __init__(self, vectors, toxic: np.ndarray, weight: np.ndarray, n_terms: int = 0):
-        """``vectors`` is a matrix, or the (edge, places, values) of its rows with ``n_terms`` columns."""
+    def __init__(self, vectors, toxic: np.ndarray, weight: np.ndarray, n_terms: int = 0, ids: np.ndarray | None = None):
+        """``vectors`` is a matrix, or the (edge, places, values) of its rows with ``n_terms`` columns; ``ids`` name the rows."""
         if isinstance(vectors, np.ndarray):
             rows, places = np.nonzero(vectors)
             n_terms, vectors = vectors.shape[1], (np.r_[0, np.cumsum(np.bincount(rows, minlength=len(vectors)))], places, vectors[rows, places])
@@ -108,10 +110,11 @@ class BlockMaxIndex:
         self.edge = np.r_[0, np.cumsum(size[order])]
         self.places, self.values = places[take].astype(np.int32), values[take].astype(np.float32)
         self.toxic, self.weight = toxic[order], weight[order]
+        self.ids = (np.arange(self.n) if ids is None else ids)[order]
         self.ready = False
 
     def __getstate__(self):
-        keep = ("n", "n_terms", "edge", "places", "values", "toxic", "weight")
+        keep = ("n", "n_terms", "edge", "places", "values", "toxic", "weight", "ids")
         return {k: self.__dict__[k] for k in keep} | {"ready": False}
 
     def _prepare(self) -> None:
@@ -218,17 +221,17 @@ def _weights(places: np.ndarray, counts: np.ndarray, idf: np.ndarray, other: flo
     return (v / norm if norm else v).astype(np.float32)
 
 
-def _learned(examples: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(y, hashes, counts) of every example, in an order of their own."""
+def _learned(examples: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray, int]]:
+    """(y, hashes, counts, id) of every example, in an order of their own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = list(_counted(b.column(1)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary())], ["y", "h", "n"])
+                [b.column(0), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in found], pa.binary()), b.column(2)], ["y", "h", "n", "id"])
 
-    y, h, n = examples.select("y", "text").mapInArrow(run, "y int, h binary, n binary").toArrow().columns
-    rows = [(a.as_py(), np.frombuffer(b.as_buffer(), U), np.frombuffer(c.as_buffer(), np.int32)) for a, b, c in zip(y, h, n, strict=True)]
-    return sorted(rows, key=lambda r: (r[0], len(r[1]), int(r[1].sum(dtype=U)), int((mix(r[1]) * r[2].astype(U)).sum(dtype=U))))
+    y, h, n, ids = examples.select("y", "text", F.col("doc_id").cast("long").alias("id")).mapInArrow(run, "y int, h binary, n binary, id long").toArrow().columns
+    rows = [(a.as_py(), np.frombuffer(b.as_buffer(), U), np.frombuffer(c.as_buffer(), np.int32), d.as_py()) for a, b, c, d in zip(y, h, n, ids, strict=True)]
+    return sorted(rows, key=lambda r: (r[0], len(r[1]), int(r[1].sum(dtype=U)), int((mix(r[1]) * r[2].astype(U)).sum(dtype=U)), r[3]))
 
 
 def _frequencies(docs: DataFrame, known, dests: int) -> tuple[np.ndarray, int]:
@@ -265,67 +268,120 @@ def _frequencies(docs: DataFrame, known, dests: int) -> tuple[np.ndarray, int]:
     return df, n
 
 
+def calibration(raw: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the log odds of a share of votes, fitted to the labels of ``weight`` rows each."""
+    x = np.log(np.clip(raw, 1e-4, 1 - 1e-4) / (1 - np.clip(raw, 1e-4, 1 - 1e-4)))
+    at = np.array([1.0, 0.0])
+
+    def loss(at: np.ndarray) -> float:
+        z = at[0] * x + at[1]
+        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * ((at - [1, 0]) ** 2).sum())
+
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(at[0] * x + at[1], -30, 30)))
+        w = weight * p * (1 - p)
+        g = np.array([(weight * (p - y) * x).sum(), (weight * (p - y)).sum()]) + at - [1, 0]
+        h = np.array([[(w * x * x).sum(), (w * x).sum()], [(w * x).sum(), w.sum()]]) + np.eye(2)
+        step = np.linalg.solve(h, g)
+        while np.abs(step).max() > 1e-9 and loss(at - step) > loss(at):
+            step /= 2
+        if np.abs(step).max() <= 1e-9:
+            break
+        at = at - step
+    return float(max(at[0], 1e-3)), float(at[1])
+
+
 def scores(docs: DataFrame, labels: DataFrame, learn_from, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> DataFrame:
-    """(doc_id, score, nearest, text_hash) for every row of ``docs``.
+    """(doc_id, score, nearest, text_hash, evidence) for every row of ``docs``.
 
     ``learn_from`` maps an id column to whether a label may be learned from. Up to
     ``EXAMPLES`` labelled rows of each label become the index, with all their terms; the
     inverse document frequency counts all of ``docs``. Every text that shares a term with
     an example is compared; terms that no example has only add to its length, as if no
-    other text had them. A score is the share of
-    toxic votes among the ``NEAREST`` examples by cosine; a vote counts its similarity
-    times the rows of its label that the example stands for, and the base rate has
-    ``PRIOR`` votes. Texts that share no term with an example (null and empty ones too)
-    get the toxic share of the examples without terms. ``nearest`` is the similarity of
-    the nearest example. Repeated rows get equal scores; without labels all score 0;
-    null ids and labels are not learned from; other columns are not read.
+    other text had them. The share of
+    toxic votes among the ``NEAREST`` examples by cosine, a vote counting its similarity
+    times the rows of its label that the example stands for and the base rate
+    ``PRIOR`` votes, becomes a score by a logistic curve fitted to the votes that the
+    examples get from the others. Texts that share no term with an example (null and empty
+    ones too) get the toxic share of the examples without terms. ``nearest`` is the
+    similarity of the nearest example, ``evidence`` the ids of the ``SHOWN`` nearest.
+    Repeated rows get equal scores; of rows with one labelled id the text with the least
+    hash is learned from; without labels all score 0; null ids and labels are not learned
+    from; other columns are not read.
     """
     text = F.col(text_column)
     docs = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     known = _training(labels, id_column, label_column, learn_from)
     total = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     sample = F.broadcast(cut(_sample(known)))  # at most 2 * EXAMPLES rows of two numbers
-    learned = _learned(docs.join(sample, "doc_id"))
+    examples = cut(docs.join(sample, "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("text_hash", "text")).alias("t")).select("doc_id", "y", "t.text"))
+    learned = _learned(examples)
     base = total.get(1, 0) / max(1, sum(total.values()))
-    vocabulary = np.unique(np.concatenate([np.zeros(0, U), *(h for _, h, _ in learned)]))
+    vocabulary = np.unique(np.concatenate([np.zeros(0, U), *(r[1] for r in learned)]))
     if not len(vocabulary):
-        return docs.select("doc_id", F.lit(float(base)).alias("score"), F.lit(0.0).alias("nearest"), "text_hash")
+        return docs.select("doc_id", F.lit(float(base)).alias("score"), F.lit(0.0).alias("nearest"), "text_hash", F.array().cast("array<bigint>").alias("evidence"))
     spread = docs.sparkSession.sparkContext.broadcast
     lookup = spread(Lookup(vocabulary))
     df, n_docs = _frequencies(docs, lookup, partitions(docs.sparkSession))
     idf, rarest = np.log1p(n_docs / (1.0 + df)), float(np.log1p(n_docs / 2.0))
-    share = {y: total.get(y, 0) / max(1, sum(own == y for own, *_ in learned)) for y in (0, 1)}
-    plain = {y: PRIOR * share[y] * (y == 0) + share[y] * sum(1 for own, h, _ in learned if own == y and not len(h)) for y in (0, 1)}
+    share = {y: total.get(y, 0) / max(1, sum(r[0] == y for r in learned)) for y in (0, 1)}
+    plain = {y: PRIOR * share[y] * (y == 0) + share[y] * sum(1 for r in learned if r[0] == y and not len(r[1])) for y in (0, 1)}
     without = plain[1] / max(plain[0] + plain[1], 1e-9)
-    some = [(y, np.searchsorted(vocabulary, h).astype(np.int32), c) for y, h, c in learned if len(h)]
-    rows = (np.r_[0, np.cumsum([len(p) for _, p, _ in some])], np.concatenate([p for _, p, _ in some]), np.concatenate([_weights(p, c, idf) for _, p, c in some]))
-    toxic = np.array([y for y, *_ in some], bool)
+    some = [(y, np.searchsorted(vocabulary, h).astype(np.int32), c, i) for y, h, c, i in learned if len(h)]
+    rows = (np.r_[0, np.cumsum([len(r[1]) for r in some])], np.concatenate([r[1] for r in some]), np.concatenate([_weights(r[1], r[2], idf) for r in some]))
+    toxic = np.array([r[0] for r in some], bool)
+    ids = np.array([r[3] for r in some], np.int64)
     del some
-    index = spread((BlockMaxIndex(rows, toxic, np.where(toxic, share[1], share[0]), len(vocabulary)), idf))
+    index = spread((BlockMaxIndex(rows, toxic, np.where(toxic, share[1], share[0]), len(vocabulary), ids), idf))
     prior = PRIOR * sum(total.values()) / max(1, len(learned))
     del learned, rows
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def voted(texts: pa.Array, but_one: bool) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+        """Share of toxic votes, similarity of the nearest, and nearest ids of every text; ``but_one``
+        leaves out one example as good as equal to the text, the text itself."""
         find, (near_by, idf) = lookup.value, index.value
+        raw, first, shown = np.full(len(texts), np.nan), np.zeros(len(texts)), [[] for _ in range(len(texts))]
+        asked: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+        def answer() -> None:
+            for (i, *_), (near, sim) in zip(asked, near_by.nearest_of([q[1:] for q in asked], NEAREST + but_one), strict=True):
+                if but_one:
+                    near, sim = (near[1:], sim[1:]) if len(sim) and sim[0] > 1 - ROUNDING else (near[:NEAREST], sim[:NEAREST])
+                votes = sim * near_by.weight[near]
+                raw[i] = (votes[near_by.toxic[near]].sum() + prior * base) / (votes.sum() + prior)
+                first[i], shown[i] = sim[0] if len(sim) else 0.0, near_by.ids[near[:SHOWN]].tolist()
+            asked.clear()
+
+        for i, (h, count) in enumerate(_counted(texts)):
+            at, places = find(h)
+            if len(at):
+                tf = 1 + np.log(np.delete(count, at))
+                asked.append((i, places, _weights(places, count[at], idf, rarest * rarest * (tf * tf).sum())))
+                if len(asked) == TOGETHER:
+                    answer()
+        if asked:
+            answer()
+        return raw, first, shown
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = np.tile([without, 0.0], (b.num_rows, 1))
-            asked: list[tuple[int, np.ndarray, np.ndarray]] = []
-
-            def answer():
-                for (i, *_), (near, sim) in zip(asked, near_by.nearest_of([q[1:] for q in asked], NEAREST), strict=True):
-                    votes = sim * near_by.weight[near]
-                    out[i] = (votes[near_by.toxic[near]].sum() + prior * base) / (votes.sum() + prior), sim[0] if len(sim) else 0.0
-                asked.clear()
-
-            for i, (h, count) in enumerate(_counted(b.column(2))):
-                at, places = find(h)
-                if len(at):
-                    tf = 1 + np.log(np.delete(count, at))
-                    asked.append((i, places, _weights(places, count[at], idf, rarest * rarest * (tf * tf).sum())))
-                    if len(asked) == TOGETHER:
-                        answer()
-            if asked:
-                answer()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[:, 0]), pa.array(out[:, 1]), b.column(1)], ["doc_id", "score", "nearest", "text_hash"])
-
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, score double, nearest double, text_hash long")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(voted(b.column(1), True)[0])], ["y", "raw"])
+
+    tested = examples.select("y", "text").repartition(partitions(docs.sparkSession)).mapInArrow(test, "y int, raw double").collect()  # at most 2 * EXAMPLES rows
+    y, raw = np.array([r.y for r in tested]), np.array([np.nan if r.raw is None else r.raw for r in tested])
+    order = np.lexsort((raw, y))  # rows come in any order, sums must not
+    y, raw = y[order][~np.isnan(raw[order])], raw[order][~np.isnan(raw[order])]
+    slope, offset = calibration(raw, y, np.where(y > 0, share[1], share[0])) if len(set(y.tolist())) == 2 else (1.0, 0.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(2).fill_null("").dictionary_encode()  # equal texts once
+            raw, first, shown = voted(texts.dictionary, False)
+            odds = np.clip(raw, 1e-4, 1 - 1e-4)
+            score = np.where(np.isnan(raw), without, 1 / (1 + np.exp(-(slope * np.log(odds / (1 - odds)) + offset))))
+            at = texts.indices.to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(score[at]), pa.array(first[at]), b.column(1), pa.array([shown[i] for i in at.tolist()], pa.list_(pa.int64()))],
+                ["doc_id", "score", "nearest", "text_hash", "evidence"])
+
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, score double, nearest double, text_hash long, evidence array<bigint>")

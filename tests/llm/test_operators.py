@@ -407,6 +407,28 @@ def test_every_term_of_the_examples_counts(spark):
     assert got[201].nearest > 0 and got[201].score > got[202].score and got[202].nearest == got[203].nearest == 0
 
 
+def test_evidence_names_the_nearest_examples_and_an_id_is_learned_once(spark):
+    rng = random.Random(12)
+    good, bad = sentence(rng, 30), sentence(rng, 30)
+    rows = [(i, (bad if i % 2 else good) + sentence(rng, 3)) for i in range(40)] + [(1, good)] * 200 + [(100, bad), (101, good), (None, bad)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    got = toxicity.scores(docs, labels, lambda c: F.lit(True))
+    one = {r.doc_id: r for r in got.where("doc_id >= 100 OR doc_id IS NULL").collect()}
+    assert all(len(r.evidence) == toxicity.SHOWN for r in one.values())
+    assert all(i % 2 or i == 1 for i in one[100].evidence) and one[100].score > 0.5 > one[101].score and one[None].score == one[100].score
+    again = {r.doc_id: r.score for r in toxicity.scores(docs.repartition(7), labels, lambda c: F.lit(True)).where("doc_id >= 100").collect()}
+    assert again == {i: r.score for i, r in one.items() if i}
+
+
+def test_calibration_follows_the_labels():
+    raw = np.repeat([0.05, 0.2, 0.6], 1000)
+    y = (np.arange(3000) % 100 < np.repeat([10, 50, 90], 1000)).astype(float)
+    slope, offset = toxicity.calibration(raw, y, np.ones(3000))
+    p = 1 / (1 + np.exp(-(slope * np.log(raw / (1 - raw)) + offset)))
+    assert abs(p[0] - 0.1) < 0.06 and abs(p[1000] - 0.5) < 0.1 and abs(p[2000] - 0.9) < 0.06
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(2)
     v = np.where(rng.random((500, 40)) < 0.1, rng.random((500, 40)), 0).astype(np.float32)
