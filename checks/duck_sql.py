@@ -287,17 +287,21 @@ _QC = "FROM pairs p JOIN epi q ON q.incident_id = p.query_id JOIN epi c ON c.inc
 
 
 def _found(k: int, family: str = "c.family") -> str:
-    """Same-service matches, families taking turns, k per signal."""
+    """Matches of every signal among all incidents closed before it: the same service first, families
+    taking turns, then all others by score, k in all."""
+    order = "same DESC, CASE WHEN same THEN round ELSE 0 END, top DESC, fam, round"
     return f"""
+al{k} AS MATERIALIZED (
+  SELECT q.incident_id AS query_id, c.incident_id, c.closed_us, {family} AS family, COALESCE(q.service = c.service, FALSE) AS same, {_plain('graph_closed')} AS plain
+  FROM epi q JOIN epi c ON c.closed_us < q.signal_us AND c.incident_id <> q.incident_id),
 sc{k} AS (
-  SELECT q.incident_id AS query_id, c.incident_id, c.closed_us, {family} AS family, {_plain('graph_closed')} + 0.2::DOUBLE AS score
-  FROM epi q JOIN epi c ON q.service = c.service AND c.closed_us < q.signal_us AND c.incident_id <> q.incident_id),
+  SELECT *, plain + CASE WHEN same THEN 0.2 ELSE 0.0 END::DOUBLE AS score, CASE WHEN same THEN COALESCE(CAST(family AS VARCHAR), 'unknown') ELSE '' END AS fam FROM al{k}),
 rd{k} AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id, family ORDER BY score DESC, closed_us, incident_id) AS round,
-         MAX(score) OVER (PARTITION BY query_id, family) AS top FROM sc{k}),
+  SELECT *, row_number() OVER (PARTITION BY query_id, same, fam ORDER BY score DESC, closed_us, incident_id) AS round,
+         CASE WHEN same THEN MAX(score) OVER (PARTITION BY query_id, same, fam) ELSE 0 END AS top FROM sc{k}),
 found{k} AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round, top DESC, CAST(family AS VARCHAR)) AS rank FROM rd{k}
-  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round, top DESC, CAST(family AS VARCHAR)) <= {k})"""
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS rank FROM rd{k}
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {order}) <= {k})"""
 
 
 _EV_FOUND = _EV_EPI + "," + _found(5)
@@ -597,6 +601,11 @@ def oracle_sql() -> dict[str, str]:
       ROUND(len(list_filter(list_zip(a.g, b.g), lambda z: z[1] = z[2])) / 32.0::DOUBLE, 4) AS estimate
       FROM pairs p JOIN sg32 a ON a.incident_id = p.query_id JOIN sg32 b ON b.incident_id = p.incident_id""")
     add("SIM3", _EV_PAIRS, f"SELECT query_id, p.incident_id, ROUND({_jac('q.tokens', 'c.tokens')}, 4) AS jaccard {_QC}")
+    add("SIM4", _EV_EPI, f"""SELECT query_id, rank, incident_id, ROUND(score + 1e-9::DOUBLE, 4) AS score FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, closed_us, incident_id) AS rank FROM (
+        SELECT q.incident_id AS query_id, c.incident_id, c.closed_us, {_jac('q.tokens', 'c.tokens')} AS score
+        FROM epi q JOIN epi c ON c.closed_us < q.signal_us AND c.incident_id <> q.incident_id AND len(q.tokens) > 0 AND len(c.tokens) > 0)
+      WHERE score >= 0.05) WHERE rank <= 5""")
     add("SIM5", _EV_PAIRS, f"SELECT query_id, p.incident_id, {_TOPO} AS topology {_QC}")
     add("SIM6", ",".join([_EV, _IDS, _SIG, _REM, _DEPS, _CHAIN, _OUT, _fold(_EDGE_ROWS, -1, 1, True)]), """SELECT q.incident_id,
       ROUND(GREATEST(-0.05::DOUBLE, LEAST(0.05::DOUBLE, 0.05::DOUBLE * AVG(COALESCE(f.w * pow(0.5::DOUBLE, GREATEST(0, q.signal_us - f.last_us) / 1000000.0::DOUBLE / 604800.0::DOUBLE), 0)))), 4) AS boost
@@ -669,9 +678,9 @@ def oracle_sql() -> dict[str, str]:
           + 0.10::DOUBLE * GREATEST(0.0::DOUBLE, COALESCE(f.w * pow(0.5::DOUBLE, GREATEST(0, e.signal_us - f.last_us) / 1000000.0::DOUBLE / 604800.0::DOUBLE), 0)))), 4) AS confidence
         FROM sup s JOIN epi e ON e.incident_id = s.query_id LEFT JOIN st ON st.target_id = e.own_id AND st.action = s.action LEFT JOIN sa ON sa.action = s.action
         LEFT JOIN fold f ON f.key = s.action)""",
-        """SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, action) AS rank, action, target, historical_outcome, ROUND(confidence, 3) AS confidence
+        """SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, action) AS rank, action, target, historical_outcome, ROUND(confidence + 1e-9::DOUBLE, 3) AS confidence
       FROM full7 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, action) <= 3""")
-    add("AGG8", _EV_FOUND + "," + _SUPPORT, "SELECT query_id, rank, action, target, historical_outcome, ROUND(confidence, 3) AS confidence FROM srank")
+    add("AGG8", _EV_FOUND + "," + _SUPPORT, "SELECT query_id, rank, action, target, historical_outcome, ROUND(confidence + 1e-9::DOUBLE, 3) AS confidence FROM srank")
     add("AGG9", _EV_SIG + """,
       fl AS (SELECT q.incident_id AS query_id, COALESCE(ANY_VALUE(q.service), 'unknown') AS target, COALESCE(bool_or(w.kind = 'deploy'), FALSE) AS d,
         COALESCE(bool_or(w.kind = 'metric' AND contains(w.name, 'latency') AND w.value > 1000), FALSE) AS l, COALESCE(bool_or(w.kind = 'log' AND w.level = 'error'), FALSE) AS e

@@ -627,7 +627,7 @@ def sim9(a):
 @query("SIM10")
 def sim10(a):
     """Candidates re-ranked by a JSON ordering that lists the second one first and an unknown id."""
-    cand = _ranked_by_service(a, 5).withColumn("rationale", F.lit("as found"))
+    cand = _ranked(a, 5).withColumn("rationale", F.lit("as found"))
     order = cand.where("rank = 2").select("query_id", F.concat(
         F.lit('[{"incident_id":"none","rationale":"x"},{"incident_id":"'), "incident_id", F.lit('","rationale":"moved up"}]')).alias("order_json"))
     return similarity.apply_order(cand, order, 3).select("query_id", "incident_id", "new_rank", "rationale")
@@ -641,26 +641,26 @@ def sim11(a):
 
 # ---- ranking ----------------------------------------------------------------
 
-def _ranked_by_service(a, k: int):
-    """Same-service matches of every query in the order of similarity."""
-    return similarity.find_similar(similarity.query_view(a.episodes), similarity.past_view(a.episodes), k, others=False)
+def _ranked(a, k: int):
+    """Matches of every query: of its own service first, then of all others."""
+    return similarity.find_similar(similarity.query_view(a.episodes), similarity.past_view(a.episodes), k)
 
 
 @query("TOP1")
 def top1(a):
-    return _ranked_by_service(a, 5).select("query_id", "rank", "incident_id", F.round(F.col("score") + NUDGE, 4).alias("score"))
+    return _ranked(a, 5).select("query_id", "rank", "incident_id", F.round(F.col("score") + NUDGE, 4).alias("score"))
 
 
 @query("TOP1.deep")
 def top1_deep(a):
-    return _ranked_by_service(a, 10).select("query_id", "rank", "incident_id", F.round(F.col("score") + NUDGE, 4).alias("score"))
+    return _ranked(a, 10).select("query_id", "rank", "incident_id", F.round(F.col("score") + NUDGE, 4).alias("score"))
 
 
 @query("TOP2")
 def top2(a):
     """Families taking turns; the family here is the signal's id modulo 3."""
     eps = a.episodes.withColumn("family", F.col("signal_event_id") % 3)
-    found = similarity.find_similar(similarity.query_view(eps), similarity.past_view(eps), 5, others=False)
+    found = similarity.find_similar(similarity.query_view(eps), similarity.past_view(eps), 5)
     return found.select("query_id", "rank", "incident_id", "family")
 
 
@@ -773,7 +773,7 @@ def agg4_edges(a):
 
 @query("AGG5")
 def agg5(a):
-    top = _ranked_by_service(a, 5)
+    top = _ranked(a, 5)
     return learning.pair_weights(learning.pair_updates(top, a.graded)).select("a", "b", F.round("w", 4).alias("w"))
 
 
@@ -789,15 +789,15 @@ def _asked(a):
 
 @query("AGG7")
 def agg7(a):
-    s = remediation.support(_ranked_by_service(a, 5), a.rems, a.ids)
+    s = remediation.support(_ranked(a, 5), a.rems, a.ids)
     r = remediation.rank_remediations(s, _asked(a), learning.remediation_stats(a.graded), learning.action_weights(a.graded))
-    return r.select("query_id", "rank", "action", "target", "historical_outcome", F.round("confidence", 3).alias("confidence"))
+    return r.select("query_id", "rank", "action", "target", "historical_outcome", F.round(F.col("confidence") + NUDGE, 3).alias("confidence"))
 
 
 @query("AGG8")
 def agg8(a):
-    r = remediation.simple_ranking(remediation.support(_ranked_by_service(a, 5), a.rems, a.ids), _asked(a))
-    return r.select("query_id", "rank", "action", "target", "historical_outcome", F.round("confidence", 3).alias("confidence"))
+    r = remediation.simple_ranking(remediation.support(_ranked(a, 5), a.rems, a.ids), _asked(a))
+    return r.select("query_id", "rank", "action", "target", "historical_outcome", F.round(F.col("confidence") + NUDGE, 3).alias("confidence"))
 
 
 @query("AGG9")
@@ -825,7 +825,7 @@ def agg12(a):
 
 @query("AGG13")
 def agg13(a):
-    s = remediation.support(_ranked_by_service(a, 5), a.rems, a.ids)
+    s = remediation.support(_ranked(a, 5), a.rems, a.ids)
     r = remediation.simple_ranking(s, _asked(a)).where("rank = 1")
     return r.groupBy("action").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "action").limit(1)
 
@@ -834,12 +834,12 @@ def agg13(a):
 
 @query("CTX1")
 def ctx1(a):
-    return C.looks_like_decoy(_ranked_by_service(a, 5)).select("query_id", F.round("first_score", 4).alias("first_score"), "decoy")
+    return C.looks_like_decoy(_ranked(a, 5)).select("query_id", F.round("first_score", 4).alias("first_score"), "decoy")
 
 
 @query("CTX2")
 def ctx2(a):
-    m = _ranked_by_service(a, 5)
+    m = _ranked(a, 5)
     d = C.looks_like_decoy(m).select("query_id", "decoy")
     shown = F.when(F.col("decoy"), F.least("score", F.lit(C.DECOY_SIMILARITY))).otherwise(F.col("score"))
     return m.join(d, "query_id").select("query_id", "incident_id", F.round(shown, 4).alias("similarity"))
@@ -847,7 +847,7 @@ def ctx2(a):
 
 @query("CTX3")
 def ctx3(a):
-    first = _ranked_by_service(a, 5).where("rank = 1").select(F.col("query_id").alias("incident_id"), "score")
+    first = _ranked(a, 5).where("rank = 1").select(F.col("query_id").alias("incident_id"), "score")
     best = a.chains.select("incident_id", F.array_max(F.transform(causal.fast(F.col("steps")), lambda s: F.round(s["score"], 4))).alias("edge"))
     rows = a.sigs.select("incident_id").join(first, "incident_id", "left").join(best, "incident_id", "left")
     return rows.select("incident_id", F.round(C.overall_confidence(F.col("score"), F.col("edge"), F.lit(0.2)) + NUDGE, 4).alias("confidence"))
@@ -860,7 +860,7 @@ def ctx4(a):
 
 @query("CTX5")
 def ctx5(a):
-    first = _ranked_by_service(a, 5).where("rank = 1").select(F.col("query_id").alias("incident_id"), F.col("incident_id").alias("past"))
+    first = _ranked(a, 5).where("rank = 1").select(F.col("query_id").alias("incident_id"), F.col("incident_id").alias("past"))
     n = a.chains.select("incident_id", F.size(causal.fast(F.col("steps"))).alias("n_edges"))
     rows = a.sigs.join(first, "incident_id", "left").join(n, "incident_id", "left")
     none = F.lit(None).cast("string")
@@ -898,7 +898,7 @@ def _truth(a):
 
 
 def _measured(a):
-    m = _ranked_by_service(a, 5)
+    m = _ranked(a, 5)
     return m, m.withColumn("similarity", F.round("score", 4))
 
 
@@ -909,8 +909,8 @@ def eva1(a):
 
 
 def _suggested(a):
-    return remediation.simple_ranking(remediation.support(_ranked_by_service(a, 5), a.rems, a.ids), _asked(a)).withColumn(
-        "confidence", F.round("confidence", 3))
+    return remediation.simple_ranking(remediation.support(_ranked(a, 5), a.rems, a.ids), _asked(a)).withColumn(
+        "confidence", F.round(F.col("confidence") + NUDGE, 3))
 
 
 def _expected(a):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from opsrecall.functions import sets
 from opsrecall.functions.folds import clipped_fold
-from opsrecall.operators import evaluate, learning, remediation, replicas, similarity, skew, templates, vectors, windows
+from opsrecall.operators import evaluate, learning, remediation, replicas, similarity, skew, templates, topk, vectors, windows
 from opsrecall.operators.graphs import connected_components
 from opsrecall.plans.landing import landing
 
@@ -160,8 +160,7 @@ def _brute(eps, k, as_of, weights):
             s = (0.45 * max(0.0, min(1.0, _jac(q["tokens"], c["tokens"]) + w)) + 0.2 * _jac(q["symptoms"], c["symptoms"])
                  + 0.15 * _jac(q["profile"], c["profile"]) + 0.1 * _jac(q["graph"], c["graph_closed"]) + 0.1 * topo)
             same = q["service"] is not None and q["service"] == c["service"]
-            scored.append((-(max(0.0, min(1.0, s)) + (0.2 if same else 0.0)), c["closed_us"], c["incident_id"], same, c["family"],
-                           bool(set(q["symptoms"]) & set(c["symptoms"]))))
+            scored.append((-(max(0.0, min(1.0, s)) + (0.2 if same else 0.0)), c["closed_us"], c["incident_id"], same, c["family"]))
         scored.sort()
         fams: dict = {}
         for x in scored:
@@ -169,14 +168,19 @@ def _brute(eps, k, as_of, weights):
                 fams.setdefault(x[4], []).append(x)
         order = sorted(fams, key=lambda f: (fams[f][0][0], str(f)))
         turns = [fams[f][i] for i in range(len(scored)) for f in order if i < len(fams[f])]
-        rest = [x for x in scored if not x[3] and (x[5] or weights.get(tuple(sorted((q["incident_id"], x[2])))))]
+        rest = [x for x in scored if not x[3]]
         out[q["incident_id"]] = [(round(-x[0], 6)) for x in (turns + rest)[:k]]
     return out
 
 
 @pytest.mark.parametrize("as_of", [True, False])
 @pytest.mark.parametrize("weighted", [False, True])
-def test_find_similar_equals_brute_force(land, as_of, weighted):
+@pytest.mark.parametrize("block", [7, 4096])
+def test_find_similar_equals_brute_force(land, monkeypatch, as_of, weighted, block):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "ASKED", 5 if block == 7 else 2048)
+    monkeypatch.setattr(topk, "SHELF", 2 if block == 7 else 64)
+    monkeypatch.setattr(topk, "CELLS", 500 if block == 7 else 1 << 24)
     eps = land.episodes.withColumn("family", F.col("signal_event_id") % 3)
     rows = eps.collect()
     ids = sorted(r["incident_id"] for r in rows if r["closed_us"] is not None)
@@ -213,12 +217,26 @@ def test_lexical_top_k(land):
     missed = 0
     for q in rows:
         best = sorted((round(_jac(q["tokens"], c["tokens"]), 6) for c in rows if c["closed_us"] is not None and c["incident_id"] != q["incident_id"]), reverse=True)
-        best = [b for b in best if b >= 0.5][:5]
+        best = [b for b in best if b >= 0.05][:5] if q["tokens"] else []
         have = [got.get(q["incident_id"], {}).get(i + 1) for i in range(len(best))]
         missed += have != best
     assert missed == 0
 
 
+def test_most_pairs_of_unlike_incidents_are_never_compared():
+    """Twenty kinds of incidents with tokens of their own: a query opens the shelves of its kind."""
+    rng = random.Random(4)
+    lists = [sorted(1000 * (i // 100) + t for t in rng.sample(range(60), 30)) for i in range(2000)]
+    scoring = topk.Scoring({"tokens": 1.0})
+    index = topk.PastIndex({"tokens": topk.Sets.of(lists)}, scoring, topk.np.zeros(2000, int))
+    asked = [lists[i] for i in range(0, 2000, 20)]
+    q, row, score = index.search({"tokens": topk.Sets.of(asked)}, topk.np.zeros(100), lambda rows: topk.np.ones((100, len(rows)), bool), 5)
+    for i, a in enumerate(asked):
+        best = sorted((_jac(a, c) for c in lists), reverse=True)[:5]
+        assert sorted(score[q == i].tolist(), reverse=True)[:5] == pytest.approx(best)
+    assert index.compared < 0.15 * 100 * 2000
+
+
 def test_remediation_rules(spark):
     flags = spark.createDataFrame([("a", True, True, False, "s"), ("b", True, False, True, None), ("c", False, True, False, "s"), ("d", True, False, False, "s")],
                                   "query_id string, deploy boolean, high_latency boolean, error_log boolean, service string")
