@@ -320,7 +320,8 @@ sup AS (
   SELECT f.query_id, r.action, COUNT(*) AS n, COUNT(*) FILTER (WHERE r.outcome = 'resolved') AS n_success,
          SUM(CASE WHEN r.outcome = 'resolved' THEN f.score ELSE 0 END) / ANY_VALUE(nm.nm) AS sim_score,
          arg_min(COALESCE(i.current_name, r.target), f.rank * 1000000000 + r.event_id) AS target
-  FROM found5 f JOIN rem r USING (incident_id) JOIN nm USING (query_id) LEFT JOIN ids i ON i.name = r.target GROUP BY 1, 2),
+  FROM found5 f JOIN rem r USING (incident_id) JOIN nm USING (query_id) JOIN sig s ON s.incident_id = f.query_id AND r.us < s.signal_us
+  LEFT JOIN ids i ON i.name = r.target GROUP BY 1, 2),
 simple AS (
   SELECT query_id, action, COALESCE(target, e.service, 'unknown') AS target, 'resolved ' || n_success || '/' || n AS historical_outcome,
          ROUND(GREATEST(0.0::DOUBLE, LEAST(1.0::DOUBLE, 0.7::DOUBLE * n_success / n + 0.3::DOUBLE * sim_score)), 4) AS confidence
@@ -434,12 +435,12 @@ _SUMMARY = """SELECT kind, COUNT(*) AS n, SUM(event_id) AS id_sum, SUM(sec) AS s
   ROUND(SUM(value), 3) AS value_sum, SUM(COALESCE(len(span_svc), 0)) AS n_spans FROM ev GROUP BY 1"""
 _SEEN = """seen AS (SELECT event_id, COALESCE(service, target) AS name FROM ev WHERE COALESCE(service, target) IS NOT NULL
   UNION SELECT event_id, unnest(span_svc) FROM ev WHERE kind = 'trace')"""
-_CLAUSE = f"""CASE kind WHEN 'deploy' THEN 'deploy of ' || service || ' version ' || version WHEN 'metric' THEN name || ' = ' || {_num('value')} || ' on ' || service
-  WHEN 'log' THEN level || ' log on ' || service || ' (''' || substr(msg, 1, 60) || CASE WHEN length(msg) > 60 THEN '...' ELSE '' END || ''')'
-  WHEN 'trace' THEN 'trace with ' || len(span_svc) || ' spans' WHEN 'topology' THEN 'topology ' || change || ': ' || from_ || ' -> ' || "to"
-  WHEN 'incident_signal' THEN 'incident signal ' || incident_id WHEN 'remediation' THEN 'prior remediation (' || action || ')' END"""
-_LABEL = """CASE kind WHEN 'metric' THEN CASE WHEN contains(name, 'latency') THEN 'latency spike' ELSE name END WHEN 'trace' THEN 'trace slowdown'
-  WHEN 'log' THEN CASE WHEN contains(msg, 'timeout') THEN 'checkout timeout' ELSE 'error log' END WHEN 'incident_signal' THEN 'incident signal' ELSE kind END"""
+_CLAUSE = f"""CASE kind WHEN 'deploy' THEN service || ' rolled out ' || version WHEN 'metric' THEN name || ' of ' || service || ' at ' || {_num('value')}
+  WHEN 'log' THEN service || ' logged ' || level || ': ' || CASE WHEN length(msg) > 60 THEN substr(msg, 1, 60) || '..' ELSE msg END
+  WHEN 'trace' THEN 'a call across ' || len(span_svc) || ' hops' WHEN 'topology' THEN change || ' of ' || from_ || ' to ' || "to"
+  WHEN 'incident_signal' THEN 'the alert of ' || incident_id WHEN 'remediation' THEN 'an earlier ' || action END"""
+_LABEL = """CASE kind WHEN 'metric' THEN CASE WHEN contains(name, 'latency') THEN 'slow answers' ELSE name END WHEN 'trace' THEN 'slow call path'
+  WHEN 'log' THEN CASE WHEN contains(msg, 'timeout') THEN 'timeouts logged' ELSE 'errors logged' END WHEN 'incident_signal' THEN 'alert' ELSE kind END"""
 _METRICS = f"""met5 AS (
   SELECT COALESCE(i.current_name, service) AS service, family, us, event_id, value
   FROM (SELECT service, {_FAMILY} AS family, us, event_id, value FROM ev WHERE kind = 'metric') m LEFT JOIN ids i ON i.name = m.service
@@ -494,20 +495,22 @@ def oracle_sql() -> dict[str, str]:
       WHEN value / 100 >= 0.40::DOUBLE THEN 'medium' WHEN value > 0 THEN 'low' ELSE 'none' END AS severity FROM events"""
     add("SCL14", _EV, f"""SELECT event_id, CASE kind WHEN 'log' THEN level WHEN 'metric' THEN CASE WHEN contains(name, 'p99') OR contains(name, 'error') THEN 'warn' ELSE 'info' END
         WHEN 'incident_signal' THEN 'error' ELSE 'info' END AS level,
-      strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '  ' || rpad(kind, GREATEST(15, length(kind))::INT, ' ') || ' ' || rpad(who, GREATEST(14, length(who))::INT, ' ') || '  ' || body AS line
+      concat_ws(' | ', strftime(ts, '%Y-%m-%dT%H:%M:%SZ'), kind, who, body) AS line
       FROM (SELECT *, CASE kind WHEN 'topology' THEN from_ ELSE COALESCE(service, trigger_, '') END AS who,
-        CASE kind WHEN 'log' THEN msg WHEN 'metric' THEN name || '=' || {_num('value')} WHEN 'deploy' THEN 'version=' || version
-          WHEN 'topology' THEN change || ': ' || from_ || ' -> ' || "to" WHEN 'incident_signal' THEN incident_id || ' · ' || trigger_
-          WHEN 'remediation' THEN incident_id || ' fixed by ' || action ELSE len(span_svc) || ' spans' END AS body FROM ev)""")
+        CASE kind WHEN 'log' THEN msg WHEN 'metric' THEN 'name=' || name || ' value=' || {_num('value')} WHEN 'deploy' THEN 'version=' || version
+          WHEN 'topology' THEN 'change=' || change || ' to=' || "to" WHEN 'incident_signal' THEN 'incident=' || incident_id || ' trigger=' || trigger_
+          WHEN 'remediation' THEN 'incident=' || incident_id || ' action=' || action || ' outcome=' || outcome
+          ELSE 'trace_id=' || trace_id || ' spans=' || array_to_string(list_transform(list_zip(span_svc, span_dur), lambda z: z[1] || ':' || {_num('z[2]')}), ',') END AS body FROM ev)""")
     add("SCL15", _EV, "SELECT event_id, substr(sha256(sec || '|' || kind || '|' || COALESCE(incident_id, '')), 1, 16) AS key FROM ev")
-    q["SCL16"] = """SELECT conv_id AS window_id, string_agg('[+' || (turn - t0) || 's] log ' || role || ': ' || substr(text, 1, 60), chr(10) ORDER BY turn) AS text
+    q["SCL16"] = """SELECT conv_id AS window_id, string_agg('+' || (turn - t0) || 's log of ' || role || ' | ' || text, chr(10) ORDER BY turn) AS text
       FROM (SELECT *, MIN(turn) OVER (PARTITION BY conv_id) AS t0, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
       WHERE n <= 25 GROUP BY 1"""
-    add("SCL16.telemetry", _EV_SIG, f"""SELECT incident_id AS window_id, string_agg('[+' || ((us - t0) // 1000000) || 's] ' || kind || ' ' || COALESCE(svc, '?') || ': ' || fields, chr(10) ORDER BY n) AS text
+    add("SCL16.telemetry", _EV_SIG, f"""SELECT incident_id AS window_id, 'on ' || COALESCE(ANY_VALUE(head), 'no known service') || chr(10) ||
+      string_agg('+' || ((us - t0) // 1000000) || 's ' || kind || ' of ' || COALESCE(svc, '?') || ' | ' || fields, chr(10) ORDER BY n) AS text
       FROM (SELECT w.*, MIN(w.us) OVER (PARTITION BY w.incident_id) AS t0, row_number() OVER (PARTITION BY w.incident_id ORDER BY w.us, w.event_id) AS n,
-        CASE w.kind WHEN 'deploy' THEN 'v?->' || w.version WHEN 'metric' THEN w.name || '=' || {_num('w.value')} WHEN 'log' THEN upper(w.level) || ' ' || substr(w.msg, 1, 60)
+        CASE w.kind WHEN 'deploy' THEN 'to ' || w.version WHEN 'metric' THEN w.name || '=' || {_num('w.value')} WHEN 'log' THEN upper(w.level) || ' ' || substr(w.msg, 1, 60)
           WHEN 'trace' THEN len(w.span_svc) || ' spans' WHEN 'topology' THEN w.change || ' -> ' || e."to" WHEN 'incident_signal' THEN 'trigger=' || e.trigger_ ELSE '' END AS fields
-        FROM win w JOIN ev e USING (event_id)) WHERE n <= 25 GROUP BY 1""")
+        , q.service AS head FROM win w JOIN ev e USING (event_id) JOIN sig q ON q.incident_id = w.incident_id) WHERE n <= 25 GROUP BY 1""")
 
     add("JOI1", _EV_SIG, "SELECT incident_id, event_id, ROUND(dt, 3) AS dt_s FROM win")
     add("JOI2", _EV_IDS + """,
@@ -608,8 +611,10 @@ def oracle_sql() -> dict[str, str]:
       WHERE score >= 0.05) WHERE rank <= 5""")
     add("SIM5", _EV_PAIRS, f"SELECT query_id, p.incident_id, {_TOPO} AS topology {_QC}")
     add("SIM6", ",".join([_EV, _IDS, _SIG, _REM, _DEPS, _CHAIN, _OUT, _fold(_EDGE_ROWS, -1, 1, True)]), """SELECT q.incident_id,
-      ROUND(GREATEST(-0.05::DOUBLE, LEAST(0.05::DOUBLE, 0.05::DOUBLE * AVG(COALESCE(f.w * pow(0.5::DOUBLE, GREATEST(0, q.signal_us - f.last_us) / 1000000.0::DOUBLE / 604800.0::DOUBLE), 0)))), 4) AS boost
-      FROM fast d JOIN sig q USING (incident_id) LEFT JOIN fold f ON f.key = d.kind || '>' || d.effect_kind GROUP BY 1""")
+      ROUND(GREATEST(-0.05::DOUBLE, LEAST(0.05::DOUBLE, 0.05::DOUBLE * AVG(COALESCE((
+        SELECT arg_max(f.w, f.i) * pow(0.5::DOUBLE, GREATEST(0, q.signal_us - MAX(f.us)) / 1000000.0::DOUBLE / 604800.0::DOUBLE)
+        FROM fw f WHERE f.key = d.kind || '>' || d.effect_kind AND f.us < q.signal_us), 0)))), 4) AS boost
+      FROM fast d JOIN sig q USING (incident_id) GROUP BY 1""")
     add("SIM7", _EV_PAIRS, f"SELECT query_id, p.incident_id, ROUND({_plain('graph')} + 1e-9::DOUBLE, 4) AS score {_QC}")
     add("SIM8", _EV_PAIRS, f"""SELECT query_id, p.incident_id, COALESCE(q.service = c.service, FALSE) AS same_service,
       ROUND({_plain('graph')} + CASE WHEN q.service = c.service THEN 0.2 ELSE 0.0 END::DOUBLE + 1e-9::DOUBLE, 4) AS score {_QC}""")
@@ -618,11 +623,11 @@ def oracle_sql() -> dict[str, str]:
     add("SIM9", _EV_PAIRS + f""",
       ct AS (SELECT query_id, p.incident_id, unnest(list_intersect(q.tokens, c.tokens)) AS t {_QC}),
       cr AS (SELECT *, row_number() OVER (PARTITION BY query_id, incident_id ORDER BY {prio} DESC, t DESC) AS n FROM ct),
-      cs AS (SELECT query_id, incident_id, 'shared behavior: ' || string_agg(t, ', ' ORDER BY n) AS tx FROM cr WHERE n <= 5 GROUP BY 1, 2)""",
-        f"""SELECT p.query_id, p.incident_id, COALESCE(NULLIF(concat_ws('; ', cs.tx, CASE WHEN q.trigger_type = c.trigger_type THEN 'same trigger type: ' || c.trigger_type END,
-        CASE WHEN list_has_any(q.symptoms, c.symptoms) THEN 'shared symptoms: ' || array_to_string(list_sort(list_intersect(q.symptoms, c.symptoms))[1:3], ', ') END,
-        CASE WHEN list_has_any(q.graph, c.graph) THEN 'shared causal structure' END, CASE WHEN list_has_any(q.profile, c.profile) THEN 'similar timing' END,
-        CASE WHEN list_has_any(q.actions, c.actions) THEN 'shared remediation history' END), ''), 'multi-signal similarity') AS rationale
+      cs AS (SELECT query_id, incident_id, 'same traits ' || string_agg(t, ', ' ORDER BY n) AS tx FROM cr WHERE n <= 5 GROUP BY 1, 2)""",
+        f"""SELECT p.query_id, p.incident_id, COALESCE(NULLIF(concat_ws('; ', cs.tx, CASE WHEN q.trigger_type = c.trigger_type THEN 'both ' || c.trigger_type END,
+        CASE WHEN list_has_any(q.symptoms, c.symptoms) THEN 'symptoms ' || array_to_string(list_sort(list_intersect(q.symptoms, c.symptoms))[1:3], ', ') END,
+        CASE WHEN list_has_any(q.graph, c.graph) THEN 'causes alike' END, CASE WHEN list_has_any(q.profile, c.profile) THEN 'order alike' END,
+        CASE WHEN list_has_any(q.actions, c.actions) THEN 'fixed alike' END), ''), 'nothing single stands out') AS rationale
       {_QC} LEFT JOIN cs ON cs.query_id = p.query_id AND cs.incident_id = p.incident_id""")
     add("SIM10", _EV_FOUND, """SELECT query_id, incident_id, row_number() OVER (PARTITION BY query_id ORDER BY (rank <> 2), rank) AS new_rank,
       CASE WHEN rank = 2 THEN 'moved up' ELSE 'as found' END AS rationale FROM found5
@@ -674,10 +679,12 @@ def oracle_sql() -> dict[str, str]:
     agg7 = ",".join([_EV_FOUND, _SUPPORT, _ASTATS, _fold(_ACTION_ROWS, -1, 1, True)])
     add("AGG7", agg7 + """,
       full7 AS (SELECT s.query_id, s.action, COALESCE(s.target, e.service, 'unknown') AS target, 'resolved ' || n_success || '/' || s.n AS historical_outcome,
-        ROUND(GREATEST(0.0::DOUBLE, LEAST(1.0::DOUBLE, 0.50::DOUBLE * n_success / s.n + 0.25::DOUBLE * sim_score + 0.15::DOUBLE * COALESCE(st.k / st.n, sa.k / sa.n, 0)
-          + 0.10::DOUBLE * GREATEST(0.0::DOUBLE, COALESCE(f.w * pow(0.5::DOUBLE, GREATEST(0, e.signal_us - f.last_us) / 1000000.0::DOUBLE / 604800.0::DOUBLE), 0)))), 4) AS confidence
-        FROM sup s JOIN epi e ON e.incident_id = s.query_id LEFT JOIN st ON st.target_id = e.own_id AND st.action = s.action LEFT JOIN sa ON sa.action = s.action
-        LEFT JOIN fold f ON f.key = s.action)""",
+        ROUND(GREATEST(0.0::DOUBLE, LEAST(1.0::DOUBLE, 0.50::DOUBLE * n_success / s.n + 0.25::DOUBLE * sim_score + 0.15::DOUBLE * COALESCE(
+            (SELECT AVG(g.success::INT) FROM graded g WHERE g.target_id = e.own_id AND g.action = s.action AND g.us < e.signal_us),
+            (SELECT AVG(g.success::INT) FROM graded g WHERE g.action = s.action AND g.us < e.signal_us), 0)
+          + 0.10::DOUBLE * GREATEST(0.0::DOUBLE, COALESCE((SELECT arg_max(f.w, f.i) * pow(0.5::DOUBLE, GREATEST(0, e.signal_us - MAX(f.us)) / 1000000.0::DOUBLE / 604800.0::DOUBLE)
+            FROM fw f WHERE f.key = s.action AND f.us < e.signal_us), 0)))), 4) AS confidence
+        FROM sup s JOIN epi e ON e.incident_id = s.query_id)""",
         """SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, action) AS rank, action, target, historical_outcome, ROUND(confidence + 1e-9::DOUBLE, 3) AS confidence
       FROM full7 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, action) <= 3""")
     add("AGG8", _EV_FOUND + "," + _SUPPORT, "SELECT query_id, rank, action, target, historical_outcome, ROUND(confidence + 1e-9::DOUBLE, 3) AS confidence FROM srank")
@@ -685,9 +692,9 @@ def oracle_sql() -> dict[str, str]:
       fl AS (SELECT q.incident_id AS query_id, COALESCE(ANY_VALUE(q.service), 'unknown') AS target, COALESCE(bool_or(w.kind = 'deploy'), FALSE) AS d,
         COALESCE(bool_or(w.kind = 'metric' AND contains(w.name, 'latency') AND w.value > 1000), FALSE) AS l, COALESCE(bool_or(w.kind = 'log' AND w.level = 'error'), FALSE) AS e
         FROM sig q LEFT JOIN win w USING (incident_id) GROUP BY 1)""",
-        """SELECT query_id, 1 AS rank, 'rollback' AS action, target, 'heuristic: recent deploy + degradation' AS historical_outcome, 0.4::DOUBLE AS confidence FROM fl WHERE d AND (l OR e)
-      UNION ALL SELECT query_id, CASE WHEN d THEN 2 ELSE 1 END, 'scale_up', target, 'heuristic: sustained latency breach', 0.35::DOUBLE FROM fl WHERE l
-      UNION ALL SELECT query_id, 1, 'alert', target, 'heuristic: no historical match', 0.2::DOUBLE FROM fl WHERE NOT l AND NOT (d AND e)""")
+        """SELECT query_id, 1 AS rank, 'rollback' AS action, target, 'rule: worse after a rollout' AS historical_outcome, 0.4::DOUBLE AS confidence FROM fl WHERE d AND (l OR e)
+      UNION ALL SELECT query_id, CASE WHEN d THEN 2 ELSE 1 END, 'scale_up', target, 'rule: answers stay slow', 0.35::DOUBLE FROM fl WHERE l
+      UNION ALL SELECT query_id, 1, 'alert', target, 'rule: nothing alike is known', 0.2::DOUBLE FROM fl WHERE NOT l AND NOT (d AND e)""")
     add("AGG10", m5 + """,
       wide AS (SELECT s.service, COALESCE(MAX(value) FILTER (WHERE family = 'latency'), 0) AS lat, COALESCE(MAX(value) FILTER (WHERE family = 'error_rate'), 0) AS err,
         COALESCE(MAX(value) FILTER (WHERE family = 'request_rate'), 0) AS req, COALESCE(MAX(value) FILTER (WHERE family = 'cpu'), 0) AS cpu,
@@ -714,8 +721,8 @@ def oracle_sql() -> dict[str, str]:
     add("CTX3", _EV_FOUND, """SELECT q.incident_id, ROUND(GREATEST(0.0::DOUBLE, LEAST(1.0::DOUBLE, 0.5::DOUBLE * COALESCE(f.score, 0) + 0.25::DOUBLE * COALESCE(b.edge, 0)
       + 0.25::DOUBLE * 0.2::DOUBLE + 0.05::DOUBLE)) + 1e-9::DOUBLE, 4) AS confidence FROM sig q LEFT JOIN found5 f ON f.query_id = q.incident_id AND f.rank = 1
       LEFT JOIN (SELECT incident_id, MAX(ROUND(score, 4)) AS edge FROM fast GROUP BY 1) b ON b.incident_id = q.incident_id""")
-    add("CTX5", _EV_FOUND, """SELECT q.incident_id, 'Incident ' || q.incident_id || ' on ' || COALESCE(q.own_name, q.trigger_) || ': ' || COALESCE(b.n, 0) || ' causal edges detected. Most similar to '
-      || COALESCE(f.incident_id, 'no prior match') || '. Recommended: no remediation suggested on ?. Confidence: 25%.' AS line
+    add("CTX5", _EV_FOUND, """SELECT q.incident_id, concat_ws(', ', q.incident_id || ' (' || COALESCE(q.own_name, q.trigger_) || ')', COALESCE(b.n, 0) || ' causes found',
+      COALESCE('like ' || f.incident_id, 'like nothing before'), 'nothing to try', '25 % sure') AS line
       FROM sig q LEFT JOIN found5 f ON f.query_id = q.incident_id AND f.rank = 1 LEFT JOIN (SELECT incident_id, COUNT(*) AS n FROM fast GROUP BY 1) b ON b.incident_id = q.incident_id""")
 
     q["STR1"], q["STR2"], q["STR3"], q["STR5"], q["STR6"] = q["SRC1"], q["JOI4"], q["TPL2.logs"], q["AGG4"], q["G7"]

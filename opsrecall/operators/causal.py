@@ -109,12 +109,14 @@ def adjacency(neighbour_rows: DataFrame) -> DataFrame:
 
 def history_by_effect(edge_stats: DataFrame | None, spark) -> DataFrame:
     """(effect_kind, hist): per effect kind a map cause kind -> (rate, weight,
-    last_us). At most one row per kind in the affinity table."""
+    last_us). At most one row per kind in the affinity table, or per incident and kind
+    if ``edge_stats`` has an incident_id."""
     if edge_stats is None:
         return spark.createDataFrame(
             [], "effect_kind string, hist map<string,struct<rate:double,weight:double,last_us:bigint>>")
+    by = ["incident_id", "effect_kind"] if "incident_id" in edge_stats.columns else ["effect_kind"]
     known = edge_stats.where(F.concat_ws(">", "cause_kind", "effect_kind").isin([f"{c}>{e}" for c, e in KIND_AFFINITY]))
-    return known.groupBy("effect_kind").agg(F.map_from_entries(F.collect_list(F.struct(
+    return known.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(
         "cause_kind", F.struct(F.col("success_rate").alias("rate"), F.col("weight"), F.col("last_us"))))).alias("hist"))
 
 
@@ -151,9 +153,12 @@ def chains(sigs: DataFrame, causes: DataFrame, nbrs: DataFrame, edge_stats: Data
     candidates are laid out once, by incident and a salt, and reused by all
     steps; stopping at a higher threshold later (see ``fast``) gives the same
     chain cut short, since the walk itself does not depend on the threshold.
+    ``edge_stats`` with an incident_id hold what was known at each signal.
     """
     spark = sigs.sparkSession
-    hist = F.broadcast(history_by_effect(edge_stats, spark))
+    hist = history_by_effect(edge_stats, spark)
+    at_signal = "incident_id" in hist.columns
+    hist = cut(hist) if at_signal else F.broadcast(hist)
     adj = adjacency(nbrs)
     pool = cut(causes.withColumn("salt", F.pmod(F.xxhash64("event_id"), F.lit(8))))
     salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(7).cast("bigint"))).alias("salt")
@@ -165,7 +170,7 @@ def chains(sigs: DataFrame, causes: DataFrame, nbrs: DataFrame, edge_stats: Data
     for i in range(max_steps):
         look = (
             frontier.join(adj.withColumnRenamed("identity_id", "effect_id"), "effect_id", "left")
-            .join(hist, "effect_kind", "left").select("*", salts)
+            .join(hist, ["incident_id", "effect_kind"] if at_signal else "effect_kind", "left").select("*", salts)
         )
         scored = scored_edges(pool.join(look, ["incident_id", "salt"]).where("us < effect_us")).where(
             F.col("score") >= min_confidence)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from opsrecall.functions import scalars as S
-from opsrecall.functions.folds import clipped_fold
-from opsrecall.operators.causal import HALF_LIFE_S
+from opsrecall.functions.folds import clipped_at, clipped_fold
+from opsrecall.operators.causal import HALF_LIFE_S, KIND_AFFINITY
 from opsrecall.operators.identity import with_identity
+from opsrecall.session import cut
 
 # ---- fixed values ----
 EDGE_UP, EDGE_DOWN = 0.08, -0.05
@@ -83,16 +84,56 @@ def _delta(up: float, down: float):
     return F.when(F.col("success"), up).otherwise(down).alias("delta")
 
 
-def edge_weights(outcomes: DataFrame, **kw) -> DataFrame:
-    """(cause_kind, effect_kind, weight, last_us) as of the last update."""
-    rows = outcomes.select(
+def _edge_updates(outcomes: DataFrame) -> DataFrame:
+    return outcomes.select(
         F.concat_ws(">", "cause_kind", "effect_kind").alias("key"), "us",
         # A chain is graded root cause first, and `step` counts from the signal.
         (F.col("seq") * 8 + 7 - F.col("step")).alias("seq"), _delta(EDGE_UP, EDGE_DOWN))
+
+
+def edge_weights(outcomes: DataFrame, **kw) -> DataFrame:
+    """(cause_kind, effect_kind, weight, last_us) as of the last update."""
+    rows = _edge_updates(outcomes)
     return clipped_fold(rows, -1.0, 1.0, HALF_LIFE_S, **kw).select(
         F.split("key", ">")[0].alias("cause_kind"), F.split("key", ">")[1].alias("effect_kind"), "weight", "last_us")
 
 
+def _numbered(asked: DataFrame) -> DataFrame:
+    return cut(asked.withColumn("question", F.monotonically_increasing_id()))
+
+
+def edge_knowledge_at(outcomes: DataFrame, asked: DataFrame, **kw) -> DataFrame:
+    """(incident_id, cause_kind, effect_kind, n, success_rate, weight, last_us): for
+    ``asked(incident_id, us)`` and every pair of kinds that can be an edge, what was
+    learned before that time. Pairs without an outcome by then have no row."""
+    pairs = F.explode(F.array(*[F.lit(f"{c}>{e}") for c, e in KIND_AFFINITY]))
+    questions = _numbered(asked.where("us IS NOT NULL").select("incident_id", "us", pairs.alias("key")))
+    known = clipped_at(_edge_updates(outcomes), questions, -1.0, 1.0, HALF_LIFE_S, **kw).where("n > 0")
+    return known.join(questions, "question").select(
+        "incident_id", F.split("key", ">")[0].alias("cause_kind"), F.split("key", ">")[1].alias("effect_kind"),
+        "n", (F.col("ups") / F.col("n")).alias("success_rate"), "weight", "last_us")
+
+
+def remediation_knowledge_at(graded_rems: DataFrame, asked: DataFrame, **kw) -> DataFrame:
+    """``asked(query_id, service_id, action, us)`` with `knowledge_rate`, `weight` and `last_us`
+    as of ``us``: the success rate of the action on the service, else anywhere, else 0, and
+    the action's weight."""
+    rows = graded_rems.where("action IS NOT NULL AND action <> ''")
+    updates = rows.select("us", "seq", _delta(ACTION_UP, ACTION_DOWN), F.explode(F.array_compact(F.array(
+        F.col("action"), F.when(F.col("target_id").isNotNull(), F.concat_ws("\u0001", "action", "target_id"))))).alias("key"))
+    questions = _numbered(asked.select("query_id", "service_id", "action", "us", F.posexplode(F.array(
+        F.col("action"), F.concat_ws("\u0001", "action", F.coalesce("service_id", F.lit("\u0001"))))).alias("own", "key")))
+    known = clipped_at(updates, questions.where("us IS NOT NULL"), -1.0, 1.0, HALF_LIFE_S, **kw)
+    told = questions.join(known, "question", "left").groupBy("query_id", "service_id", "action").agg(
+        *[F.max(F.when((F.col("own") == own) & (F.col("n") > 0), F.struct("n", "ups", "weight", "last_us"))).alias(name) for name, own in (("_any", 0), ("_own", 1))])
+
+    def rate(c: str):
+        return F.col(f"{c}.ups") / F.col(f"{c}.n")
+
+    return told.select("query_id", "service_id", "action", F.coalesce(rate("_own"), rate("_any"), F.lit(0.0)).alias("knowledge_rate"),
+                       F.col("_any.weight").alias("weight"), F.col("_any.last_us").alias("last_us"))
+
+
 def action_weights(graded_rems: DataFrame, **kw) -> DataFrame:
     """(action, weight, last_us)."""
     rows = graded_rems.where("action IS NOT NULL AND action <> ''").select(

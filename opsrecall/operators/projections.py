@@ -13,6 +13,7 @@ from opsrecall.operators.identity import with_identity
 HISTORY = 30
 HISTORY_FAMILIES = ("latency", "error_rate")
 ANOMALY_MIN_EVENTS, ANOMALY_MIN_METRICS, ANOMALY_SIGMAS = 15, 3, 2.0
+FACT_EDGES, FACT_MATCHES = 6, 5
 WINDOW_TEXT_EVENTS = 25
 SAMPLE_CAPS = {"deploy": 5, "log": 5, "metric": 5, "incident_signal": 3, "remediation": 3}
 # ----------------------
@@ -114,21 +115,27 @@ def anomalous_windows(rows: DataFrame) -> DataFrame:
     ).alias("anomalous"))
 
 
-def window_text(rows: DataFrame, n: int = WINDOW_TEXT_EVENTS) -> DataFrame:
+def window_text(rows: DataFrame, n: int = WINDOW_TEXT_EVENTS, heads: DataFrame | None = None) -> DataFrame:
     """(window_id, text): the first n events of each window, one line each.
-    ``rows(window_id, us, event_id, kind, service, fields)``."""
+    ``rows(window_id, us, event_id, kind, service, fields)``; ``heads(window_id, service)``
+    puts the window's service into a line of its own before them."""
     w = Window.partitionBy("window_id").orderBy("us", "event_id")
     first = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
     listed = F.array_sort(F.collect_list(F.struct("_n", "us", "kind", "service", "fields")))
     t0 = F.get("r", F.lit(0))["us"]
     line = F.transform("r", lambda r: F.concat(
-        F.lit("[+"), F.floor((r["us"] - t0) / 1_000_000).cast("string"), F.lit("s] "), r["kind"], F.lit(" "),
-        F.coalesce(r["service"], F.lit("?")), F.lit(": "), r["fields"]))
-    return first.groupBy("window_id").agg(listed.alias("r")).select("window_id", F.array_join(line, "\n").alias("text"))
+        F.lit("+"), F.floor((r["us"] - t0) / 1_000_000).cast("string"), F.lit("s "), r["kind"], F.lit(" of "),
+        F.coalesce(r["service"], F.lit("?")), F.lit(" | "), r["fields"]))
+    text = F.array_join(line, "\n")
+    per = first.groupBy("window_id").agg(listed.alias("r"))
+    if heads is not None:
+        per = per.join(heads.select("window_id", F.col("service").alias("_head")), "window_id", "left")
+        text = F.concat(F.lit("on "), F.coalesce(S.blank_to_null(F.col("_head")), F.lit("no known service")), F.lit("\n"), text)
+    return per.select("window_id", text.alias("text"))
 
 
 def incident_facts_text(ctx: DataFrame) -> DataFrame:
-    """(incident_id, text): compact facts of a context for a writer.
+    """(incident_id, text): compact facts of a context for a writer, one `name=value` a line.
 
     ``ctx(incident_id, service, trigger, at, edges, matches, offers, confidence)`` with
     arrays of structs as in the context plan.
@@ -136,22 +143,18 @@ def incident_facts_text(ctx: DataFrame) -> DataFrame:
     def two(c: Column) -> Column:
         return F.format_string("%.2f", c)
 
-    edges = F.transform(F.slice("edges", 1, 6), lambda e: F.concat(
-        e["cause_event_id"], F.lit(" -> "), e["effect_event_id"], F.lit(" (conf="), two(e["confidence"]), F.lit(")")))
-    sims = F.transform(F.slice("matches", 1, 5), lambda m: F.concat(
-        m["incident_id"], F.lit(" sim="), two(m["similarity"]), F.lit(": "), m["rationale"]))
-    rem = F.get("offers", F.lit(0))
-    return ctx.select("incident_id", F.concat_ws(
-        "\n",
-        F.concat(F.lit("INCIDENT: "), F.coalesce("service", F.lit("?")), F.lit(" triggered "), F.coalesce("trigger", F.lit("?")),
-                 F.lit(" at "), F.coalesce("at", F.lit("?"))),
-        F.concat(F.lit("CAUSAL CHAIN: "), F.when(F.size("edges") > 0, F.array_join(edges, " | ")).otherwise("(none)")),
-        F.concat(F.lit("SIMILAR PAST: "), F.when(F.size("matches") > 0, F.array_join(sims, " | ")).otherwise("(none)")),
-        F.concat(F.lit("BEST REMEDIATION: "), F.when(F.size("offers") > 0, F.concat(
-            rem["action"], F.lit(" on "), rem["target"], F.lit(", historical success="),
-            F.format_string("%.0f", rem["confidence"] * 100), F.lit("%"))).otherwise("(none)")),
-        F.concat(F.lit("CONFIDENCE: "), two(F.col("confidence"))),
-    ).alias("text"))
+    edges = F.transform(F.slice("edges", 1, FACT_EDGES), lambda e: F.concat(
+        F.lit("cause="), e["cause_event_id"], F.lit(">"), e["effect_event_id"], F.lit(" p="), two(e["confidence"])))
+    alike = F.transform(F.slice("matches", 1, FACT_MATCHES), lambda m: F.concat(
+        F.lit("alike="), m["incident_id"], F.lit(" p="), two(m["similarity"]), F.lit(" why="), m["rationale"]))
+    best = F.get("offers", F.lit(0))
+    lines = F.flatten(F.array(
+        F.array(F.concat_ws(" ", F.concat(F.lit("signal="), F.coalesce("trigger", F.lit("?"))), F.concat(F.lit("on="), F.coalesce("service", F.lit("?"))),
+                            F.concat(F.lit("at="), F.coalesce("at", F.lit("?")))), F.concat(F.lit("certainty="), two(F.col("confidence")))),
+        edges, alike,
+        F.when(F.size("offers") > 0, F.array(F.concat(F.lit("fix="), best["action"], F.lit(" of="), best["target"], F.lit(" p="), two(best["confidence"]))))
+        .otherwise(F.array().cast("array<string>"))))
+    return ctx.select("incident_id", F.array_join(lines, "\n").alias("text"))
 
 
 def totals(events: DataFrame, sigs: DataFrame, rems: DataFrame, names: DataFrame, ids: DataFrame, template_rows: DataFrame) -> DataFrame:

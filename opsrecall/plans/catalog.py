@@ -14,6 +14,7 @@ from opsrecall.operators import (
 )
 from opsrecall.plans import context as C
 from opsrecall.plans.landing import Landing, landing
+from opsrecall.session import cut
 from opsrecall.sources import driver_tables as D, events as SRC
 from opsrecall.streaming import ingest as streams
 from opsrecall.streaming.tables import AppendedTable, VersionedTable
@@ -231,7 +232,7 @@ def scl15(a):
 def scl16(a):
     rows = a.table("conversations").select(
         F.col("conv_id").alias("window_id"), (F.col("turn") * 1_000_000).alias("us"), F.col("turn").alias("event_id"),
-        F.lit("log").alias("kind"), F.col("role").alias("service"), F.substring("text", 1, 60).alias("fields"))
+        F.lit("log").alias("kind"), F.col("role").alias("service"), F.col("text").alias("fields"))
     return P.window_text(rows)
 
 
@@ -241,7 +242,7 @@ def scl16_telemetry(a):
     pairs = windows.window_events(a.sigs, a.events, ["event_id", "us", "kind"]).select(F.col("incident_id").alias("window_id"), "event_id", "us", "kind")
     w = Window.partitionBy("window_id").orderBy("us", "event_id")
     first = pairs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= P.WINDOW_TEXT_EVENTS).drop("_n")
-    return P.window_text(first.join(ev, "event_id"))
+    return P.window_text(first.join(ev, "event_id"), heads=a.sigs.select(F.col("incident_id").alias("window_id"), F.col("own_now").alias("service")))
 
 
 @query("SCL17")
@@ -598,9 +599,8 @@ def sim5(a):
 @query("SIM6")
 def sim6(a):
     mem = a.memory
-    w = learning.edge_weights(a.edge_outcomes)
     base = C.Memory(mem.events, mem.ids, mem.sigs, mem.deps, mem.nbrs, mem.rems, a.chains, a.episodes, mem.graded, a.edge_outcomes)
-    return C.pattern_boost(base, w).select("incident_id", F.round("boost", 4).alias("boost"))
+    return C.pattern_boost(base).select("incident_id", F.round("boost", 4).alias("boost"))
 
 
 def _scored(a):
@@ -789,14 +789,14 @@ def _asked(a):
 
 @query("AGG7")
 def agg7(a):
-    s = remediation.support(_ranked(a, 5), a.rems, a.ids)
-    r = remediation.rank_remediations(s, _asked(a), learning.remediation_stats(a.graded), learning.action_weights(a.graded))
+    s = remediation.support(_ranked(a, 5), a.rems, a.ids, _asked(a))
+    r = remediation.rank_remediations(remediation.known(cut(s), _asked(a), a.graded))
     return r.select("query_id", "rank", "action", "target", "historical_outcome", F.round(F.col("confidence") + NUDGE, 3).alias("confidence"))
 
 
 @query("AGG8")
 def agg8(a):
-    r = remediation.simple_ranking(remediation.support(_ranked(a, 5), a.rems, a.ids), _asked(a))
+    r = remediation.simple_ranking(remediation.support(_ranked(a, 5), a.rems, a.ids, _asked(a)), _asked(a))
     return r.select("query_id", "rank", "action", "target", "historical_outcome", F.round(F.col("confidence") + NUDGE, 3).alias("confidence"))
 
 
@@ -825,7 +825,7 @@ def agg12(a):
 
 @query("AGG13")
 def agg13(a):
-    s = remediation.support(_ranked(a, 5), a.rems, a.ids)
+    s = remediation.support(_ranked(a, 5), a.rems, a.ids, _asked(a))
     r = remediation.simple_ranking(s, _asked(a)).where("rank = 1")
     return r.groupBy("action").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "action").limit(1)
 
@@ -909,7 +909,7 @@ def eva1(a):
 
 
 def _suggested(a):
-    return remediation.simple_ranking(remediation.support(_ranked(a, 5), a.rems, a.ids), _asked(a)).withColumn(
+    return remediation.simple_ranking(remediation.support(_ranked(a, 5), a.rems, a.ids, _asked(a)), _asked(a)).withColumn(
         "confidence", F.round(F.col("confidence") + NUDGE, 3))
 
 

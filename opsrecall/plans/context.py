@@ -34,6 +34,8 @@ class Memory:
     episodes: DataFrame
     graded: DataFrame
     edge_outcomes: DataFrame
+    #: Whether what a signal is told stops at its time.
+    as_of: bool = True
 
 
 def templated(events: DataFrame, clustered: bool = False) -> DataFrame:
@@ -51,9 +53,20 @@ def templated(events: DataFrame, clustered: bool = False) -> DataFrame:
         F.col("kind") == "log", templates.template_id(templates.shape_of(F.col("msg")))))
 
 
-def remember(events: DataFrame, learn: bool = True, clustered_templates: bool = False) -> Memory:
+def learned_edges(outcomes: DataFrame, sigs: DataFrame, as_of: bool) -> DataFrame:
+    """Success rates and weights of edges for the second walk: as of each signal, or of the whole log."""
+    if as_of:
+        return learning.edge_knowledge_at(outcomes, sigs.select("incident_id", F.col("signal_us").alias("us")))
+    return learning.edge_knowledge(outcomes)
+
+
+def remember(events: DataFrame, learn: bool = True, clustered_templates: bool = False, as_of: bool = True) -> Memory:
     """Build the derived tables. With ``learn`` the chains are walked twice: the
-    outcomes of the first pass give success rates and weights for the second."""
+    outcomes of the first pass give success rates and weights for the second.
+
+    ``as_of`` lets a signal see only what was known before it: outcomes, weights and
+    incidents closed by then. Without it the whole log is known, later events included.
+    """
     ids = identity.identities(identity.renames(events))
     sigs = cut(windows.signals(events, ids))
     deps = cut(topology.live_dependencies(events, ids))
@@ -64,12 +77,12 @@ def remember(events: DataFrame, learn: bool = True, clustered_templates: bool =
     chains = causal.chains(sigs, causes, nbrs)
     outcomes = learning.edge_outcomes(graded, chains)
     if learn:
-        chains = causal.chains(sigs, causes, nbrs, cut(learning.edge_knowledge(outcomes)))
+        chains = causal.chains(sigs, causes, nbrs, cut(learned_edges(cut(outcomes), sigs, as_of)))
         outcomes = learning.edge_outcomes(graded, chains)
     facts = features.event_facts(templated(events, clustered_templates), ids)
     feats = features.incident_features(sigs, features.incident_items(sigs, facts))
     eps = cut(E.episodes(sigs, feats, chains, events, ids, deps, nbrs, rems))
-    return Memory(events, ids, sigs, deps, nbrs, rems, chains, eps, graded, outcomes)
+    return Memory(events, ids, sigs, deps, nbrs, rems, chains, eps, graded, outcomes, as_of)
 
 
 def looks_like_decoy(matches: DataFrame) -> DataFrame:
@@ -104,43 +117,41 @@ def overall_confidence(first_match: Column, best_edge: Column, best_remediation:
                 + 0.25 * F.coalesce(best_remediation, zero) + 0.05, 0.0, 1.0)
 
 
+def _two(c: Column) -> Column:
+    return F.format_string("%.2f", c)
+
+
 def narrative(incident: Column, service: Column, trigger: Column, clauses: Column, labels: Column, matches: Column,
               suggestions: Column) -> Column:
-    """Sentences about the signal, its chain, its best match and its best remediation.
+    """Lines about the signal, what to try, what led to it and what it resembles.
 
     ``clauses``: texts per edge; ``labels``: chain node labels in order;
     ``matches``: structs with incident_id, similarity, rationale; ``suggestions``:
     structs with action, target, historical_outcome, confidence.
     """
-    def two(c: Column) -> Column:
-        return F.format_string("%.2f", c)
-
-    top, rem = F.get(matches, F.lit(0)), F.get(suggestions, F.lit(0))
-    n = F.size(matches)
+    best, first = F.get(matches, F.lit(0)), F.get(suggestions, F.lit(0))
+    more = F.size(matches) - 1
     return F.concat_ws(
-        " ",
-        F.concat(F.lit("Incident "), incident, F.lit(" on "), F.coalesce(service, F.lit("unknown service")),
-                 F.lit(" triggered by "), F.coalesce(S.blank_to_null(trigger), F.lit("(no trigger)")), F.lit(".")),
-        F.when(F.size(clauses) > 0, F.concat(F.lit("Reconstructed causal chain: "), F.array_join(clauses, "; "), F.lit(".")))
-        .otherwise("No causal chain reconstructed from the available window."),
-        F.when(F.size(clauses) > 0, F.concat(F.lit("Causal graph: "), F.array_join(labels, " -> "), F.lit("."))),
-        F.when(n > 0, F.concat(F.lit("Behaviorally most similar past incident: "), top["incident_id"], F.lit(" (similarity "),
-                               two(top["similarity"]), F.lit("; "), top["rationale"], F.lit(").")))
-        .otherwise("No behaviorally similar past incidents in memory."),
-        F.when(n > 1, F.concat((n - 1).cast("string"), F.lit(" additional matches found across the historical memory."))),
+        "\n",
+        F.concat(incident, F.lit(": "), F.coalesce(S.blank_to_null(trigger), F.lit("no trigger given")), F.lit(", seen on "),
+                 F.coalesce(service, F.lit("no known service"))),
         F.when(F.size(suggestions) > 0, F.concat(
-            F.lit("Suggested remediation: "), rem["action"], F.lit(" on "), rem["target"], F.lit(" ("), rem["historical_outcome"],
-            F.lit(", confidence "), two(rem["confidence"]), F.lit(")."))),
+            F.lit("Try "), first["action"], F.lit(" of "), first["target"], F.lit(" ["), _two(first["confidence"]), F.lit("; "), first["historical_outcome"], F.lit("]"))),
+        F.when(F.size(clauses) > 0, F.concat(F.lit("Led up to by: "), F.array_join(clauses, " / "))).otherwise("Nothing in the window explains it"),
+        F.when(F.size(clauses) > 0, F.concat(F.lit("In short: "), F.array_join(labels, " > "))),
+        F.when(more >= 0, F.concat(F.lit("Resembles "), best["incident_id"], F.lit(" ["), _two(best["similarity"]), F.lit("]: "), best["rationale"],
+                                   F.when(more > 0, F.concat(F.lit(" (and "), more.cast("string"), F.lit(" more)"))).otherwise("")))
+        .otherwise("Resembles no closed incident"),
     )
 
 
 def short_narrative(incident: Column, service: Column, n_edges: Column, past: Column, action: Column, target: Column,
                     confidence: Column) -> Column:
-    return F.concat(
-        F.lit("Incident "), incident, F.lit(" on "), service, F.lit(": "), n_edges.cast("string"),
-        F.lit(" causal edges detected. Most similar to "), F.coalesce(past, F.lit("no prior match")), F.lit(". Recommended: "),
-        F.coalesce(action, F.lit("no remediation suggested")), F.lit(" on "), F.coalesce(target, F.lit("?")),
-        F.lit(". Confidence: "), F.format_string("%.0f", confidence * 100), F.lit("%."))
+    return F.concat_ws(
+        ", ", F.concat(incident, F.lit(" ("), service, F.lit(")")), F.concat(n_edges.cast("string"), F.lit(" causes found")),
+        F.coalesce(F.concat(F.lit("like "), past), F.lit("like nothing before")),
+        F.coalesce(F.concat(F.lit("try "), action, F.lit(" of "), F.coalesce(target, F.lit("?"))), F.lit("nothing to try")),
+        F.concat(F.format_string("%.0f", confidence * 100), F.lit(" % sure")))
 
 
 def _chain_text(chains: DataFrame, events: DataFrame) -> DataFrame:
@@ -154,27 +165,33 @@ def _chain_text(chains: DataFrame, events: DataFrame) -> DataFrame:
     per = nodes.join(said, "event_id").groupBy("incident_id").agg(seq.alias("nodes"))
     edges = chains.select("incident_id", causal.forward(F.col("steps")).alias("edges"))
     clause = F.transform("edges", lambda e, i: F.concat(
-        F.get("nodes", i)["t"]["d"], F.lit(" preceded "), F.get("nodes", i + 1)["t"]["d"],
-        F.lit(" (confidence "), F.format_string("%.2f", e["confidence"]), F.lit(")")))
+        F.get("nodes", i)["t"]["d"], F.lit(", then "), F.get("nodes", i + 1)["t"]["d"], F.lit(" ["), _two(e["confidence"]), F.lit("]")))
     return per.join(edges, "incident_id").select(
         "incident_id", clause.alias("clauses"), F.transform("nodes", lambda n: n["t"]["l"]).alias("labels"))
 
 
-def pattern_boost(memory: Memory, edge_weights: DataFrame) -> DataFrame:
+def pattern_boost(memory: Memory) -> DataFrame:
     """(incident_id, boost): mean decayed weight of the query's own causal pattern."""
     edges = memory.episodes.select("incident_id", "signal_us", F.explode("pattern").alias("p"))
-    w = edge_weights.select(F.concat_ws("->", "cause_kind", "effect_kind").alias("p"), "weight", "last_us")
+    pair = F.concat_ws("->", "cause_kind", "effect_kind").alias("p")
     value = F.coalesce(causal.decayed(F.col("weight"), F.col("last_us"), F.col("signal_us")), F.lit(0.0))
-    # At most one row per kind pair of the affinity table, hence the broadcast.
-    return edges.join(F.broadcast(w), "p", "left").groupBy("incident_id").agg(
-        similarity.relationship_boost(F.avg(value)).alias("boost"))
-
-
-def find_matches(memory: Memory, k: int, as_of: bool, lsh: tuple[int, int] | None = None, feedback: bool = True) -> DataFrame:
+    if memory.as_of:
+        asked = memory.sigs.select("incident_id", F.col("signal_us").alias("us"))
+        w = learning.edge_knowledge_at(memory.edge_outcomes, asked).select("incident_id", pair, "weight", "last_us")
+        told = edges.join(w, ["incident_id", "p"], "left")
+    else:
+        # At most one row per kind pair of the affinity table, hence the broadcast.
+        w = learning.edge_weights(memory.edge_outcomes).select(pair, "weight", "last_us")
+        told = edges.join(F.broadcast(w), "p", "left")
+    return told.groupBy("incident_id").agg(similarity.relationship_boost(F.avg(value)).alias("boost"))
+
+
+def find_matches(memory: Memory, k: int, lsh: tuple[int, int] | None = None, feedback: bool = True) -> DataFrame:
     """Ranked matches of every incident. With ``feedback`` the first three matches,
     graded by the incident's remediations, adjust pair scores in a second search."""
+    as_of = memory.as_of
     past = similarity.past_view(memory.episodes)
-    boost = pattern_boost(memory, learning.edge_weights(memory.edge_outcomes))
+    boost = pattern_boost(memory)
     queries = cut(similarity.query_view(memory.episodes).join(boost, "incident_id", "left").fillna(0.0, ["boost"]))
     found = similarity.find_similar(queries, past, k, as_of, lsh=lsh)
     if not feedback or as_of:
@@ -186,12 +203,11 @@ def find_matches(memory: Memory, k: int, as_of: bool, lsh: tuple[int, int] | Non
     return similarity.with_rationale(again, queries, past)
 
 
-def context(memory: Memory, mode: str = "fast", as_of: bool = True, lsh: tuple[int, int] | None = None,
+def context(memory: Memory, mode: str = "fast", lsh: tuple[int, int] | None = None,
             matches: DataFrame | None = None) -> DataFrame:
     """One row per signal. ``matches`` may be given when they are already known.
 
-    ``as_of`` lets a signal see only incidents closed before it; without it every
-    closed incident of the log is visible, later ones included.
+    What a signal may know of later events was decided when ``memory`` was built.
     """
     k, cap = similarity.TOP_K[mode], RELATED_CAP[mode]
     steps = "steps_fast" if mode == "fast" else "steps"
@@ -201,16 +217,15 @@ def context(memory: Memory, mode: str = "fast", as_of: bool = True, lsh: tuple[i
     base = identity.resolve_at(base, identity.renames(memory.events), "affected_name", "signal_us", "at_service")
 
     if matches is None:
-        matches = cut(find_matches(memory, k, as_of, lsh))
+        matches = cut(find_matches(memory, k, lsh))
     decoy = looks_like_decoy(matches)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "incident_id", "score", "rationale"))), lambda m: F.struct(
         m["incident_id"].alias("incident_id"), m["score"].alias("score"), m["rationale"].alias("rationale")))
     matched = matches.groupBy(F.col("query_id").alias("incident_id")).agg(listed.alias("raw"))
 
     asked = base.select(F.col("incident_id").alias("query_id"), "signal_us", F.col("own_id").alias("service_id"), "service")
-    ranked = remediation.rank_remediations(
-        remediation.support(matches, memory.rems, memory.ids), asked,
-        learning.remediation_stats(memory.graded), learning.action_weights(memory.graded))
+    tried = remediation.support(matches, memory.rems, memory.ids, asked if memory.as_of else None)
+    ranked = cut(remediation.rank_remediations(remediation.known(cut(tried), asked, memory.graded, memory.as_of)))
     flags = remediation.window_flags(memory.episodes).join(
         base.select(F.col("incident_id").alias("query_id"), F.col("at_service").alias("service")), "query_id")
     guesses = remediation.fallback(flags.join(ranked.select("query_id").distinct(), "query_id", "left_anti"))

@@ -96,15 +96,15 @@ class Landing:
     @cached_property
     def memory(self) -> context.Memory:
         """Everything a context needs, with learned history."""
-        known = cut(learning.edge_knowledge(self.edge_outcomes))
+        known = cut(context.learned_edges(self.edge_outcomes, self.sigs, True))
         chains = cut(causal.chains(self.sigs, self.causes, self.nbrs, known))
         eps = cut(episodes.episodes(self.sigs, self.features, chains, self.events, self.ids, self.deps, self.nbrs, self.rems))
         return context.Memory(self.events, self.ids, self.sigs, self.deps, self.nbrs, self.rems, chains, eps, self.graded,
-                              learning.edge_outcomes(self.graded, chains))
+                              cut(learning.edge_outcomes(self.graded, chains)))
 
     @cached_property
     def matches(self) -> DataFrame:
-        return cut(context.find_matches(self.memory, 5, True))
+        return cut(context.find_matches(self.memory, 5))
 
     @cached_property
     def context(self) -> DataFrame:

@@ -5,40 +5,51 @@ from datetime import datetime, timedelta
 
 from opsrecall.sources import events as SRC
 
-def stamp(start: str, seconds: int) -> str:
+
+def at(start: str, seconds: int) -> str:
     return (datetime.fromisoformat(start) + timedelta(seconds=seconds)).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def outage(start: str, incident: str, backend: str, wait: int, fixed_after: int | None, **more) -> list[dict]:
-    """A release of ``backend`` slows it down, the shop times out on it, and an alert follows after ``wait`` seconds."""
-    steps = [
-        (0, {"kind": "deploy", "service": backend, "version": "2031.4"}),
-        (31, {"kind": "log", "service": "shop-api", "level": "error", "msg": f"timeout while waiting for {backend}", "trace_id": f"t-{incident}"}),
-        (31, {"kind": "metric", "service": backend, "name": "latency_p99_ms", "value": 3600}),
-        (38, {"kind": "trace", "trace_id": f"t-{incident}", "spans": [{"svc": "shop-api", "dur_ms": 4400}, {"svc": backend, "dur_ms": 4350}]}),
-        (wait, {"kind": "incident_signal", "incident_id": incident, "trigger": "alert:shop-api/error-budget", **more}),
-    ]
-    if fixed_after is not None:
-        steps.append((wait + fixed_after, {"kind": "remediation", "incident_id": incident, "action": "rollback", "target": backend, "outcome": "resolved"}))
-    return [{"ts": stamp(start, at), **e} for at, e in steps]
+def sequence(start: str, *steps: tuple) -> list[dict]:
+    """Events at seconds after ``start``: (seconds, kind, fields)."""
+    return [{"ts": at(start, s), "kind": kind, **fields} for s, kind, fields in steps]
 
 
-def _renamed_during(rows: list[dict], at: int, start: str) -> list[dict]:
-    moved = {"ts": stamp(start, at), "kind": "topology", "change": "rename", "from": "ledger-svc", "to": "accounts-svc"}
-    out = sorted([*rows, moved], key=lambda r: r["ts"])
-    return [{**r, "target": "accounts-svc"} if r["kind"] == "remediation" else r for r in out]
+# An index is moved to a new name while a search page depends on it; its next release breaks the
+# page, which raises an alert much later. A cache takes no part.
+MOVED_INDEX = sequence(
+    "2029-06-11T21:40:00",
+    (0, "trace", {"trace_id": "q-1", "spans": [{"svc": "search-page", "dur_ms": 80}, {"svc": "word-index", "dur_ms": 35}, {"svc": "geo-cache", "dur_ms": 5}]}),
+    (95, "topology", {"change": "rename", "from": "word-index", "to": "term-index"}),
+    (400, "deploy", {"service": "term-index", "version": "r88"}),
+    (412, "metric", {"service": "geo-cache", "name": "cpu_percent", "value": 64}),
+    (447, "log", {"service": "search-page", "level": "error", "msg": "term-index gave up after three tries"}),
+    (470, "metric", {"service": "term-index", "name": "latency_p99_ms", "value": 5200}),
+    (1190, "incident_signal", {"incident_id": "SRCH-7", "trigger": "alert:search-page/empty-results"}),
+    (4000, "remediation", {"incident_id": "SRCH-7", "action": "rollback", "target": "term-index", "outcome": "resolved"}),
+)
 
 
-# One outage, with a rename between its cause and its alert.
-WORKED = _renamed_during(outage("2027-03-02T08:05:00", "OPS-31", "ledger-svc", 641, 2269), 510, "2027-03-02T08:05:00")
+def bad_release(start: str, incident: str, index: str, slow: int, alert: int, fixed: int | None) -> list[dict]:
+    """A release of ``index``, slow answers, failing searches, an alert and perhaps a rollback."""
+    steps = [
+        (0, "deploy", {"service": index, "version": f"for-{incident}"}),
+        (slow, "metric", {"service": index, "name": "latency_p99_ms", "value": 2100 + slow}),
+        (slow + 9, "log", {"service": "search-page", "level": "error", "msg": f"{index} gave up after three tries"}),
+        (alert, "incident_signal", {"incident_id": incident, "trigger": "alert:search-page/empty-results", "family": 4}),
+    ]
+    if fixed is not None:
+        steps.append((fixed, "remediation", {"incident_id": incident, "action": "rollback", "target": index, "outcome": "resolved"}))
+    return sequence(start, *steps)
+
 
-# The same kind of outage three times, then after a rename once more, not yet fixed.
-RECURRING = [
-    *outage("2027-01-05T09:00:00", "OPS-4", "ledger-svc", 130, 900, family=1),
-    *outage("2027-01-19T16:30:00", "OPS-9", "ledger-svc", 140, 1100, family=1),
-    *outage("2027-02-02T11:15:00", "OPS-17", "ledger-svc", 160, 700, family=1),
-    {"ts": "2027-02-20T00:00:00Z", "kind": "topology", "change": "rename", "from": "ledger-svc", "to": "accounts-svc"},
-    *outage("2027-03-02T08:05:00", "OPS-31", "accounts-svc", 600, None, family=1),
+# Three bad releases under the old name, one more under the new name, still open.
+RELEASES = [
+    *bad_release("2029-02-03T04:00:00", "SRCH-1", "word-index", 22, 100, 1500),
+    *bad_release("2029-03-09T13:20:00", "SRCH-2", "word-index", 27, 118, 900),
+    *bad_release("2029-04-21T08:45:00", "SRCH-5", "word-index", 19, 95, 2400),
+    {"ts": "2029-05-02T06:00:00Z", "kind": "topology", "change": "rename", "from": "word-index", "to": "term-index"},
+    *bad_release("2029-06-30T17:10:00", "SRCH-9", "term-index", 25, 110, None),
 ]
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsrecall.functions import sets
-from opsrecall.functions.folds import clipped_fold
+from opsrecall.functions.folds import clipped_at, clipped_fold
 from opsrecall.operators import evaluate, learning, remediation, replicas, similarity, skew, templates, topk, vectors, windows
 from opsrecall.operators.graphs import connected_components
 from opsrecall.plans.landing import landing
@@ -82,6 +82,30 @@ def test_clipped_fold(spark, half_life):
     assert then["hot"] == pytest.approx(want["hot"][0], abs=1e-9)
 
 
+@pytest.mark.parametrize("half_life", [None, 500.0])
+def test_weights_before_any_time(spark, half_life):
+    """Every question sees the updates before its time, wherever batches and partitions are cut."""
+    random.seed(13)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    rows = [("hot" if random.random() < 0.7 else f"k{random.randrange(5)}", random.randrange(4000) * 1_000_000, i, random.choice([0.1, -0.06, 0.3])) for i in range(600)]
+    asked = [(i, random.choice(["hot", "k1", "k3", "never"]), random.randrange(-10, 4010) * 1_000_000) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, us bigint, seq bigint, delta double").repartition(4)
+    ask = spark.createDataFrame(asked, "question bigint, key string, us bigint")
+    try:
+        for parts in (1, 6):
+            got = {r["question"]: r for r in clipped_at(df, ask, -0.2, 0.2, half_life, parts).collect()}
+            assert len(got) == 300
+            for i, key, at in asked:
+                w, last, n, ups = 0.0, None, 0, 0
+                for _, us, _seq, d in sorted((r for r in rows if r[0] == key and r[1] < at), key=lambda r: (r[1], r[2])):
+                    f = 0.5 ** ((us - last) / 1e6 / half_life) if half_life and last is not None else 1.0
+                    w, last, n, ups = max(-0.2, min(0.2, w * f + d)), us, n + 1, ups + (d > 0)
+                r = got[i]
+                assert r["weight"] == pytest.approx(w, abs=1e-9) and (r["last_us"], r["n"], r["ups"]) == (last, n, ups), (i, key, at)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def _drain(messages, threshold=0.5):
     import re
     found: list = []
@@ -301,4 +325,4 @@ def test_context_has_one_row_per_signal(land):
         stamps = [e["cause_ts"] for e in r["causal_chain"]]
         assert stamps == sorted(stamps) and len(r["causal_chain"]) <= 5
         assert len(r["similar_past_incidents"]) <= 5 and 1 <= len(r["suggested_remediations"]) <= 3
-        assert len(r["related_events"]) <= 30 and r["explain"].startswith(f"Incident {r['incident_id']}")
+        assert len(r["related_events"]) <= 30 and r["explain"].startswith(f"{r['incident_id']}: ")
