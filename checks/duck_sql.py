@@ -402,11 +402,31 @@ print AS (SELECT {1} md5(COUNT(*) || '|' || SUM(('0x' || substr(h, 1, 15))::BIGI
 """
 _LINES = f"""
 lines AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
-ln AS (SELECT doc_id * 100000 + i - 1 AS line_id, l[i] AS msg FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM lines)),
+ln AS (SELECT doc_id * 16777216 + i - 1 AS line_id, l[i] AS msg FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM lines)),
 sh AS (
   SELECT {_SHAPE.format('msg')} AS shape, len({_TOKENS_OF.format('msg')}) AS n_tokens, COUNT(*) AS freq, MIN(line_id) AS first_seen, MAX(line_id) AS last_seen
   FROM ln WHERE len({_TOKENS_OF.format('msg')}) > 0 GROUP BY 1, 2)
 """
+
+
+def _templates() -> str:
+    """Shapes ``sh`` with the template of the widest group, by token count and first tokens, that agrees on half."""
+    parts = ["l0 AS (SELECT shape, n_tokens, string_split(shape, ' ') AS t, CAST(ceil(n_tokens * 0.5::DOUBLE) AS INT) AS enough FROM sh)"]
+    depths = (0, 1, 2, 4, 8, 16, 32, 64, 128)
+    for i, depth in enumerate(depths):
+        parts.append(f"""
+g{i} AS MATERIALIZED (SELECT *, array_to_string(t[1:LEAST({depth}, enough)], ' ') AS prefix FROM l{i}),
+a{i} AS (
+  SELECT n_tokens, prefix, place, MIN(tok) AS least, MAX(tok) AS most
+  FROM (SELECT n_tokens, prefix, unnest(t) AS tok, generate_subscripts(t, 1) AS place FROM g{i}) GROUP BY 1, 2, 3),
+p{i} AS (SELECT n_tokens, prefix, COUNT(*) FILTER (least = most) AS same, string_agg(CASE WHEN least = most THEN least ELSE '<*>' END, ' ' ORDER BY place) AS pattern FROM a{i} GROUP BY 1, 2),
+s{i} AS MATERIALIZED (SELECT shape, g.n_tokens, t, enough, CASE WHEN same >= enough THEN pattern END AS pattern FROM g{i} g JOIN p{i} p ON p.n_tokens = g.n_tokens AND p.prefix = g.prefix),
+l{i + 1} AS (SELECT shape, n_tokens, t, enough FROM s{i} WHERE pattern IS NULL)""")
+    every = " UNION ALL ".join(f"SELECT shape, n_tokens, pattern FROM s{i} WHERE pattern IS NOT NULL" for i in range(len(depths)))
+    parts.append(f"tp AS (SELECT sh.*, e.pattern FROM sh JOIN ({every}) e ON e.shape = sh.shape AND e.n_tokens = sh.n_tokens)")
+    return ",\n".join(parts)
+
+
 _VEC = """
 first AS (SELECT label, MIN(vec_id) AS vec_id FROM embeddings GROUP BY 1),
 pats AS (SELECT e.label AS idx, list_transform(e.embedding, lambda v: v::DOUBLE) AS x FROM embeddings e JOIN first USING (label, vec_id)),
@@ -585,6 +605,11 @@ def oracle_sql() -> dict[str, str]:
 
     add("TPL1", _LINES, "SELECT md5(shape) AS shape_md5, n_tokens, freq, first_seen, last_seen FROM sh")
     add("TPL2.logs", _EV, f"SELECT {_SHAPE.format('msg')} AS pattern, len({_TOKENS_OF.format('msg')}) AS n_tokens, COUNT(*) AS frequency FROM ev WHERE kind = 'log' GROUP BY 1, 2")
+    add("TPL2", _LINES + "," + _templates(), """SELECT substr(md5(pattern), 1, 12) AS template_id, pattern, n_tokens, SUM(freq)::BIGINT AS frequency,
+      MIN(first_seen) AS first_seen, MAX(last_seen) AS last_seen FROM tp GROUP BY pattern, n_tokens""")
+    add("TPL3.lines", _LINES + "," + _templates(), f"""SELECT line_id, substr(md5(pattern), 1, 12) AS template_id,
+      array_to_string(list_transform(list_filter(list_zip(string_split(pattern, ' '), tk), lambda z: z[1] = '<*>'), lambda z: z[2]), ',') AS params
+      FROM (SELECT line_id, {_SHAPE.format('msg')} AS shape, {_TOKENS_OF.format('msg')} AS tk FROM ln) JOIN tp USING (shape)""")
     add("TPL3", _EV, f"""SELECT event_id, array_to_string(list_filter({_TOKENS_OF.format('msg')}, lambda t: regexp_matches(t, '[0-9]')), ',') AS params
       FROM ev WHERE kind = 'log'""")
     add("TPL4", _LINES, """SELECT substr(md5(shape), 1, 12) AS template_id, n_tokens, freq AS frequency, first_seen, last_seen FROM sh

@@ -1,15 +1,23 @@
-"""Log templates: exact masked shapes first, then order-dependent clustering."""
+"""Log templates: exact masked shapes first, then shapes that agree on enough tokens.
+
+Shapes with the same number of tokens and the same first tokens form a group. What a group
+agrees on is a summary that can be merged in any order: a token for a place where all have
+it, else the wildcard. A shape belongs to the largest group of its own that agrees on half
+of the places, so its template depends on the set of shapes alone, not on their order, on
+how they are partitioned or on how many there are.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from opsrecall.functions import scalars as S
+from opsrecall.session import cut
 
 WILDCARD = "<*>"
-SEP = "\u0001"
-SHAPES_PER_TASK = 50_000
+THRESHOLD = 0.5
+# Numbers of first tokens that groups are tried with, each at most the share that must agree.
+PREFIXES = (0, 1, 2, 4, 8, 16, 32, 64, 128)
 
 
 def mask(tokens):
@@ -19,8 +27,7 @@ def mask(tokens):
 
 def shapes(logs: DataFrame, masked: bool = True) -> DataFrame:
     """``logs(us, msg)`` grouped by shape: (shape, n_tokens, freq, first_seen,
-    last_seen). Counted map-side. Without masking a shape is the plain token
-    list, which clusters exactly as message by message would."""
+    last_seen). Counted map-side. Without masking a shape is the plain token list."""
     tokens = S.log_tokens(F.col("msg"))
     return (
         logs.select("us", (mask(tokens) if masked else tokens).alias("t")).where(F.size("t") > 0)
@@ -36,64 +43,40 @@ def shape_of(msg, masked: bool = True):
     return F.when(F.size(t) > 0, F.array_join(t, " "))
 
 
-class _Clusterer:
-    """Templates of one token count; first best match wins, differences widen."""
-
-    def __init__(self, threshold: float):
-        self.threshold = threshold
-        self.patterns: list[list[str]] = []
-
-    def place(self, tokens: list[str]) -> int:
-        best, best_hits = -1, 0
-        for i, pattern in enumerate(self.patterns):
-            hits = sum(p == WILDCARD or p == t for p, t in zip(pattern, tokens))
-            if hits > best_hits:
-                best, best_hits = i, hits
-        if best >= 0 and best_hits / len(tokens) >= self.threshold:
-            self.patterns[best] = [p if p == t else WILDCARD for p, t in zip(self.patterns[best], tokens)]
-            return best
-        self.patterns.append(list(tokens))
-        return len(self.patterns) - 1
-
-
-def _cluster(rows: DataFrame, by: list[str], threshold: float) -> DataFrame:
-    """Add `pattern`: the final template of each row's `text`, clustering every
-    group of ``by`` in order of (first_seen, text)."""
-    schema = T.StructType([*rows.schema.fields, T.StructField("pattern", T.StringType())])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["first_seen", "text"], kind="stable")
-        c = _Clusterer(threshold)
-        slots = [c.place(t.split(" ")) for t in pdf["text"]]
-        return pdf.assign(pattern=[" ".join(c.patterns[i]) for i in slots])
-
-    return rows.groupBy(*by).applyInPandas(run, schema)
-
-
-def cluster(shape_rows: DataFrame, threshold: float = 0.5, shapes_per_task: int = SHAPES_PER_TASK) -> DataFrame:
+def cluster(shape_rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(shape, n_tokens, freq, first_seen, last_seen, pattern).
 
-    Only messages with the same token count can share a template (there are at
-    most 256 counts in 512 characters). A count with more distinct shapes than
-    one task should take is clustered in pieces, and the pieces' templates, of
-    which there are few, are clustered again; otherwise the result is that of
-    one pass in order of first appearance.
+    Groups are tried from the widest: equal token count, then also equal first token, first
+    two, first four and so on up to the share that must agree, where a group agrees by
+    itself. Every round summarises the shapes that are left by (token count, prefix, place),
+    combined before they are shuffled, and keeps the groups that agree on ``threshold`` of
+    their places. 512 characters hold 256 tokens at most, so there are at most nine rounds.
     """
-    n = shape_rows.groupBy("n_tokens").agg(
-        F.ceil(F.count(F.lit(1)) / shapes_per_task).cast("int").alias("pieces"))
-    split = shape_rows.join(F.broadcast(n), "n_tokens").withColumn(
-        "piece", F.pmod(F.xxhash64("shape"), F.col("pieces").cast("bigint"))).withColumn("text", F.col("shape"))
-    local = _cluster(split, ["n_tokens", "piece"], threshold).withColumnRenamed("pattern", "local")
-    heads = local.groupBy("n_tokens", "local").agg(F.min("first_seen").alias("first_seen")).withColumnRenamed("local", "text")
-    # Templates of different pieces meet here; a count that had one piece keeps its own.
-    again = heads.join(F.broadcast(n), "n_tokens")
-    merged = _cluster(again.where("pieces > 1").drop("pieces"), ["n_tokens"], threshold).select("n_tokens", "text", "pattern")
-    alone = again.where("pieces = 1").select("n_tokens", "text", F.col("text").alias("pattern"))
-    final = merged.unionByName(alone)
-    return (
-        local.drop("text").join(final.withColumnRenamed("text", "local"), ["n_tokens", "local"])
-        .select("shape", "n_tokens", "freq", "first_seen", "last_seen", "pattern")
-    )
+    left = shape_rows.select("shape", "n_tokens")
+    found = None
+    for depth in PREFIXES:
+        enough = F.ceil(F.col("n_tokens") * threshold)
+        prefix = F.array_join(F.slice(F.split("shape", " "), 1, F.least(F.lit(depth), enough).cast("int")), " ")
+        grouped = cut(left.withColumn("prefix", prefix))
+        places = grouped.select("n_tokens", "prefix", F.posexplode(F.split("shape", " ")).alias("place", "token"))
+        agreed = places.groupBy("n_tokens", "prefix", "place").agg(F.min("token").alias("least"), F.max("token").alias("most"))
+        token = F.when(F.col("least") == F.col("most"), F.col("least"))
+        per = agreed.groupBy("n_tokens", "prefix").agg(
+            F.count(token).alias("same"), F.array_sort(F.collect_list(F.struct("place", F.coalesce(token, F.lit(WILDCARD)).alias("token")))).alias("t"))
+        pattern = F.when(F.col("same") >= enough, F.array_join(F.transform("t", lambda x: x["token"]), " "))
+        settled = cut(grouped.join(per.select("n_tokens", "prefix", pattern.alias("pattern")), ["n_tokens", "prefix"]))
+        done = settled.where("pattern IS NOT NULL").select("shape", "n_tokens", "pattern")
+        found = done if found is None else found.unionByName(done)
+        left = settled.where("pattern IS NULL").select("shape", "n_tokens")
+        if left.isEmpty():
+            break
+    return shape_rows.join(found, ["shape", "n_tokens"]).select("shape", "n_tokens", "freq", "first_seen", "last_seen", "pattern")
+
+
+def merged(shape_rows: DataFrame) -> DataFrame:
+    """Shape rows of several parts of a log as those of the whole: counts add up, times widen."""
+    return shape_rows.groupBy("shape", "n_tokens").agg(
+        F.sum("freq").alias("freq"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
 def catalogue(clustered: DataFrame) -> DataFrame:

@@ -487,7 +487,7 @@ def tpl1(a):
 
 @query("TPL2")
 def tpl2(a):
-    return templates.catalogue(templates.cluster(a.line_shapes))
+    return templates.catalogue(a.line_templates)
 
 
 @query("TPL2.logs")
@@ -502,6 +502,13 @@ def tpl3(a):
     return got.select("event_id", F.array_join(templates.parameters(F.col("pattern"), S.log_tokens(F.col("msg"))), ",").alias("params"))
 
 
+@query("TPL3.lines")
+def tpl3_lines(a):
+    """What stands at the wildcards of the template that a document line was clustered into."""
+    got = templates.assign(D.document_lines(a.spark, a.sf_dir), a.line_templates).where("template_id IS NOT NULL")
+    return got.select("line_id", "template_id", F.array_join(templates.parameters(F.col("pattern"), S.log_tokens(F.col("msg"))), ",").alias("params"))
+
+
 @query("TPL4")
 def tpl4(a):
     lines = templates.catalogue(a.line_shapes.withColumn("pattern", F.col("shape")))
@@ -1105,9 +1112,9 @@ def str2(a):
 
 @query("STR3")
 def str3(a):
-    table = VersionedTable(a.spark, a.path("templates"), streams.TEMPLATE_SCHEMA)
-    _arrive(a, lambda ev, ck: streams.keep_templates(ev, table, ck))
-    return table.current().select(F.col("text").alias("pattern"), "n_tokens", F.col("freq").alias("frequency"))
+    table = AppendedTable(a.spark, a.path("shapes"), streams.SHAPE_SCHEMA)
+    _arrive(a, lambda ev, ck: streams.keep_shapes(ev, table, ck), 3)
+    return streams.current_templates(table).select("pattern", "n_tokens", "frequency")
 
 
 @query("STR4")

@@ -118,6 +118,10 @@ class Landing:
     def line_shapes(self) -> DataFrame:
         return cut(templates.shapes(D.document_lines(self.spark, self.sf_dir)))
 
+    @cached_property
+    def line_templates(self) -> DataFrame:
+        return cut(templates.cluster(self.line_shapes))
+
     @cached_property
     def shape_templates(self) -> DataFrame:
         """Catalogue of plain shapes (no clustering)."""

@@ -135,7 +135,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(line_id, us, msg): document text split into lines, in order."""
+    """(line_id, us, msg): document text split into lines, in order. Ids are unique while
+    documents have fewer than 2**24 lines and ids below 2**39."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "msg"))
-    order = F.col("doc_id") * 100_000 + F.col("line")
+    order = F.col("doc_id") * (1 << 24) + F.col("line")
     return d.select(order.alias("line_id"), order.alias("us"), "msg")

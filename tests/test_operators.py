@@ -1,6 +1,8 @@
 """Operators against plain Python on small inputs."""
 
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,41 +108,48 @@ def test_weights_before_any_time(spark, half_life):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def _drain(messages, threshold=0.5):
-    import re
-    found: list = []
-    for msg in messages:
-        tokens = re.findall(r"[A-Za-z0-9_\.\-/:]+", msg[:512])
-        best, hits = None, 0
-        for t in found:
-            if len(t) == len(tokens):
-                h = sum(a == "<*>" or a == b for a, b in zip(t, tokens))
-                if h > hits:
-                    best, hits = t, h
-        if best is not None and hits / len(tokens) >= threshold:
-            best[:] = [a if a == b else "<*>" for a, b in zip(best, tokens)]
-        elif tokens:
-            found.append(list(tokens))
-    return sorted(" ".join(t) for t in found)
-
-
-def test_templates_follow_message_order(spark):
+def _templates(shapes, threshold=0.5):
+    """Template of every shape: of the widest group by count and first tokens that agrees on enough places."""
+    out, left = {}, [s.split(" ") for s in shapes]
+    for depth in (0, 1, 2, 4, 8, 16, 32, 64, 128):
+        groups = {}
+        for t in left:
+            groups.setdefault((len(t), tuple(t[:min(depth, math.ceil(threshold * len(t)))])), []).append(t)
+        left = []
+        for (n, _), rows in groups.items():
+            pattern = [r[0] if len(set(r)) == 1 else "<*>" for r in zip(*rows, strict=True)]
+            same = sum(len(set(r)) == 1 for r in zip(*rows, strict=True))
+            if same >= math.ceil(threshold * n):
+                out |= {" ".join(t): " ".join(pattern) for t in rows}
+            else:
+                left += rows
+    assert not left
+    return out
+
+
+def _messages():
     random.seed(2)
     words = ["timeout", "calling", "retry", "svc-a", "svc-b", "ok", "user", "id=7", "failed"]
-    msgs = [" ".join(random.choice(words) for _ in range(random.randrange(1, 6))) for _ in range(150)]
-    distinct = list(dict.fromkeys(msgs))
-    df = spark.createDataFrame([(i, m) for i, m in enumerate(distinct)], "us bigint, msg string")
-    got = templates.catalogue(templates.cluster(templates.shapes(df, masked=False)))
-    assert sorted(r["pattern"] for r in got.collect()) == sorted(set(_drain(distinct)))
-    assert got.agg(F.sum("frequency")).first()[0] == len(distinct)
-
-
-def test_templates_in_pieces_keep_every_line(spark):
-    df = spark.range(500).select(F.col("id").alias("us"), F.concat_ws(" ", F.lit("login of"), F.chr(F.col("id") % 26 + 97), F.lit("from host")).alias("msg"))
-    whole = templates.catalogue(templates.cluster(templates.shapes(df)))
-    pieces = templates.catalogue(templates.cluster(templates.shapes(df), shapes_per_task=5))
-    for t in (whole, pieces):
-        assert [(r["pattern"], r["frequency"]) for r in t.collect()] == [("login of <*> from host", 500)]
+    made = [" ".join(random.choice(words) for _ in range(random.randrange(1, 8))) for _ in range(300)]
+    made += [f"login of {chr(97 + i)}x from host" for i in range(26)] + [f"disk {n} of node is {s}" for n in "abc" for s in ("full", "slow", "gone")] + ["x " * 255 + "x", "y"]
+    return made
+
+
+def test_templates_depend_on_the_set_of_shapes_alone(spark):
+    msgs = _messages()
+    want = _templates({" ".join("<*>" if any(c.isdigit() for c in t) else t for t in re.findall(r"[A-Za-z0-9_.\-/:]+", m[:512])) for m in msgs})
+    assert len(set(want.values())) > 5 and want["login of ax from host"] == "login of <*> from host"
+    rows = [(i, m) for i, m in enumerate(msgs)]
+    for turn, parts in ((rows, 1), (rows[::-1], 5), (sorted(rows, key=lambda r: hash(r[1])), 3)):
+        df = spark.createDataFrame(turn, "us bigint, msg string").repartition(parts)
+        got = {r["shape"]: r["pattern"] for r in templates.cluster(templates.shapes(df)).collect()}
+        assert got == want
+    # Parts of the log, counted apart, add up to the whole.
+    first, second = (templates.shapes(spark.createDataFrame(r, "us bigint, msg string")) for r in (rows[:100], rows[100:]))
+    both = templates.cluster(templates.merged(first.unionByName(second)))
+    whole = templates.cluster(templates.shapes(spark.createDataFrame(rows, "us bigint, msg string")))
+    assert sorted(both.collect()) == sorted(whole.collect())
+    assert templates.cluster(whole.select("shape", "n_tokens", "freq", "first_seen", "last_seen").where("1 = 0")).count() == 0
 
 
 def test_minhash_estimates_jaccard(spark):
