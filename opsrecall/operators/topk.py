@@ -200,19 +200,19 @@ def _part(s: Sets, a: int, b: int) -> Sets:
     return Sets(s.edge[a:b + 1] - s.edge[a], s.items[s.edge[a]:s.edge[b]])
 
 
-def _blocks(past: DataFrame, asked: DataFrame, scope: list[str], past_id: str, asked_id: str) -> tuple[GroupedData, GroupedData]:
+def dealt(past: DataFrame, asked: DataFrame, scope: list[str], past_id: str, asked_id: str) -> tuple[GroupedData, GroupedData]:
     """Both sides dealt so that within a scope every block of one meets every block of the other once."""
     n = past.groupBy(*scope).agg(F.count(F.lit(1)).alias("_rows"))
     q = asked.groupBy(*[F.col(f"q_{c}").alias(c) for c in scope]).agg(F.count(F.lit(1)).alias("_asks"))
     grid = cut(n.join(q, scope).select(*scope, F.ceil(F.col("_rows") / BLOCK).cast("int").alias("_blocks"), F.ceil(F.col("_asks") / ASKED).cast("int").alias("_askers")))
 
-    def dealt(df: DataFrame, on: DataFrame, keys: list[str], own: str, other: str, by: str) -> DataFrame:
+    def spread(df: DataFrame, on: DataFrame, keys: list[str], own: str, other: str, by: str) -> DataFrame:
         return df.join(on, keys).withColumn(f"{own}_no", F.pmod(F.xxhash64(by), F.col(own)).cast("int")).withColumn(
             f"{other}_no", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_blocks", "_askers")
 
-    of_past = dealt(past, grid, scope, "_blocks", "_askers", past_id)
+    of_past = spread(past, grid, scope, "_blocks", "_askers", past_id)
     q_scope = [f"q_{c}" for c in scope]
-    of_asked = dealt(asked, grid.withColumnsRenamed({c: f"q_{c}" for c in scope}), q_scope, "_askers", "_blocks", asked_id)
+    of_asked = spread(asked, grid.withColumnsRenamed({c: f"q_{c}" for c in scope}), q_scope, "_askers", "_blocks", asked_id)
     of_asked = of_asked.withColumnsRenamed({"_blocks_no": "q_blocks_no", "_askers_no": "q_askers_no"})
     return of_past.groupBy(*scope, "_blocks_no", "_askers_no"), of_asked.groupBy(*q_scope, "q_blocks_no", "q_askers_no")
 
@@ -263,5 +263,5 @@ def best_classes(queries: DataFrame, classes: DataFrame, scoring: Scoring, k: in
     # Without a service to share, all are in one scope.
     scope = F.col("service") if own else F.lit("")
     asked_scope = F.col("q_service") if own else F.lit("")
-    of_past, of_asked = _blocks(past.withColumn("scope", scope), asked.withColumn("q_scope", asked_scope), ["scope"], "class_id", "query_id")
+    of_past, of_asked = dealt(past.withColumn("scope", scope), asked.withColumn("q_scope", asked_scope), ["scope"], "class_id", "query_id")
     return of_past.cogroup(of_asked).applyInPandas(search, "query_id string, class_id string, score double")

@@ -1,35 +1,61 @@
-"""Nearest stored pattern of a vector."""
+"""Nearest stored pattern of a vector, for any number of patterns.
 
-from __future__ import annotations
-
-from pyspark.sql import Column, DataFrame, functions as F
-
-from opsrecall.functions.sets import let
-
-# Patterns travel inside every row as one literal-sized array, so their number is
-# checked before they are used that way.
-MAX_PATTERNS = 4096
+Patterns and queries meet in blocks. A task multiplies its two blocks as matrices, adds up
+again, in one order everywhere, what the product says can be the largest, and returns one
+pattern for each query. The best of a query's blocks are merged as a maximum.
+"""
 
+from __future__ import annotations
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
+from opsrecall.operators.topk import dealt
+from opsrecall.session import cut
+
+# Shorter vectors count as without length.
+NO_LENGTH = 1e-12
+# More than the order of adding up changes in a product of a unit vector.
+ROUNDING = 1e-9
+# Numbers of a product that are held at once.
+CELLS = 1 << 23
+
+
+def best_patterns(patterns: np.ndarray, idx: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The largest cosine of every query, and the least idx that has it. Patterns have unit norm."""
+    norms = np.sqrt((queries * queries).sum(axis=1))
+    queries = np.where((norms < NO_LENGTH)[:, None], 0.0, queries / np.maximum(norms, NO_LENGTH)[:, None])
+    order = np.argsort(idx, kind="stable")
+    patterns, idx = patterns[order], idx[order]
+    best, place = np.empty(len(queries)), np.empty(len(queries), np.int64)
+    step = max(1, CELLS // max(1, len(patterns)))
+    for a in range(0, len(queries), step):
+        some = queries[a:a + step]
+        rough = some @ patterns.T
+        row, column = np.nonzero(rough >= rough.max(axis=1, keepdims=True) - ROUNDING)
+        exact = (some[row] * patterns[column]).sum(axis=1)
+        first = np.lexsort((column, -exact, row))  # the least idx of equal ones comes first
+        first = first[np.r_[True, row[first][1:] != row[first][:-1]]]
+        best[a:a + step], place[a:a + step] = exact[first], column[first]
+    return best, idx[place]
 
 
 def classify(queries: DataFrame, patterns: DataFrame, out: str = "predicted") -> DataFrame:
     """Add the `idx` of the pattern with the largest cosine to ``q`` (least idx on a tie).
 
-    Patterns have unit norm. A vector without length gets the least idx.
+    ``patterns(idx, x)`` have unit norm and as many components as every ``q``. A vector
+    without length gets the least idx. Without patterns the result is null.
     """
-    n = patterns.count()
-    if not 0 < n <= MAX_PATTERNS:
-        raise ValueError(f"{n} patterns; expected 1 to {MAX_PATTERNS}")
-    # One row holding all patterns: its size is bounded by the check above.
-    book = patterns.agg(F.array_sort(F.collect_list(F.struct("idx", "x"))).alias("book")).withColumn("_one", F.lit(1))
-    norm = F.sqrt(dot(F.col("q"), F.col("q")))
-    scored = F.transform("book", lambda p: F.struct(dot(p["x"], F.col("q")).alias("cos"), (-p["idx"]).alias("neg")))
-    best = let(F.array_max(scored), lambda m: -m["neg"])
-    return (
-        queries.withColumn("_one", F.lit(1)).join(F.broadcast(book), "_one")
-        .withColumn(out, F.when(norm < 1e-12, F.get("book", F.lit(0))["idx"]).otherwise(best))
-        .drop("_one", "book")
-    )
+    rows = cut(queries.withColumn("_row", F.monotonically_increasing_id()))
+    known, asked = dealt(patterns.select("idx", "x", F.lit("").alias("scope")), rows.select("_row", "q", F.lit("").alias("q_scope")), ["scope"], "idx", "_row")
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"_row": [], "_cos": [], "_idx": []})
+        cos, idx = best_patterns(np.stack(left["x"].to_numpy()).astype(float), left["idx"].to_numpy(np.int64), np.stack(right["q"].to_numpy()).astype(float))
+        return pd.DataFrame({"_row": right["_row"], "_cos": cos, "_idx": idx})
+
+    found = known.cogroup(asked).applyInPandas(search, "_row bigint, _cos double, _idx bigint")
+    best = found.groupBy("_row").agg(F.max(F.struct("_cos", (-F.col("_idx")).alias("minus"))).alias("b"))
+    return rows.join(best.select("_row", (-F.col("b.minus")).alias(out)), "_row", "left").drop("_row")

@@ -327,6 +327,26 @@ def test_vectors(spark):
     assert {r["query_id"]: r["predicted"] for r in vectors.classify(q, p).collect()} == {1: 1, 2: 0, 3: 0}
 
 
+def test_any_number_of_patterns(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 700)
+    monkeypatch.setattr(topk, "ASKED", 40)
+    monkeypatch.setattr(vectors, "CELLS", 5000)
+    rng = topk.np.random.default_rng(2)
+    p = rng.normal(size=(5000, 6)).round(1)
+    p[3000] = p[17] = [1, 0, 0, 0, 0, 2]
+    p = p[(p != 0).any(axis=1)]
+    p /= topk.np.sqrt((p * p).sum(axis=1, keepdims=True))
+    q = topk.np.r_[rng.normal(size=(150, 6)), p[17:18] * 3, topk.np.zeros((1, 6)), p[40:42]]
+    book = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(p)], "idx bigint, x array<double>")
+    asked = spark.createDataFrame([(i, x.tolist(), "kept") for i, x in enumerate(q)], "query_id bigint, q array<double>, idx string")
+    got = {r["query_id"]: r["predicted"] for r in vectors.classify(asked, book).collect()}
+    for i, x in enumerate(q):
+        cos = [sum(a * b for a, b in zip(x, y, strict=True)) for y in p]
+        assert abs(cos[got[i]] - max(cos)) < 1e-9, i
+    assert got[150] == 17 and got[151] == 0
+    assert {r["predicted"] for r in vectors.classify(asked, book.where("1 = 0")).collect()} == {None}
+
+
 def test_context_has_one_row_per_signal(land):
     rows = land.context.collect()
     assert sorted(r["incident_id"] for r in rows) == sorted(r["incident_id"] for r in land.sigs.collect())
