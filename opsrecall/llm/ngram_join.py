@@ -34,6 +34,8 @@ LEADERS = 3
 CLOSEST = (8,)
 # Rows of one side of a comparison in a large group.
 SIDE = 1024
+# Bytes of sets that one task verifies, about.
+VERIFY_BYTES = 48 << 20
 # Bits of the filter on the ids of texts to verify: 2 MB.
 SLOT_BITS = 24
 # Tells the keys of single shingles from those of parts.
@@ -150,8 +152,10 @@ def _entries(docs: DataFrame, size: int, percent: int, dests: int) -> DataFrame:
 
 def _groups(entries: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of small groups that share a key, at size 0, and of large groups the
-    size and every member (key, a), with the least hash of them all as b."""
-    schema = "size long, key long, a long, b long, n long"
+    size and every member (key, a), with the least hash of them all as b and a signature of
+    the members as sig."""
+    schema = "size long, key long, a long, b long, n long, sig long"
+    columns = ["size", "key", "a", "b", "n", "sig"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, c, n = [], [], []
@@ -181,7 +185,10 @@ def _groups(entries: DataFrame, percent: int) -> DataFrame:
         start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         count = np.diff(np.r_[start, len(key)])
         group = np.repeat(count, count)
-        lead = np.repeat(np.minimum.reduceat(mix(c.astype(U)), start), count).astype(np.int64)
+        hashed = mix(c.astype(U))
+        lead = np.repeat(np.minimum.reduceat(hashed, start), count).astype(np.int64)
+        sig = mix(np.add.reduceat(hashed, start)) ^ np.bitwise_xor.reduceat(mix(hashed ^ SHINGLE), start)
+        sig = np.repeat(sig, count).astype(np.int64)
         large = group > SMALL
         first, second = [], []
         for k in range(1, SMALL):
@@ -196,10 +203,10 @@ def _groups(entries: DataFrame, percent: int) -> DataFrame:
         for s in range(0, len(pairs), step):
             p = pairs[s:s + step]
             zero = np.zeros(len(p), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (zero, zero, p[:, 0].copy(), p[:, 1].copy(), zero)], ["size", "key", "a", "b", "n"])
-        members = [x[large] for x in (group, key.astype(np.int64), c, lead, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (zero, zero, p[:, 0].copy(), p[:, 1].copy(), zero, zero)], columns)
+        members = [x[large] for x in (group, key.astype(np.int64), c, lead, n, sig)]
         for s in range(0, len(members[0]), step):
-            yield pa.RecordBatch.from_arrays([pa.array(x[s:s + step]) for x in members], ["size", "key", "a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[s:s + step]) for x in members], columns)
 
     return entries.mapInArrow(run, schema)
 
@@ -234,7 +241,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, per
     """Pairs (a, b) that are similar, by their whole sets.
 
     Only texts that may be wanted, by a Bloom filter of fixed size on ids, are hashed
-    again and their sets sent on; a filter that is full lets all pass.
+    again and their sets sent on; a filter that is full lets all pass. A pair is verified
+    where the set of it that is in fewer pairs is at home, so that set is sent once, and a
+    set that many are compared with once to each place instead of with every pair.
     """
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << SLOT_BITS))
     wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
@@ -253,18 +262,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, per
                     h.append(x.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(h, pa.binary())], ["c", "h"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            for i in range(b.num_rows):
-                x, y = (np.frombuffer(b.column(j)[i].as_buffer(), U) for j in (2, 3))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
-
-    full = docs.select(slot.alias("slot"), "text").mapInArrow(hashes, "c long, h binary").join(wanted, "c", "left_semi")
-    one, two = full.select(F.col("c").alias("a"), F.col("h").alias("ha")), full.select(F.col("c").alias("b"), F.col("h").alias("hb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "hb").mapInArrow(compare, "a long, b long").distinct()
+    def compare(place: tuple, pairs_: pa.Table, sets_: pa.Table) -> pa.Table:
+        held = {c: np.frombuffer(h.as_buffer(), U) for c, h in zip(sets_.column("c").to_pylist(), sets_.column("h"), strict=True)}
+        a, b = pairs_.column("a").to_pylist(), pairs_.column("b").to_pylist()
+        keep = []
+        for i, j in zip(a, b, strict=True):
+            x, y = sorted((held[i], held[j]), key=len)
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            both = int((y[at] == x).sum())
+            keep.append(100 * both >= percent * (len(x) + len(y) - both))
+        return pairs_.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("c"))
+    often = ends.groupBy("c").agg(F.count(F.lit(1)).alias("degree")).join(sets.select("c", "n"), "c")
+    total = often.agg(F.sum(F.least("degree", F.lit(64)) * F.col("n")).alias("n")).first().n or 0
+    places = max(partitions(docs.sparkSession), -(-8 * total // VERIFY_BYTES))
+    one, two = (often.select(F.col("c").alias(x), F.col("degree").alias(f"{x}_degree")) for x in ("a", "b"))
+    home = F.when((F.col("a_degree") < F.col("b_degree")) | ((F.col("a_degree") == F.col("b_degree")) & (F.col("a") < F.col("b"))), F.col("a")).otherwise(F.col("b"))
+    placed = cut(pairs.join(one, "a").join(two, "b").select("a", "b", F.pmod(F.xxhash64(home), F.lit(places)).cast("int").alias("place")))
+    needed = placed.select("place", F.explode(F.array("a", "b")).alias("c")).distinct()
+    full = docs.select(slot.alias("slot"), "text").mapInArrow(hashes, "c long, h binary")
+    # Equal texts of different tasks arrive several times; a set is sent to a place once.
+    sent = full.join(wanted, "c", "left_semi").dropDuplicates(["c"]).join(needed, "c").select(F.col("place").alias("at"), "c", "h")
+    return placed.groupBy("place").cogroup(sent.groupBy("at")).applyInArrow(compare, "a long, b long").distinct()
 
 
 def _sides(size):
@@ -372,7 +392,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     rows = cut(shingle_rows(docs, size))
     sets = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     found = cut(_groups(_entries(docs.select("text"), size, percent, dests), percent))
-    members = found.where("size > 0").select("size", "key", F.col("a").alias("c"), F.col("b").alias("lead"), "n")
+    # Near copies share many keys, and many of these have the same members: one such key does.
+    large = found.where("size > 0")
+    several = large.groupBy("size", "sig").agg(F.min("key").alias("key"))
+    members = cut(large.join(several, ["size", "sig", "key"], "left_semi").select("size", "key", F.col("a").alias("c"), F.col("b").alias("lead"), "n"))
     lead = members.groupBy("key").agg(*(F.min(F.struct(F.xxhash64(F.lit(i), "c").alias("h"), "c", "n")).alias(f"lead{i}") for i in range(LEADERS)))
     lead = lead.select("key", F.explode(F.array(*(f"lead{i}" for i in range(LEADERS)))).alias("lead")).select("key", F.col("lead.c").alias("l"), F.col("lead.n").alias("m"))
     star = members.select("key", "c", "n").join(lead, "key").where((F.col("c") != F.col("l")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
