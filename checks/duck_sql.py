@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # ---- shared common table expressions ---------------------------------------
 
 _EV = r"""
@@ -161,6 +163,12 @@ graded AS (
 closed AS (SELECT incident_id, MIN(us) AS closed_us FROM graded GROUP BY 1)
 """
 
+
+
+def _decayed(w: str, last: str, now: str) -> str:
+    return f"COALESCE({w} * pow(0.5::DOUBLE, GREATEST(0, {now} - {last}) / 1000000.0::DOUBLE / 604800.0::DOUBLE), 0)"
+
+
 _AFF = """aff(ck, ek, w) AS (VALUES ('deploy','metric',0.85::DOUBLE),('deploy','log',0.70),('deploy','trace',0.55),('deploy','incident_signal',0.65),
   ('metric','log',0.55),('metric','incident_signal',0.85),('metric','trace',0.45),('log','incident_signal',0.85),('log','log',0.45),
   ('trace','log',0.55),('trace','incident_signal',0.50),('topology','metric',0.35),('topology','log',0.30),('topology','incident_signal',0.25))"""
@@ -170,8 +178,10 @@ _SHARE = """CASE kind WHEN 'deploy' THEN 0.6 WHEN 'log' THEN CASE WHEN level = '
   WHEN 'topology' THEN 0.4 ELSE 0.0 END::DOUBLE"""
 
 
-def _chain() -> str:
-    """Five greedy steps from each signal back in time, without history."""
+def _chain(learned: bool = False) -> str:
+    """Five greedy steps from each signal back in time, without history, or with ``kn`` of the steps before."""
+    history, relation = ("COALESCE(kn.rate, 0)", _decayed("kn.w", "kn.last_us", "f.us")) if learned else ("0", "0")
+    known = "LEFT JOIN kn ON kn.incident_id = c.incident_id AND kn.ck = c.kind AND kn.ek = f.kind" if learned else ""
     parts = [_AFF, f"cand AS (SELECT incident_id, event_id, us, kind, {_SHARE} AS share, identity_id AS cause_id, {_GKIND} AS gk FROM win WHERE us < signal_us)",
              "f0 AS (SELECT incident_id, signal_event_id AS event_id, signal_us AS us, 'incident_signal' AS kind, own_id AS cause_id FROM sig)"]
     for i in range(5):
@@ -180,16 +190,16 @@ e{i} AS (
   SELECT c.incident_id, c.event_id, c.us, c.kind, c.cause_id, c.gk, f.event_id AS effect_event_id, f.kind AS effect_kind, f.cause_id AS effect_id,
     (f.us - c.us) / 1000000.0::DOUBLE AS dt,
     CASE WHEN c.cause_id = f.cause_id THEN 0.25 WHEN n.identity_id IS NOT NULL THEN 0.15 ELSE 0.0 END::DOUBLE AS topo,
-    LEAST(1.0::DOUBLE, c.share + CASE WHEN f.kind = 'incident_signal' THEN 0.2 ELSE 0.0 END::DOUBLE) AS evid, aff.w
+    LEAST(1.0::DOUBLE, c.share + CASE WHEN f.kind = 'incident_signal' THEN 0.2 ELSE 0.0 END::DOUBLE) AS evid, aff.w, {history}::DOUBLE AS hist, GREATEST(-0.5::DOUBLE, LEAST(0.5::DOUBLE, {relation})) AS rel
   FROM cand c JOIN f{i} f ON c.incident_id = f.incident_id AND c.us < f.us
   JOIN aff ON aff.ck = c.kind AND aff.ek = f.kind
-  LEFT JOIN nbrs n ON n.identity_id = f.cause_id AND n.neighbour_id = c.cause_id),
+  LEFT JOIN nbrs n ON n.identity_id = f.cause_id AND n.neighbour_id = c.cause_id {known}),
 g{i} AS (
-  SELECT *, 0.30::DOUBLE * w + 0.25::DOUBLE * {_TEMPORAL.format('dt')} + 0.15::DOUBLE * 0 + 0.15::DOUBLE * topo + 0.10::DOUBLE * evid + 0.05::DOUBLE * 0 AS score FROM e{i}),
+  SELECT *, 0.30::DOUBLE * w + 0.25::DOUBLE * {_TEMPORAL.format('dt')} + 0.15::DOUBLE * hist + 0.15::DOUBLE * topo + 0.10::DOUBLE * evid + 0.05::DOUBLE * rel AS score FROM e{i}),
 f{i + 1} AS (
   SELECT * FROM g{i} WHERE score >= 0.30::DOUBLE * 0.85::DOUBLE
   QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY score DESC, us, event_id) = 1)""")
-    steps = " UNION ALL ".join(f"SELECT {i} AS step, incident_id, event_id, us, kind, cause_id, gk, effect_event_id, effect_kind, effect_id, dt, topo, evid, score FROM f{i + 1}"
+    steps = " UNION ALL ".join(f"SELECT {i} AS step, incident_id, event_id, us, kind, cause_id, gk, effect_event_id, effect_kind, effect_id, dt, topo, hist, evid, score FROM f{i + 1}"
                                for i in range(5))
     parts.append(f"deep AS ({steps})")
     parts.append("fast AS (SELECT * FROM deep d WHERE NOT EXISTS (SELECT 1 FROM deep x WHERE x.incident_id = d.incident_id AND x.step <= d.step AND x.score < 0.30::DOUBLE))")
@@ -272,28 +282,22 @@ _TOPO = """CASE WHEN len(q.services) = 0 OR len(c.services) = 0 THEN 0.0 WHEN li
   WHEN list_has_any(q.near, c.services) THEN 0.5 WHEN list_has_any(q.clusters, c.clusters) THEN 0.3 ELSE 0.0 END::DOUBLE"""
 
 
-def _plain(graph: str) -> str:
-    return (f"LEAST(1.0::DOUBLE, 0.45::DOUBLE * ({_jac('q.tokens', 'c.tokens')}) + 0.20::DOUBLE * ({_jac('q.symptoms', 'c.symptoms')}) + "
-            f"0.15::DOUBLE * ({_jac('q.profile', 'c.profile')}) + 0.10::DOUBLE * ({_jac('q.graph', 'c.' + graph)}) + 0.10::DOUBLE * ({_TOPO}))")
+def _plain(graph: str, boost: str = "0") -> str:
+    return (f"GREATEST(0.0::DOUBLE, LEAST(1.0::DOUBLE, 0.45::DOUBLE * ({_jac('q.tokens', 'c.tokens')}) + 0.20::DOUBLE * ({_jac('q.symptoms', 'c.symptoms')}) + "
+            f"0.15::DOUBLE * ({_jac('q.profile', 'c.profile')}) + 0.10::DOUBLE * ({_jac('q.graph', 'c.' + graph)}) + 0.10::DOUBLE * ({_TOPO}) + {boost}))")
 
 
-# The first three closed incidents of the affected service, for every signal.
-_PAIRS = """
-firsts AS (SELECT * FROM epi WHERE closed_us IS NOT NULL QUALIFY row_number() OVER (PARTITION BY affected_id ORDER BY closed_us, incident_id) <= 3),
-pairs AS (SELECT q.incident_id AS query_id, c.incident_id FROM epi q JOIN firsts c ON q.affected_id = c.affected_id AND c.closed_us < q.signal_us)
-"""
-_EV_PAIRS = _EV_EPI + "," + _PAIRS
 _QC = "FROM pairs p JOIN epi q ON q.incident_id = p.query_id JOIN epi c ON c.incident_id = p.incident_id"
 
 
-def _found(k: int, family: str = "c.family") -> str:
+def _found(k: int, family: str = "c.family", boost: str = "") -> str:
     """Matches of every signal among all incidents closed before it: the same service first, families
     taking turns, then all others by score, k in all."""
     order = "same DESC, CASE WHEN same THEN round ELSE 0 END, top DESC, fam, round"
     return f"""
 al{k} AS MATERIALIZED (
-  SELECT q.incident_id AS query_id, c.incident_id, c.closed_us, {family} AS family, COALESCE(q.service = c.service, FALSE) AS same, {_plain('graph_closed')} AS plain
-  FROM epi q JOIN epi c ON c.closed_us < q.signal_us AND c.incident_id <> q.incident_id),
+  SELECT q.incident_id AS query_id, c.incident_id, c.closed_us, {family} AS family, COALESCE(q.service = c.service, FALSE) AS same, {_plain('graph_closed', 'COALESCE(bo.boost, 0)' if boost else '0')} AS plain
+  FROM epi q {boost} JOIN epi c ON c.closed_us < q.signal_us AND c.incident_id <> q.incident_id),
 sc{k} AS (
   SELECT *, plain + CASE WHEN same THEN 0.2 ELSE 0.0 END::DOUBLE AS score, CASE WHEN same THEN COALESCE(CAST(family AS VARCHAR), 'unknown') ELSE '' END AS fam FROM al{k}),
 rd{k} AS (
@@ -305,6 +309,8 @@ found{k} AS (
 
 
 _EV_FOUND = _EV_EPI + "," + _found(5)
+# The twenty matches of every signal that are looked at closely.
+_EV_PAIRS = _EV_EPI + "," + _found(20) + ", pairs AS (SELECT query_id, incident_id FROM found20)"
 
 _DECOY = """
 dec AS (
@@ -330,22 +336,51 @@ srank AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, action) <= 3)
 """
 
+# Remediations ranked with what was known of them before the signal.
+_RANKED = f"""
+full7 AS (
+  SELECT s.query_id, s.action, COALESCE(s.target, e.service, 'unknown') AS target, 'resolved ' || n_success || '/' || s.n AS historical_outcome,
+    ROUND(GREATEST(0.0::DOUBLE, LEAST(1.0::DOUBLE, 0.50::DOUBLE * n_success / s.n + 0.25::DOUBLE * sim_score + 0.15::DOUBLE * COALESCE(
+        (SELECT AVG(g.success::INT) FROM graded g WHERE g.target_id = e.own_id AND g.action = s.action AND g.us < e.signal_us),
+        (SELECT AVG(g.success::INT) FROM graded g WHERE g.action = s.action AND g.us < e.signal_us), 0)
+      + 0.10::DOUBLE * GREATEST(0.0::DOUBLE, (SELECT {_decayed('arg_max(f.w, f.i)', 'MAX(f.us)', 'e.signal_us')} FROM fwa f WHERE f.key = s.action AND f.us < e.signal_us)))), 4) AS confidence
+  FROM sup s JOIN epi e ON e.incident_id = s.query_id),
+ranked7 AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, action) AS rank FROM full7
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, action) <= 3)
+"""
+
+# What the rules offer, and what is offered in all.
+_RULES = """
+fl AS (SELECT q.incident_id AS query_id, COALESCE(ANY_VALUE({service}), 'unknown') AS target, COALESCE(bool_or(w.kind = 'deploy'), FALSE) AS d,
+  COALESCE(bool_or(w.kind = 'metric' AND contains(w.name, 'latency') AND w.value > 1000), FALSE) AS l, COALESCE(bool_or(w.kind = 'log' AND w.level = 'error'), FALSE) AS e
+  FROM sig q LEFT JOIN win w USING (incident_id) {named} GROUP BY 1),
+rules AS (
+  SELECT query_id, 1 AS rank, 'rollback' AS action, target, 'rule: worse after a rollout' AS historical_outcome, 0.4::DOUBLE AS confidence FROM fl WHERE d AND (l OR e)
+  UNION ALL SELECT query_id, CASE WHEN d THEN 2 ELSE 1 END, 'scale_up', target, 'rule: answers stay slow', 0.35::DOUBLE FROM fl WHERE l
+  UNION ALL SELECT query_id, 1, 'alert', target, 'rule: nothing alike is known', 0.2::DOUBLE FROM fl WHERE NOT l AND NOT (d AND e))
+"""
+_OFFERS = """
+offers AS (
+  SELECT query_id, rank, action, target, historical_outcome, confidence FROM ranked7
+  UNION ALL SELECT * FROM rules WHERE query_id NOT IN (SELECT query_id FROM ranked7))
+"""
 _ASTATS = """
 st AS (SELECT target_id, action, COUNT(*) AS n, COUNT(*) FILTER (WHERE success) AS k FROM graded GROUP BY 1, 2),
 sa AS (SELECT action, SUM(n) AS n, SUM(k) AS k FROM st GROUP BY 1)
 """
 
 
-def _fold(rows: str, lo: float, hi: float, half_life: bool) -> str:
-    """Weights by updating one row after the other: ``rows(key, us, seq, delta)``."""
+def _fold(rows: str, lo: float, hi: float, half_life: bool, s: str = "") -> str:
+    """Weights by updating one row after the other: ``rows(key, us, seq, delta)``; ``s`` ends the names."""
     f = "pow(0.5::DOUBLE, GREATEST(0, (r.us - a.us)) / 1000000.0::DOUBLE / 604800.0::DOUBLE)" if half_life else "1.0::DOUBLE"
     return f"""
-fr AS (SELECT key, us, delta::DOUBLE AS delta, row_number() OVER (PARTITION BY key ORDER BY us, seq) AS i FROM ({rows})),
-fw(key, i, us, w) AS (
-  SELECT key, i, us, GREATEST({lo}::DOUBLE, LEAST({hi}::DOUBLE, delta)) FROM fr WHERE i = 1
+fr{s} AS (SELECT key, us, delta::DOUBLE AS delta, row_number() OVER (PARTITION BY key ORDER BY us, seq) AS i FROM ({rows})),
+fw{s}(key, i, us, w) AS (
+  SELECT key, i, us, GREATEST({lo}::DOUBLE, LEAST({hi}::DOUBLE, delta)) FROM fr{s} WHERE i = 1
   UNION ALL
-  SELECT r.key, r.i, r.us, GREATEST({lo}::DOUBLE, LEAST({hi}::DOUBLE, a.w * {f} + r.delta)) FROM fw a JOIN fr r ON r.key = a.key AND r.i = a.i + 1),
-fold AS (SELECT key, arg_max(w, i) AS w, MAX(us) AS last_us FROM fw GROUP BY 1)"""
+  SELECT r.key, r.i, r.us, GREATEST({lo}::DOUBLE, LEAST({hi}::DOUBLE, a.w * {f} + r.delta)) FROM fw{s} a JOIN fr{s} r ON r.key = a.key AND r.i = a.i + 1),
+fold{s} AS (SELECT key, arg_max(w, i) AS w, MAX(us) AS last_us FROM fw{s} GROUP BY 1)"""
 
 
 _ACTION_ROWS = "SELECT action AS key, us, seq, CASE WHEN success THEN 0.10 ELSE -0.06 END AS delta FROM graded"
@@ -354,6 +389,41 @@ _EDGE_ROWS = """SELECT kind || '>' || effect_kind AS key, rem_us AS us, seq * 8
 _PAIR_ROWS = """SELECT LEAST(f.query_id, f.incident_id) || '~' || GREATEST(f.query_id, f.incident_id) AS key, g.us, g.seq * 8 + f.rank AS seq,
   CASE WHEN g.success THEN 0.05 ELSE -0.05 END AS delta FROM found5 f JOIN graded g ON g.incident_id = f.query_id WHERE f.rank <= 3"""
 
+# The flagship: chains with what was learned before each signal from chains without history,
+# matches with the boost of the query's own pattern, offers under their decoy cap.
+_AT_SIGNAL = f"""
+hop AS (SELECT src, arg_min(dst, seq) AS dst, arg_min(us, seq) AS us FROM ren GROUP BY 1),
+walk(incident_id, us, cur, d) AS (SELECT incident_id, signal_us, affected_name, 0 FROM sig
+  UNION ALL SELECT w.incident_id, w.us, h.dst, w.d + 1 FROM walk w JOIN hop h ON h.src = w.cur AND h.us <= w.us),
+at_signal AS (SELECT incident_id, arg_max(cur, d) AS name FROM walk GROUP BY 1)
+"""
+
+
+def _known(s: str, outcomes: str) -> str:
+    """Weights, and rates of ``outcomes``, of every pair of kinds before every signal."""
+    return f"""
+kw{s} AS MATERIALIZED (SELECT q.incident_id, f.key, arg_max(f.w, f.i) AS w, MAX(f.us) AS last_us FROM sig q JOIN fw{s} f ON f.us < q.signal_us GROUP BY 1, 2),
+kr{s} AS MATERIALIZED (SELECT q.incident_id, o.kind AS ck, o.effect_kind AS ek, AVG(o.success::INT) AS rate FROM sig q JOIN {outcomes} o ON o.rem_us < q.signal_us GROUP BY 1, 2, 3)"""
+
+
+def _flagship() -> str:
+    first = _chain()
+    for name in [f"{x}{i}" for x in "efg" for i in range(6)] + ["deep", "fast", "aff", "cand"]:
+        first = re.sub(rf"\b{name}\b", f"first_{name}", first)
+    outc0 = "outc0 AS (SELECT d.*, g.seq, g.us AS rem_us, g.success FROM first_deep d JOIN graded g USING (incident_id))"
+    kn = "kn AS MATERIALIZED (SELECT r.incident_id, r.ck, r.ek, r.rate, w.w, w.last_us FROM kr0 r JOIN kw0 w ON w.incident_id = r.incident_id AND w.key = r.ck || '>' || r.ek)"
+    boost = f"""bo AS (SELECT d.incident_id, GREATEST(-0.05::DOUBLE, LEAST(0.05::DOUBLE, 0.05::DOUBLE * AVG({_decayed('k.w', 'k.last_us', 'q.signal_us')}))) AS boost
+  FROM fast d JOIN sig q USING (incident_id) LEFT JOIN kw1 k ON k.incident_id = d.incident_id AND k.key = d.kind || '>' || d.effect_kind GROUP BY 1)"""
+    told = "told AS (SELECT o.*, CASE WHEN COALESCE(d.decoy, TRUE) THEN LEAST(o.confidence, 0.4::DOUBLE) ELSE o.confidence END AS shown FROM offers o LEFT JOIN dec d USING (query_id))"
+    return ",".join([
+        _EV, _IDS, _SIG, _REM, _FEATURES, _DEPS, first, outc0, _fold(_EDGE_ROWS.replace("FROM outc", "FROM outc0"), -1, 1, True, "0"), _known("0", "outc0"), kn,
+        _chain(True), _WL, _EPI, _OUT, _fold(_EDGE_ROWS, -1, 1, True, "1"), _known("1", "outc"), boost,
+        _found(5, boost="LEFT JOIN bo ON bo.incident_id = q.incident_id"), "pairs AS (SELECT query_id, incident_id FROM found5)", _DECOY, _SUPPORT,
+        _fold(_ACTION_ROWS, -1, 1, True, "a"), _RANKED, _AT_SIGNAL, _RULES.format(service="a.name", named="LEFT JOIN at_signal a USING (incident_id)"), _OFFERS, told])
+
+
+_FLAGSHIP = _flagship()
+
 _TRUTH = "truth AS (SELECT incident_id, CASE WHEN signal_event_id % 5 <> 0 THEN family END AS tf FROM sig)"
 _SCORED = f"""{_TRUTH},
 ms AS (
@@ -553,11 +623,8 @@ def oracle_sql() -> dict[str, str]:
     add("JOI8", _EV_REM, """SELECT q.incident_id AS query_id, (SELECT COUNT(*) FROM closed c WHERE c.closed_us < q.signal_us) AS n_fallback FROM sig q
       WHERE NOT EXISTS (SELECT 1 FROM sig p JOIN closed c USING (incident_id) WHERE p.service = q.service AND c.closed_us < q.signal_us)""")
     add("JOI9", ",".join([_EV, _IDS, _DEPS]), "SELECT identity_id, neighbour_id FROM nbrs")
-    add("JOI10", _EV_REM + """, fst AS (SELECT q.incident_id, q.own_id, c.closed_us FROM sig q JOIN closed c USING (incident_id) WHERE q.own_id IS NOT NULL
-        QUALIFY row_number() OVER (PARTITION BY q.own_id ORDER BY c.closed_us, q.incident_id) <= 3)""",
-        """SELECT q.incident_id AS query_id, f.incident_id, p.signal_us AS past_us, COALESCE(p.own_name, p.trigger_) AS past_service, r.a AS past_remediation
-      FROM sig q JOIN fst f ON f.own_id = q.own_id AND f.closed_us < q.signal_us JOIN sig p ON p.incident_id = f.incident_id
-      LEFT JOIN (SELECT incident_id, arg_min(action, event_id) AS a FROM rem GROUP BY 1) r ON r.incident_id = f.incident_id""")
+    add("JOI10", _EV_FOUND, """SELECT f.query_id, f.incident_id, p.signal_us AS past_us, COALESCE(p.own_name, p.trigger_) AS past_service, r.a AS past_remediation
+      FROM found5 f JOIN sig p ON p.incident_id = f.incident_id LEFT JOIN (SELECT incident_id, arg_min(action, event_id) AS a FROM rem GROUP BY 1) r ON r.incident_id = f.incident_id""")
     add("JOI11", _LOG, "SELECT id, user_id FROM kids WHERE user_id NOT IN (SELECT key FROM livek)")
     add("JOI12", _EV + """,
       sg AS (SELECT incident_id, event_id, us, COALESCE(service, '') AS service FROM ev WHERE kind = 'incident_signal'),
@@ -624,10 +691,10 @@ def oracle_sql() -> dict[str, str]:
     add("FEA6", _EV_REM, "SELECT incident_id, MAX(seq) AS closed_by, arg_max(action, seq) AS action FROM graded GROUP BY 1")
 
     mh = "list_transform(range(0, {0}), lambda p: list_min(list_transform({1}, lambda t: md5(p || '|' || t))))"
-    add("SIM1", _EV_FEAT, f"SELECT incident_id, array_to_string({mh.format(8, 'tokens')}, ',') AS signature FROM feat WHERE len(tokens) > 0")
-    add("SIM2", _EV_PAIRS + f", sg32 AS (SELECT incident_id, {mh.format(32, 'tokens')} AS g FROM epi WHERE len(tokens) > 0)", """SELECT p.query_id, p.incident_id,
-      ROUND(len(list_filter(list_zip(a.g, b.g), lambda z: z[1] = z[2])) / 32.0::DOUBLE, 4) AS estimate
-      FROM pairs p JOIN sg32 a ON a.incident_id = p.query_id JOIN sg32 b ON b.incident_id = p.incident_id""")
+    add("SIM1", _EV_FEAT, f"SELECT incident_id, array_to_string({mh.format(128, 'tokens')}, ',') AS signature FROM feat WHERE len(tokens) > 0")
+    add("SIM2", _EV_PAIRS + f", sg AS MATERIALIZED (SELECT incident_id, {mh.format(128, 'tokens')} AS g FROM epi WHERE len(tokens) > 0)", """SELECT p.query_id, p.incident_id,
+      ROUND(len(list_filter(list_zip(a.g, b.g), lambda z: z[1] = z[2])) / 128.0::DOUBLE, 4) AS estimate
+      FROM pairs p JOIN sg a ON a.incident_id = p.query_id JOIN sg b ON b.incident_id = p.incident_id""")
     add("SIM3", _EV_PAIRS, f"SELECT query_id, p.incident_id, ROUND({_jac('q.tokens', 'c.tokens')}, 4) AS jaccard {_QC}")
     add("SIM4", _EV_EPI, f"""SELECT query_id, rank, incident_id, ROUND(score + 1e-9::DOUBLE, 4) AS score FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, closed_us, incident_id) AS rank FROM (
@@ -645,15 +712,16 @@ def oracle_sql() -> dict[str, str]:
       ROUND({_plain('graph')} + CASE WHEN q.service = c.service THEN 0.2 ELSE 0.0 END::DOUBLE + 1e-9::DOUBLE, 4) AS score {_QC}""")
     prio = """CASE WHEN starts_with(t, 'deploy') OR starts_with(t, 'cross_service_error') THEN 4 WHEN contains(t, 'high') OR starts_with(t, 'trace_touches_self') THEN 3
       WHEN starts_with(t, 'metric') THEN 2 ELSE 1 END"""
-    add("SIM9", _EV_PAIRS + f""",
+    why = f"""
       ct AS (SELECT query_id, p.incident_id, unnest(list_intersect(q.tokens, c.tokens)) AS t {_QC}),
       cr AS (SELECT *, row_number() OVER (PARTITION BY query_id, incident_id ORDER BY {prio} DESC, t DESC) AS n FROM ct),
-      cs AS (SELECT query_id, incident_id, 'same traits ' || string_agg(t, ', ' ORDER BY n) AS tx FROM cr WHERE n <= 5 GROUP BY 1, 2)""",
-        f"""SELECT p.query_id, p.incident_id, COALESCE(NULLIF(concat_ws('; ', cs.tx, CASE WHEN q.trigger_type = c.trigger_type THEN 'both ' || c.trigger_type END,
+      cs AS (SELECT query_id, incident_id, 'same traits ' || string_agg(t, ', ' ORDER BY n) AS tx FROM cr WHERE n <= 5 GROUP BY 1, 2),
+      why AS (SELECT p.query_id, p.incident_id, COALESCE(NULLIF(concat_ws('; ', cs.tx, CASE WHEN q.trigger_type = c.trigger_type THEN 'both ' || c.trigger_type END,
         CASE WHEN list_has_any(q.symptoms, c.symptoms) THEN 'symptoms ' || array_to_string(list_sort(list_intersect(q.symptoms, c.symptoms))[1:3], ', ') END,
         CASE WHEN list_has_any(q.graph, c.graph) THEN 'causes alike' END, CASE WHEN list_has_any(q.profile, c.profile) THEN 'order alike' END,
         CASE WHEN list_has_any(q.actions, c.actions) THEN 'fixed alike' END), ''), 'nothing single stands out') AS rationale
-      {_QC} LEFT JOIN cs ON cs.query_id = p.query_id AND cs.incident_id = p.incident_id""")
+      {_QC} LEFT JOIN cs ON cs.query_id = p.query_id AND cs.incident_id = p.incident_id)"""
+    add("SIM9", _EV_PAIRS + "," + why, "SELECT query_id, incident_id, rationale FROM why")
     add("SIM10", _EV_FOUND, """SELECT query_id, incident_id, row_number() OVER (PARTITION BY query_id ORDER BY (rank <> 2), rank) AS new_rank,
       CASE WHEN rank = 2 THEN 'moved up' ELSE 'as found' END AS rationale FROM found5
       QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY (rank <> 2), rank) <= 3""")
@@ -665,7 +733,7 @@ def oracle_sql() -> dict[str, str]:
     add("TOP3", _EV_CHAIN, """SELECT incident_id, event_id, prio FROM (SELECT w.incident_id, w.event_id, w.us,
         CASE WHEN w.event_id IN (SELECT f.event_id FROM fast f WHERE f.incident_id = w.incident_id) THEN 0
              WHEN w.event_id = w.signal_event_id THEN CASE WHEN w.incident_id IN (SELECT incident_id FROM fast) THEN 0 ELSE 1 END ELSE 2 END AS prio FROM win w)
-      QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY prio, us, event_id) <= 8""")
+      QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY prio, us, event_id) <= 30""")
     m5 = _EV_IDS + "," + _SEEN + "," + _METRICS
     add("TOP4", m5, "SELECT service, family, ROUND(value, 4) AS value FROM late")
     add("TOP5", m5, """SELECT service, family, COUNT(*) AS n, ROUND(arg_max(value, n), 4) AS oldest, ROUND(arg_min(value, n), 4) AS newest, ROUND(SUM(value), 3) AS total
@@ -701,25 +769,11 @@ def oracle_sql() -> dict[str, str]:
         "SELECT split_part(key, '>', 1) AS cause_kind, split_part(key, '>', 2) AS effect_kind, ROUND(w, 4) AS weight, last_us FROM fold")
     add("AGG5", _EV_FOUND + "," + _fold(_PAIR_ROWS, -0.2, 0.2, False), "SELECT split_part(key, '~', 1) AS a, split_part(key, '~', 2) AS b, ROUND(w, 4) AS w FROM fold")
     add("AGG6", _EV, "SELECT event_id, outcome = 'resolved' AS success FROM ev WHERE kind = 'remediation'")
-    agg7 = ",".join([_EV_FOUND, _SUPPORT, _ASTATS, _fold(_ACTION_ROWS, -1, 1, True)])
-    add("AGG7", agg7 + """,
-      full7 AS (SELECT s.query_id, s.action, COALESCE(s.target, e.service, 'unknown') AS target, 'resolved ' || n_success || '/' || s.n AS historical_outcome,
-        ROUND(GREATEST(0.0::DOUBLE, LEAST(1.0::DOUBLE, 0.50::DOUBLE * n_success / s.n + 0.25::DOUBLE * sim_score + 0.15::DOUBLE * COALESCE(
-            (SELECT AVG(g.success::INT) FROM graded g WHERE g.target_id = e.own_id AND g.action = s.action AND g.us < e.signal_us),
-            (SELECT AVG(g.success::INT) FROM graded g WHERE g.action = s.action AND g.us < e.signal_us), 0)
-          + 0.10::DOUBLE * GREATEST(0.0::DOUBLE, COALESCE((SELECT arg_max(f.w, f.i) * pow(0.5::DOUBLE, GREATEST(0, e.signal_us - MAX(f.us)) / 1000000.0::DOUBLE / 604800.0::DOUBLE)
-            FROM fw f WHERE f.key = s.action AND f.us < e.signal_us), 0)))), 4) AS confidence
-        FROM sup s JOIN epi e ON e.incident_id = s.query_id)""",
-        """SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, action) AS rank, action, target, historical_outcome, ROUND(confidence + 1e-9::DOUBLE, 3) AS confidence
-      FROM full7 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, action) <= 3""")
+    add("AGG7", ",".join([_EV_FOUND, _SUPPORT, _fold(_ACTION_ROWS, -1, 1, True, "a"), _RANKED]),
+        "SELECT query_id, rank, action, target, historical_outcome, ROUND(confidence + 1e-9::DOUBLE, 3) AS confidence FROM ranked7")
     add("AGG8", _EV_FOUND + "," + _SUPPORT, "SELECT query_id, rank, action, target, historical_outcome, ROUND(confidence + 1e-9::DOUBLE, 3) AS confidence FROM srank")
-    add("AGG9", _EV_SIG + """,
-      fl AS (SELECT q.incident_id AS query_id, COALESCE(ANY_VALUE(q.service), 'unknown') AS target, COALESCE(bool_or(w.kind = 'deploy'), FALSE) AS d,
-        COALESCE(bool_or(w.kind = 'metric' AND contains(w.name, 'latency') AND w.value > 1000), FALSE) AS l, COALESCE(bool_or(w.kind = 'log' AND w.level = 'error'), FALSE) AS e
-        FROM sig q LEFT JOIN win w USING (incident_id) GROUP BY 1)""",
-        """SELECT query_id, 1 AS rank, 'rollback' AS action, target, 'rule: worse after a rollout' AS historical_outcome, 0.4::DOUBLE AS confidence FROM fl WHERE d AND (l OR e)
-      UNION ALL SELECT query_id, CASE WHEN d THEN 2 ELSE 1 END, 'scale_up', target, 'rule: answers stay slow', 0.35::DOUBLE FROM fl WHERE l
-      UNION ALL SELECT query_id, 1, 'alert', target, 'rule: nothing alike is known', 0.2::DOUBLE FROM fl WHERE NOT l AND NOT (d AND e)""")
+    plain_rules = _RULES.format(service="q.service", named="")
+    add("AGG9", _EV_SIG + "," + plain_rules, "SELECT * FROM rules")
     add("AGG10", m5 + """,
       wide AS (SELECT s.service, COALESCE(MAX(value) FILTER (WHERE family = 'latency'), 0) AS lat, COALESCE(MAX(value) FILTER (WHERE family = 'error_rate'), 0) AS err,
         COALESCE(MAX(value) FILTER (WHERE family = 'request_rate'), 0) AS req, COALESCE(MAX(value) FILTER (WHERE family = 'cpu'), 0) AS cpu,
@@ -743,12 +797,37 @@ def oracle_sql() -> dict[str, str]:
 
     add("CTX1", _EV_FOUND + "," + _DECOY, "SELECT query_id, ROUND(first_score, 4) AS first_score, decoy FROM dec")
     add("CTX2", _EV_FOUND + "," + _DECOY, "SELECT query_id, incident_id, ROUND(CASE WHEN decoy THEN LEAST(score, 0.45::DOUBLE) ELSE score END, 4) AS similarity FROM found5 JOIN dec USING (query_id)")
-    add("CTX3", _EV_FOUND, """SELECT q.incident_id, ROUND(GREATEST(0.0::DOUBLE, LEAST(1.0::DOUBLE, 0.5::DOUBLE * COALESCE(f.score, 0) + 0.25::DOUBLE * COALESCE(b.edge, 0)
-      + 0.25::DOUBLE * 0.2::DOUBLE + 0.05::DOUBLE)) + 1e-9::DOUBLE, 4) AS confidence FROM sig q LEFT JOIN found5 f ON f.query_id = q.incident_id AND f.rank = 1
-      LEFT JOIN (SELECT incident_id, MAX(ROUND(score, 4)) AS edge FROM fast GROUP BY 1) b ON b.incident_id = q.incident_id""")
-    add("CTX5", _EV_FOUND, """SELECT q.incident_id, concat_ws(', ', q.incident_id || ' (' || COALESCE(q.own_name, q.trigger_) || ')', COALESCE(b.n, 0) || ' causes found',
-      COALESCE('like ' || f.incident_id, 'like nothing before'), 'nothing to try', '25 % sure') AS line
-      FROM sig q LEFT JOIN found5 f ON f.query_id = q.incident_id AND f.rank = 1 LEFT JOIN (SELECT incident_id, COUNT(*) AS n FROM fast GROUP BY 1) b ON b.incident_id = q.incident_id""")
+    offered = ",".join([_EV_FOUND, _DECOY, _SUPPORT, _fold(_ACTION_ROWS, -1, 1, True, "a"), _RANKED, plain_rules, _OFFERS])
+    add("CTX2.remediation", offered, """SELECT o.query_id, o.rank, o.action,
+      ROUND(CASE WHEN COALESCE(d.decoy, TRUE) THEN LEAST(o.confidence, 0.4::DOUBLE) ELSE o.confidence END + 1e-9::DOUBLE, 3) AS confidence FROM offers o LEFT JOIN dec d USING (query_id)""")
+    add("CTX3", offered, """SELECT q.incident_id, ROUND(GREATEST(0.0::DOUBLE, LEAST(1.0::DOUBLE, 0.5::DOUBLE * COALESCE(f.score, 0) + 0.25::DOUBLE * COALESCE(b.edge, 0)
+      + 0.25::DOUBLE * COALESCE(o.offer, 0) + 0.05::DOUBLE)) + 1e-9::DOUBLE, 3) AS confidence FROM sig q LEFT JOIN found5 f ON f.query_id = q.incident_id AND f.rank = 1
+      LEFT JOIN (SELECT incident_id, MAX(ROUND(score, 4)) AS edge FROM fast GROUP BY 1) b ON b.incident_id = q.incident_id
+      LEFT JOIN (SELECT query_id, MAX(ROUND(confidence + 1e-9::DOUBLE, 3)) AS offer FROM offers GROUP BY 1) o ON o.query_id = q.incident_id""")
+    add("CTX5", offered, """SELECT q.incident_id, concat_ws(', ', q.incident_id || ' (' || COALESCE(q.own_name, q.trigger_) || ')', COALESCE(b.n, 0) || ' causes found',
+      COALESCE('like ' || f.incident_id, 'like nothing before'), COALESCE('try ' || o.action || ' of ' || o.target, 'nothing to try'),
+      CAST(ROUND(ROUND(o.confidence + 1e-9::DOUBLE, 3) * 100 + 1e-9::DOUBLE) AS INT) || ' % sure') AS line
+      FROM sig q LEFT JOIN found5 f ON f.query_id = q.incident_id AND f.rank = 1 LEFT JOIN (SELECT incident_id, COUNT(*) AS n FROM fast GROUP BY 1) b ON b.incident_id = q.incident_id
+      LEFT JOIN offers o ON o.query_id = q.incident_id AND o.rank = 1""")
+
+    add("CTX6.edges", _FLAGSHIP, """SELECT incident_id, CAST(row_number() OVER (PARTITION BY incident_id ORDER BY step DESC) - 1 AS INT) AS pos, CAST(event_id AS VARCHAR) AS cause_event_id,
+      CAST(effect_event_id AS VARCHAR) AS effect_event_id, kind || '->' || effect_kind || ', dt=' || printf('%.1f', dt) || 's' || CASE WHEN topo > 0 THEN ', topology' ELSE '' END
+      || CASE WHEN hist > 0 THEN ', history' ELSE '' END || CASE WHEN evid > 0.6::DOUBLE THEN ', evidence' ELSE '' END AS evidence, ROUND(score, 4) AS confidence FROM fast""")
+    add("CTX6.matches", _FLAGSHIP + "," + why, f"""SELECT f.query_id AS incident_id, CAST(f.rank - 1 AS INT) AS pos, f.incident_id AS past_id,
+      ROUND(ROUND(CASE WHEN decoy THEN LEAST(f.score, 0.45::DOUBLE) ELSE f.score END, 4) + 1e-9::DOUBLE, 3) AS similarity, w.rationale
+      FROM found5 f JOIN dec USING (query_id) JOIN why w ON w.query_id = f.query_id AND w.incident_id = f.incident_id""")
+    add("CTX6.offers", _FLAGSHIP, """SELECT query_id AS incident_id, CAST(rank - 1 AS INT) AS pos, action, target, historical_outcome, ROUND(shown + 1e-9::DOUBLE, 3) AS confidence FROM told""")
+    add("CTX6.summary", _FLAGSHIP, """SELECT q.incident_id, COALESCE(b.n, 0) AS n_edges, COALESCE(m.n, 0) AS n_matches, COALESCE(o.n, 0) AS n_offers, l.related,
+      ROUND(ROUND(GREATEST(0.0::DOUBLE, LEAST(1.0::DOUBLE, 0.5::DOUBLE * COALESCE(d.first_score, 0) + 0.25::DOUBLE * COALESCE(b.edge, 0) + 0.25::DOUBLE * COALESCE(o.best, 0) + 0.05::DOUBLE)), 4) + 1e-9::DOUBLE, 2) AS confidence
+      FROM sig q LEFT JOIN dec d ON d.query_id = q.incident_id
+      LEFT JOIN (SELECT incident_id, COUNT(*) AS n, MAX(ROUND(score, 4)) AS edge FROM fast GROUP BY 1) b ON b.incident_id = q.incident_id
+      LEFT JOIN (SELECT query_id, COUNT(*) AS n FROM found5 GROUP BY 1) m ON m.query_id = q.incident_id
+      LEFT JOIN (SELECT query_id, COUNT(*) AS n, MAX(shown) AS best FROM told GROUP BY 1) o ON o.query_id = q.incident_id
+      LEFT JOIN (SELECT incident_id, string_agg(event_id, ',' ORDER BY us, event_id) AS related FROM (SELECT w.incident_id, w.event_id, w.us,
+          row_number() OVER (PARTITION BY w.incident_id ORDER BY CASE WHEN f.event_id IS NOT NULL THEN 0 WHEN w.event_id = w.signal_event_id THEN 1 ELSE 2 END, w.us, w.event_id) AS n
+          FROM win w LEFT JOIN (SELECT DISTINCT incident_id, event_id FROM fast) f ON f.incident_id = w.incident_id AND f.event_id = w.event_id) WHERE n <= 30 GROUP BY 1) l ON l.incident_id = q.incident_id""")
+    add("EVA11", _FLAGSHIP, """SELECT (SELECT COUNT(*) FROM sig) AS signals, (SELECT COUNT(DISTINCT query_id) FROM found5) AS with_matches,
+      (SELECT COUNT(DISTINCT query_id) FROM told) AS with_remediations""")
 
     q["STR1"], q["STR2"], q["STR3"], q["STR5"], q["STR6"] = q["SRC1"], q["JOI4"], q["TPL2.logs"], q["AGG4"], q["G7"]
     add("STR4", _EV_REM, "SELECT r.incident_id, r.event_id, r.action, r.outcome FROM rem r JOIN sig q USING (incident_id) WHERE r.event_id > q.signal_event_id AND r.us >= q.signal_us AND r.us - q.signal_us <= 604800000000")

@@ -345,9 +345,8 @@ def joi9(a):
 
 @query("JOI10")
 def joi10(a):
-    past = a.episodes.where("closed_us IS NOT NULL").select("incident_id", "closed_us", "own_id")
-    firsts = similarity.same_key_first(_q(a, "own_id"), past, "own_id", 3)
-    return P.enrich_matches(firsts.select("query_id", "incident_id"), a.events).select(
+    found = a.candidates.where(F.col("rank") <= similarity.TOP_K["fast"])
+    return P.enrich_matches(found.select("query_id", "incident_id"), a.events).select(
         "query_id", "incident_id", "past_us", "past_service", "past_remediation")
 
 
@@ -562,31 +561,27 @@ def fea6(a):
 
 @query("SIM1")
 def sim1(a):
-    sig = sets.md5_minhash(F.col("tokens"), 8)
+    sig = sets.md5_minhash(F.col("tokens"), sets.NUM_HASHES)
     return a.features.where(F.size("tokens") > 0).select("incident_id", F.array_join(sig, ",").alias("signature"))
 
 
-def _service_pairs(a, k: int = 3):
-    """Each query with the first k closed incidents of its affected service."""
-    cols = ["tokens", "symptoms", "profile", "services", "clusters", "near", "pattern", "trigger_type", "actions", "graph"]
-    full = a.episodes.join(a.sigs.select("incident_id", "affected_id"), "incident_id")
-    pairs = similarity.same_key_first(
-        full.select(F.col("incident_id").alias("query_id"), "signal_us", "affected_id"),
-        full.where("closed_us IS NOT NULL").select("incident_id", "closed_us", "affected_id"), "affected_id", k)
-    q = full.select(F.col("incident_id").alias("query_id"), F.col("service").alias("q_service"), *[F.col(c).alias(f"q_{c}") for c in cols])
-    return pairs.select("query_id", "incident_id").join(q, "query_id").join(full.select("incident_id", "service", *cols), "incident_id")
+def _candidates(a):
+    """Each query with the matches that are ranked before the last cut, and both sides' features."""
+    cols = ["service", "tokens", "symptoms", "profile", "services", "clusters", "near", "pattern", "trigger_type", "actions", "graph"]
+    q = a.episodes.select(F.col("incident_id").alias("query_id"), *[F.col(c).alias(f"q_{c}") for c in cols])
+    return a.candidates.join(q, "query_id").join(a.episodes.select("incident_id", *cols), "incident_id")
 
 
 @query("SIM2")
 def sim2(a):
-    p = _service_pairs(a)
-    est = sets.estimated_jaccard(sets.md5_minhash(F.col("q_tokens"), 32), sets.md5_minhash(F.col("tokens"), 32))
-    return p.where("size(q_tokens) > 0 AND size(tokens) > 0").select("query_id", "incident_id", F.round(est, 4).alias("estimate"))
+    signed = cut(a.features.where(F.size("tokens") > 0).select("incident_id", sets.md5_minhash(F.col("tokens"), sets.NUM_HASHES).alias("s")))
+    both = a.candidates.join(signed.toDF("query_id", "q_s"), "query_id").join(signed, "incident_id")
+    return both.select("query_id", "incident_id", F.round(sets.estimated_jaccard(F.col("q_s"), F.col("s")), 4).alias("estimate"))
 
 
 @query("SIM3")
 def sim3(a):
-    p = _service_pairs(a)
+    p = _candidates(a)
     return p.select("query_id", "incident_id", F.round(sets.jaccard(F.col("q_tokens"), F.col("tokens")), 4).alias("jaccard"))
 
 
@@ -598,7 +593,7 @@ def sim4(a):
 
 @query("SIM5")
 def sim5(a):
-    p = _service_pairs(a)
+    p = _candidates(a)
     t = similarity.topology_similarity(*[F.col(c) for c in ("q_services", "services", "q_near", "q_clusters", "clusters")])
     return p.select("query_id", "incident_id", t.alias("topology"))
 
@@ -611,7 +606,7 @@ def sim6(a):
 
 
 def _scored(a):
-    return similarity.score_pairs(_service_pairs(a).withColumn("pair_weight", F.lit(0.0)).withColumn("boost", F.lit(0.0)))
+    return similarity.score_pairs(_candidates(a).withColumn("pair_weight", F.lit(0.0)).withColumn("boost", F.lit(0.0)))
 
 
 @query("SIM7")
@@ -628,7 +623,7 @@ def sim8(a):
 
 @query("SIM9")
 def sim9(a):
-    return _service_pairs(a).select("query_id", "incident_id", similarity.rationale().alias("rationale"))
+    return _candidates(a).select("query_id", "incident_id", similarity.rationale().alias("rationale"))
 
 
 @query("SIM10")
@@ -674,7 +669,7 @@ def top2(a):
 @query("TOP3")
 def top3(a):
     c = a.chains.select("incident_id", causal.fast(F.col("steps")).alias("steps"))
-    return C.related_events(a.sigs, c, a.events, 8).select("incident_id", "event_id", "prio")
+    return C.related_events(a.sigs, c, a.events, C.RELATED_CAP["fast"]).select("incident_id", "event_id", "prio")
 
 
 def _metrics(a):
@@ -723,7 +718,7 @@ def set1(a):
 
 @query("SET2")
 def set2(a):
-    p = _service_pairs(a)
+    p = _candidates(a)
     return p.select("query_id", "incident_id", F.array_join(F.array_sort(F.array_intersect("q_tokens", "tokens")), ",").alias("common"),
                     F.array_join(F.array_sort(F.array_intersect("q_symptoms", "symptoms")), ",").alias("common_symptoms"))
 
@@ -852,12 +847,32 @@ def ctx2(a):
     return m.join(d, "query_id").select("query_id", "incident_id", F.round(shown, 4).alias("similarity"))
 
 
+def _offers(a):
+    """Ranked remediations of every signal, or what the rules say where nothing alike is known."""
+    s = cut(remediation.support(_ranked(a, 5), a.rems, a.ids, _asked(a)))
+    ranked = cut(remediation.rank_remediations(remediation.known(s, _asked(a), a.graded)))
+    flags = remediation.window_flags(a.episodes).join(_asked(a).select("query_id", "service"), "query_id")
+    rules = remediation.fallback(flags.join(ranked.select("query_id").distinct(), "query_id", "left_anti"))
+    cols = ["query_id", "rank", "action", "target", "confidence"]
+    return ranked.select(*cols).unionByName(rules.select(*cols))
+
+
+@query("CTX2.remediation")
+def ctx2_remediation(a):
+    """What is offered to a signal that looks like a decoy is held down."""
+    d = C.looks_like_decoy(_ranked(a, 5)).select("query_id", "decoy")
+    rows = _offers(a).join(d, "query_id", "left")
+    shown = F.when(F.coalesce("decoy", F.lit(True)), F.least("confidence", F.lit(C.DECOY_CONFIDENCE))).otherwise(F.col("confidence"))
+    return rows.select("query_id", "rank", "action", F.round(shown + NUDGE, 3).alias("confidence"))
+
+
 @query("CTX3")
 def ctx3(a):
     first = _ranked(a, 5).where("rank = 1").select(F.col("query_id").alias("incident_id"), "score")
     best = a.chains.select("incident_id", F.array_max(F.transform(causal.fast(F.col("steps")), lambda s: F.round(s["score"], 4))).alias("edge"))
-    rows = a.sigs.select("incident_id").join(first, "incident_id", "left").join(best, "incident_id", "left")
-    return rows.select("incident_id", F.round(C.overall_confidence(F.col("score"), F.col("edge"), F.lit(0.2)) + NUDGE, 4).alias("confidence"))
+    offer = _offers(a).groupBy(F.col("query_id").alias("incident_id")).agg(F.max(F.round(F.col("confidence") + NUDGE, 3)).alias("offer"))
+    rows = a.sigs.select("incident_id").join(first, "incident_id", "left").join(best, "incident_id", "left").join(offer, "incident_id", "left")
+    return rows.select("incident_id", F.round(C.overall_confidence(F.col("score"), F.col("edge"), F.col("offer")) + NUDGE, 3).alias("confidence"))
 
 
 @query("CTX4")
@@ -869,10 +884,11 @@ def ctx4(a):
 def ctx5(a):
     first = _ranked(a, 5).where("rank = 1").select(F.col("query_id").alias("incident_id"), F.col("incident_id").alias("past"))
     n = a.chains.select("incident_id", F.size(causal.fast(F.col("steps"))).alias("n_edges"))
-    rows = a.sigs.join(first, "incident_id", "left").join(n, "incident_id", "left")
-    none = F.lit(None).cast("string")
+    offer = _offers(a).where("rank = 1").select(F.col("query_id").alias("incident_id"), "action", F.col("target").alias("offer_target"), "confidence")
+    rows = a.sigs.join(first, "incident_id", "left").join(n, "incident_id", "left").join(offer, "incident_id", "left")
     return rows.select("incident_id", C.short_narrative(
-        F.col("incident_id"), F.coalesce("own_name", "trigger"), F.coalesce("n_edges", F.lit(0)), F.col("past"), none, none, F.lit(0.25)).alias("line"))
+        F.col("incident_id"), F.coalesce("own_name", "trigger"), F.coalesce("n_edges", F.lit(0)), F.col("past"), F.col("action"), F.col("offer_target"),
+        F.round(F.col("confidence") + NUDGE, 3) + NUDGE)).toDF("incident_id", "line")
 
 
 @query("CTX6")
@@ -880,6 +896,32 @@ def ctx6(a):
     return a.context
 
 
+@query("CTX6.edges")
+def ctx6_edges(a):
+    """Causal chains with what was learned before each signal."""
+    e = a.context.select("incident_id", F.posexplode("causal_chain").alias("pos", "e"))
+    return e.select("incident_id", "pos", "e.cause_event_id", "e.effect_event_id", "e.evidence", F.round("e.confidence", 4).alias("confidence"))
+
+
+@query("CTX6.matches")
+def ctx6_matches(a):
+    m = a.context.select("incident_id", F.posexplode("similar_past_incidents").alias("pos", "m"))
+    return m.select("incident_id", "pos", F.col("m.incident_id").alias("past_id"), F.round(F.col("m.similarity") + NUDGE, 3).alias("similarity"), "m.rationale")
+
+
+@query("CTX6.offers")
+def ctx6_offers(a):
+    r = a.context.select("incident_id", F.posexplode("suggested_remediations").alias("pos", "r"))
+    return r.select("incident_id", "pos", "r.action", "r.target", "r.historical_outcome", F.round(F.col("r.confidence") + NUDGE, 3).alias("confidence"))
+
+
+@query("CTX6.summary")
+def ctx6_summary(a):
+    ids = F.array_join(F.transform("related_events", lambda e: e["event_id"]), ",")
+    return a.context.select("incident_id", F.size("causal_chain").alias("n_edges"), F.size("similar_past_incidents").alias("n_matches"),
+                            F.size("suggested_remediations").alias("n_offers"), ids.alias("related"), F.round(F.col("confidence") + NUDGE, 2).alias("confidence"))
+
+
 @query("CTX7")
 def ctx7(a):
     c = a.memory.episodes.select("incident_id", F.col("steps_fast").alias("steps"))

@@ -151,7 +151,7 @@ def short_narrative(incident: Column, service: Column, n_edges: Column, past: Co
         ", ", F.concat(incident, F.lit(" ("), service, F.lit(")")), F.concat(n_edges.cast("string"), F.lit(" causes found")),
         F.coalesce(F.concat(F.lit("like "), past), F.lit("like nothing before")),
         F.coalesce(F.concat(F.lit("try "), action, F.lit(" of "), F.coalesce(target, F.lit("?"))), F.lit("nothing to try")),
-        F.concat(F.format_string("%.0f", confidence * 100), F.lit(" % sure")))
+        F.concat(F.round(confidence * 100).cast("int").cast("string"), F.lit(" % sure")))
 
 
 def _chain_text(chains: DataFrame, events: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opsrecall.operators import causal, episodes, features, identity, learning, templates, topology, windows
+from opsrecall.operators import causal, episodes, features, identity, learning, similarity, templates, topology, windows
 from opsrecall.plans import context
 from opsrecall.session import cut, ensure_checkpoint_dir
 from opsrecall.sources import driver_tables as D
@@ -102,6 +102,12 @@ class Landing:
         return context.Memory(self.events, self.ids, self.sigs, self.deps, self.nbrs, self.rems, chains, eps, self.graded,
                               cut(learning.edge_outcomes(self.graded, chains)))
 
+    @cached_property
+    def candidates(self) -> DataFrame:
+        """The first matches of every incident on first-pass chains, before they are cut to what is shown."""
+        past = similarity.past_view(self.episodes)
+        return cut(similarity.find_similar(similarity.query_view(self.episodes), past, similarity.RETRIEVED).select("query_id", "rank", "incident_id"))
+
     @cached_property
     def matches(self) -> DataFrame:
         return cut(context.find_matches(self.memory, 5))
