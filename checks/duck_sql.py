@@ -826,6 +826,38 @@ def oracle_sql() -> dict[str, str]:
       LEFT JOIN (SELECT incident_id, string_agg(event_id, ',' ORDER BY us, event_id) AS related FROM (SELECT w.incident_id, w.event_id, w.us,
           row_number() OVER (PARTITION BY w.incident_id ORDER BY CASE WHEN f.event_id IS NOT NULL THEN 0 WHEN w.event_id = w.signal_event_id THEN 1 ELSE 2 END, w.us, w.event_id) AS n
           FROM win w LEFT JOIN (SELECT DISTINCT incident_id, event_id FROM fast) f ON f.incident_id = w.incident_id AND f.event_id = w.event_id) WHERE n <= 30 GROUP BY 1) l ON l.incident_id = q.incident_id""")
+    two = "CAST(CAST(ROUND({0} + 1e-9::DOUBLE, 2) AS DECIMAL(10, 2)) AS VARCHAR)".format
+    told = f"""{why},
+      sure AS (SELECT q.incident_id, ROUND(GREATEST(0.0::DOUBLE, LEAST(1.0::DOUBLE, 0.5::DOUBLE * COALESCE(d.first_score, 0) + 0.25::DOUBLE * COALESCE(b.edge, 0) + 0.25::DOUBLE * COALESCE(o.best, 0) + 0.05::DOUBLE)), 4) AS confidence
+        FROM sig q LEFT JOIN dec d ON d.query_id = q.incident_id LEFT JOIN (SELECT incident_id, MAX(ROUND(score, 4)) AS edge FROM fast GROUP BY 1) b ON b.incident_id = q.incident_id
+        LEFT JOIN (SELECT query_id, MAX(shown) AS best FROM told GROUP BY 1) o ON o.query_id = q.incident_id),
+      cl AS (SELECT event_id, {_CLAUSE} AS d, {_LABEL} AS l FROM ev),
+      nd AS (SELECT incident_id, event_id, step FROM fast UNION ALL SELECT incident_id, signal_event_id, -1 FROM sig WHERE incident_id IN (SELECT incident_id FROM fast)),
+      led AS (SELECT f.incident_id, string_agg(a.d || ', then ' || b.d || ' [' || {two('ROUND(score, 4)')} || ']', ' / ' ORDER BY step DESC) AS led
+        FROM fast f JOIN cl a ON a.event_id = f.event_id JOIN cl b ON b.event_id = f.effect_event_id GROUP BY 1),
+      lab2 AS (SELECT incident_id, string_agg(l, ' > ' ORDER BY step DESC) AS labels FROM nd JOIN cl USING (event_id) GROUP BY 1),
+      lk AS (SELECT f.query_id, COUNT(*) AS n, arg_min(f.incident_id, f.rank) AS past, arg_min(f.score, f.rank) AS score, arg_min(w.rationale, f.rank) AS why
+        FROM found5 f JOIN why w ON w.query_id = f.query_id AND w.incident_id = f.incident_id GROUP BY 1),
+      one AS (SELECT * FROM told WHERE rank = 1)"""
+    add("CTX4", _FLAGSHIP + "," + told, f"""SELECT q.incident_id, concat_ws(chr(10), q.incident_id || ': ' || q.trigger_ || ', seen on ' || a.name,
+      'Try ' || o.action || ' of ' || o.target || ' [' || {two('o.shown')} || '; ' || o.historical_outcome || ']',
+      COALESCE('Led up to by: ' || led.led, 'Nothing in the window explains it'), 'In short: ' || lab2.labels,
+      COALESCE('Resembles ' || lk.past || ' [' || {two('lk.score')} || ']: ' || lk.why || CASE WHEN lk.n > 1 THEN ' (and ' || (lk.n - 1) || ' more)' ELSE '' END, 'Resembles no closed incident')) AS explain
+      FROM sig q JOIN at_signal a USING (incident_id) LEFT JOIN one o ON o.query_id = q.incident_id LEFT JOIN led USING (incident_id) LEFT JOIN lab2 USING (incident_id)
+      LEFT JOIN lk ON lk.query_id = q.incident_id""")
+    add("CTX7", _FLAGSHIP + "," + told + """,
+      nx AS (SELECT n.incident_id, COALESCE(e.service, e.target) AS name, MAX(n.step) AS step FROM nd n JOIN ev e USING (event_id) WHERE COALESCE(e.service, e.target) IS NOT NULL GROUP BY 1, 2),
+      cs7 AS (SELECT incident_id, string_agg(name, ',' ORDER BY step DESC) AS cascade FROM nx GROUP BY 1),
+      ac AS (SELECT query_id, string_agg(action || '@' || target, ',' ORDER BY rank) AS actions FROM told GROUP BY 1)""",
+        """SELECT s.incident_id, CASE WHEN s.confidence >= 0.85::DOUBLE THEN 'critical' WHEN s.confidence >= 0.65::DOUBLE THEN 'high' WHEN s.confidence >= 0.40::DOUBLE THEN 'medium'
+        WHEN s.confidence > 0 THEN 'low' ELSE 'none' END AS severity, COALESCE(a.name, 'unknown') AS service, ROUND(s.confidence + 1e-9::DOUBLE, 2) AS confidence,
+      COALESCE(c.cascade, '') AS cascade, ac.actions FROM sure s JOIN at_signal a USING (incident_id) LEFT JOIN cs7 c USING (incident_id) LEFT JOIN ac ON ac.query_id = s.incident_id""")
+    add("SCL17", _FLAGSHIP + "," + told, f"""SELECT q.incident_id, concat_ws(chr(10), 'signal=' || q.trigger_ || ' on=' || COALESCE(q.own_name, '?') || ' at=' || q.signal_sec, 'certainty=' || {two('s.confidence')},
+      (SELECT string_agg('cause=' || f.event_id || '>' || f.effect_event_id || ' p=' || {two('ROUND(f.score, 4)')}, chr(10) ORDER BY f.step DESC) FROM fast f WHERE f.incident_id = q.incident_id),
+      (SELECT string_agg('alike=' || f.incident_id || ' p=' || {two('ROUND(CASE WHEN d.decoy THEN LEAST(f.score, 0.45::DOUBLE) ELSE f.score END, 4)')} || ' why=' || w.rationale, chr(10) ORDER BY f.rank)
+        FROM found5 f JOIN dec d USING (query_id) JOIN why w ON w.query_id = f.query_id AND w.incident_id = f.incident_id WHERE f.query_id = q.incident_id),
+      'fix=' || o.action || ' of=' || o.target || ' p=' || {two('o.shown')}) AS text
+      FROM sig q JOIN sure s USING (incident_id) LEFT JOIN one o ON o.query_id = q.incident_id""")
     add("EVA11", _FLAGSHIP, """SELECT (SELECT COUNT(*) FROM sig) AS signals, (SELECT COUNT(DISTINCT query_id) FROM found5) AS with_matches,
       (SELECT COUNT(DISTINCT query_id) FROM told) AS with_remediations""")
 

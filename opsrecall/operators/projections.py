@@ -140,19 +140,16 @@ def incident_facts_text(ctx: DataFrame) -> DataFrame:
     ``ctx(incident_id, service, trigger, at, edges, matches, offers, confidence)`` with
     arrays of structs as in the context plan.
     """
-    def two(c: Column) -> Column:
-        return F.format_string("%.2f", c)
-
     edges = F.transform(F.slice("edges", 1, FACT_EDGES), lambda e: F.concat(
-        F.lit("cause="), e["cause_event_id"], F.lit(">"), e["effect_event_id"], F.lit(" p="), two(e["confidence"])))
+        F.lit("cause="), e["cause_event_id"], F.lit(">"), e["effect_event_id"], F.lit(" p="), S.two_places(e["confidence"])))
     alike = F.transform(F.slice("matches", 1, FACT_MATCHES), lambda m: F.concat(
-        F.lit("alike="), m["incident_id"], F.lit(" p="), two(m["similarity"]), F.lit(" why="), m["rationale"]))
+        F.lit("alike="), m["incident_id"], F.lit(" p="), S.two_places(m["similarity"]), F.lit(" why="), m["rationale"]))
     best = F.get("offers", F.lit(0))
     lines = F.flatten(F.array(
         F.array(F.concat_ws(" ", F.concat(F.lit("signal="), F.coalesce("trigger", F.lit("?"))), F.concat(F.lit("on="), F.coalesce("service", F.lit("?"))),
-                            F.concat(F.lit("at="), F.coalesce("at", F.lit("?")))), F.concat(F.lit("certainty="), two(F.col("confidence")))),
+                            F.concat(F.lit("at="), F.coalesce("at", F.lit("?")))), F.concat(F.lit("certainty="), S.two_places(F.col("confidence")))),
         edges, alike,
-        F.when(F.size("offers") > 0, F.array(F.concat(F.lit("fix="), best["action"], F.lit(" of="), best["target"], F.lit(" p="), two(best["confidence"]))))
+        F.when(F.size("offers") > 0, F.array(F.concat(F.lit("fix="), best["action"], F.lit(" of="), best["target"], F.lit(" p="), S.two_places(best["confidence"]))))
         .otherwise(F.array().cast("array<string>"))))
     return ctx.select("incident_id", F.array_join(lines, "\n").alias("text"))
 

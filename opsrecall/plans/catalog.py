@@ -929,7 +929,7 @@ def ctx7(a):
     at = identity.resolve_at(a.sigs.select("incident_id", "signal_us", "affected_name"), a.renames, "affected_name", "signal_us", "service")
     rows = a.context.join(path, "incident_id", "left").join(at.select("incident_id", "service"), "incident_id")
     return P.action_plan(rows.withColumn("offers", F.col("suggested_remediations")).withColumn(
-        "cascade", F.coalesce("cascade", F.array().cast("array<string>"))))
+        "cascade", F.coalesce("cascade", F.array().cast("array<string>")))).withColumn("confidence", F.round(F.col("confidence") + NUDGE, 2))
 
 
 # ---- streaming shapes that are plain queries --------------------------------

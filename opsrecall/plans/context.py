@@ -117,10 +117,6 @@ def overall_confidence(first_match: Column, best_edge: Column, best_remediation:
                 + 0.25 * F.coalesce(best_remediation, zero) + 0.05, 0.0, 1.0)
 
 
-def _two(c: Column) -> Column:
-    return F.format_string("%.2f", c)
-
-
 def narrative(incident: Column, service: Column, trigger: Column, clauses: Column, labels: Column, matches: Column,
               suggestions: Column) -> Column:
     """Lines about the signal, what to try, what led to it and what it resembles.
@@ -136,10 +132,10 @@ def narrative(incident: Column, service: Column, trigger: Column, clauses: Colum
         F.concat(incident, F.lit(": "), F.coalesce(S.blank_to_null(trigger), F.lit("no trigger given")), F.lit(", seen on "),
                  F.coalesce(service, F.lit("no known service"))),
         F.when(F.size(suggestions) > 0, F.concat(
-            F.lit("Try "), first["action"], F.lit(" of "), first["target"], F.lit(" ["), _two(first["confidence"]), F.lit("; "), first["historical_outcome"], F.lit("]"))),
+            F.lit("Try "), first["action"], F.lit(" of "), first["target"], F.lit(" ["), S.two_places(first["confidence"]), F.lit("; "), first["historical_outcome"], F.lit("]"))),
         F.when(F.size(clauses) > 0, F.concat(F.lit("Led up to by: "), F.array_join(clauses, " / "))).otherwise("Nothing in the window explains it"),
         F.when(F.size(clauses) > 0, F.concat(F.lit("In short: "), F.array_join(labels, " > "))),
-        F.when(more >= 0, F.concat(F.lit("Resembles "), best["incident_id"], F.lit(" ["), _two(best["similarity"]), F.lit("]: "), best["rationale"],
+        F.when(more >= 0, F.concat(F.lit("Resembles "), best["incident_id"], F.lit(" ["), S.two_places(best["similarity"]), F.lit("]: "), best["rationale"],
                                    F.when(more > 0, F.concat(F.lit(" (and "), more.cast("string"), F.lit(" more)"))).otherwise("")))
         .otherwise("Resembles no closed incident"),
     )
@@ -165,7 +161,7 @@ def _chain_text(chains: DataFrame, events: DataFrame) -> DataFrame:
     per = nodes.join(said, "event_id").groupBy("incident_id").agg(seq.alias("nodes"))
     edges = chains.select("incident_id", causal.forward(F.col("steps")).alias("edges"))
     clause = F.transform("edges", lambda e, i: F.concat(
-        F.get("nodes", i)["t"]["d"], F.lit(", then "), F.get("nodes", i + 1)["t"]["d"], F.lit(" ["), _two(e["confidence"]), F.lit("]")))
+        F.get("nodes", i)["t"]["d"], F.lit(", then "), F.get("nodes", i + 1)["t"]["d"], F.lit(" ["), S.two_places(e["confidence"]), F.lit("]")))
     return per.join(edges, "incident_id").select(
         "incident_id", clause.alias("clauses"), F.transform("nodes", lambda n: n["t"]["l"]).alias("labels"))
 
