@@ -692,6 +692,9 @@ def oracle_sql() -> dict[str, str]:
 
     mh = "list_transform(range(0, {0}), lambda p: list_min(list_transform({1}, lambda t: md5(p || '|' || t))))"
     add("SIM1", _EV_FEAT, f"SELECT incident_id, array_to_string({mh.format(128, 'tokens')}, ',') AS signature FROM feat WHERE len(tokens) > 0")
+    add("JOI7", _EV_EPI + f""", sg AS MATERIALIZED (SELECT incident_id, signal_us, closed_us, {mh.format(128, 'tokens')} AS g FROM epi WHERE len(tokens) > 0),
+      bd AS MATERIALIZED (SELECT incident_id, signal_us, closed_us, b, array_to_string(g[8 * b + 1:8 * b + 8], ',') AS band FROM (SELECT *, unnest(range(0, 16)) AS b FROM sg))""",
+        """SELECT q.incident_id AS query_id, COUNT(DISTINCT c.incident_id) AS n_candidates FROM bd q JOIN bd c ON q.b = c.b AND q.band = c.band AND c.closed_us < q.signal_us GROUP BY 1""")
     add("SIM2", _EV_PAIRS + f", sg AS MATERIALIZED (SELECT incident_id, {mh.format(128, 'tokens')} AS g FROM epi WHERE len(tokens) > 0)", """SELECT p.query_id, p.incident_id,
       ROUND(len(list_filter(list_zip(a.g, b.g), lambda z: z[1] = z[2])) / 128.0::DOUBLE, 4) AS estimate
       FROM pairs p JOIN sg a ON a.incident_id = p.query_id JOIN sg b ON b.incident_id = p.incident_id""")

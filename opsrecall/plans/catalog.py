@@ -320,9 +320,11 @@ def joi6(a):
 
 @query("JOI7")
 def joi7(a):
-    heads, _ = similarity.classes(similarity.past_view(a.episodes), 5)
-    q = similarity._as_queries(similarity.query_view(a.episodes))
-    met = similarity.lsh_pairs(q, heads, 16, 8)
+    """How many closed incidents agree with a query on a whole band of their signatures."""
+    q = a.episodes.select(F.col("incident_id").alias("query_id"), F.col("signal_us").alias("q_us"), F.col("service").alias("q_service"), F.col("tokens").alias("q_tokens"))
+    past = similarity.past_view(a.episodes).select(
+        F.col("incident_id").alias("class_id"), "closed_us", F.col("incident_id").alias("head"), F.lit(1).alias("members"), "service", "tokens")
+    met = similarity.lsh_pairs(cut(q), cut(past), 16, 8, signature=lambda t: sets.md5_minhash(t, sets.NUM_HASHES))
     return met.where("closed_us < q_us").groupBy("query_id").agg(F.count(F.lit(1)).alias("n_candidates"))
 
 
