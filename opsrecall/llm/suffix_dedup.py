@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from opsrecall.llm import passages
 from opsrecall.llm.common import BASE, BYTE, INVERSE, U, mix, partitions, powers, text_bytes
 from opsrecall.session import cut
 
@@ -466,14 +467,14 @@ def _kept(rows: DataFrame, length: int) -> DataFrame:
                 left.append(kept)
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(left, pa.binary())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+                [b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(left, pa.binary()), b.column(5)],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "n_shared"])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, n_shared long")
 
 
 def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept), one row for every row of ``docs``.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, n_shared), one row for every row of ``docs``.
 
     Texts are UTF-8 bytes, null is empty. Every byte of a string of ``length`` bytes that
     starts at two places or more, in one text or two, is removed; strings are judged on
@@ -481,7 +482,8 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     an id like others, shorter texts stay whole, an empty table gives no rows, and other
     columns are not read. ``length`` is above 200. What a task holds is bounded by a
     batch of texts, or by its share of the sampled suffixes; a head in very many texts
-    is sent once by each batch.
+    is sent once by each batch. ``n_shared`` tells of passages too short to be removed: it
+    counts sampled runs of words that stand in another row too (``passages.py``).
     """
     dests = partitions(docs.sparkSession)
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
@@ -495,4 +497,6 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     starts = settled.groupBy("id", "text_hash").agg(F.collect_list("starts").alias("starts"))
     starts = starts.select(F.col("id").alias("sid"), F.col("text_hash").alias("shash"), "starts")
     rows = joined.join(starts, F.col("doc_id").eqNullSafe(F.col("sid")) & (F.col("hash") == F.col("shash")), "left")
-    return _kept(rows.select("doc_id", "text", "place", "state", "starts"), length)
+    shared = passages.shared_marks(docs, dests).select(F.col("id").alias("pid"), F.col("text_hash").alias("phash"), "n_shared")
+    rows = rows.join(shared, F.col("doc_id").eqNullSafe(F.col("pid")) & (F.col("hash") == F.col("phash")), "left")
+    return _kept(rows.select("doc_id", "text", "place", "state", "starts", F.coalesce("n_shared", F.lit(0)).alias("n_shared")), length)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from opsrecall.llm import chat, fingerprints, mixing, neighbours, packing, pii, queries, suffix_dedup, token_counts, toxicity
+from opsrecall.llm import chat, fingerprints, mixing, neighbours, packing, passages, pii, queries, suffix_dedup, token_counts, toxicity
 from opsrecall.llm.bpe import Encoder, vocabulary
 from opsrecall.llm.ngram_join import near_duplicates, part_keys
 
@@ -67,7 +67,7 @@ def test_repeats_are_removed_exactly(rows, docs, empty):
         spans = int((gone[1:] & ~gone[:-1]).sum()) + int(len(b) > 0 and gone[0])
         kept = bytes(np.frombuffer(b, np.uint8)[~gone])
         want.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
-    assert collected(suffix_dedup.without_repeats(docs).drop("kept")) == sorted(want, key=str)
+    assert collected(suffix_dedup.without_repeats(docs).drop("kept", "n_shared")) == sorted(want, key=str)
     assert suffix_dedup.without_repeats(empty).count() == 0
 
 
@@ -108,7 +108,7 @@ def test_repeated_rows_in_several_flushes_speak_for_every_place(spark, monkeypat
 
     monkeypatch.setattr(suffix_dedup, "_answers", lambda asked, dests: answers(Arriving(asked), dests))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert collected(suffix_dedup.without_repeats(df).drop("kept")) == want
+    assert collected(suffix_dedup.without_repeats(df).drop("kept", "n_shared")) == want
 
 
 def test_every_place_has_the_largest_state_of_equal_rows(spark):
@@ -117,6 +117,35 @@ def test_every_place_has_the_largest_state_of_equal_rows(spark):
     assert {(r.id, bytes(r.place), bytes(r.state)) for r in got} == {(1, b"pp", b"\x03\x03"), (None, b"pp", b"\x03\x02"), (2, b"q", b"\x01")} and len(got) == 3
 
 
+@pytest.mark.parametrize("gather", [1, 16 << 20])
+def test_shared_passages(spark, monkeypatch, gather):
+    monkeypatch.setattr(passages, "GATHER_BYTES", gather)
+    rng = random.Random(31)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n)]
+    fifty, less, copy = words(50), words(39), words(45)
+    texts_ = [words(rng.randint(0, 200)) for _ in range(60)]
+    for i in range(0, 20, 4):
+        at = rng.randint(0, len(texts_[i]))
+        texts_[i][at:at] = fifty
+    for i in range(2, 20, 4):
+        texts_[i][0:0] = less
+    texts_ += [copy, copy, fifty, fifty + less, words(39)]
+    rows = [(i if i != 64 else None, " ".join(t)) for i, t in enumerate(texts_)] + [(7, " ".join(texts_[7])), (900, None), (901, ""), (60, " ".join(copy))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.xxhash64("text").alias("hash"), "text").repartition(5)
+    got = {(r.id, r.text_hash): r.n_shared for r in passages.shared_marks(docs, 7).collect()}
+    hashes = {(r.doc_id, r.text): r.hash for r in docs.collect()}
+    runs = collections.Counter(run for _, t in rows for run in {tuple((t or "").split()[k:k + 40]) for k in range(len((t or "").split()) - 39)})
+    long_ = collections.Counter(run for _, t in rows for run in {tuple((t or "").split()[k:k + 50]) for k in range(len((t or "").split()) - 49)})
+    for i, t in rows:
+        w = (t or "").split()
+        n = got.get((i, hashes[i, t]), 0)
+        if any(long_[tuple(w[k:k + 50])] > 1 for k in range(len(w) - 49)):
+            assert n > 0, (i, len(w))
+        if not any(runs[tuple(w[k:k + 40])] > 1 for k in range(len(w) - 39)):
+            assert n == 0, (i, len(w))
+    assert got[60, hashes[60, " ".join(copy)]] == 1 and passages.shared_marks(docs.where("1 = 0"), 3).count() == 0
+
+
 def test_suffix_sort_is_lexicographic():
     d = np.random.default_rng(1).integers(97, 99, 3000).astype(np.uint8)
     d[1500:2200] = d[100:800]
