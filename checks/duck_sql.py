@@ -865,6 +865,10 @@ def oracle_sql() -> dict[str, str]:
       (SELECT COUNT(DISTINCT query_id) FROM told) AS with_remediations""")
 
     q["STR1"], q["STR2"], q["STR3"], q["STR5"], q["STR6"] = q["SRC1"], q["JOI4"], q["TPL2.logs"], q["AGG4"], q["G7"]
+    q["STR6.nodes"], q["STR5.pairs"] = q["AGG10"], q["AGG5"]
+    add("STR5.services", _EV_REM, "SELECT target_id, action, COUNT(*) AS n, COUNT(*) FILTER (WHERE success) AS n_success FROM graded GROUP BY 1, 2")
+    add("STR5.edges", outc + "," + _fold(_EDGE_ROWS, -1, 1, True), """SELECT split_part(key, '>', 1) AS cause_kind, split_part(key, '>', 2) AS effect_kind, ROUND(w, 4) AS weight, last_us,
+      (SELECT COUNT(*) FROM outc o WHERE o.kind || '>' || o.effect_kind = key) AS n, (SELECT COUNT(*) FROM outc o WHERE o.success AND o.kind || '>' || o.effect_kind = key) AS n_success FROM fold""")
     add("STR4", _EV_REM, "SELECT r.incident_id, r.event_id, r.action, r.outcome FROM rem r JOIN sig q USING (incident_id) WHERE r.event_id > q.signal_event_id AND r.us >= q.signal_us AND r.us - q.signal_us <= 604800000000")
     add("STR8", _EV + """, rng AS (SELECT MIN(us) AS lo, MAX(us) AS hi FROM ev),
       pt AS (SELECT event_id, us, CASE WHEN event_id % 50 = 0 THEN 2 ELSE LEAST(CAST(floor((us - lo) * 3.0::DOUBLE / (hi - lo + 1)) AS INT), 2) END AS part FROM ev CROSS JOIN rng)""",

@@ -84,7 +84,7 @@ def _delta(up: float, down: float):
     return F.when(F.col("success"), up).otherwise(down).alias("delta")
 
 
-def _edge_updates(outcomes: DataFrame) -> DataFrame:
+def edge_updates(outcomes: DataFrame) -> DataFrame:
     return outcomes.select(
         F.concat_ws(">", "cause_kind", "effect_kind").alias("key"), "us",
         # A chain is graded root cause first, and `step` counts from the signal.
@@ -93,7 +93,7 @@ def _edge_updates(outcomes: DataFrame) -> DataFrame:
 
 def edge_weights(outcomes: DataFrame, **kw) -> DataFrame:
     """(cause_kind, effect_kind, weight, last_us) as of the last update."""
-    rows = _edge_updates(outcomes)
+    rows = edge_updates(outcomes)
     return clipped_fold(rows, -1.0, 1.0, HALF_LIFE_S, **kw).select(
         F.split("key", ">")[0].alias("cause_kind"), F.split("key", ">")[1].alias("effect_kind"), "weight", "last_us")
 
@@ -108,7 +108,7 @@ def edge_knowledge_at(outcomes: DataFrame, asked: DataFrame, **kw) -> DataFrame:
     learned before that time. Pairs without an outcome by then have no row."""
     pairs = F.explode(F.array(*[F.lit(f"{c}>{e}") for c, e in KIND_AFFINITY]))
     questions = _numbered(asked.where("us IS NOT NULL").select("incident_id", "us", pairs.alias("key")))
-    known = clipped_at(_edge_updates(outcomes), questions, -1.0, 1.0, HALF_LIFE_S, **kw).where("n > 0")
+    known = clipped_at(edge_updates(outcomes), questions, -1.0, 1.0, HALF_LIFE_S, **kw).where("n > 0")
     return known.join(questions, "question").select(
         "incident_id", F.split("key", ">")[0].alias("cause_kind"), F.split("key", ">")[1].alias("effect_kind"),
         "n", (F.col("ups") / F.col("n")).alias("success_rate"), "weight", "last_us")
@@ -119,8 +119,8 @@ def remediation_knowledge_at(graded_rems: DataFrame, asked: DataFrame, **kw) ->
     as of ``us``: the success rate of the action on the service, else anywhere, else 0, and
     the action's weight."""
     rows = graded_rems.where("action IS NOT NULL AND action <> ''")
-    updates = rows.select("us", "seq", _delta(ACTION_UP, ACTION_DOWN), F.explode(F.array_compact(F.array(
-        F.col("action"), F.when(F.col("target_id").isNotNull(), F.concat_ws("\u0001", "action", "target_id"))))).alias("key"))
+    columns = ["key", "us", "seq", "delta"]
+    updates = action_updates(rows).select(*columns).unionByName(service_updates(rows).select(*columns))
     questions = _numbered(asked.select("query_id", "service_id", "action", "us", F.posexplode(F.array(
         F.col("action"), F.concat_ws("\u0001", "action", F.coalesce("service_id", F.lit("\u0001"))))).alias("own", "key")))
     known = clipped_at(updates, questions.where("us IS NOT NULL"), -1.0, 1.0, HALF_LIFE_S, **kw)
@@ -134,10 +134,20 @@ def remediation_knowledge_at(graded_rems: DataFrame, asked: DataFrame, **kw) ->
                        F.col("_any.weight").alias("weight"), F.col("_any.last_us").alias("last_us"))
 
 
+def action_updates(graded_rems: DataFrame) -> DataFrame:
+    return graded_rems.where("action IS NOT NULL AND action <> ''").select(
+        F.col("action").alias("key"), "us", "seq", _delta(ACTION_UP, ACTION_DOWN))
+
+
+def service_updates(graded_rems: DataFrame) -> DataFrame:
+    """As ``action_updates``, for an action on a service."""
+    return graded_rems.where("action IS NOT NULL AND action <> '' AND target_id IS NOT NULL").select(
+        F.concat_ws("\u0001", "action", "target_id").alias("key"), "us", "seq", _delta(ACTION_UP, ACTION_DOWN))
+
+
 def action_weights(graded_rems: DataFrame, **kw) -> DataFrame:
     """(action, weight, last_us)."""
-    rows = graded_rems.where("action IS NOT NULL AND action <> ''").select(
-        F.col("action").alias("key"), "us", "seq", _delta(ACTION_UP, ACTION_DOWN))
+    rows = action_updates(graded_rems)
     return clipped_fold(rows, -1.0, 1.0, HALF_LIFE_S, **kw).select(F.col("key").alias("action"), "weight", "last_us")
 
 
@@ -150,9 +160,13 @@ def pair_updates(matches: DataFrame, graded_rems: DataFrame, keep: int = KEPT_MA
         (F.col("seq") * 8 + F.col("rank")).alias("seq"), _delta(PAIR_STEP, -PAIR_STEP))
 
 
+def pair_rows(updates: DataFrame) -> DataFrame:
+    return updates.select(F.concat_ws("\u0001", "a", "b").alias("key"), "us", "seq", "delta")
+
+
 def pair_weights(updates: DataFrame, **kw) -> DataFrame:
     """(a, b, w): clipped sum of a pair's updates in order."""
-    rows = updates.select(F.concat_ws("\u0001", "a", "b").alias("key"), "us", "seq", "delta")
+    rows = pair_rows(updates)
     return clipped_fold(rows, -PAIR_LIMIT, PAIR_LIMIT, None, **kw).select(
         F.split("key", "\u0001")[0].alias("a"), F.split("key", "\u0001")[1].alias("b"), F.col("weight").alias("w"))
 

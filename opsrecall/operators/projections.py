@@ -19,15 +19,25 @@ SAMPLE_CAPS = {"deploy": 5, "log": 5, "metric": 5, "incident_signal": 3, "remedi
 # ----------------------
 
 
-def service_metrics(events: DataFrame, ids: DataFrame) -> DataFrame:
-    """(service, family, us, event_id, value): metrics under current names, one row per
-    family whose name occurs in the metric's name."""
+def metric_rows(events: DataFrame) -> DataFrame:
+    """(svc, family, us, event_id, value): metrics under raw names, one row per family whose
+    name occurs in the metric's name."""
     fams = F.array_compact(F.array(*[
         F.when(F.lower(F.coalesce("name", F.lit(""))).contains(f), F.lit(f)) for f in S.METRIC_FAMILIES]))
     rows = events.where((F.col("kind") == "metric") & F.col("us").isNotNull()).select(
         "event_id", "us", F.coalesce("value", F.lit(0.0)).alias("value"), S.event_service().alias("svc"), F.explode(fams).alias("family"))
-    return with_identity(rows.where("svc IS NOT NULL"), ids, "svc", "_id", "service").select(
-        "service", "family", "us", "event_id", "value")
+    return rows.where("svc IS NOT NULL")
+
+
+def service_metrics(events: DataFrame, ids: DataFrame) -> DataFrame:
+    """(service, family, us, event_id, value): metrics under current names."""
+    return with_identity(metric_rows(events), ids, "svc", "_id", "service").select("service", "family", "us", "event_id", "value")
+
+
+def last_rows(metrics: DataFrame, *keys: str) -> DataFrame:
+    """The row of ``latest_metrics`` for every key; the last rows of parts of a log give those of the whole."""
+    last = F.max(F.struct("us", (-F.col("event_id")).alias("minus"), "value")).alias("m")
+    return metrics.groupBy(*keys).agg(last).select(*keys, "m.us", (-F.col("m.minus")).alias("event_id"), "m.value")
 
 
 def latest_metrics(metrics: DataFrame) -> DataFrame:

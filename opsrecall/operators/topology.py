@@ -52,8 +52,8 @@ def cluster_labels(members: DataFrame) -> DataFrame:
     return members.join(per.select("component", label.alias("cluster")), "component").select("identity_id", "cluster")
 
 
-def call_graph(events: DataFrame, ids: DataFrame) -> DataFrame:
-    """(source, target, call_volume, error_rate, latency) under current names."""
+def call_sums(events: DataFrame) -> DataFrame:
+    """(a, b, calls, errors, dur): calls and mentions between raw names, sums that add up over parts of a log."""
     pair = F.explode(F.arrays_zip(
         F.slice("spans", 1, F.size("spans") - 1).alias("a"), F.slice("spans", 2, F.size("spans")).alias("b"))).alias("p")
     calls = (
@@ -69,13 +69,21 @@ def call_graph(events: DataFrame, ids: DataFrame) -> DataFrame:
         .select("event_id", F.col("service").alias("a"), F.explode(S.mentions(F.col("msg"))).alias("b"),
                 F.lit(None).cast("long").alias("dur"), F.lit(0).alias("call"))
     )
-    # Counted per pair of raw names first: renames are looked up on the few pairs left.
-    raw = (
+    return (
         calls.unionByName(errors).where("a IS NOT NULL AND b IS NOT NULL")
         .groupBy("a", "b").agg(
             F.sum("call").alias("calls"), F.sum(1 - F.col("call")).alias("errors"),
             F.sum(F.coalesce("dur", F.lit(0))).alias("dur"))
     )
+
+
+def call_graph(events: DataFrame, ids: DataFrame) -> DataFrame:
+    """(source, target, call_volume, error_rate, latency) under current names."""
+    return graph_of_sums(call_sums(events), ids)
+
+
+def graph_of_sums(raw: DataFrame, ids: DataFrame) -> DataFrame:
+    """The call graph of ``call_sums``: renames are looked up on the few pairs of raw names."""
     named = with_identity(raw, ids, "a", "_i", "source", spread_by="b").drop("_i")
     named = with_identity(named, ids, "b", "_i", "target", spread_by="a").drop("_i")
     return (

@@ -1170,21 +1170,53 @@ def str4(a):
     return table.read()
 
 
+def _learned(a):
+    """What a stream of remediations, in three steps of time, has taught."""
+    if not hasattr(a, "learned"):
+        tables = {name: streams.learned_table(a.spark, a.path(f"learned-{name}")) for name in ("actions", "services", "edges", "pairs")}
+        first = a.shown.where(F.col("rank") <= learning.KEPT_MATCHES)
+        _arrive(a, lambda ev, ck: streams.keep_learned(ev, tables, lambda: a.sigs, lambda: a.ids, lambda: a.chains, lambda: first, ck), 3)
+        a.learned = {k: cut(t.current()) for k, t in tables.items()}
+    return a.learned
+
+
 @query("STR5")
 def str5(a):
-    table = VersionedTable(a.spark, a.path("weights"), streams.WEIGHT_SCHEMA)
-    _arrive(a, lambda ev, ck: streams.keep_action_weights(ev, table, ck), 3)
-    return table.current().select(F.col("key").alias("action"), F.round("weight", 4).alias("weight"), "last_us")
+    return _learned(a)["actions"].select(F.col("key").alias("action"), F.round("weight", 4).alias("weight"), "last_us")
+
+
+@query("STR5.services")
+def str5_services(a):
+    return _learned(a)["services"].select(F.split("key", "\u0001")[1].alias("target_id"), F.split("key", "\u0001")[0].alias("action"), "n", F.col("ups").alias("n_success"))
+
+
+@query("STR5.edges")
+def str5_edges(a):
+    return _learned(a)["edges"].select(F.split("key", ">")[0].alias("cause_kind"), F.split("key", ">")[1].alias("effect_kind"),
+                                       F.round("weight", 4).alias("weight"), "last_us", "n", F.col("ups").alias("n_success"))
+
+
+@query("STR5.pairs")
+def str5_pairs(a):
+    return _learned(a)["pairs"].select(F.split("key", "\u0001")[0].alias("a"), F.split("key", "\u0001")[1].alias("b"), F.round("weight", 4).alias("w"))
+
+
+def _snapshots(a):
+    """The last snapshots of a stream that writes one for each of three steps of time."""
+    if not hasattr(a, "shots"):
+        a.shots, tables = a.path("snapshots"), streams.GraphTables(a.spark, a.path("graph"), every=2)
+        _arrive(a, lambda ev, ck: streams.snapshots(ev, tables, a.shots, ck, None), 3)
+    return a.shots
 
 
 @query("STR6")
 def str6(a):
-    landed, shots, ck = a.path("landed"), a.path("snapshots"), a.path("stream")
-    _arrive(a, lambda ev, c: streams.land(ev, landed, c))
-    inbox = a.path("ticks")
-    _wire(a.events.where("kind = 'deploy'")).write.json(inbox)
-    streams.snapshots(streams.read_events(a.spark, inbox), lambda: SRC.replay(a.spark, landed), shots, ck, None).awaitTermination()
-    return a.spark.read.parquet(f"{shots}/edges/v=0")
+    return a.spark.read.parquet(f"{_snapshots(a)}/edges/v=2")
+
+
+@query("STR6.nodes")
+def str6_nodes(a):
+    return a.spark.read.parquet(f"{_snapshots(a)}/nodes/v=2")
 
 
 @query("STR8")

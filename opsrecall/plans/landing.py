@@ -108,6 +108,12 @@ class Landing:
         past = similarity.past_view(self.episodes)
         return cut(similarity.find_similar(similarity.query_view(self.episodes), past, similarity.RETRIEVED).select("query_id", "rank", "incident_id"))
 
+    @cached_property
+    def shown(self) -> DataFrame:
+        """The matches that are shown, on first-pass chains."""
+        past = similarity.past_view(self.episodes)
+        return cut(similarity.find_similar(similarity.query_view(self.episodes), past, similarity.TOP_K["fast"]))
+
     @cached_property
     def matches(self) -> DataFrame:
         return cut(context.find_matches(self.memory, 5))
