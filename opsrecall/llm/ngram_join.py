@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from opsrecall.llm.common import U, mix, partitions
 from opsrecall.llm.shingles import shingle_sets
@@ -246,21 +246,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, per
     set that many are compared with once to each place instead of with every pair.
     """
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << SLOT_BITS))
-    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    bits = docs.sparkSession.sparkContext.broadcast(_slots(sets.join(wanted, "c", "left_semi").select(slot.alias("slot"))))
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            at = b.column(0).to_numpy()
-            b = b.filter(pa.array((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
-            c, h = [], []
-            for x in shingle_sets(b.column(1), size):
-                if (k := _set_id(x)) not in seen:
-                    seen.add(k)
-                    c.append(k)
-                    h.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(h, pa.binary())], ["c", "h"])
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(c, h): the sets of at least the ids in ``wanted``, once from each task that has one."""
+        bits = docs.sparkSession.sparkContext.broadcast(_slots(sets.select("c", "doc_id").join(wanted, "c", "left_semi").select(slot.alias("slot"))))
+
+        def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for b in batches:
+                at = b.column(0).to_numpy()
+                b = b.filter(pa.array((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
+                c, h = [], []
+                for x in shingle_sets(b.column(1), size):
+                    if (k := _set_id(x)) not in seen:
+                        seen.add(k)
+                        c.append(k)
+                        h.append(x.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(h, pa.binary())], ["c", "h"])
+
+        return docs.select(slot.alias("slot"), "text").mapInArrow(hashes, "c long, h binary")
 
     def compare(place: tuple, pairs_: pa.Table, sets_: pa.Table) -> pa.Table:
         held = {c: np.frombuffer(h.as_buffer(), U) for c, h in zip(sets_.column("c").to_pylist(), sets_.column("h"), strict=True)}
@@ -278,13 +282,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, per
     total = often.agg(F.sum(F.least("degree", F.lit(64)) * F.col("n")).alias("n")).first().n or 0
     places = max(partitions(docs.sparkSession), -(-8 * total // VERIFY_BYTES))
     one, two = (often.select(F.col("c").alias(x), F.col("degree").alias(f"{x}_degree")) for x in ("a", "b"))
-    home = F.when((F.col("a_degree") < F.col("b_degree")) | ((F.col("a_degree") == F.col("b_degree")) & (F.col("a") < F.col("b"))), F.col("a")).otherwise(F.col("b"))
-    placed = cut(pairs.join(one, "a").join(two, "b").select("a", "b", F.pmod(F.xxhash64(home), F.lit(places)).cast("int").alias("place")))
-    needed = placed.select("place", F.explode(F.array("a", "b")).alias("c")).distinct()
-    full = docs.select(slot.alias("slot"), "text").mapInArrow(hashes, "c long, h binary")
-    # Equal texts of different tasks arrive several times; a set is sent to a place once.
-    sent = full.join(wanted, "c", "left_semi").dropDuplicates(["c"]).join(needed, "c").select(F.col("place").alias("at"), "c", "h")
-    return placed.groupBy("place").cogroup(sent.groupBy("at")).applyInArrow(compare, "a long, b long").distinct()
+    first = (F.col("a_degree") < F.col("b_degree")) | ((F.col("a_degree") == F.col("b_degree")) & (F.col("a") < F.col("b")))
+    home, other = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a"))
+
+    def place(c) -> Column:
+        return F.pmod(F.xxhash64(F.lit(7), c), F.lit(places)).cast("int")
+
+    placed = cut(pairs.join(one, "a").join(two, "b").select("a", "b", home.alias("home"), other.alias("other"), place(home).alias("place")))
+    # Sets go to their own place; those that are compared elsewhere go there besides.
+    abroad = cut(placed.where(place(F.col("other")) != F.col("place")).select(F.col("other").alias("c"), "place").distinct())
+    at_home = placed.select(F.col("home").alias("c")).union(placed.where(place(F.col("other")) == F.col("place")).select("other")).distinct()
+    sent = sets_of(at_home).select(place(F.col("c")).alias("at"), "c", "h").union(sets_of(abroad.select("c").distinct()).join(abroad, "c").select("place", "c", "h"))
+    return placed.select("a", "b", "place").groupBy("place").cogroup(sent.groupBy("at")).applyInArrow(compare, "a long, b long").distinct()
 
 
 def _sides(size):
@@ -309,8 +318,11 @@ def _laid(members: DataFrame) -> DataFrame:
 
 def _across(laid: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, dests: int, closest: int = 0) -> DataFrame:
     """Pairs of large groups whose members are not yet in one component, in blocks of rows:
-    all that their sketches allow or, of every member outside the block's largest
-    component, those with the ``closest`` sketches."""
+    all that their sketches allow or, of every member outside the group's largest
+    component, those with the ``closest`` sketches.
+
+    Members of that component stand on their own side; the others, the outsiders, are sent
+    to every side and compared there with its members, and with other outsiders whose side it is."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[tuple[int, int]] = set()
 
@@ -318,30 +330,20 @@ def _across(laid: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, de
             rows.sort(key=lambda r: (r["n"], r["c"]))
             size = min(len(r["sketch"]) for r in rows)
             sketch = np.stack([_folded(r["sketch"], size) for r in rows])
-            n, c, root, side = (np.array([r[k] for r in rows]) for k in ("n", "c", "root", "side"))
+            n, c, root, side, out = (np.array([r[k] for r in rows]) for k in ("n", "c", "root", "side", "outsider"))
             a, b = [], []
-            i, j = rows[0]["i"], rows[0]["j"]
-            names, counts = np.unique(root, return_counts=True)
-            for x in np.flatnonzero(root != names[counts.argmax()]) if closest else ():
+            own = side == rows[0]["i"]  # members of this side, and outsiders whose side it is
+            for x in np.flatnonzero(out):
                 first, last = np.searchsorted(n * 100, n[x] * percent), np.searchsorted(n, n[x] * 100 // percent, "right")
                 y = np.arange(first, last)
-                y = y[(root[y] != root[x]) & ((i == j) | (side[y] != side[x]))]
+                y = y[own[y] & (root[y] != root[x])]
                 differ = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64)
-                near = np.argsort(differ, kind="stable")[:closest]
-                y = y[near[differ[near] <= most_differing(n[x], n[y[near]], percent)]]
+                if closest:
+                    near = np.argsort(differ, kind="stable")[:closest]
+                    y, differ = y[near], differ[near]
+                y = y[differ <= most_differing(n[x], n[y], percent)]
                 a.append(np.minimum(c[x], c[y]))
                 b.append(np.maximum(c[x], c[y]))
-            for x in range(0 if closest else len(rows) - 1):
-                last = int(np.searchsorted(n, n[x] * 100 // percent, "right"))
-                y = np.arange(x + 1, last)
-                y = y[root[y] != root[x]]
-                if i != j:
-                    y = y[side[y] != side[x]]
-                if len(y):
-                    differ = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1, dtype=np.int64)
-                    y = y[differ <= most_differing(n[x], n[y], percent)]
-                    a.append(np.minimum(c[x], c[y]))
-                    b.append(np.maximum(c[x], c[y]))
             found = set(zip(np.concatenate(a).tolist(), np.concatenate(b).tolist(), strict=True)) - sent if a else set()
             if len(sent) > 1 << 20:  # only saves repeats
                 sent.clear()
@@ -351,7 +353,7 @@ def _across(laid: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, de
         rows: list[dict] = []
         for b in batches:
             for r in b.to_pylist():
-                if rows and any(r[k] != rows[0][k] for k in ("joint", "key", "i", "j")):
+                if rows and any(r[k] != rows[0][k] for k in ("joint", "key", "i")):
                     yield pairs(rows)
                     rows = []
                 rows.append(r)
@@ -359,14 +361,15 @@ def _across(laid: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, de
             yield pairs(rows)
 
     known = laid.join(roots, laid["c"] == roots["node"], "left").select(*laid.columns, F.coalesce("root", "c").alias("root"))
-    open_ = known.groupBy("joint", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("joint", "key")
+    counts = known.groupBy("joint", "key", "root").agg(F.count(F.lit(1)).alias("m"))
+    open_ = counts.groupBy("joint", "key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
     rows = (
-        known.join(open_, ["joint", "key"]).withColumn("side", F.pmod(F.hash("c"), F.col("sides")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-        .select("joint", "key", "c", "n", "root", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+        known.join(open_, ["joint", "key"]).withColumn("side", F.pmod(F.hash("c"), F.col("sides"))).withColumn("outsider", F.col("root") != F.col("main"))
+        .withColumn("i", F.explode(F.when(F.col("outsider"), F.sequence(F.lit(0), F.col("sides") - 1)).otherwise(F.array("side"))))
+        .select("joint", "key", "c", "n", "root", "side", "outsider", "i")
         .join(sets.select("c", "sketch"), "c")
     )
-    block = ["joint", "key", "i", "j"]
+    block = ["joint", "key", "i"]
     return rows.repartition(dests, *block).sortWithinPartitions(*block).mapInArrow(run, "a long, b long").distinct()
 
 
