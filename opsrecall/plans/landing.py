@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from opsrecall.operators import causal, episodes, features, identity, learning, similarity, templates, topology, windows
 from opsrecall.plans import context
 from opsrecall.session import cut, ensure_checkpoint_dir
-from opsrecall.sources import driver_tables as D
+from opsrecall.sources import driver_tables as D, events as E
 
 
 class Landing:
@@ -30,7 +30,10 @@ class Landing:
 
     @cached_property
     def events(self) -> DataFrame:
-        return cut(D.telemetry(self.spark, self.sf_dir))
+        """Telemetry as parquet, a folder for each kind: filters and columns reach the scan."""
+        rows, path = D.telemetry(self.spark, self.sf_dir), self.path("events")
+        E.write_events(rows, path, partition_by=("kind",))
+        return E.read_events(self.spark, path, rows.schema)
 
     @cached_property
     def renames(self) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
+from pyspark.sql.types import StructType
 
 from opsrecall.functions import scalars as S
 from opsrecall.schema import EVENT_COLUMNS, RAW_EVENT
@@ -67,10 +68,22 @@ def with_event_ids(events: DataFrame, order: list[str], granularity: str = "hour
     )
 
 
-def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
-    """Land events as parquet, one folder per day and kind for pruning."""
-    (events.withColumn("event_date", F.to_date("ts"))
-     .write.mode(mode).partitionBy("event_date", "kind").parquet(path))
+def write_events(events: DataFrame, path: str, mode: str = "append", partition_by: tuple[str, ...] = ("event_date", "kind")) -> None:
+    """Land events as parquet so that a reader skips what it does not need: a folder for each day and
+    kind, rows sorted by service and time, Bloom filters on the ids of events, traces and incidents.
+
+    An empty kind becomes null. Tasks write the folders of the rows they have.
+    """
+    dated = events.withColumn("event_date", F.to_date("ts")) if "event_date" in partition_by else events
+    writer = dated.sortWithinPartitions(*partition_by, "service", "us").write.mode(mode).partitionBy(*partition_by)
+    for c in ("event_id", "trace_id", "incident_id"):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    writer.parquet(path)
+
+
+def read_events(spark: SparkSession, path: str, columns: StructType) -> DataFrame:
+    """Landed events with the columns of ``columns`` in their order."""
+    return spark.read.schema(columns).parquet(path).select(*columns.fieldNames())
 
 
 def replay(spark: SparkSession, path: str) -> DataFrame:

@@ -347,6 +347,12 @@ def test_any_number_of_patterns(spark, monkeypatch):
     assert {r["predicted"] for r in vectors.classify(asked, book.where("1 = 0")).collect()} == {None}
 
 
+def test_landed_events_are_skipped(land):
+    """Kinds prune folders, other filters reach the scan, and only asked columns are read."""
+    plan = land.events.where("kind = 'deploy' AND event_id = 17").select("service")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(kind" in plan and "EqualTo(event_id,17)" in plan and "ReadSchema: struct<event_id:bigint,service:string>" in plan
+
+
 def test_context_has_one_row_per_signal(land):
     rows = land.context.collect()
     assert sorted(r["incident_id"] for r in rows) == sorted(r["incident_id"] for r in land.sigs.collect())
