@@ -547,6 +547,7 @@ def oracle_sql() -> dict[str, str]:
 
     for key in ("SRC1", "SRC2", "SRC3"):
         add(key, _EV, _SUMMARY)
+    add("SRC2.ids", _EV, "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS row_id FROM ev")
     add("SRC4", _EV, "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS row_id FROM ev")
     counts = """SELECT COALESCE(i.identity_id, COALESCE(service, target)) AS identity_id, kind, COUNT(*) AS n FROM ev
       LEFT JOIN ids i ON i.name = COALESCE(service, target) WHERE COALESCE(service, target) IS NOT NULL GROUP BY 1, 2"""

@@ -66,9 +66,22 @@ def src1(a):
 
 @query("SRC2")
 def src2(a):
+    """Two batches of a log, one of them sent again."""
+    return _kind_summary(_appended(a).read())
+
+
+def _appended(a):
     parts = evaluate.time_split(a.events)
-    first, then = parts.where("part = 'train'").drop("part"), parts.where("part = 'eval'").drop("part")
-    return _kind_summary(first.unionByName(then))
+    log = SRC.EventLog(a.spark, a.path("log"), ["ts", "event_id"])
+    for batch, part in enumerate(("train", "eval", "train")):
+        log.append(parts.where(F.col("part") == part).drop("part"), batch % 2)
+    return log
+
+
+@query("SRC2.ids")
+def src2_ids(a):
+    """Numbers continue in the second batch and are those of one load."""
+    return _appended(a).read().select("event_id", "row_id")
 
 
 @query("SRC3")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 from pyspark.sql.types import StructType
 
 from opsrecall.functions import scalars as S
 from opsrecall.schema import EVENT_COLUMNS, RAW_EVENT
+from opsrecall.session import cut
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -47,25 +49,55 @@ def with_clock(events: DataFrame) -> DataFrame:
     )
 
 
-def with_event_ids(events: DataFrame, order: list[str], granularity: str = "hour") -> DataFrame:
-    """Number rows 0.. in the given order (first column: a timestamp).
+def with_event_ids(events: DataFrame, order: list[str], start: int = 0, into: str = "row_id") -> DataFrame:
+    """Number rows from ``start`` in the given order, nulls first.
 
-    Rows are ranked inside a time bucket and offset by the size of all earlier
-    buckets, so no window runs over the whole table in one task.
+    Rows are dealt by ranges of all columns of ``order``, which Spark samples, so a busy
+    second is split as well as a busy hour; a part's first number is the size of the parts
+    before it. ``order`` must tell rows apart, else equal rows share their numbers in any way.
     """
-    # Rows without a time sort first, as nulls do.
-    bucket = F.coalesce(F.date_trunc(granularity, F.col(order[0])), F.lit("0001-01-01").cast("timestamp"))
-    bucketed = events.withColumn("_b", bucket)
-    sizes = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy("_b").orderBy(*order)
-    return (
-        bucketed.withColumn("_r", F.row_number().over(inside) - 1)
-        .join(offsets, "_b")
-        .withColumn("row_id", F.col("_off") + F.col("_r"))
-        .drop("_b", "_r", "_off")
-    )
+    laid = events.repartitionByRange(*order).sortWithinPartitions(*order)
+    laid = cut(laid.withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    sizes = laid.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    first = sizes.select("_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + start).alias("_first"))
+    numbered = laid.join(F.broadcast(first), part == F.col("_part"))
+    return numbered.withColumn(into, F.col("_first") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_part", "_first")
+
+
+class EventLog:
+    """Events appended batch by batch, their numbers continuing from batch to batch.
+
+    A batch writes its rows and then a marker with the number after its last; rows without a
+    marker are not read. A batch that has its marker is not written again, one that was
+    stopped before is written anew, from the same number. Batches come one at a time, and
+    ids grow.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, order: list[str]):
+        self.spark, self.path, self.order = spark, path, order
+
+    def _marks(self) -> DataFrame | None:
+        try:
+            return self.spark.read.schema("next bigint, batch bigint").parquet(f"{self.path}/marks")
+        except AnalysisException:
+            return None
+
+    def append(self, events: DataFrame, batch: int) -> None:
+        marks = self._marks()
+        if marks is not None and not marks.where(F.col("batch") >= batch).isEmpty():
+            return
+        start = 0 if marks is None else marks.agg(F.max("next")).first()[0] or 0
+        numbered = with_event_ids(events, self.order, start)
+        numbered.write.mode("overwrite").parquet(f"{self.path}/rows/batch={batch}")
+        n = self.spark.read.parquet(f"{self.path}/rows/batch={batch}").count()
+        self.spark.range(1).select(F.lit(start + n).cast("bigint").alias("next")).write.mode("overwrite").parquet(f"{self.path}/marks/batch={batch}")
+
+    def read(self) -> DataFrame:
+        marks = self._marks()
+        rows = self.spark.read.parquet(f"{self.path}/rows")
+        return rows.join(F.broadcast(marks.select("batch")), "batch", "left_semi").drop("batch")  # a row for each batch
 
 
 def write_events(events: DataFrame, path: str, mode: str = "append", partition_by: tuple[str, ...] = ("event_date", "kind")) -> None:

@@ -12,6 +12,8 @@ from opsrecall.functions.folds import clipped_at, clipped_fold
 from opsrecall.operators import evaluate, learning, remediation, replicas, similarity, skew, templates, topk, vectors, windows
 from opsrecall.operators.graphs import connected_components
 from opsrecall.plans.landing import landing
+from opsrecall.session import cut
+from opsrecall.sources import events as SRC
 
 SF = "/root/testdata/sf0.001"
 
@@ -347,6 +349,25 @@ def test_any_number_of_patterns(spark, monkeypatch):
     assert {r["predicted"] for r in vectors.classify(asked, book.where("1 = 0")).collect()} == {None}
 
 
+def test_numbers_continue_and_a_busy_second_is_split(spark, tmp_path):
+    rows = [(i, 1000 if i % 3 else i) for i in range(3000)] + [(5000, None)]
+    df = spark.createDataFrame(rows, "event_id bigint, us bigint").repartition(6)
+    numbered = SRC.with_event_ids(df, ["us", "event_id"], 7)
+    got = numbered.collect()
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    assert {r["event_id"]: r["row_id"] for r in got} == {i: 7 + n for n, (i, _) in enumerate(want)}
+    laid = cut(df.repartitionByRange(8, "us", "event_id").withColumn("part", F.spark_partition_id()))
+    assert laid.where("us = 1000").select("part").distinct().count() > 1
+    log, whole = SRC.EventLog(spark, f"{tmp_path}/log", ["us", "event_id"]), SRC.EventLog(spark, f"{tmp_path}/whole", ["us", "event_id"])
+    late = df.where("us >= 1000")
+    for batch, part in ((0, df.where("us IS NULL OR us < 1000")), (1, late), (1, late), (0, late)):
+        log.append(part, batch)
+    whole.append(df, 0)
+    assert sorted(log.read().collect()) == sorted(whole.read().collect())
+    late.withColumn("row_id", F.lit(1).cast("bigint")).write.parquet(f"{tmp_path}/log/rows/batch=2")  # stopped before its marker
+    assert log.read().count() == 3001
+
+
 def test_landed_events_are_skipped(land):
     """Kinds prune folders, other filters reach the scan, and only asked columns are read."""
     plan = land.events.where("kind = 'deploy' AND event_id = 17").select("service")._jdf.queryExecution().executedPlan().toString()
