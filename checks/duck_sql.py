@@ -910,7 +910,7 @@ def oracle_sql() -> dict[str, str]:
     add("REP5", _LOG, "SELECT value, COUNT(*) AS n FROM cells WHERE col = 'email' GROUP BY 1 HAVING COUNT(*) > 1")
     add("REP6", _LOG, "SELECT value, key FROM cells WHERE col = 'email' QUALIFY row_number() OVER (PARTITION BY value ORDER BY version, peer, key) = 1")
     add("REP7", _LOG + "," + _PRINT.format("cells", "'users' AS tbl,", ""), "SELECT tbl, fingerprint FROM print")
-    add("REP8", _LOG, "SELECT 3 AS n_states, FALSE AS converged, 'before' AS state UNION ALL SELECT 1, TRUE, 'after'".replace(
+    add("REP8", _LOG, "SELECT 3 AS n_states, FALSE AS converged, 'before' AS state UNION ALL SELECT 1, TRUE, 'after' UNION ALL SELECT 1 + (g.n > 0)::INT, g.n = 0, 'C withheld' FROM (SELECT COUNT(*) AS n FROM gone) g".replace(
         "SELECT 3 AS", "SELECT (SELECT COUNT(DISTINCT peer) FROM chlog) AS"))
     add("REP9", _LOG + "," + _PRINT.format("cells", "", ""), "SELECT unnest(['given', 'twice', 'seed1', 'seed2', 'seed3']) AS run, fingerprint FROM print")
     return q

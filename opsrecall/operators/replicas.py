@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from opsrecall.session import cut
+
 
 def last_writer_rows(log: DataFrame) -> DataFrame:
     """Row-level merge, the weak baseline: the newest (version, peer) snapshot of a row
@@ -18,18 +20,18 @@ def last_writer_rows(log: DataFrame) -> DataFrame:
     return snap.groupBy("tbl", "key").agg(F.max_by("cells", F.struct("version", "peer")).alias("cells"))
 
 
-def merge_cells(log: DataFrame) -> DataFrame:
-    """(tbl, key, col, value, version, peer): the newest value of every live cell."""
+def merge_cells(log: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(tbl, key, col, value, version, peer): the newest value of every live cell, for every holder named by ``by``."""
     newest = F.max_by(F.struct("value", "version", "peer"), F.struct("version", "peer")).alias("w")
-    cells = log.where("NOT deleted").groupBy("tbl", "key", "col").agg(newest)
-    gone = tombstones(log)
-    live = cells.join(gone, ["tbl", "key"], "left").where("gone_at IS NULL OR struct(w.version, w.peer) > gone_at")
-    return live.select("tbl", "key", "col", "w.value", "w.version", "w.peer")
+    cells = log.where("NOT deleted").groupBy(*by, "tbl", "key", "col").agg(newest)
+    gone = tombstones(log, by)
+    live = cells.join(gone, [*by, "tbl", "key"], "left").where("gone_at IS NULL OR struct(w.version, w.peer) > gone_at")
+    return live.select(*by, "tbl", "key", "col", "w.value", "w.version", "w.peer")
 
 
-def tombstones(log: DataFrame) -> DataFrame:
+def tombstones(log: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(tbl, key, gone_at): the newest delete of a row."""
-    return log.where("deleted").groupBy("tbl", "key").agg(F.max(F.struct("version", "peer")).alias("gone_at"))
+    return log.where("deleted").groupBy(*by, "tbl", "key").agg(F.max(F.struct("version", "peer")).alias("gone_at"))
 
 
 def live_keys(log: DataFrame) -> DataFrame:
@@ -114,6 +116,34 @@ def converged(prints: DataFrame) -> DataFrame:
     return prints.agg(F.countDistinct("fingerprint").alias("n_states")).withColumn("converged", F.col("n_states") == 1)
 
 
+def version_vectors(held: DataFrame) -> DataFrame:
+    """(holder, origin, seen): up to which version a holder has the changes of every peer."""
+    return held.groupBy("holder", F.col("peer").alias("origin")).agg(F.max("version").alias("seen"))
+
+
+def deltas(held: DataFrame, links: DataFrame) -> DataFrame:
+    """Changes that holders lack and get over ``links(src, dst)``, under their new holder.
+
+    ``held(holder, ...)`` are the changes every holder has; of each peer it has all up to a
+    version, so a vector of versions says what is missing and only that is sent.
+    """
+    seen = version_vectors(held).toDF("dst", "peer", "seen")
+    offered = held.join(F.broadcast(links.withColumnRenamed("src", "holder")), "holder")  # a row for each link
+    missing = offered.join(F.broadcast(seen), ["dst", "peer"], "left").where("version > coalesce(seen, -1)")  # peers by peers
+    return missing.select(F.col("dst").alias("holder"), *[c for c in held.columns if c != "holder"]).distinct()
+
+
+def exchange(held: DataFrame, links: DataFrame) -> DataFrame:
+    """What everybody holds once nobody lacks anything over its links. A round sends every missing
+    change one link further, so rounds are at most as many as links in a row."""
+    held = cut(held)
+    while True:
+        sent = cut(deltas(held, links))
+        if sent.isEmpty():
+            return held
+        held = cut(held.unionByName(sent))
+
+
 def shuffled(log: DataFrame, seed: int) -> DataFrame:
     """The same log in another order."""
     return log.orderBy(F.xxhash64(F.lit(seed), "tbl", "key", "col", "version", "peer"))

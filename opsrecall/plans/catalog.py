@@ -1116,14 +1116,18 @@ def rep7(a):
 
 @query("REP8")
 def rep8(a):
-    """Each peer's own state, and the state all peers reach after exchanging logs."""
-    own = replicas.fingerprint(a.replica_log.where("NOT deleted"), ["peer"])
-    merged = None
-    for seed, peer in enumerate(("A", "B", "C")):
-        one = replicas.fingerprint(replicas.merge_cells(replicas.shuffled(a.replica_log, seed))).withColumn("peer", F.lit(peer))
-        merged = one if merged is None else merged.unionByName(one)
-    return replicas.converged(own).withColumn("state", F.lit("before")).unionByName(
-        replicas.converged(merged).withColumn("state", F.lit("after")))
+    """How many states peers are in with their own changes, after exchanging what others lack, and
+    after an exchange in which peer C sends nothing."""
+    held = a.replica_log.withColumn("holder", F.col("peer"))
+    all_links = [(x, y) for x in "ABC" for y in "ABC" if x != y]
+
+    def states(rows, name):
+        return replicas.converged(replicas.fingerprint(replicas.merge_cells(rows, ("holder",)), ["holder"])).withColumn("state", F.lit(name))
+
+    own = replicas.converged(replicas.fingerprint(a.replica_log.where("NOT deleted"), ["peer"])).withColumn("state", F.lit("before"))
+    full = replicas.exchange(held, a.spark.createDataFrame(all_links, "src string, dst string"))
+    kept = replicas.exchange(held, a.spark.createDataFrame([x for x in all_links if x[0] != "C"], "src string, dst string"))
+    return own.unionByName(states(full, "after")).unionByName(states(kept, "C withheld"))
 
 
 @query("REP9")

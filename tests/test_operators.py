@@ -317,6 +317,26 @@ def test_replica_scenario(spark):
     assert not replicas.policy_holds(kids, live, "cascade", F.col("id") == "o1").first()["ok"]
 
 
+def test_peers_converge_by_exchanging_what_they_lack(spark):
+    random.seed(6)
+    rows = [("users", f"u{random.randrange(9)}", random.choice(["name", "email"]), str(v), v, random.choice("ABCD"), v % 7 == 0) for v in range(60)]
+    log = spark.createDataFrame(rows, LOG)
+    held = log.withColumn("holder", F.col("peer"))
+
+    def prints(links):
+        got = replicas.exchange(held, spark.createDataFrame(links, "src string, dst string"))
+        return got, {r["fingerprint"] for r in replicas.fingerprint(replicas.merge_cells(got, ("holder",)), ["holder"]).collect()}
+
+    ring = [("A", "B"), ("B", "C"), ("C", "D"), ("D", "A")]  # changes travel several links
+    got, states = prints(ring)
+    assert states == {replicas.fingerprint(replicas.merge_cells(log)).first()["fingerprint"]}
+    assert got.count() == 4 * len(set(rows))  # everybody has every change once
+    _, broken = prints(ring[:3])
+    assert len(broken) > 1
+    again = replicas.deltas(got, spark.createDataFrame(ring, "src string, dst string"))
+    assert again.isEmpty()
+
+
 def test_rank_value_is_the_indexed_one(spark):
     df = spark.createDataFrame([("g", float(v)) for v in [5, 1, 9, 9, 3, 7, 2, 8, 4, 6]], "g string, v double")
     place = F.greatest(F.lit(0), F.floor(0.95 * F.col("n")) - 1) + 1
