@@ -321,8 +321,9 @@ def _across(laid: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, de
     all that their sketches allow or, of every member outside the group's largest
     component, those with the ``closest`` sketches.
 
-    Members of that component stand on their own side; the others, the outsiders, are sent
-    to every side and compared there with its members, and with other outsiders whose side it is."""
+    A group is cut into sides, and its outsiders into turns as well. Outsiders ask at every
+    side, a turn at a time, and are compared there with the members whose side it is, so a
+    block holds no more than a side and a turn."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[tuple[int, int]] = set()
 
@@ -330,10 +331,9 @@ def _across(laid: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, de
             rows.sort(key=lambda r: (r["n"], r["c"]))
             size = min(len(r["sketch"]) for r in rows)
             sketch = np.stack([_folded(r["sketch"], size) for r in rows])
-            n, c, root, side, out = (np.array([r[k] for r in rows]) for k in ("n", "c", "root", "side", "outsider"))
+            n, c, root, own, asks = (np.array([r[k] for r in rows]) for k in ("n", "c", "root", "own", "asks"))
             a, b = [], []
-            own = side == rows[0]["i"]  # members of this side, and outsiders whose side it is
-            for x in np.flatnonzero(out):
+            for x in np.flatnonzero(asks):
                 first, last = np.searchsorted(n * 100, n[x] * percent), np.searchsorted(n, n[x] * 100 // percent, "right")
                 y = np.arange(first, last)
                 y = y[own[y] & (root[y] != root[x])]
@@ -353,7 +353,7 @@ def _across(laid: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, de
         rows: list[dict] = []
         for b in batches:
             for r in b.to_pylist():
-                if rows and any(r[k] != rows[0][k] for k in ("joint", "key", "i")):
+                if rows and any(r[k] != rows[0][k] for k in ("joint", "key", "i", "j")):
                     yield pairs(rows)
                     rows = []
                 rows.append(r)
@@ -362,14 +362,19 @@ def _across(laid: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, de
 
     known = laid.join(roots, laid["c"] == roots["node"], "left").select(*laid.columns, F.coalesce("root", "c").alias("root"))
     counts = known.groupBy("joint", "key", "root").agg(F.count(F.lit(1)).alias("m"))
-    open_ = counts.groupBy("joint", "key").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
+    open_ = counts.groupBy("joint", "key").agg(
+        F.max_by("root", F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), (F.sum("m") - F.max("m")).alias("outsiders"))
+    open_ = open_.where("roots > 1").select("joint", "key", "main", _sides(F.col("outsiders")).alias("turns"))
+    side, turn, outsider = F.pmod(F.hash("c"), F.col("sides")), F.pmod(F.hash(F.lit(1), "c"), F.col("turns")), F.col("root") != F.col("main")
+    at_home = F.transform(F.sequence(F.lit(0), F.col("turns") - 1), lambda j: F.struct(F.col("side").alias("i"), j.alias("j"), (F.col("outsider") & (j == F.col("turn"))).alias("asks"), F.lit(True).alias("own")))
+    away = F.transform(F.filter(F.sequence(F.lit(0), F.col("sides") - 1), lambda i: F.col("outsider") & (i != F.col("side"))),
+                       lambda i: F.struct(i.alias("i"), F.col("turn").alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("own")))
     rows = (
-        known.join(open_, ["joint", "key"]).withColumn("side", F.pmod(F.hash("c"), F.col("sides"))).withColumn("outsider", F.col("root") != F.col("main"))
-        .withColumn("i", F.explode(F.when(F.col("outsider"), F.sequence(F.lit(0), F.col("sides") - 1)).otherwise(F.array("side"))))
-        .select("joint", "key", "c", "n", "root", "side", "outsider", "i")
+        known.join(open_, ["joint", "key"]).select("*", side.alias("side"), turn.alias("turn"), outsider.alias("outsider"))
+        .select("joint", "key", "c", "n", "root", F.inline(F.concat(at_home, away)))
         .join(sets.select("c", "sketch"), "c")
     )
-    block = ["joint", "key", "i"]
+    block = ["joint", "key", "i", "j"]
     return rows.repartition(dests, *block).sortWithinPartitions(*block).mapInArrow(run, "a long, b long").distinct()
 
 
