@@ -1,10 +1,13 @@
 """Events so dense that signals and the events around them must not be paired, against brute force."""
 
 import random
+import re
 
 import pytest
 
-from opsrecall.operators import causal
+from opsrecall.operators import causal, windows
+from opsrecall.plans import catalog
+from opsrecall.plans.landing import landing
 
 KINDS = [("deploy", 0.6), ("log", 0.8), ("log", 0.0), ("metric", 0.8), ("metric", 0.4), ("topology", 0.4), ("trace", 0.0)]
 TABLES = {
@@ -86,3 +89,33 @@ def test_few_causes_lead_however_many_there_are(spark):
         "'incident_signal' AS effect_kind", "own_id AS effect_id", "array('b') AS nbrs",
         "CAST(NULL AS map<string,struct<rate:double,weight:double,last_us:bigint>>) AS hist")
     assert 0 < causal.leading_causes(look, pool).count() <= len(sigs) * 2 * 4 * len(KINDS)
+
+
+def test_first_events_of_dense_windows(spark):
+    causes, sigs, _ = dense(1500, 40)
+    rows = [(c[0], c[1], c[2], c[3]) for c in causes] + [(-1, None, None, "log")]
+    made = windows.first_events(spark.createDataFrame([*sigs, ("I-none", 9, None, None, None)], TABLES["sigs"]),
+                                spark.createDataFrame(rows, "event_id bigint, us bigint, sec bigint, kind string"), 7, columns=("kind",))
+    assert made.columns == ["incident_id", "event_id", "us", "kind"]
+    want = {s[0]: [e[0] for e in sorted((e for e in rows[:-1] if s[3] - 2400 <= e[2] <= s[3] + 60), key=lambda e: (e[1], e[0]))][:7] for s in sigs}
+    got: dict = {}
+    for r in sorted(made.collect(), key=lambda r: (r["us"], r["event_id"])):
+        got.setdefault(r["incident_id"], []).append(r["event_id"])
+    assert got == {k: v for k, v in want.items() if v}
+
+
+def test_first_events_make_few_rows(spark):
+    """Every signal sees every event here: a full interval join would make 400 x 3,000 rows."""
+    sigs = spark.range(400).selectExpr("CAST(id AS STRING) AS incident_id", "id + 5000 AS signal_event_id", "5000 * 1000000L AS signal_us", "5000L AS signal_sec")
+    events = spark.range(3000).selectExpr("id AS event_id", "(4000 + id % 7) * 1000000 AS us", "4000 + id % 7 AS sec")
+    got = windows.first_events(sigs, events, 5)
+    assert got.count() == 400 * 5 and sorted(r[0] for r in got.select("event_id").distinct().collect()) == [0, 7, 14, 21, 28]
+
+
+def test_pairs_of_signals_and_events_are_not_kept(spark):
+    land = landing(spark, "/root/testdata/sf0.001")
+    # A row for an event, not for each signal near it.
+    assert "incident_id" not in land.causes.columns
+    assert land.causes.count() <= land.events.count()
+    plan = catalog.QUERIES["SET3"](land)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(" in plan and not re.search(r"hashpartitioning\(incident_id#\d+, event_id", plan)
