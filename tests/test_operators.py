@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from opsrecall.functions import sets
 from opsrecall.functions.folds import clipped_at, clipped_fold
-from opsrecall.operators import evaluate, learning, remediation, replicas, similarity, skew, templates, topk, vectors, windows
+from opsrecall.operators import evaluate, features, learning, remediation, replicas, similarity, skew, templates, topk, vectors, windows
 from opsrecall.operators.graphs import connected_components
 from opsrecall.plans.landing import landing
 from opsrecall.session import cut
@@ -402,3 +402,63 @@ def test_context_has_one_row_per_signal(land):
         assert stamps == sorted(stamps) and len(r["causal_chain"]) <= 5
         assert len(r["similar_past_incidents"]) <= 5 and 1 <= len(r["suggested_remediations"]) <= 3
         assert len(r["related_events"]) <= 30 and r["explain"].startswith(f"{r['incident_id']}: ")
+
+
+def _items_by_pairs(sigs, facts, before, after):
+    """Every signal with every fact in its window."""
+    want: dict = {}
+    for inc, sid, us, sec, affected, own in sigs:
+        def role(of, to):
+            return "unknown" if of is None or to is None else "self" if of == to else "peer"
+
+        def hit(edges, first, last):
+            out = []
+            for label, lo, hi, lo_in, hi_in in edges:
+                above = lo is None or (last - us >= lo * 10**6 if lo_in else last - us > lo * 10**6)
+                below = hi is None or (first - us <= hi * 10**6 if hi_in else first - us < hi * 10**6)
+                if above and below:
+                    out.append(label)
+            return out
+
+        for fsec, cls, item, who, signal, first, last, n in facts:
+            if not sec - before <= fsec <= sec + after:
+                continue
+            tokens = [f":{b}" for b in hit(features.token_buckets(before, after), first, last)]
+            made = {
+                "r": [f"t|{item}:{role(who, affected)}{b}" for b in tokens], "p": [f"t|{item}{b}" for b in tokens],
+                "s": [f"t|{item}{b}" for b in tokens if role(who, affected) == "self"], "y": [f"y|{item}"],
+                "k": [f"k|{item}:{b}" for b in hit(features.PROFILE_BUCKETS, first, last) if signal is None or signal != sid],
+                "v": [f"v|{who}"], "g": [f"g|{item}:{role(who, own)}"], "f": [f"f|{item}"]}[cls]
+            for x in made:
+                want[inc, x] = want.get((inc, x), 0) + n
+    return want
+
+
+@pytest.mark.parametrize(("before", "after", "split"), [(2400, 60, 10**6), (700, 45, 40)])
+def test_items_of_incidents_match_all_pairs(spark, before, after, split):
+    """Times on bucket edges, names that are missing, a stretch split by item and by incident; no pair is formed."""
+    random.seed(17)
+
+    def named(cls):  # classes share no items, and a service that takes part has none
+        return "" if cls == "v" else cls + random.choice("xyz")
+
+    edges = [0, 30, 180, 900, 2400, -60, -120, 60, 300, 700]
+    sigs, facts = [], []
+    for i in range(60):
+        us = random.randrange(40_000 * 10**6)
+        sigs.append((f"i{i}", 10_000 + i, us, us // 10**6, random.choice(["a", "b", None]), random.choice(["a", "c", None])))
+        for _ in range(6):
+            at = max(0, us - random.choice(edges) * 10**6 + random.choice([-1, 0, 1]))
+            cls = random.choice("rskvg")
+            facts.append((at // 10**6, cls, named(cls), random.choice(["a", "b"]), None, at, at, random.randrange(1, 4)))
+        facts.append((us // 10**6, "k", "incident_signal", None, 10_000 + i, us, us, 1))
+    for _ in range(300):
+        first = random.randrange(40_000 * 10**6)
+        last = random.randrange(first, (first // 10**6 + 1) * 10**6)
+        cls = random.choice("rrpskyvgf")
+        who = random.choice(["a", "b", "c"] if cls == "v" else ["a", "b", "c", None])
+        facts.append((first // 10**6, cls, named(cls), who, None, first, last, random.randrange(1, 4)))
+    s = spark.createDataFrame(sigs, "incident_id string, signal_event_id bigint, signal_us bigint, signal_sec bigint, affected_id string, own_id string")
+    f = spark.createDataFrame(facts, "sec bigint, cls string, item string, identity_id string, signal_id bigint, min_us bigint, max_us bigint, n bigint")
+    got = features.incident_items(s, f, before, after, facts_per_task=split, signals_per_task=split)
+    assert {(r["incident_id"], x["item"]): x["n"] for r in got.collect() for x in r["items"]} == _items_by_pairs(sigs, facts, before, after)
