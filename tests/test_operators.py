@@ -462,3 +462,14 @@ def test_items_of_incidents_match_all_pairs(spark, before, after, split):
     f = spark.createDataFrame(facts, "sec bigint, cls string, item string, identity_id string, signal_id bigint, min_us bigint, max_us bigint, n bigint")
     got = features.incident_items(s, f, before, after, facts_per_task=split, signals_per_task=split)
     assert {(r["incident_id"], x["item"]): x["n"] for r in got.collect() for x in r["items"]} == _items_by_pairs(sigs, facts, before, after)
+
+
+def test_blocks_of_a_large_search_grow(spark, monkeypatch):
+    """Rows are sent to every block of the other side: few large ones, not many small ones."""
+    for name, value in (("BLOCK", 4), ("ASKED", 4), ("SPREAD", 3), ("LARGEST", 50)):
+        monkeypatch.setattr(topk, name, value, raising=False)
+    past = spark.range(200).select(F.col("id").alias("class_id"), F.lit("").alias("scope"))
+    asked = spark.range(100).select(F.col("id").alias("query_id"), F.lit("").alias("q_scope"))
+    of_past, of_asked = topk.dealt(past, asked, ["scope"], "class_id", "query_id")
+    assert sum(r["count"] for r in of_past.count().collect()) == 200 * 3
+    assert sum(r["count"] for r in of_asked.count().collect()) == 100 * 4
