@@ -473,3 +473,15 @@ def test_blocks_of_a_large_search_grow(spark, monkeypatch):
     of_past, of_asked = topk.dealt(past, asked, ["scope"], "class_id", "query_id")
     assert sum(r["count"] for r in of_past.count().collect()) == 200 * 3
     assert sum(r["count"] for r in of_asked.count().collect()) == 100 * 4
+
+
+def test_templates_are_summarised_without_sorting(spark, monkeypatch):
+    """Shapes alone in their group, several that agree, several that do not; tokens of all places are never sorted."""
+    plans, real = [], templates.cut
+    monkeypatch.setattr(templates, "cut", lambda df: (plans.append(df._jdf.queryExecution().toString()), real(df))[1])
+    shapes = ["up a b c", "up a b d", "up a x y z", "down now", "w q e r t", "w q e r u", "w k l m n", "one"]
+    rows = spark.createDataFrame([(x, len(x.split()), 1, i, i) for i, x in enumerate(shapes)], "shape string, n_tokens int, freq bigint, first_seen bigint, last_seen bigint")
+    got = {r["shape"]: r["pattern"] for r in templates.cluster(rows).collect()}
+    assert got == {"up a b c": "up a b <*>", "up a b d": "up a b <*>", "up a x y z": "up a x y z", "down now": "down now", "w q e r t": "w q e r <*>",
+                   "w q e r u": "w q e r <*>", "w k l m n": "w k l m n", "one": "one"}
+    assert plans and not any("SortAggregate" in p for p in plans)
