@@ -485,3 +485,16 @@ def test_templates_are_summarised_without_sorting(spark, monkeypatch):
     assert got == {"up a b c": "up a b <*>", "up a b d": "up a b <*>", "up a x y z": "up a x y z", "down now": "down now", "w q e r t": "w q e r <*>",
                    "w q e r u": "w q e r <*>", "w k l m n": "w k l m n", "one": "one"}
     assert plans and not any("SortAggregate" in p for p in plans)
+
+
+def test_pairs_of_an_interval_join_are_spread(spark, monkeypatch):
+    """Few rows that make many pairs: no task makes most of them, nor when all stand in one bin."""
+    monkeypatch.setattr(windows, "PAIRS_OF_TASK", 2000, raising=False)
+    monkeypatch.setattr(windows, "PAIRS_OF_BIN", 5000, raising=False)
+    for seconds in (20_000, 50):
+        s = spark.range(200).select(F.concat(F.lit("i"), "id").alias("incident_id"), (F.col("id") * 7919 % seconds).alias("signal_sec"))
+        e = spark.range(1000).select(F.col("id").alias("event_id"), (F.col("id") * 104_729 % seconds).alias("sec"))
+        got = windows.interval_join(s, e, "event_id", 2400, 60)
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == sum(a * 7919 % seconds - 2400 <= b * 104_729 % seconds <= a * 7919 % seconds + 60 for a in range(200) for b in range(1000))
+        assert max(sizes) < sum(sizes) / 4
