@@ -516,3 +516,23 @@ def test_pipeline_stages(spark, rows, tmp_path):
         after = stage(spark, docs, str(tmp_path))
         assert after.columns == docs.columns, name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_encoding_takes_little_memory():
+    """Twenty megabytes of texts are encoded in blocks, so that what a worker holds stays small."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from opsrecall.llm.common import blocks
+
+    words = np.array([f"word{i}" for i in range(5000)])
+    rng = np.random.default_rng(1)
+    texts = pa.array([" ".join(words[rng.integers(0, 5000, 25_000)]) for _ in range(100)])
+    encode = Encoder(vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
+    tracemalloc.start()
+    ids = sum(len(encode(texts.slice(first, len(offsets) - 1))[1]) for first, offsets, _ in blocks(texts, packing.ENCODE_BYTES))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids > 2_500_000
+    assert peak < 150 << 20
