@@ -221,3 +221,24 @@ def test_the_network_finds_values_that_no_pattern_names(spark):
     assert missed <= 5 and wrong <= 10, (missed, wrong)
     again = {r.doc_id: r.spans for r in secrets.spans(spark.createDataFrame(list(enumerate(new)), "doc_id long, text string").repartition(7), secrets.trained(df.repartition(2))).collect()}
     assert {i: [s[:4] for s in own] for i, own in again.items()} == {i: [s[:4] for s in own] for i, own in found.items()}
+
+
+def test_every_window_is_learned_from_or_tested(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "SHARD", 800)
+    texts, _ = keyed_texts(400, 9, leads=3)
+    df = spark.createDataFrame(list(enumerate([*texts, None, "", texts[0]])), "doc_id long, text string").repartition(5)
+    windows = {(r.y, r.w) for r in secrets.labelled_windows(df).collect()}
+    assert sum(y == 0 for y, _ in windows) > 2000
+    model = secrets.trained(df)
+    kept = spark.createDataFrame(sorted(windows), "y int, w string").where(f"pmod(xxhash64(w, {secrets.SEED}), {secrets.KEPT_OUT}) = 0")
+    assert {y: n for y, n in kept.groupBy("y").count().collect()} == {1: model.held_out["findings"] // 2, 0: model.held_out["others"] // 2}
+    learned = spark.createDataFrame(sorted(windows), "y int, w string").exceptAll(kept)
+    n = {y: k for y, k in learned.groupBy("y").count().collect()}
+    dealt = secrets._sharded(learned, n[1], n[0])
+    assert {(r.y, r.w) for r in dealt.collect()} == {(r.y, r.w) for r in learned.collect()}
+    assert dealt.where("y = 0").count() == n[0] and dealt.select("shard").distinct().count() == -(-n[0] // 800)
+    seen = set()
+    net = secrets.Network()
+    monkeypatch.setattr(net, "_gradients", lambda codes, y, weight: seen.update(codes[:, 0].tolist()) or {})
+    net.learn(np.repeat(np.arange(1000)[:, None], secrets.WIDTH, axis=1), (np.arange(1000) < 30).astype(np.float32))
+    assert len(seen) == 1000
