@@ -16,10 +16,12 @@ EXAMPLES = 3000
 # Terms in more than one in so many examples, up to a number, are columns of a matrix; others have postings.
 COMMON, COLUMNS = 16, 2048
 # Texts that are compared with the examples at once.
-TOGETHER = 64
+TOGETHER = 256
 # More than rounding adds to a similarity in single precision.
 ROUNDING = 1e-4
 NEAREST = 25
+# First bits of a hash that tell most unknown terms: 4 MB.
+FILTER_BITS = 22
 BLOCK = 256
 # Votes of the base rate, so that a far neighbour cannot decide alone.
 PRIOR = 0.5
@@ -67,12 +69,12 @@ class Lookup:
 
     def __init__(self, known: np.ndarray):
         self.known = known
-        self.maybe = np.zeros(1 << 16, bool)
-        self.maybe[(known >> U(48)).astype(np.int64)] = True
+        self.maybe = np.zeros(1 << FILTER_BITS, bool)
+        self.maybe[(known >> U(64 - FILTER_BITS)).astype(np.int64)] = True
 
     def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which hashes are known, and their places."""
-        at = np.flatnonzero(self.maybe[(hashes >> U(48)).astype(np.int64)])
+        at = np.flatnonzero(self.maybe[(hashes >> U(64 - FILTER_BITS)).astype(np.int64)])
         place = np.minimum(np.searchsorted(self.known, hashes[at]), len(self.known) - 1)
         hit = self.known[place] == hashes[at]
         return at[hit], place[hit]
@@ -80,7 +82,10 @@ class Lookup:
 
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0] .. starts[0] + sizes[0] - 1, then the same of the next."""
-    return np.repeat(starts - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+    ends = np.cumsum(sizes)
+    out = np.repeat(starts - ends + sizes, sizes)
+    out += np.arange(len(out))
+    return out
 
 
 class BlockMaxIndex:
@@ -133,7 +138,7 @@ class BlockMaxIndex:
         self.largest = np.maximum.reduceat(self.matrix, self.heads, axis=0)
         places, row, values = self.places[~dense], row[~dense], self.values[~dense]
         by = np.argsort(places, kind="stable")
-        self.post_row, self.post_value = row[by].astype(np.int32), values[by]
+        self.post_row, self.post_value = row[by].astype(np.intp), values[by]
         self.post_size = np.bincount(places, minlength=self.n_terms)
         self.post_edge = np.r_[0, np.cumsum(self.post_size)]
         self.ready = True
@@ -162,9 +167,11 @@ class BlockMaxIndex:
             here = slice(self.heads[j], self.heads[j] + BLOCK)
             who = np.flatnonzero(bound[:, j] >= best.min(axis=1) - ROUNDING)
             if len(who):
-                sims[who, here] += common[who] @ self.matrix[here].T
+                own = sims[who, here] + common[who] @ self.matrix[here].T
+                sims[who, here] = own
                 opened[who, j] = True
-                best[who] = np.partition(np.concatenate([best[who], sims[who, here]], axis=1), -k, axis=1)[:, -k:]
+                better = np.flatnonzero(own.max(axis=1) > best[who].min(axis=1))
+                best[who[better]] = np.partition(np.concatenate([best[who[better]], own[better]], axis=1), -k, axis=1)[:, -k:]
         found = []
         full = np.zeros(self.n_terms)
         for i, (places, values) in enumerate(queries):
@@ -197,8 +204,12 @@ def _counted(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of every text its distinct terms, as sorted hashes, and how often each is in it."""
     done = 0
     for first, row, h in terms(texts):
-        by = np.lexsort((h, row))
+        edge = np.zeros(int(row.max(initial=-1)) + 2, np.int64)
+        np.cumsum(np.bincount(row, minlength=len(edge) - 1), out=edge[1:])
+        by = np.argsort(row, kind="stable")  # few runs that are in order
         row, h = row[by], h[by]
+        for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            h[lo:hi].sort()
         new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])][:len(h)])
         count = np.diff(np.r_[new, len(h)])
         row, h = row[new] + first, h[new]

@@ -536,3 +536,13 @@ def test_encoding_takes_little_memory():
     tracemalloc.stop()
     assert ids > 2_500_000
     assert peak < 150 << 20
+
+
+def test_unknown_terms_are_told_before_they_are_searched():
+    rng = np.random.default_rng(5)
+    known, other = (np.unique(rng.integers(0, 1 << 63, 150_000, dtype=np.uint64) << np.uint64(1)) for _ in range(2))
+    lookup = toxicity.Lookup(known)
+    at, place = lookup(np.concatenate([known[::3], other]))
+    n = len(known[::3])
+    assert (at[:n] == np.arange(n)).all() and (place[:n] == np.arange(0, len(known), 3)).all() and set(other[at[n:] - n].tolist()) == set(known.tolist()) & set(other.tolist())
+    assert lookup.maybe.mean() < 0.1
