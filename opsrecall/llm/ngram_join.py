@@ -6,7 +6,8 @@ of t the sets differ in at most (|A| + |B|) (1 - t) / (1 + t) shingles, so a ban
 sizes whose sketches have more parts than that must agree on a part (pigeonhole). Sets
 are joined on (band, part, value); empty parts are no keys, so a set with too few others
 is joined on its shingles besides. A second sketch of single bits then bounds the
-difference from below by its Hamming distance, and what remains is verified exactly.
+difference from below by its Hamming distance, one of more bits does so again, and what
+remains is verified exactly, unless closer pairs have put both sets in one component.
 """
 
 from __future__ import annotations
@@ -38,6 +39,9 @@ SIDE = 1024
 VERIFY_BYTES = 48 << 20
 # Bits of the filter on the ids of texts to verify: 2 MB.
 SLOT_BITS = 24
+# Bits for an element of the sketches that pairs must agree on before whole sets are sent. At a similarity of 0.75
+# sketches of one bit let pairs from about 0.65 pass, of four bits from about 0.73.
+FINE = 4
 # Tells the keys of single shingles from those of parts.
 SHINGLE = U(0x9FB21C651E98DF25)
 # Sketch entries a task gathers before it sends them on.
@@ -48,9 +52,9 @@ def _set_id(x: np.ndarray) -> int:
     return int((mix(x).sum(dtype=U) ^ U(len(x))).astype(np.int64))
 
 
-def bit_sketch(x: np.ndarray) -> bytes:
-    """Parity bits, at least one for every element, at least 512: a power of two."""
-    bits = max(512, 1 << (max(len(x), 1) - 1).bit_length())
+def bit_sketch(x: np.ndarray, dense: int = 1) -> bytes:
+    """Parity bits, at least ``dense`` for every element, at least 512: a power of two."""
+    bits = max(512, dense << (max(len(x), 1) - 1).bit_length())
     odd = np.bincount((x & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -91,19 +95,20 @@ def part_keys(x: np.ndarray, percent: int) -> np.ndarray:
 
 
 def shingle_rows(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, c, sketch): set size, a 64-bit id of the set, and its bit sketch."""
+    """(doc_id, n, c, sketch, fine): set size, a 64-bit id of the set, its bit sketch and one of ``FINE`` times the bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, c, sketch = [], [], []
+            n, c, sketch, fine = [], [], [], []
             for x in shingle_sets(b.column(1), size):
                 n.append(len(x))
                 c.append(_set_id(x))
+                fine.append(bit_sketch(x, FINE) if len(x) else b"")
                 sketch.append(bit_sketch(x) if len(x) else b"")
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sketch, pa.binary())],
-                ["doc_id", "n", "c", "sketch"])
+                [b.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sketch, pa.binary()), pa.array(fine, pa.binary())],
+                ["doc_id", "n", "c", "sketch", "fine"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, n long, c long, sketch binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, n long, c long, sketch binary, fine binary")
 
 
 def _entries(docs: DataFrame, size: int, percent: int, dests: int) -> DataFrame:
@@ -237,18 +242,62 @@ def _slots(ids: DataFrame) -> np.ndarray:
     return full.view(np.uint8)
 
 
+def _met(pairs: DataFrame, sets: DataFrame, sent, compare, element_bytes: float) -> DataFrame:
+    """Pairs (a, b, differ) with the difference that ``compare(x, y, n, m)`` finds in what is sent of both, if any.
+
+    A pair is compared where the set of it that is in fewer pairs is at home, so what is sent of that
+    set is sent once, and of a set that many are compared with once to each place instead of with
+    every pair. ``sent(ids)`` gives (c, n, h) of at least the sets wanted, about ``element_bytes`` an element.
+    """
+    def run(place: tuple, pairs_: pa.Table, sets_: pa.Table) -> pa.Table:
+        held = {c: (h.as_buffer(), n) for c, n, h in zip(sets_.column("c").to_pylist(), sets_.column("n").to_pylist(), sets_.column("h"), strict=True)}
+        a, b = pairs_.column("a").to_pylist(), pairs_.column("b").to_pylist()
+        differ = [compare(held[i][0], held[j][0], held[i][1], held[j][1]) for i, j in zip(a, b, strict=True)]
+        out = pa.table({"a": pairs_.column("a"), "b": pairs_.column("b"), "differ": pa.array(differ, pa.int64())})
+        return out.filter(pa.array([d is not None for d in differ], pa.bool_()))
+
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("c"))
+    often = ends.groupBy("c").agg(F.count(F.lit(1)).alias("degree")).join(sets.select("c", "n"), "c")
+    total = often.agg(F.sum(F.least("degree", F.lit(64)) * F.col("n")).alias("n")).first().n or 0
+    places = max(partitions(pairs.sparkSession), -(-int(element_bytes * total) // VERIFY_BYTES))
+    one, two = (often.select(F.col("c").alias(x), F.col("degree").alias(f"{x}_degree")) for x in ("a", "b"))
+    first = (F.col("a_degree") < F.col("b_degree")) | ((F.col("a_degree") == F.col("b_degree")) & (F.col("a") < F.col("b")))
+    home, other = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a"))
+
+    def place(c) -> Column:
+        return F.pmod(F.xxhash64(F.lit(7), c), F.lit(places)).cast("int")
+
+    placed = cut(pairs.join(one, "a").join(two, "b").select("a", "b", home.alias("home"), other.alias("other"), place(home).alias("place")))
+    # Sets go to their own place; those that are compared elsewhere go there besides.
+    abroad = cut(placed.where(place(F.col("other")) != F.col("place")).select(F.col("other").alias("c"), "place").distinct())
+    at_home = placed.select(F.col("home").alias("c")).union(placed.where(place(F.col("other")) == F.col("place")).select("other")).distinct()
+    both = sent(at_home).select(place(F.col("c")).alias("at"), "c", "n", "h").union(sent(abroad.select("c").distinct()).join(abroad, "c").select("place", "c", "n", "h"))
+    return placed.select("a", "b", "place").groupBy("place").cogroup(both.groupBy("at")).applyInArrow(run, "a long, b long, differ long").distinct()
+
+
+def _finer(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, differ) that finer sketches don't rule out, and in how many bits these differ."""
+    def sent(wanted: DataFrame) -> DataFrame:
+        return sets.select("c", "n", F.col("fine").alias("h")).join(wanted, "c", "left_semi")
+
+    def compare(x, y, n: int, m: int) -> int | None:
+        size = min(len(x), len(y))
+        differ = int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())
+        return differ if differ <= most_differing(n, m, percent) else None
+
+    return _met(pairs, sets, sent, compare, FINE / 5)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) that are similar, by their whole sets.
 
     Only texts that may be wanted, by a Bloom filter of fixed size on ids, are hashed
-    again and their sets sent on; a filter that is full lets all pass. A pair is verified
-    where the set of it that is in fewer pairs is at home, so that set is sent once, and a
-    set that many are compared with once to each place instead of with every pair.
+    again and their sets sent on; a filter that is full lets all pass.
     """
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << SLOT_BITS))
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """(c, h): the sets of at least the ids in ``wanted``, once from each task that has one."""
+    def sent(wanted: DataFrame) -> DataFrame:
+        """The sets of at least the ids in ``wanted``, once from each task that has one."""
         bits = docs.sparkSession.sparkContext.broadcast(_slots(sets.select("c", "doc_id").join(wanted, "c", "left_semi").select(slot.alias("slot"))))
 
         def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,44 +305,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, per
             for b in batches:
                 at = b.column(0).to_numpy()
                 b = b.filter(pa.array((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)))
-                c, h = [], []
+                c, n, h = [], [], []
                 for x in shingle_sets(b.column(1), size):
                     if (k := _set_id(x)) not in seen:
                         seen.add(k)
                         c.append(k)
+                        n.append(len(x))
                         h.append(x.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(h, pa.binary())], ["c", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.int64()), pa.array(h, pa.binary())], ["c", "n", "h"])
 
-        return docs.select(slot.alias("slot"), "text").mapInArrow(hashes, "c long, h binary")
+        return docs.select(slot.alias("slot"), "text").mapInArrow(hashes, "c long, n long, h binary")
 
-    def compare(place: tuple, pairs_: pa.Table, sets_: pa.Table) -> pa.Table:
-        held = {c: np.frombuffer(h.as_buffer(), U) for c, h in zip(sets_.column("c").to_pylist(), sets_.column("h"), strict=True)}
-        a, b = pairs_.column("a").to_pylist(), pairs_.column("b").to_pylist()
-        keep = []
-        for i, j in zip(a, b, strict=True):
-            x, y = sorted((held[i], held[j]), key=len)
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            both = int((y[at] == x).sum())
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        return pairs_.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def compare(x, y, n: int, m: int) -> int | None:
+        x, y = sorted((np.frombuffer(x, U), np.frombuffer(y, U)), key=len)
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        both = int((y[at] == x).sum())
+        return 0 if 100 * both >= percent * (len(x) + len(y) - both) else None
 
-    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("c"))
-    often = ends.groupBy("c").agg(F.count(F.lit(1)).alias("degree")).join(sets.select("c", "n"), "c")
-    total = often.agg(F.sum(F.least("degree", F.lit(64)) * F.col("n")).alias("n")).first().n or 0
-    places = max(partitions(docs.sparkSession), -(-8 * total // VERIFY_BYTES))
-    one, two = (often.select(F.col("c").alias(x), F.col("degree").alias(f"{x}_degree")) for x in ("a", "b"))
-    first = (F.col("a_degree") < F.col("b_degree")) | ((F.col("a_degree") == F.col("b_degree")) & (F.col("a") < F.col("b")))
-    home, other = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a"))
+    return _met(pairs, sets, sent, compare, 8).select("a", "b")
 
-    def place(c) -> Column:
-        return F.pmod(F.xxhash64(F.lit(7), c), F.lit(places)).cast("int")
 
-    placed = cut(pairs.join(one, "a").join(two, "b").select("a", "b", home.alias("home"), other.alias("other"), place(home).alias("place")))
-    # Sets go to their own place; those that are compared elsewhere go there besides.
-    abroad = cut(placed.where(place(F.col("other")) != F.col("place")).select(F.col("other").alias("c"), "place").distinct())
-    at_home = placed.select(F.col("home").alias("c")).union(placed.where(place(F.col("other")) == F.col("place")).select("other")).distinct()
-    sent = sets_of(at_home).select(place(F.col("c")).alias("at"), "c", "h").union(sets_of(abroad.select("c").distinct()).join(abroad, "c").select("place", "c", "h"))
-    return placed.select("a", "b", "place").groupBy("place").cogroup(sent.groupBy("at")).applyInArrow(compare, "a long, b long").distinct()
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of every set in pairs (a, b, differ) the pair that differs least."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("c"), F.struct("differ", "a", "b").alias("pair"))
+    return ends.groupBy("c").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct()
+
+
+def _open(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs (a, b) that are not in one component yet."""
+    one, two = (roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b"))
+    known = pairs.join(one, "a", "left").join(two, "b", "left")
+    return known.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
 
 
 def _sides(size):
@@ -398,7 +440,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     dests = partitions(docs.sparkSession)
     rows = cut(shingle_rows(docs, size))
-    sets = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sets = cut(rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("fine").alias("fine")))
+    rows = rows.select("doc_id", "n", "c")
     found = cut(_groups(_entries(docs.select("text"), size, percent, dests), percent))
     # Near copies share many keys, and many of these have the same members: one such key does.
     large = found.where("size > 0")
@@ -410,16 +453,26 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     star = star.select(F.least("c", "l").alias("a"), F.greatest("c", "l").alias("b"))
     near = found.where("size = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     close = cut(_close(near.union(star).distinct(), sets, percent))
-    links = cut(_verified(close, sets, docs, size, percent))
+    # First of every set the pair that differs least; most others are in one component then.
+    finer = cut(_finer(close, sets, percent))
+    nearest = cut(_nearest(finer))
+    links = cut(_verified(nearest, sets, docs, size, percent))
     roots = connected_components(links)
+    rest = cut(_open(finer.join(nearest, ["a", "b"], "left_anti"), roots))
+    if not rest.isEmpty():
+        links = cut(links.union(_verified(rest, sets, docs, size, percent)))
+        roots = connected_components(links)
     laid = cut(_laid(members))
     for closest in (*CLOSEST, 0):
         more = cut(_across(laid, roots, sets, percent, dests, closest).join(close, ["a", "b"], "left_anti"))
         if more.isEmpty():
             continue
-        links = cut(links.union(_verified(more, sets, docs, size, percent)).distinct())
-        roots = connected_components(links)
         close = close.union(more)
+        finer = cut(_finer(more, sets, percent))
+        if finer.isEmpty():
+            continue
+        links = cut(links.union(_verified(finer.select("a", "b"), sets, docs, size, percent)).distinct())
+        roots = connected_components(links)
     least = sets.select("c", "doc_id").join(roots, sets["c"] == roots["node"]).groupBy("root").agg(F.min("doc_id").alias("component_id"))
     joined = roots.join(least, "root").select(F.col("node").alias("c"), "component_id")
     alone = sets.select("c", F.col("doc_id").alias("own")).join(joined, "c", "left").select("c", F.coalesce("component_id", "own").alias("component_id"))

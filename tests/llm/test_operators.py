@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from opsrecall.llm import chat, fingerprints, mixing, neighbours, packing, passages, pii, queries, suffix_dedup, token_counts, toxicity
+from opsrecall.llm import chat, fingerprints, mixing, neighbours, ngram_join, packing, passages, pii, queries, suffix_dedup, token_counts, toxicity
 from opsrecall.llm.bpe import Encoder, vocabulary
 from opsrecall.llm.ngram_join import near_duplicates, part_keys
 
@@ -546,3 +546,22 @@ def test_unknown_terms_are_told_before_they_are_searched():
     n = len(known[::3])
     assert (at[:n] == np.arange(n)).all() and (place[:n] == np.arange(0, len(known), 3)).all() and set(other[at[n:] - n].tolist()) == set(known.tolist()) & set(other.tolist())
     assert lookup.maybe.mean() < 0.1
+
+
+def test_only_close_pairs_of_different_components_are_verified(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10 ** 9)}" for _ in range(2000)]
+
+    def changed(places):
+        return " ".join(f"x{rng.randrange(10 ** 9)}" if i in places else w for i, w in enumerate(base))
+
+    rows = [(i, changed({100 + 7 * i})) for i in range(12)] + [(20, changed(set(range(5, 1900, 24)))), (21, None), (22, "")]
+    asked, verify = [], ngram_join._verified
+
+    def counted(pairs, *rest):
+        asked.extend(pairs.collect())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    assert collected(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == components(rows)
+    assert 11 <= len(asked) < 60, len(asked)  # 66 pairs are similar
