@@ -94,6 +94,12 @@ def part_keys(x: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys)
 
 
+def _join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by sorting, whatever the size. Turning the many joins of small tables into broadcasts
+    costs the driver a job, a thread and buffers each, and nothing is gained where tables are large."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def shingle_rows(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n, c, sketch, fine): set size, a 64-bit id of the set, its bit sketch and one of ``FINE`` times the bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +236,7 @@ def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     one = sets.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = sets.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    sized = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    sized = _join(_join(pairs, one, "a"), two, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     return sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
@@ -257,7 +263,7 @@ def _met(pairs: DataFrame, sets: DataFrame, sent, compare, element_bytes: float)
         return out.filter(pa.array([d is not None for d in differ], pa.bool_()))
 
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("c"))
-    often = ends.groupBy("c").agg(F.count(F.lit(1)).alias("degree")).join(sets.select("c", "n"), "c")
+    often = cut(_join(ends.groupBy("c").agg(F.count(F.lit(1)).alias("degree")), sets.select("c", "n"), "c"))
     total = often.agg(F.sum(F.least("degree", F.lit(64)) * F.col("n")).alias("n")).first().n or 0
     places = max(partitions(pairs.sparkSession), -(-int(element_bytes * total) // VERIFY_BYTES))
     one, two = (often.select(F.col("c").alias(x), F.col("degree").alias(f"{x}_degree")) for x in ("a", "b"))
@@ -267,18 +273,18 @@ def _met(pairs: DataFrame, sets: DataFrame, sent, compare, element_bytes: float)
     def place(c) -> Column:
         return F.pmod(F.xxhash64(F.lit(7), c), F.lit(places)).cast("int")
 
-    placed = cut(pairs.join(one, "a").join(two, "b").select("a", "b", home.alias("home"), other.alias("other"), place(home).alias("place")))
+    placed = cut(_join(_join(pairs, one, "a"), two, "b").select("a", "b", home.alias("home"), other.alias("other"), place(home).alias("place")))
     # Sets go to their own place; those that are compared elsewhere go there besides.
     abroad = cut(placed.where(place(F.col("other")) != F.col("place")).select(F.col("other").alias("c"), "place").distinct())
     at_home = placed.select(F.col("home").alias("c")).union(placed.where(place(F.col("other")) == F.col("place")).select("other")).distinct()
-    both = sent(at_home).select(place(F.col("c")).alias("at"), "c", "n", "h").union(sent(abroad.select("c").distinct()).join(abroad, "c").select("place", "c", "n", "h"))
+    both = sent(at_home).select(place(F.col("c")).alias("at"), "c", "n", "h").union(_join(sent(abroad.select("c").distinct()), abroad, "c").select("place", "c", "n", "h"))
     return placed.select("a", "b", "place").groupBy("place").cogroup(both.groupBy("at")).applyInArrow(run, "a long, b long, differ long").distinct()
 
 
 def _finer(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b, differ) that finer sketches don't rule out, and in how many bits these differ."""
     def sent(wanted: DataFrame) -> DataFrame:
-        return sets.select("c", "n", F.col("fine").alias("h")).join(wanted, "c", "left_semi")
+        return _join(sets.select("c", "n", F.col("fine").alias("h")), wanted, "c", "left_semi")
 
     def compare(x, y, n: int, m: int) -> int | None:
         size = min(len(x), len(y))
@@ -298,7 +304,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, per
 
     def sent(wanted: DataFrame) -> DataFrame:
         """The sets of at least the ids in ``wanted``, once from each task that has one."""
-        bits = docs.sparkSession.sparkContext.broadcast(_slots(sets.select("c", "doc_id").join(wanted, "c", "left_semi").select(slot.alias("slot"))))
+        bits = docs.sparkSession.sparkContext.broadcast(_slots(_join(sets.select("c", "doc_id"), wanted, "c", "left_semi").select(slot.alias("slot"))))
 
         def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
@@ -334,7 +340,7 @@ def _nearest(pairs: DataFrame) -> DataFrame:
 def _open(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs (a, b) that are not in one component yet."""
     one, two = (roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")) for x in ("a", "b"))
-    known = pairs.join(one, "a", "left").join(two, "b", "left")
+    known = _join(_join(pairs, one, "a", "left"), two, "b", "left")
     return known.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
 
 
@@ -351,11 +357,11 @@ def _laid(members: DataFrame) -> DataFrame:
     together = members.select("lead", "c", "n").distinct()
     apart = members.groupBy("lead").agg(F.sum(_sides(F.col("size"))).alias("sent"))
     joint = (
-        together.groupBy("lead").agg(F.count(F.lit(1)).alias("size")).join(apart, "lead").withColumn("sides", _sides(F.col("size")))
+        _join(together.groupBy("lead").agg(F.count(F.lit(1)).alias("size")), apart, "lead").withColumn("sides", _sides(F.col("size")))
         .where("size * sides <= sent").select("lead", "sides")
     )
-    return together.join(joint, "lead").select(F.lit(True).alias("joint"), F.col("lead").alias("key"), "c", "n", "sides").union(
-        members.join(joint, "lead", "left_anti").select(F.lit(False), "key", "c", "n", _sides(F.col("size"))))
+    return _join(together, joint, "lead").select(F.lit(True).alias("joint"), F.col("lead").alias("key"), "c", "n", "sides").union(
+        _join(members, joint, "lead", "left_anti").select(F.lit(False), "key", "c", "n", _sides(F.col("size"))))
 
 
 def _across(laid: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, dests: int, closest: int = 0) -> DataFrame:
@@ -402,7 +408,7 @@ def _across(laid: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, de
         if rows:
             yield pairs(rows)
 
-    known = laid.join(roots, laid["c"] == roots["node"], "left").select(*laid.columns, F.coalesce("root", "c").alias("root"))
+    known = _join(laid, roots, laid["c"] == roots["node"], "left").select(*laid.columns, F.coalesce("root", "c").alias("root"))
     counts = known.groupBy("joint", "key", "root").agg(F.count(F.lit(1)).alias("m"))
     open_ = counts.groupBy("joint", "key").agg(
         F.max_by("root", F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), (F.sum("m") - F.max("m")).alias("outsiders"))
@@ -411,11 +417,10 @@ def _across(laid: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, de
     at_home = F.transform(F.sequence(F.lit(0), F.col("turns") - 1), lambda j: F.struct(F.col("side").alias("i"), j.alias("j"), (F.col("outsider") & (j == F.col("turn"))).alias("asks"), F.lit(True).alias("own")))
     away = F.transform(F.filter(F.sequence(F.lit(0), F.col("sides") - 1), lambda i: F.col("outsider") & (i != F.col("side"))),
                        lambda i: F.struct(i.alias("i"), F.col("turn").alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("own")))
-    rows = (
-        known.join(open_, ["joint", "key"]).select("*", side.alias("side"), turn.alias("turn"), outsider.alias("outsider"))
-        .select("joint", "key", "c", "n", "root", F.inline(F.concat(at_home, away)))
-        .join(sets.select("c", "sketch"), "c")
-    )
+    rows = _join(
+        _join(known, open_, ["joint", "key"]).select("*", side.alias("side"), turn.alias("turn"), outsider.alias("outsider"))
+        .select("joint", "key", "c", "n", "root", F.inline(F.concat(at_home, away))),
+        sets.select("c", "sketch"), "c")
     block = ["joint", "key", "i", "j"]
     return rows.repartition(dests, *block).sortWithinPartitions(*block).mapInArrow(run, "a long, b long").distinct()
 
@@ -446,10 +451,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     # Near copies share many keys, and many of these have the same members: one such key does.
     large = found.where("size > 0")
     several = large.groupBy("size", "sig").agg(F.min("key").alias("key"))
-    members = cut(large.join(several, ["size", "sig", "key"], "left_semi").select("size", "key", F.col("a").alias("c"), F.col("b").alias("lead"), "n"))
+    members = cut(_join(large, several, ["size", "sig", "key"], "left_semi").select("size", "key", F.col("a").alias("c"), F.col("b").alias("lead"), "n"))
     lead = members.groupBy("key").agg(*(F.min(F.struct(F.xxhash64(F.lit(i), "c").alias("h"), "c", "n")).alias(f"lead{i}") for i in range(LEADERS)))
     lead = lead.select("key", F.explode(F.array(*(f"lead{i}" for i in range(LEADERS)))).alias("lead")).select("key", F.col("lead.c").alias("l"), F.col("lead.n").alias("m"))
-    star = members.select("key", "c", "n").join(lead, "key").where((F.col("c") != F.col("l")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+    star = _join(members.select("key", "c", "n"), lead, "key").where((F.col("c") != F.col("l")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
     star = star.select(F.least("c", "l").alias("a"), F.greatest("c", "l").alias("b"))
     near = found.where("size = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     close = cut(_close(near.union(star).distinct(), sets, percent))
@@ -457,14 +462,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     finer = cut(_finer(close, sets, percent))
     nearest = cut(_nearest(finer))
     links = cut(_verified(nearest, sets, docs, size, percent))
-    roots = connected_components(links)
-    rest = cut(_open(finer.join(nearest, ["a", "b"], "left_anti"), roots))
+    roots = cut(connected_components(links))
+    rest = cut(_open(_join(finer, nearest, ["a", "b"], "left_anti"), roots))
     if not rest.isEmpty():
         links = cut(links.union(_verified(rest, sets, docs, size, percent)))
-        roots = connected_components(links)
+        roots = cut(connected_components(links))
     laid = cut(_laid(members))
     for closest in (*CLOSEST, 0):
-        more = cut(_across(laid, roots, sets, percent, dests, closest).join(close, ["a", "b"], "left_anti"))
+        more = cut(_join(_across(laid, roots, sets, percent, dests, closest), close, ["a", "b"], "left_anti"))
         if more.isEmpty():
             continue
         close = close.union(more)
@@ -472,9 +477,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         if finer.isEmpty():
             continue
         links = cut(links.union(_verified(finer.select("a", "b"), sets, docs, size, percent)).distinct())
-        roots = connected_components(links)
-    least = sets.select("c", "doc_id").join(roots, sets["c"] == roots["node"]).groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    joined = roots.join(least, "root").select(F.col("node").alias("c"), "component_id")
-    alone = sets.select("c", F.col("doc_id").alias("own")).join(joined, "c", "left").select("c", F.coalesce("component_id", "own").alias("component_id"))
-    return rows.select("doc_id", "n", "c").join(alone, "c", "left").select(
+        roots = cut(connected_components(links))
+    least = _join(sets.select("c", "doc_id"), roots, sets["c"] == roots["node"]).groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    joined = _join(roots, least, "root").select(F.col("node").alias("c"), "component_id")
+    alone = _join(sets.select("c", F.col("doc_id").alias("own")), joined, "c", "left").select("c", F.coalesce("component_id", "own").alias("component_id"))
+    return _join(rows.select("doc_id", "n", "c"), alone, "c", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

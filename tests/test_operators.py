@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from opsrecall.functions import sets
 from opsrecall.functions.folds import clipped_at, clipped_fold
-from opsrecall.operators import evaluate, features, learning, remediation, replicas, similarity, skew, templates, topk, vectors, windows
+from opsrecall.operators import evaluate, features, graphs, learning, remediation, replicas, similarity, skew, templates, topk, vectors, windows
 from opsrecall.operators.graphs import connected_components
 from opsrecall.plans.landing import landing
 from opsrecall.session import cut
@@ -475,6 +475,16 @@ def test_blocks_of_a_large_search_grow(spark, monkeypatch):
     assert sum(r["count"] for r in of_asked.count().collect()) == 100 * 4
 
 
+def test_components_are_found_without_joins(spark, monkeypatch):
+    """A round plans few stages: the driver of many rounds keeps little."""
+    plans, real = [], graphs.cut
+    monkeypatch.setattr(graphs, "cut", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), real(df))[1])
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 200)]
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)} | {200: 200}
+    assert plans and not any("Join" in p for p in plans)
+
+
 def test_templates_are_summarised_without_sorting(spark, monkeypatch):
     """Shapes alone in their group, several that agree, several that do not; tokens of all places are never sorted."""
     plans, real = [], templates.cut
