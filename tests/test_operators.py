@@ -475,6 +475,26 @@ def test_blocks_of_a_large_search_grow(spark, monkeypatch):
     assert sum(r["count"] for r in of_asked.count().collect()) == 100 * 4
 
 
+@pytest.mark.parametrize("times", [1000, 3, 1])
+def test_blocks_of_a_search_are_stretches_of_time(spark, monkeypatch, times):
+    """Past rows meet every query after them once; rows that are too late for a block are not sent there."""
+    for name, value in (("BLOCK", 4), ("ASKED", 4), ("SPREAD", 6), ("LARGEST", 20)):
+        monkeypatch.setattr(topk, name, value)
+    past = spark.range(200).select(F.col("id").alias("class_id"), (F.col("id") * 7919 % times).alias("closed_us"), F.lit("").alias("scope"))
+    asked = spark.range(100).select(F.col("id").alias("query_id"), (F.col("id") * 104_729 % times).alias("q_us"), F.lit("").alias("q_scope"))
+    of_past, of_asked = topk.dealt(past, asked, ["scope"], "class_id", "query_id", "closed_us", "q_us")
+
+    def pairs(left, right):
+        both = left.merge(right, how="cross")
+        return both[both["closed_us"] < both["q_us"]][["class_id", "query_id"]]
+
+    got = [(r["class_id"], r["query_id"]) for r in of_past.cogroup(of_asked).applyInPandas(pairs, "class_id long, query_id long").collect()]
+    want = [(a, b) for a in range(200) for b in range(100) if a * 7919 % times < b * 104_729 % times]
+    assert sorted(got) == want
+    sent = sum(r["count"] for r in of_past.count().collect())
+    assert sent < 200 * 10 * (0.7 if times == 1000 else 1.01)
+
+
 def test_components_are_found_without_joins(spark, monkeypatch):
     """A round plans few stages: the driver of many rounds keeps little."""
     plans, real = [], graphs.cut
