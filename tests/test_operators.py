@@ -528,3 +528,12 @@ def test_pairs_of_an_interval_join_are_spread(spark, monkeypatch):
         sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(sizes) == sum(a * 7919 % seconds - 2400 <= b * 104_729 % seconds <= a * 7919 % seconds + 60 for a in range(200) for b in range(1000))
         assert max(sizes) < sum(sizes) / 4
+
+
+def test_checkpoints_hand_no_guessed_sizes_on(spark):
+    """Guesses of joined tables that are cut again and again would grow until the driver only multiplies them."""
+    df = cut(spark.range(20).select("id", (F.col("id") % 4).alias("k")))
+    for _ in range(4):
+        df = cut(df.join(df.withColumnRenamed("id", "other"), "k").groupBy("k").agg(F.max("other").alias("id")))
+    assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 64
+    assert sorted((r["k"], r["id"]) for r in df.collect()) == [(k, 16 + k) for k in range(4)]
