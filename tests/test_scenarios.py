@@ -3,9 +3,9 @@
 import pytest
 
 from opsrecall.operators import causal, identity, windows
-from opsrecall.plans import context as C
+from opsrecall.plans import catalog, context as C
 from opsrecall.sources import events as SRC
-from tests.helpers import MOVED_INDEX, RELEASES, at, bad_release, load, rename
+from tests.helpers import MOVED_INDEX, RELEASES, at, bad_release, load, rename, sequence
 
 
 @pytest.fixture(scope="module")
@@ -152,3 +152,19 @@ def test_edge_rows(spark, tmp_path):
     window = {r["event_id"] for r in windows.window_events(m.sigs, m.events).where("incident_id = 'I-1'").collect()}
     assert window == {1, 2, 6, 7, 8, 10, 13}
     assert C.context(m).count() == 2
+
+
+def test_links_of_events_that_are_alike(spark, tmp_path):
+    """Two equal releases and two equal log lines of one moment are four links to the alert that follows."""
+    ev = load(spark, tmp_path, sequence(
+        "2029-01-02T03:00:00",
+        (0, "deploy", {"service": "cart", "version": "r1"}), (0, "deploy", {"service": "cart", "version": "r1"}),
+        (30, "log", {"service": "cart", "level": "error", "msg": "no answer"}), (30, "log", {"service": "cart", "level": "error", "msg": "no answer"}),
+        (60, "incident_signal", {"incident_id": "CART-1", "service": "cart", "trigger": "alert:cart/slow"})))
+    m = C.remember(ev)
+    got = {(r["event_id"], r["reason"]) for r in catalog.QUERIES["CAU5"](m).collect()}
+    assert got == {(0, "deploy->incident_signal, dt=60.0s, topology, evidence"), (1, "deploy->incident_signal, dt=60.0s, topology, evidence"),
+                   (2, "log->incident_signal, dt=30.0s, topology, evidence"), (3, "log->incident_signal, dt=30.0s, topology, evidence")}
+    assert {r["event_id"] for r in catalog.QUERIES["CAU4"](m).collect()} == {0, 1, 2, 3}
+    # The walk takes the first of those that tie.
+    assert [s["event_id"] for s in m.chains.first()["steps"]][:1] in ([0], [2])
