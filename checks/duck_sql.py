@@ -479,10 +479,14 @@ sh AS (
 """
 
 
+# The same of whole lines.
+_WHOLE_LINES = _LINES.replace("substr(msg, 1, 512)", "msg")
+
+
 def _templates() -> str:
     """Shapes ``sh`` with the template of the widest group, by token count and first tokens, that agrees on half."""
     parts = ["l0 AS (SELECT shape, n_tokens, string_split(shape, ' ') AS t, CAST(ceil(n_tokens * 0.5::DOUBLE) AS INT) AS enough FROM sh)"]
-    depths = (0, 1, 2, 4, 8, 16, 32, 64, 128)
+    depths = (0, *(2 ** i for i in range(21)))
     for i, depth in enumerate(depths):
         parts.append(f"""
 g{i} AS MATERIALIZED (SELECT *, array_to_string(t[1:LEAST({depth}, enough)], ' ') AS prefix FROM l{i}),
@@ -673,11 +677,11 @@ def oracle_sql() -> dict[str, str]:
 
     add("TPL1", _LINES, "SELECT md5(shape) AS shape_md5, n_tokens, freq, first_seen, last_seen FROM sh")
     add("TPL2.logs", _EV, f"SELECT {_SHAPE.format('msg')} AS pattern, len({_TOKENS_OF.format('msg')}) AS n_tokens, COUNT(*) AS frequency FROM ev WHERE kind = 'log' GROUP BY 1, 2")
-    add("TPL2", _LINES + "," + _templates(), """SELECT substr(md5(pattern), 1, 12) AS template_id, pattern, n_tokens, SUM(freq)::BIGINT AS frequency,
+    add("TPL2", _WHOLE_LINES + "," + _templates(), """SELECT substr(md5(pattern), 1, 12) AS template_id, pattern, n_tokens, SUM(freq)::BIGINT AS frequency,
       MIN(first_seen) AS first_seen, MAX(last_seen) AS last_seen FROM tp GROUP BY pattern, n_tokens""")
-    add("TPL3.lines", _LINES + "," + _templates(), f"""SELECT line_id, substr(md5(pattern), 1, 12) AS template_id,
+    add("TPL3.lines", _WHOLE_LINES + "," + _templates(), f"""SELECT line_id, substr(md5(pattern), 1, 12) AS template_id,
       array_to_string(list_transform(list_filter(list_zip(string_split(pattern, ' '), tk), lambda z: z[1] = '<*>'), lambda z: z[2]), ',') AS params
-      FROM (SELECT line_id, {_SHAPE.format('msg')} AS shape, {_TOKENS_OF.format('msg')} AS tk FROM ln) JOIN tp USING (shape)""")
+      FROM (SELECT line_id, {_SHAPE.format('msg')} AS shape, {_TOKENS_OF.format('msg')} AS tk FROM ln) JOIN tp USING (shape)""".replace("substr(msg, 1, 512)", "msg"))
     add("TPL3", _EV, f"""SELECT event_id, array_to_string(list_filter({_TOKENS_OF.format('msg')}, lambda t: regexp_matches(t, '[0-9]')), ',') AS params
       FROM ev WHERE kind = 'log'""")
     add("TPL4", _LINES, """SELECT substr(md5(shape), 1, 12) AS template_id, n_tokens, freq AS frequency, first_seen, last_seen FROM sh

@@ -537,3 +537,24 @@ def test_checkpoints_hand_no_guessed_sizes_on(spark):
         df = cut(df.join(df.withColumnRenamed("id", "other"), "k").groupBy("k").agg(F.max("other").alias("id")))
     assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 64
     assert sorted((r["k"], r["id"]) for r in df.collect()) == [(k, 16 + k) for k in range(4)]
+
+
+def test_templates_of_whole_lines(spark, land):
+    """Lines far longer than 512 characters: what stands behind them counts, and groups are tried by as many first tokens as it takes."""
+    same, rest = [f"w{'x' * (i % 7)}y" for i in range(600)], ["u", "v"]
+    lines = [" ".join(same + [r] * 600) for r in rest] + [" ".join(same[:-1] + [r] * 601) for r in ("k", "l")] + ["a b 7"]
+    logs = spark.createDataFrame(list(enumerate(lines)), "us long, msg string")
+    found = templates.cluster(templates.shapes(logs, chars=None))
+    got = {r["first_seen"]: r["pattern"] for r in found.collect()}
+    # All four agree on 599 of 1,200 places, which is less than half of them; by their first 512 tokens they still stand together.
+    alone = " ".join(same[:-1])
+    assert got[0] == got[1] == " ".join(same + ["<*>"] * 600) and got[4] == "a b <*>"
+    assert got[2] == lines[2] and got[3] == lines[3] and alone in got[2]
+    told = templates.assign(logs.withColumnRenamed("us", "line_id"), found, chars=None)
+    assert told.where("template_id IS NULL").count() == 0
+    # The query: every token of every line, longer ones included, is in its template or a parameter.
+    long = land.table("documents").select(F.explode(F.split("text", "\n")).alias("msg")).where("length(msg) > 600")
+    assert long.count() > 0
+    kept = land.line_templates.agg(F.max("n_tokens")).first()[0]
+    assert kept == land.table("documents").select(F.explode(F.split("text", "\n")).alias("msg")).agg(
+        F.max(F.size(F.regexp_extract_all("msg", F.lit(r"[A-Za-z0-9_\.\-/:]+"), F.lit(0))))).first()[0]
