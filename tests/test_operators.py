@@ -558,3 +558,43 @@ def test_templates_of_whole_lines(spark, land):
     kept = land.line_templates.agg(F.max("n_tokens")).first()[0]
     assert kept == land.table("documents").select(F.explode(F.split("text", "\n")).alias("msg")).agg(
         F.max(F.size(F.regexp_extract_all("msg", F.lit(r"[A-Za-z0-9_\.\-/:]+"), F.lit(0))))).first()[0]
+
+
+def test_signatures_by_distinct_tokens(spark):
+    """The same least hashes as column functions find, as text and as numbers."""
+    rnd = random.Random(6)
+    rows = [(f"i{n}", [f"t{x}é" for x in rnd.sample(range(60), rnd.randrange(0, 12))]) for n in range(80)]
+    df = spark.createDataFrame(rows, "incident_id string, tokens array<string>")
+    want = {r["incident_id"]: r["s"] for r in df.where(F.size("tokens") > 0).select("incident_id", sets.md5_minhash(F.col("tokens"), 16).alias("s")).collect()}
+    got = {r["incident_id"]: r["signature"] for r in sets.md5_signatures(df, 16, text=True).collect()}
+    assert got == {k: ",".join(v) for k, v in want.items()} and len(got) < 80
+    numbers = {r["incident_id"]: r["signature"] for r in sets.md5_signatures(df, 16).collect()}
+    assert all((x == y) == (numbers[a][p] == numbers[b][p]) for a in want for b in want for p, (x, y) in enumerate(zip(want[a], want[b], strict=True)))
+
+
+@pytest.mark.parametrize("common", [1, 5, 1000])
+def test_agreeing_rows_are_counted_without_pairs(spark, monkeypatch, common):
+    """Hashes as bitmaps and as lists of rows, in several blocks, against all pairs."""
+    monkeypatch.setattr(similarity, "COMMON", common)
+    monkeypatch.setattr(similarity, "AT_ONCE", 7)
+    rnd = random.Random(8)
+    known = [(f"c{n}", rnd.randrange(50) if rnd.random() < 0.9 else None, [rnd.randrange(4) + 10 * b if rnd.random() < 0.5 else rnd.randrange(1000, 9000) * 10 + b for b in range(3)]) for n in range(300)]
+    asked = [(f"q{n}", rnd.randrange(60) if rnd.random() < 0.9 else None, [rnd.randrange(5) + 10 * b for b in range(3)]) for n in range(120)]
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    got = {r["query_id"]: r["n"] for r in similarity._agreeing(
+        spark.createDataFrame(asked, "query_id string, q_us long, _qb array<long>"), spark.createDataFrame(known, "class_id string, closed_us long, _cb array<long>")).collect()}
+    want = {q: sum(t is not None and t < us and bool(set(h) & set(g)) for _, t, h in known) for q, us, g in asked if us is not None}
+    assert got == {q: n for q, n in want.items() if n}
+    left, right = (similarity.pd.DataFrame(x, columns=c) for x, c in ((known, ["class_id", "closed_us", "_cb"]), (asked, ["query_id", "q_us", "_qb"])))
+    one = similarity._count_agreeing(left.dropna(), right.dropna())
+    assert dict(zip(one["query_id"], one["n"], strict=True)) == got
+
+
+def test_candidates_are_moved_as_hashes(land):
+    """What is moved once for every pair has no words; what pairs share is told in words."""
+    from opsrecall.plans import catalog
+    hashed, told = catalog._candidates(land), catalog._candidates(land, ("tokens",))
+    assert {hashed.schema[c].dataType.simpleString() for c in ("tokens", "q_tokens", "q_near", "graph")} == {"array<bigint>"}
+    words = {r["incident_id"]: set(r["tokens"]) for r in land.episodes.collect()}
+    rows = told.collect()
+    assert rows and all(set(r["tokens"]) == words[r["query_id"]] & words[r["incident_id"]] for r in rows)
