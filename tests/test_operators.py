@@ -598,3 +598,43 @@ def test_candidates_are_moved_as_hashes(land):
     words = {r["incident_id"]: set(r["tokens"]) for r in land.episodes.collect()}
     rows = told.collect()
     assert rows and all(set(r["tokens"]) == words[r["query_id"]] & words[r["incident_id"]] for r in rows)
+
+
+def test_blocks_of_a_search_are_not_shuffled(spark, land, monkeypatch):
+    """A block is written once and read by pairs of partitions, however many blocks it meets; one that is too late is not searched."""
+    for name, value in (("BLOCK", 20), ("ASKED", 10), ("SPREAD", 6), ("LARGEST", 40)):
+        monkeypatch.setattr(topk, name, value)
+    past = spark.range(200).select(F.col("id").alias("class_id"), (F.col("id") * 10).alias("closed_us"), F.lit("").alias("scope"))
+    asked = spark.range(100).select(F.col("id").alias("query_id"), (F.col("id") * 20).alias("q_us"), F.lit("").alias("q_scope"))
+
+    def pairs(left, right):
+        both = left.merge(right, how="cross")
+        return both[both["closed_us"] < both["q_us"]].assign(met=len(both))[["class_id", "query_id", "met"]]
+
+    got = topk.met_blocks(past, asked, "class_id", "query_id", "closed_us", "q_us", pairs, "class_id long, query_id long, met long")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    rows = got.collect()
+    assert sorted((r["class_id"], r["query_id"]) for r in rows) == [(a, b) for a in range(200) for b in range(100) if a * 10 < b * 20]
+    assert max(r["met"] for r in rows) < 60 * 40
+
+
+def test_ties_of_a_search_go_by_incident(spark, land):
+    """Equal scores and closing times: the first incidents by id are kept, not those whose features hash low."""
+    base = land.episodes.where("closed_us IS NOT NULL").orderBy("incident_id").limit(1).drop("incident_id", "signal_us", "closed_us", "tokens")
+    rows = [(f"P{i:02}", 5, 10, [f"t{i}"]) for i in range(12)] + [("Q", 100, 200, ["x"])]
+    eps = cut(base.crossJoin(spark.createDataFrame(rows, "incident_id string, signal_us long, closed_us long, tokens array<string>")))
+    got = similarity.find_similar(similarity.query_view(eps), similarity.past_view(eps), 5).where("query_id = 'Q'").orderBy("rank").collect()
+    assert [r["incident_id"] for r in got] == [f"P{i:02}" for i in range(5)]
+
+
+def test_search_is_the_same_in_many_small_blocks(spark, land, monkeypatch):
+    """Tasks that read several past blocks and drop what is of no use lose nothing."""
+    def found():
+        got = similarity.find_similar(similarity.query_view(land.episodes), similarity.past_view(land.episodes), 3)
+        return sorted((r["query_id"], r["rank"], r["incident_id"], r["score"]) for r in got.collect())
+
+    want = found()
+    for name, value in (("BLOCK", 6), ("ASKED", 7), ("SPREAD", 2), ("LARGEST", 8), ("KEPT_ROWS", 5)):
+        monkeypatch.setattr(topk, name, value)
+    assert found() == want and want
